@@ -3,12 +3,16 @@
 Only nodes at depth `window` (50 words) or deeper matter, and such a node is a repeated passage. The tree is built level
 by level, and suffixes are split by prefixes of growing length:
 
-1. Short prefixes. Each suffix's first 50 words have one least 8-word prefix hash; a run of neighbouring suffixes shares
-   it, so about 1 in 22 suffixes sends a row. Prefixes that one document alone holds are leaves: cut.
+1. Short prefixes. Each suffix's first 50 words have one least 16-word prefix hash; a run of neighbouring suffixes
+   shares it, so about 1 in 18 suffixes sends a row. Prefixes that one document alone holds are leaves: cut.
 2. Long prefixes. The suffixes under the prefixes that are left are split by the hash of all 50 words. Each hash that
    several documents hold is a deep internal node; its least document is found by pre-aggregation, so a passage that a
    third of all documents hold is never gathered in one place.
 3. Suffixes under a deep node whose document isn't the node's least are the copies; their words are removed.
+
+Suffixes are made anew from the texts where they are needed, as they take more room than the texts. Shared short
+prefixes and the ids of changed documents are broadcast while they number BROADCAST_ROWS at most (8 MB), and joined
+by a shuffle beyond that.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import ngram_hashes, slices, text_bytes, word_hashes, written
 
-PREFIX = 8
+PREFIX, BROADCAST_ROWS = 16, 1 << 20
 
 
 def least_prefixes(words: np.ndarray, window: int, prefix: int) -> np.ndarray:
@@ -61,16 +65,23 @@ def _short(window: int, prefix: int):
     return make
 
 
-def _long(window: int, prefix: int):
+def _long(window: int, prefix: int, keys=None):
+    """(node, id, place) of suffixes whose short prefix is in the broadcast `keys`, or in the row's own third column."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if keys is None else keys.value
         for batch in batches:
             for part in slices(batch):
-                start, row, place, keys, words = _suffixes(part.column(1), window, prefix)
-                shared = part.column(2)
-                hit = np.zeros(len(row), bool)
-                for i, (a, b) in enumerate(zip(*np.searchsorted(row, [np.arange(len(part)), np.arange(1, len(part) + 1)]), strict=True)):
-                    if a < b:
-                        hit[a:b] = np.isin(keys[a:b], shared[i].values.to_numpy(zero_copy_only=False))
+                start, row, place, short, words = _suffixes(part.column(1), window, prefix)
+                if known is not None:
+                    hit = np.zeros(len(short), bool)
+                    if len(known):
+                        hit = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
+                else:
+                    hit = np.zeros(len(row), bool)
+                    for i, (a, b) in enumerate(zip(*np.searchsorted(row, [np.arange(len(part)), np.arange(1, len(part) + 1)]), strict=True)):
+                        if a < b:
+                            hit[a:b] = np.isin(short[a:b], part.column(2)[i].values.to_numpy(zero_copy_only=False))
                 whole = ngram_hashes(words, window).view(np.int64)[start[hit]] if hit.any() else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(whole), part.column(0).take(pa.array(row[hit])), pa.array(place[hit].astype(np.int32))], ["node", "id", "place"]
@@ -105,18 +116,23 @@ def _remover(window: int, with_text: bool):
     return remove
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = PREFIX) -> DataFrame:
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = PREFIX, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Return (id, place): windows whose words also begin somewhere in a document with a smaller id."""
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
-    short = written(base.mapInArrow(_short(window, prefix), "id long, key long"), "short-prefixes")
-    shared = short.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("key")
-    wanted = short.join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    suffixes = written(base.join(wanted, "id").select("id", "text", "keys").mapInArrow(_long(window, prefix), "node long, id long, place int"), "suffixes")
+    short = base.mapInArrow(_short(window, prefix), "id long, key long")
+    shared = written(short.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("key"), "shared-prefixes")
+    if shared.count() <= broadcast_rows:
+        keys = spark.sparkContext.broadcast(np.sort(shared.toPandas()["key"].to_numpy(np.int64)))
+        suffixes = base.mapInArrow(_long(window, prefix, keys), "node long, id long, place int")
+    else:
+        wanted = short.join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
+        suffixes = base.join(wanted, "id").select("id", "text", "keys").mapInArrow(_long(window, prefix), "node long, id long, place int")
     nodes = suffixes.groupBy("node").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("node", "x")
     return suffixes.join(nodes, "node").filter("id > x").select("id", "place")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = PREFIX, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = PREFIX, with_text: bool = True, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Return (doc id, n_words, n_removed, kept_sha256, kept_text), one row per input row; kept_text is null unless wanted.
 
     A word is removed if a window of `window` consecutive words of its document covers it and the window's words also
@@ -126,6 +142,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shorter than a window never change. Empty tables give no rows; other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    copies = repeated_windows(docs, id_col, text_col, window, prefix).groupBy("id").agg(F.collect_set("place").alias("places"))
-    out = base.join(copies, "id", "left").select("id", "text", "places").mapInArrow(_remover(window, with_text), "id long, n long, removed long, kept string, sha string")
+    copies = repeated_windows(docs, id_col, text_col, window, prefix, broadcast_rows).groupBy("id").agg(F.collect_set("place").alias("places"))
+    copies = written(copies, "copies")
+    make = lambda df: df.select("id", "text", "places").mapInArrow(_remover(window, with_text), "id long, n long, removed long, kept string, sha string")
+    if copies.count() <= broadcast_rows:  # texts that don't change needn't be shuffled
+        ids = F.broadcast(copies.select("id"))
+        changed = base.join(ids, "id", "left_semi").join(copies, "id")
+        same = base.join(ids, "id", "left_anti").withColumn("places", F.lit(None).cast("array<int>"))
+        out = make(changed).union(make(same))
+    else:
+        out = make(base.join(copies, "id", "left"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.col("removed").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.col("kept").alias("kept_text"))
