@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .line_dedup import line_dedup
 from .mixing import mixture
 from .near_dedup import near_duplicates
+from .oracles import SQL as SQL
 from .shard import shard, shard_of
 from .simhash import edited_fingerprints
 from .substring_dedup import substring_dedup
