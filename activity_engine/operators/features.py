@@ -94,22 +94,17 @@ def feature_table(actions: DataFrame, by: list[str], mode: str, version: str = "
     keyed = keyed.groupBy(*by, "act", "time", *subs).agg(*first, *[c.alias(f"_x_{n}") for n, c in extra.items()])
 
     def total(f: Feature) -> Column:
-        where = F.lit(True)
-        if f.act is not None:
-            where = where & (F.col("act") == f.act)
-        if f.times:
-            where = where & F.col("time").isin(*f.times)
-        if f.sub:
-            where = where & (F.col(f.sub[0]) == f.sub[1])
-        part = lambda c: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
-        if f.kind == "n":
-            return part("_rows").cast("long")
-        if f.kind == "count":
-            return part(_slot(f.column, f.value)).cast("long")
-        return F.coalesce(F.try_divide(part(_slot(f.column)).cast("double"), part("_rows")), F.lit(0.0))
+        """Written as SQL: hundreds of columns are built faster from text."""
+        where = [f"act = {f.act}"] if f.act is not None else []
+        where += [f"time IN ({', '.join(map(str, f.times))})"] if f.times else []
+        where += [f"{f.sub[0]} = {f.sub[1]}"] if f.sub else []
+        part = lambda c: f"coalesce(sum(CASE WHEN {' AND '.join(where) or 'true'} THEN `{c}` END), 0)"
+        if f.kind == "mean":
+            return F.expr(f"coalesce(try_divide(CAST({part(_slot(f.column))} AS DOUBLE), {part('_rows')}), 0D) AS `{f.name}`")
+        return F.expr(f"CAST({part('_rows' if f.kind == 'n' else _slot(f.column, f.value))} AS BIGINT) AS `{f.name}`")
 
     fold = {n: (F.sum if "sum(" in str(c) else F.min if "min(" in str(c) else F.max)(f"_x_{n}").alias(n) for n, c in extra.items()}
-    return keyed.groupBy(*by).agg(*fold.values(), *[total(f).alias(f.name) for f in wanted])
+    return keyed.groupBy(*by).agg(*fold.values(), *[total(f) for f in wanted])
 
 
 def label(insider: str = "insider", mal: str = "mal_act") -> dict[str, Column]:

@@ -62,4 +62,5 @@ def sample_clients(rounds: DataFrame, clients: DataFrame, fraction: float = 0.5,
     pairs = rounds.crossJoin(F.broadcast(clients))  # every round against every client is what is sampled from
     order = Window.partitionBy("round").orderBy(F.md5(F.concat_ws("|", F.col("round").cast("string"), F.col("client_id").cast("string"))), "client_id")
     n = F.count("*").over(Window.partitionBy("round"))
-    return pairs.filter(F.lit(True)).withColumns({"_k": F.row_number().over(order), "_n": n}).filter(F.col("_k") <= F.greatest(F.lit(least), F.floor(F.col("_n") * F.lit(fraction)))).select("round", "client_id")
+    wanted = F.greatest(F.lit(least), F.floor(F.col("_n") * F.lit(fraction)))
+    return pairs.withColumns({"_k": F.row_number().over(order), "_n": n}).filter(F.col("_k") <= wanted).select("round", "client_id")

@@ -15,14 +15,14 @@ def put(path, *lines):
 
 def test_logs(spark, tmp_path):
     put(tmp_path / "logon.csv", "id,date,user,pc,activity", "{A},01/04/2010 07:30:00,U1,PC-1,Logon")
-    put(tmp_path / "device.csv", "id,date,user,pc,content,activity", "{B},01/04/2010 07:31:00,U1,PC-1,R:\;R:\\x,Connect")
+    put(tmp_path / "device.csv", "id,date,user,pc,content,activity", "{B},01/04/2010 07:31:00,U1,PC-1,R:\\;R:\\x,Connect")
     put(tmp_path / "http.csv", "id,date,user,pc,url,activity,content", '{C},01/04/2010 07:32:00,U1,PC-1,http://a.b/c,WWW Visit,"one, two, three"')
     put(tmp_path / "email.csv", "id,date,user,pc,to,cc,bcc,from,activity,size,att,content", '{D},01/04/2010 07:33:00,U1,PC-1,a@dtaa.com;b@x.com,,,U1@dtaa.com,Send,10,f.doc(3),"hi"')
     put(tmp_path / "file.csv", "id,date,user,pc,filename,activity,to,from,content", '{E},bad date,U1,PC-1,C:\\a.doc,File Open,False,True,"x"')
     rows = {r["type"]: r for r in R.read_activity(spark, str(tmp_path), "r6.2").collect()}
     assert set(rows) == {"logon", "device", "http", "email", "file"}
     assert rows["http"]["content"] == "one, two, three" and rows["http"]["to"] is None and rows["email"]["size"] == 10
-    assert str(rows["logon"]["ts"]) == "2010-01-04 07:30:00" and rows["file"]["ts"] is None and rows["device"]["content"] == "R:\;R:\\x"
+    assert str(rows["logon"]["ts"]) == "2010-01-04 07:30:00" and rows["file"]["ts"] is None and rows["device"]["content"] == "R:\\;R:\\x"
 
 
 def test_dimensions(spark, tmp_path):
