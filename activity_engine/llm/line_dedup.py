@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-
-def _lines(text):
-    return F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+_SOLID = r"[^\x20\x09-\x0D]"
 
 
-_SOLID = r"[^\x20\x09-\x0D]"
+def _lines(text: str):
+    return F.split(F.coalesce(F.col(text), F.lit("")), "\n")
 
 
 def _repeated(places: DataFrame) -> DataFrame:
@@ -36,25 +35,27 @@ def _longer(left: DataFrame, right: DataFrame, step: int) -> DataFrame:
     return both.select("id", "h", "place", F.xxhash64("a", "b", "c", "d").alias("a"), F.xxhash64("d", "c", "b", "a", F.lit(1)).alias("b"))
 
 
-def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
-    """Return (id, h, place): where `min_lines` solid lines begin that also begin at an earlier place; h is the text's hash."""
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+    """Return (id, h, line): the lines, counted from 0, in runs that also begin at an earlier place; h is the text's hash."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    solid = F.filter(_lines("text"), lambda x: x.rlike(_SOLID))
-    lines = base.select("id", F.xxhash64("text").alias("h"), F.posexplode(solid).alias("place", "line"))
-    names = lines.select("id", "h", "place", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"))
-    if min_lines > 1:
-        names = written(_repeated(names).distinct(), "line-names")
-    depth = 1
+    numbered = F.transform(_lines("text"), lambda x, i: F.struct(i.alias("line"), x.alias("words")))
+    lines = base.select("id", F.xxhash64("text").alias("h"), F.posexplode(F.filter(numbered, lambda s: s["words"].rlike(_SOLID))).alias("place", "s"))
+    single = lines.select("id", "h", "place", "s.line", F.xxhash64("s.words").alias("a"), F.xxhash64("s.words", F.lit(1)).alias("b"))
+    # Every line of a repeated run is itself repeated, so the others go at once.
+    single = written(_repeated(single).distinct(), "line-names")
+    names, depth = single.drop("line"), 1
     while 2 * depth <= min_lines:
         names = _repeated(_longer(names, names, depth))
         depth *= 2
-        if 2 * depth <= min_lines or depth < min_lines:
+        if depth < min_lines:
             names = written(names, "line-names")
     if depth < min_lines:
         names = _repeated(_longer(names, names, min_lines - depth))
     names = written(names, "line-intervals")
     first = names.groupBy("a", "b").agg(F.min(F.struct("id", "h", "place")).alias("first"))
-    return names.join(first, ["a", "b"]).filter(F.struct("id", "h", "place") > F.col("first")).select("id", "h", "place")
+    later = names.join(first, ["a", "b"]).filter(F.struct("id", "h", "place") > F.col("first"))
+    covered = later.select("id", "h", F.explode(F.sequence(F.col("place"), F.col("place") + (min_lines - 1))).alias("place")).distinct()
+    return covered.join(single.select("id", "h", "place", "line"), ["id", "h", "place"]).select("id", "h", "line")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
@@ -68,17 +69,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tables give no rows; other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    gone = repeated_places(docs, id_col, text_col, min_lines).groupBy("id", "h").agg(F.collect_set("place").alias("places"))
-    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (min_lines - 1)))))
-    joined = base.join(gone.select("id", "h", covered.alias("gone")), ["id", "h"], "left")
-
-    lines = joined.withColumn("lines", _lines("text")).withColumn("n_lines", F.size(F.filter("lines", lambda x: x.rlike(_SOLID))).cast("long"))
-    # The place of each line among solid lines is needed only where something goes.
-    solid_at = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(_SOLID), i)), lambda i: i.isNotNull())
-    drop = F.transform("gone", lambda p: F.get(F.col("solid_at"), p))
-    lines = lines.withColumn("solid_at", F.when(F.col("gone").isNotNull(), solid_at)).withColumn("drop", drop)
-    kept = F.filter("lines", lambda x, i: ~F.array_contains(F.col("drop"), i))
-    text = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    out = lines.select("id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).alias("removed"), text.alias("kept"), F.col("gone").isNull().alias("whole"))
-    removed = F.when(F.col("whole"), 0).otherwise(F.col("removed")).cast("long")
-    return out.select(F.col("id").alias(id_col), "n_lines", removed.alias("n_removed"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"), F.col("kept").alias("kept_text"))
+    gone = repeated_lines(docs, id_col, text_col, min_lines).groupBy("id", "h").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    gone = written(gone, "line-copies")
+    # A flag for each line up to the last one that goes, so that a line is looked up at its place.
+    gap = lambda x, i: F.concat(F.array_repeat(F.lit(False), x - F.coalesce(F.get("gone", i - 1), F.lit(-1)) - 1), F.array(F.lit(True)))
+    flags = gone.select("id", "h", F.size("gone").cast("long").alias("removed"), F.flatten(F.transform("gone", gap)).alias("flags"))
+    out = base.join(flags, ["id", "h"], "left")
+    kept = F.array_join(F.filter(_lines("text"), lambda x, i: ~F.coalesce(F.get("flags", i), F.lit(False))), "\n")
+    text = F.when(F.col("flags").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept)
+    n_lines = F.size(F.filter(_lines("text"), lambda x: x.rlike(_SOLID))).cast("long")
+    out = out.select("id", n_lines.alias("n_lines"), F.coalesce("removed", F.lit(0)).alias("n_removed"), text.alias("kept_text"))
+    return out.select(F.col("id").alias(id_col), "n_lines", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"), "kept_text")
