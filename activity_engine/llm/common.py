@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A word is a run of bytes other than these (space, tab, line feed, vertical tab, form feed, carriage return).
 SPACES = b" \t\n\x0b\x0c\r"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _IS_SPACE = np.zeros(256, bool)
@@ -35,8 +35,6 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
@@ -197,20 +195,28 @@ def components(edges: DataFrame) -> DataFrame:
     """Label every node of `edges` (a long, b long) with its component's smallest node: (node, root).
 
     Alternates large-star and small-star steps, each an aggregate for the least neighbour and a join back, so that a
-    node with very many neighbours is never gathered in one place. Every step is checkpointed. Empty edges give no
-    rows.
+    node with very many neighbours is never gathered in one place. The edges of every round are written. Empty edges
+    give no rows.
     """
-    shared_dir(edges.sparkSession)
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
+    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     state = None
     while True:
-        both = e.union(e.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        e = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).distinct().checkpoint()
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == state:
+        if now == state or not now[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
         state = now
+        both = e.union(e.select("b", "a")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = written(small.union(least.select("a", "m")).distinct(), "edges")
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """`found` (node, root) after further links (a, b): only components that these touch are worked out again."""
+    root = lambda side: found.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    named = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select("a", "b", F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y"))
+    moved = components(named.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("root", "to")
+    nodes = found.union(named.select("x", "x").union(named.select("y", "y"))).distinct()
+    return written(nodes.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).distinct(), "components")

@@ -3,13 +3,18 @@
 1. A text's shingle set is hashed once; the high bits of a hash choose one of `bands * rows` bins and each bin keeps
    its least hash. Empty bins borrow from the first filled bin of a fixed random order (optimal densification).
 2. Texts with equal sets fall together at once (pre-aggregated by a 128-bit digest), so copies never meet in buckets.
-3. Each band of rows is a bucket. A bucket emits a star around its least member, not all pairs.
+3. Each band of rows is a bucket. A bucket emits a star around its least member, not all pairs. A text is first
+   compared with the least of its centres alone, then with those centres that are in another component.
 4. Candidates are confirmed by the exact ratio on full sets.
-5. A star may miss a link between two leaves when one of them isn't linked to the centre. After components are known,
-   buckets whose members lie in several components get further centres (1, 2, 4, ... more in each round) until each
-   pair of members in different components was tested. No bucket has a cap.
+5. A star may miss a link between two leaves when one of them isn't linked to the centre. The texts of buckets whose
+   members still lie in several components are joined by prefix filtering, which is exact: two sets can only be alike
+   enough if they share one of the rarest shingles of each, n - ceil(0.8 n) + 1 of them, at places that leave room for
+   the overlap. No bucket has a cap.
 
-With 6 rows and 36 bands a pair at the 0.8 threshold meets in some bucket with probability 1 - 2e-5.
+Before texts are compared, candidates pass two exact bounds: on sizes, and on 256-bit parity maps of the sets (each bit
+that differs stands for at least one shingle that one set alone holds).
+
+With 7 rows and 44 bands a pair at the 0.8 threshold meets in some bucket with probability 1 - 3e-5.
 """
 
 from __future__ import annotations
@@ -23,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, mix, shingle_sets, slices, written
+from .common import components, merged, mix, shingle_sets, slices, written
 
-ROWS, BANDS = 6, 36
+ROWS, BANDS = 7, 44
+PARITY = ["x0", "x1", "x2", "x3"]
 
 
 def donor_order(bins: int) -> np.ndarray:
@@ -56,11 +62,12 @@ def _signer(words: int, rows: int, bands: int):
         salts = mix(np.arange(1, rows * bands + 1, dtype=np.uint64)).reshape(bands, rows) | np.uint64(1)
         for batch in batches:
             for part in slices(batch):
-                n, sums, xors, keys = [], [], [], []
+                n, sums, xors, keys, maps = [], [], [], [], []
                 for s in shingle_sets(part.column(1), words):
                     n.append(len(s))
                     sums.append(mix(s + np.uint64(77)).sum(dtype=np.uint64))
                     xors.append(np.bitwise_xor.reduce(mix(s ^ np.uint64(0xABCDEF)), initial=np.uint64(0)))
+                    maps.append(np.packbits(np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64))
                     if len(s):
                         keys.append(mix((signature(s, donors).reshape(bands, rows) * salts).sum(axis=1, dtype=np.uint64)))
                 ends = np.concatenate(([0], np.cumsum([bands * (k > 0) for k in n]))).astype(np.int32)
@@ -72,8 +79,9 @@ def _signer(words: int, rows: int, bands: int):
                         pa.array(np.array(sums, np.uint64).view(np.int64)),
                         pa.array(np.array(xors, np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
+                        *[pa.array(np.array([m[i] for m in maps], np.int64)) for i in range(4)],
                     ],
-                    ["id", "n", "h1", "h2", "keys"],
+                    ["id", "n", "h1", "h2", "keys", *PARITY],
                 )
 
     return sign
@@ -95,11 +103,61 @@ def _checker(words: int, percent: int):
     return check
 
 
+def _shingle_rows(words: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = list(shingle_sets(part.column(1), words))
+                owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(grams.view(np.int64))], ["id", "g"])
+
+    return make
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The (a, b) of `pairs` whose whole shingle sets are alike enough. The hot side, a, is joined last."""
     right = pairs.join(texts.toDF("b", "right"), "b")
     both = right.join(texts.toDF("a", "left"), "a").select("a", "b", "left", "right")
-    return both.mapInArrow(_checker(words, percent), "a long, b long")
+    return written(both.mapInArrow(_checker(words, percent), "a long, b long"), "links")
+
+
+def _rooted(rows: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    """`rows` with {column}_root, the component of the text in `column`."""
+    roots = found.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
+    return rows.join(roots, column, "left").withColumn(f"{column}_root", F.coalesce(f"{column}_root", column))
+
+
+def _sharing_rare_shingles(texts: DataFrame, facts: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """Every pair (a, b) of texts in different components that may be alike enough, by prefix filtering."""
+    grams = written(texts.mapInArrow(_shingle_rows(words), "id long, g long"), "open-shingles")
+    common = grams.groupBy("g").agg(F.count("*").alias("df"))
+    each = Window.partitionBy("id").orderBy("df", "g")  # bounded by a text's length
+    ranked = grams.join(common, "g").withColumn("k", F.row_number().over(each)).filter("df > 1").select("g", F.col("id").alias("rep"), "k")
+    rare = ranked.join(facts, "rep").filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    rare = written(_rooted(rare, found, "rep"), "rare-shingles")
+    mixed = rare.groupBy("g").agg(F.min("rep_root").alias("x"), F.max("rep_root").alias("y")).filter("x <> y").select("g")
+    rare = rare.join(mixed, "g", "left_semi")
+    left = rare.select("g", F.col("rep").alias("a"), "n", "k", F.col("rep_root").alias("a_root"), *PARITY)
+    right = rare.select("g", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("k").alias("l"), F.col("rep_root").alias("b_root"), *[F.col(x).alias(f"y{x[1]}") for x in PARITY])
+    # Of the shared rare shingles the first one leaves this much room at most; the overlap must fit in it.
+    room = f"{100 + percent} * (1 + least(n - k, m - l)) >= {percent} * (n + m)"
+    pairs = left.join(right, "g").filter("a < b AND a_root <> b_root").filter(_alike(percent)).filter(room).filter(_near_maps(percent))
+    return pairs.select("a", "b").distinct()
+
+
+def _named(facts: DataFrame, key: str, size: str, maps: str) -> DataFrame:
+    return facts.select(F.col("rep").alias(key), F.col("n").alias(size), *[F.col(x).alias(f"{maps}{x[1]}") for x in PARITY])
+
+
+def _near_maps(percent: int) -> str:
+    """Bits of the parity maps x and y that differ are no more than shingles may differ."""
+    return f"{100 + percent} * ({' + '.join(f'bit_count(x{i} ^ y{i})' for i in range(4))}) <= {100 - percent} * (n + m)"
+
+
+def _alike(percent: int) -> str:
+    """Sizes n, m that allow the wanted ratio."""
+    return f"100 * least(n, m) >= {percent} * greatest(n, m)"
 
 
 def near_duplicates(
@@ -114,35 +172,31 @@ def near_duplicates(
     columns of `docs` are ignored, whatever their names.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(base.mapInArrow(_signer(words, rows, bands), "id long, n long, h1 long, h2 long, keys array<long>"), "signatures")
+    signed = written(base.mapInArrow(_signer(words, rows, bands), "id long, n long, h1 long, h2 long, keys array<long>, x0 long, x1 long, x2 long, x3 long"), "signatures")
 
     usable = signed.filter("n > 0 AND id IS NOT NULL")
-    classes = usable.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
+    classes = usable.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), *[F.first(x).alias(x) for x in PARITY])
     keyed = classes.select("rep", "n", F.posexplode("keys").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "rep", "n")
     centres = keyed.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    members = written(keyed.join(centres, "bucket").select("bucket", "rep", "n", F.col("c.rep").alias("c"), F.col("c.n").alias("c_n")), "buckets")
-
-    alike = f"a <> b AND 100 * least(n, m) >= {percent} * greatest(n, m)"
-    pairs = members.select(F.col("c").alias("a"), F.col("rep").alias("b"), F.col("c_n").alias("n"), F.col("n").alias("m")).filter(alike)
-    links = written(_confirmed(pairs.select("a", "b").distinct(), base.toDF("id", "text"), words, percent), "links")
-    found = components(links)
-
-    # Buckets that still join several components: ranks are given once, then centres are taken by rank.
-    group = Window.partitionBy("bucket").orderBy("rep")
-    labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x <> y AND size > 2")
-    open_ = written(members.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "rep", "n", (F.row_number().over(group) - 1).alias("rank")), "open-buckets")
-    top = open_.agg(F.max("rank")).first()[0] or 0
-    low, high = 1, 2
-    while low < top:
-        labelled = open_.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        centre = labelled.filter(F.col("rank").between(low, high - 1)).select("bucket", F.col("rep").alias("a"), "n", F.col("rank").alias("place"), F.col("root").alias("c_root"))
-        rest = labelled.filter(F.col("rank") > low).select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), "rank", "root")
-        more = centre.join(rest, "bucket").filter("rank > place AND root <> c_root").filter(alike).select("a", "b").distinct()
-        fresh = written(_confirmed(more, base.toDF("id", "text"), words, percent), "links")
-        if not fresh.isEmpty():
-            found = components(found.filter("node <> root").toDF("a", "b").union(fresh))
-        low, high = high, 2 * high
+    members = written(keyed.join(centres, "bucket").select("bucket", "rep", "n", F.col("c.rep").alias("c"), F.col("c.n").alias("m"), "size"), "buckets")
+
+    facts = classes.select("rep", "n", *PARITY)
+    stars = members.filter("rep <> c").filter(_alike(percent)).select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct()
+    both = stars.join(_named(facts, "b", "m", "y"), "b").join(_named(facts, "a", "n", "x"), "a")
+    stars = written(both.filter(_near_maps(percent)).select("a", "b"), "stars")
+    used = members.filter("size > 2").select(F.col("rep").alias("id")).union(stars.select("a")).union(stars.select("b")).distinct()
+    texts = written(base.filter("id IS NOT NULL").join(used, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+
+    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = written(components(_confirmed(first, texts, words, percent)), "components")
+    others = _rooted(_rooted(stars, found, "a"), found, "b").filter("a_root <> b_root").select("a", "b").join(first, ["a", "b"], "left_anti")
+    found = merged(found, _confirmed(others, texts, words, percent))
+
+    rooted = _rooted(members.filter("size > 2").select("bucket", "rep"), found, "rep")
+    mixed = rooted.groupBy("bucket").agg(F.min("rep_root").alias("x"), F.max("rep_root").alias("y")).filter("x <> y").select("bucket")
+    unsure = rooted.join(mixed, "bucket", "left_semi").select(F.col("rep").alias("id")).distinct()
+    more = _sharing_rare_shingles(texts.join(unsure, "id", "left_semi"), facts, found, words, percent)
+    found = merged(found, _confirmed(more, texts, words, percent))
 
     rep_root = classes.select("n", "h1", "h2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("root", "rep").alias("root"))
     out = signed.select("id", "n", "h1", "h2").join(rep_root, ["n", "h1", "h2"], "left").select(

@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from activity_engine.llm.common import components, written
+from activity_engine.llm.common import components, merged, written
 from activity_engine.llm.decontaminate import contamination, signature_length
 from activity_engine.llm.line_dedup import line_dedup
 from activity_engine.llm.mixing import mixture
@@ -127,6 +127,10 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(51)} | {100: 100} | {200 + i: 100 for i in range(30)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    found = components(spark.createDataFrame([(5, 6), (8, 9)], "a long, b long"))
+    more = spark.createDataFrame([(6, 9), (20, 21), (1, 21)], "a long, b long")
+    assert {r["node"]: r["root"] for r in merged(found, more).collect()} == {5: 5, 6: 5, 8: 5, 9: 5, 20: 1, 21: 1, 1: 1}
+    assert {r["node"]: r["root"] for r in merged(found, more.limit(0)).collect()} == {5: 5, 6: 5, 8: 8, 9: 8}
 
 
 # --- op 2 ------------------------------------------------------------------------------------------------------
@@ -225,10 +229,10 @@ def brute_substrings(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window", [8, 10, 50])
-def test_substring_dedup(odd, docs, window):
+@pytest.mark.parametrize("window, prefix, limit", [(8, 8, 1 << 20), (10, 3, 0), (50, 16, 1 << 20), (50, 16, 0)])
+def test_substring_dedup(odd, docs, window, prefix, limit):
     for df in (odd, docs):
-        got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup(df, window=window).collect()}
+        got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup(df, window=window, prefix=prefix, broadcast_rows=limit).collect()}
         assert got == brute_substrings(texts_of(df), window)
 
 
