@@ -74,7 +74,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A flag for each line up to the last one that goes, so that a line is looked up at its place.
     gap = lambda x, i: F.concat(F.array_repeat(F.lit(False), x - F.coalesce(F.get("gone", i - 1), F.lit(-1)) - 1), F.array(F.lit(True)))
     flags = gone.select("id", "h", F.size("gone").cast("long").alias("removed"), F.flatten(F.transform("gone", gap)).alias("flags"))
-    out = base.join(flags, ["id", "h"], "left")
+    # Removed lines grow with the texts: the same join at every size, never a broadcast.
+    out = base.join(flags.hint("merge"), ["id", "h"], "left")
     kept = F.array_join(F.filter(_lines("text"), lambda x, i: ~F.coalesce(F.get("flags", i), F.lit(False))), "\n")
     text = F.when(F.col("flags").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept)
     n_lines = F.size(F.filter(_lines("text"), lambda x: x.rlike(_SOLID))).cast("long")
