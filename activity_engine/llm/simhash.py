@@ -96,8 +96,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chain = chain.select("bucket", "id", "h", "next_id", "next_h", "text", edited.alias("edited"))
     facts = chain.select("id", "h", "next_id", "next_h", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("sha"))
     both = chain.select("bucket", "id", "h", F.posexplode(F.array("text", "edited")).alias("which", "text"))
-    prints = written(fingerprints(both, ["bucket", "id", "h", "which"], "text").drop("bucket"), "fingerprints")
-    facts = written(facts, "edited")
+    prints = fingerprints(both, ["bucket", "id", "h", "which"], "text").drop("bucket")
+    # One table for both, so that one job makes them from one shuffle of the texts.
+    table = written(prints.unionByName(facts, allowMissingColumns=True), "fingerprints")
+    prints, facts = table.filter("which IS NOT NULL"), table.filter("which IS NULL").select("id", "h", "next_id", "next_h", "n_chars", "sha")
 
     def joined(left: DataFrame, which: int, by: tuple[str, str], x: str, how: str) -> DataFrame:
         right = prints.filter(F.col("which") == which).select(F.col("id").alias("r_id"), F.col("h").alias("r_h"), F.col("f1").alias(f"{x}1"), F.col("f2").alias(f"{x}2"))
