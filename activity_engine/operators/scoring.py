@@ -109,11 +109,15 @@ def top_errors(errs: DataFrame, keys: list[str], top: int = 5) -> DataFrame:
 
 
 def self_z_scores(mse: DataFrame, labels: DataFrame, user: str) -> DataFrame:
-    """(user, peak_z, is_insider): a user's largest error against that user's own windows; a deviation of 0 is 1e-6."""
-    s = mse.groupBy(user).agg(F.max("mse").alias("hi"), F.avg("mse").alias("m"), F.stddev_pop("mse").alias("d"))
-    z = (F.col("hi") - F.col("m")) / F.when(F.col("d") == 0, 1e-6).otherwise(F.col("d"))
-    truth = labels.groupBy(user).agg(F.max((F.col("insider") == 1).cast("int")).alias("is_insider"))
-    return s.select(user, z.alias("peak_z")).join(truth, user, "left")
+    """(user, peak_z, is_insider), a row for each user of either table: the largest error against the user's own windows.
+
+    Users without windows, or whose windows differ by rounding alone, score 0.
+    """
+    both = labels.select(user, (F.col("insider") == 1).cast("int").alias("is_insider")).unionByName(mse.select(user, "mse"), allowMissingColumns=True)
+    peak = [F.max("mse").alias("hi"), F.min("mse").alias("lo"), F.avg("mse").alias("m"), F.stddev_pop("mse").alias("d")]
+    s = both.groupBy(user).agg(F.max("is_insider").alias("is_insider"), *peak)
+    differ = F.col("hi") - F.col("lo") > 1e-12 * F.greatest("hi", F.lit(1.0))
+    return s.select(user, F.when(differ, (F.col("hi") - F.col("m")) / F.col("d")).otherwise(0.0).alias("peak_z"), "is_insider")
 
 
 def peak_ratio(mse: DataFrame, labels: DataFrame, user: str, known: list | None = None, normals: int = 10) -> DataFrame:

@@ -592,8 +592,7 @@ _MSE_SQL = _WINDOWS_SQL + """, mse AS (SELECT "user", client_id, start, avg(err)
  SELECT s."user", round((hi - m) / CASE WHEN d = 0 THEN 1e-6 ELSE d END, 4) AS peak_z, l.is_insider FROM s JOIN l ON s."user" = l."user" WHERE s.d > 1e-9""")
 def self_z_scores(spark, d):
     mse = C.window_mse(_recon(spark, d), ["user", "start"])
-    several = mse.groupBy("user").agg(F.stddev_pop("mse").alias("_d")).filter("_d > 1e-9").select("user")
-    return C.self_z_scores(mse.join(several, "user", "left_semi"), days(spark, d), "user").withColumn("peak_z", F.round("peak_z", 4))
+    return C.self_z_scores(mse, days(spark, d), "user").withColumn("peak_z", F.round("peak_z", 4))
 
 
 @query(f"""WITH {_MSE_SQL}, pk AS (SELECT "user", max(mse) AS peak FROM mse GROUP BY "user"),
