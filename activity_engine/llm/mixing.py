@@ -43,17 +43,32 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], total: float, m
 def sainte_lague(parties: DataFrame, by: list[str], key: list[str], quota: str, cap: str, seats: str, name: str) -> DataFrame:
     """Deal `seats` (one number per group `by`) to parties by highest quotients; `quota` is a party's exact share.
 
-    A party surely has floor(quota) - 2 seats and surely no more than floor(quota) + 3, so only those five quotients
-    are ranked. No party gets more than `cap`. Ties go to the smaller key.
+    No party gets more than `cap`, none of quota 0 gets any. Ties go to the smaller key.
+
+    At x seats for each unit of quota a party has quota * x seats, give or take a half, or its cap. So the last seat
+    goes between `_low`, where even half a seat more for each party is in the house, and `_high`, where half a seat less
+    for each still fills it: water-filling as in `source_targets`. Quotients between these are ranked, a few a party
+    on the whole, however unequal the parties are.
     """
-    sure = F.greatest(F.floor(quota).cast("long") - 2, F.lit(0))
-    p = parties.withColumn("_sure", F.least(sure, F.col(cap)))
-    group = Window.partitionBy(*by)
-    p = p.withColumn("_left", F.col(seats) - F.sum("_sure").over(group))
-    tried = p.withColumn("_seat", F.explode(F.sequence(F.col("_sure"), F.col("_sure") + 4))).filter(F.col("_seat") < F.col(cap))
-    ranked = tried.withColumn("_rank", F.row_number().over(group.orderBy((F.col(quota) / (2 * F.col("_seat") + 1)).desc(), *key, "_seat")))
+    some, q, c = F.col(quota) > 0, F.col(quota), F.col(cap)
+    group, tie = Window.partitionBy(*by), [F.col(k) for k in key]
+    p = parties.withColumn("_bound", F.when(some, (c + 0.5) / F.when(some, q)))
+    first = group.orderBy(F.col("_bound").asc_nulls_last(), *tie).rowsBetween(Window.unboundedPreceding, -1)
+    last = group.orderBy(F.col("_bound").desc_nulls_first(), *[k.desc() for k in tie]).rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumn("_before", F.coalesce(F.sum(F.when(some, c)).over(first), F.lit(0)))
+    level = (F.col(seats) - F.col("_before") + F.count(F.when(some, 1)).over(last) / 2) / F.sum(F.when(some, q)).over(last)
+    p = p.withColumn("_level", F.when(some, level))
+    high = F.min(F.when(F.col("_bound") >= F.col("_level"), F.struct("_bound", *key, "_level"))).over(group)["_level"]
+    low = F.greatest((F.col(seats) - F.count(F.when(some, 1)).over(group) / 2) / F.sum(F.when(some, q)).over(group), F.lit(0.0))
+    p = p.withColumns({"_high": F.coalesce(high, F.max("_bound").over(group)), "_low": F.when(some, low)})
+    # One seat beyond both ends, for rounding.
+    near = lambda x, more: F.when(some, F.least(F.greatest(F.floor(q * F.col(x) + 0.5).cast("long") + more, F.lit(0)), c)).otherwise(0)
+    p = p.withColumns({"_sure": near("_low", -1), "_most": near("_high", 1)})
+    p = p.withColumn("_left", F.col(seats) - F.sum("_sure").over(group)).drop("_bound", "_before", "_level", "_high", "_low")
+    tried = p.filter("_most > _sure").withColumn("_seat", F.explode(F.sequence(F.col("_sure"), F.col("_most") - 1)))
+    ranked = tried.withColumn("_rank", F.row_number().over(group.orderBy((q / (2 * F.col("_seat") + 1)).desc(), *key, "_seat")))
     won = ranked.filter("_rank <= _left").groupBy(*key).agg(F.count("*").alias("_won"))
-    return p.join(won, key, "left").withColumn(name, F.col("_sure") + F.coalesce("_won", F.lit(0))).drop("_sure", "_left", "_won")
+    return p.join(won, key, "left").withColumn(name, F.col("_sure") + F.coalesce("_won", F.lit(0))).drop("_sure", "_most", "_left", "_won")
 
 
 def _taker(seed: int):

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, on a fixture of odd rows and on the smallest tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from activity_engine.llm.common import components, merged, written
 from activity_engine.llm.decontaminate import contamination, signature_length
 from activity_engine.llm.line_dedup import line_dedup
-from activity_engine.llm.mixing import mixture
+from activity_engine.llm.mixing import mixture, sainte_lague
 from activity_engine.llm.near_dedup import near_duplicates
 from activity_engine.llm.queries import QUERIES
 from activity_engine.llm.shard import shard, shard_of, write_shards
@@ -284,6 +285,40 @@ def test_mixture_of_many_shards(docs, monkeypatch):
     check_mix(mixture(docs, block=16).collect())
 
 
+def brute_seats(parties, house):
+    """Highest quotients one seat at a time; parties: (key, quota, cap)."""
+    held = {k: 0 for k, _, _ in parties}
+    for _ in range(house):
+        free = [(-q / (2 * held[k] + 1), k) for k, q, cap in parties if held[k] < cap and q > 0]
+        if not free:
+            break
+        held[min(free)[1]] += 1
+    return held
+
+
+def test_sainte_lague(spark):
+    """A hot party beside many small ones lies far from its quota."""
+    rng = random.Random(5)
+    groups = {
+        "small": [("hot", 100.0, 1000)] + [(f"p{i:03}", 0.4, 5) for i in range(100)],
+        "large": [("hot", 100.0, 1000)] + [(f"p{i:03}", 0.6, 5) for i in range(100)],
+        "full": [("hot", 100.0, 100)] + [(f"p{i:03}", 0.4, 2) for i in range(100)],
+        "all": [("a", 6.0, 6), ("b", 4.0, 4), ("c", 0.0, 0)],
+        "none": [("a", 0.0, 4), ("b", 0.0, 2)],
+        "one": [("a", 7.0, 9)],
+        "empty": [("a", 0.0, 0)],
+    }
+    for n in range(12):
+        caps = [rng.choice([0, 1, 2, 3, 50, 400]) for _ in range(rng.randint(1, 60))]
+        groups[f"r{n}"] = [(f"p{i:03}", rng.choice([c, c / 2, c * rng.random()]) * 1.0, c) for i, c in enumerate(caps)]
+    house = {g: round(sum(q for _, q, _ in parties)) for g, parties in groups.items()}
+    rows = [(g, k, q, cap, house[g]) for g, parties in groups.items() for k, q, cap in parties]
+    df = spark.createDataFrame(rows, "g string, k string, quota double, cap long, house long")
+    got = {(r["g"], r["k"]): r["held"] for r in sainte_lague(df, ["g"], ["g", "k"], "quota", "cap", "house", "held").collect()}
+    assert got == {(g, k): n for g, parties in groups.items() for k, n in brute_seats(parties, house[g]).items()}
+    assert got["small", "hot"] == 125 and got["large", "hot"] == 83 and got["full", "hot"] == 100
+
+
 # --- op 7 ------------------------------------------------------------------------------------------------------
 
 
