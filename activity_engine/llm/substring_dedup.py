@@ -1,14 +1,15 @@
-"""Repeated word passages across documents, by a prefix-partitioned suffix tree cut at the wanted depth.
+"""Repeated word passages across documents, by minimizer candidates and groups by the hash of the wanted depth.
 
-Only nodes at depth `window` (50 words) or deeper matter, and such a node is a repeated passage. The tree is built level
-by level, and suffixes are split by prefixes of growing length:
+This takes the place of a prefix-partitioned suffix tree, of which only the nodes at depth `window` (50 words) matter for
+what is removed. No tree is built, and maximal repeats aren't reported. In the names below a "prefix" is a minimizer
+and a "node" a group:
 
-1. Short prefixes. Each suffix's first 50 words have one least 16-word prefix hash; a run of neighbouring suffixes
-   shares it, so about 1 in 18 suffixes sends a row. Prefixes that one document alone holds are leaves: cut.
-2. Long prefixes. The suffixes under the prefixes that are left are split by the hash of all 50 words. Each hash that
-   several documents hold is a deep internal node; its least document is found by pre-aggregation, so a passage that a
+1. Minimizers. Each suffix's first 50 words have one least hash of the 16-word runs anywhere in them; a run of
+   neighbouring suffixes shares it, so about 1 in 18 suffixes sends a row. Those that one document alone holds are cut.
+2. Groups. The suffixes with the minimizers that are left are grouped by the hash of all 50 words. Each hash that
+   several documents hold is a repeated passage; its least document is found by pre-aggregation, so a passage that a
    third of all documents hold is never gathered in one place.
-3. Suffixes under a deep node whose document isn't the node's least are the copies; their words are removed.
+3. Suffixes in such a group whose document isn't the group's least are the copies; their words are removed.
 
 Suffixes are made anew from the texts where they are needed, as they take more room than the texts. Shared short
 prefixes and the ids of changed documents are broadcast while they number BROADCAST_ROWS at most (8 MB), and joined
