@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_by_week(df: DataFrame, path: str, week: str = "week") -> None:
@@ -33,10 +34,22 @@ def write_rounds(parameters: DataFrame, path: str) -> None:
     parameters.repartition("round").write.mode("overwrite").partitionBy("round").parquet(path)
 
 
-def shared_path(spark, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir; a local one where it is unset)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where it is unset a new local folder takes its place, but only if driver and executors are one process (local mode);
+    on a cluster every machine would have a folder of its own and lose the others' files, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
