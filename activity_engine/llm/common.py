@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import shared_dir
+
 #: A word is a run of bytes other than these (space, tab, line feed, vertical tab, form feed, carriage return).
 SPACES = b" \t\n\x0b\x0c\r"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
@@ -29,18 +31,13 @@ _BASE, _NGRAM_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 # --- storage ---------------------------------------------------------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests, local mode)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+_paths: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses; it is deleted when the driver ends."""
+    """A path in the shared folder that nothing else uses; it is deleted when the driver ends, or by `freeing`."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
     atexit.register(_delete, spark, path)
     return path
 
@@ -52,6 +49,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was written to new paths meanwhile."""
+    mark = len(_paths)
+    try:
+        yield
+    finally:
+        for path in _paths[mark:]:
+            _delete(spark, path)
+        del _paths[mark:]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder: it outlives the executors that made it."""
     spark = df.sparkSession
@@ -59,6 +68,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """`name` with so many underscores before it that no column of the frames has that name."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 # --- words and hashes ------------------------------------------------------------------------------------------
 
 

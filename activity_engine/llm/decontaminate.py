@@ -20,7 +20,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ngram_hashes, slices, word_hashes, written
+from .common import ngram_hashes, slices, unused, word_hashes, written
 
 #: Signatures of at most so many values (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_VALUES = 1 << 20
@@ -124,6 +124,12 @@ def contamination(
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that hold no item; rows with a null id stay."""
-    found = contamination(docs, items, id_col, text_col, words=words, percent=percent).select(F.col(id_col).alias("_found")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("_found"), "left_anti")
+    """The rows of `docs`, all columns kept, that hold no item.
+
+    A document without words (null, empty, blank) holds nothing and stays, as do rows with a null id. Rows that repeat
+    an id go together if one of them holds an item. Texts are searched whole. Items without words forbid nothing; no
+    items, no change; an empty table gives no rows. Columns may have any names.
+    """
+    key = unused("found_id", docs)
+    found = contamination(docs, items, id_col, text_col, words=words, percent=percent).select(F.col(id_col).alias(key)).distinct()
+    return docs.join(found, F.col(id_col).cast("long") == F.col(key), "left_anti")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_REGEX, written
+from .common import WORD_REGEX, unused, written
 
 SHARD_WORDS, SHARD_ROWS = 8 << 20, 1 << 20
 
@@ -132,7 +132,13 @@ def mixture(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of `docs` as often as a mix of whole documents takes them; rows that repeat an id share one decision."""
-    m = mixture(docs, id_col, text_col, source_col, **options).groupBy(F.col(id_col).alias("_id")).agg(F.min("copies").alias("_copies"))
-    times = docs.join(m, F.col(id_col).eqNullSafe(F.col("_id"))).filter("_copies > 0")
-    return times.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_id", "_copies")
+    """The rows of `docs`, all columns kept, as often as a mix of whole documents takes them.
+
+    Rows that repeat an id share one decision, as do rows with a null id. Documents without words (null, empty, blank)
+    occur as often as the block in which they begin; a document of any length is taken whole. Ties between blocks are
+    settled by the seed; reruns agree. An empty table gives no rows. Columns may have any names.
+    """
+    key, times = unused("mix_id", docs), unused("mix_times", docs)
+    m = mixture(docs, id_col, text_col, source_col, **options).groupBy(F.col(id_col).alias(key)).agg(F.min("copies").alias(times))
+    taken = docs.join(m, F.col(id_col).cast("long").eqNullSafe(F.col(key))).filter(F.col(times) > 0)
+    return taken.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop(key, times)

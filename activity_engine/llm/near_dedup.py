@@ -29,9 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, merged, mix, shingle_sets, slices, written
+from .common import WORD_REGEX, components, merged, mix, shingle_sets, slices, unused, written
 
 ROWS, BANDS = 7, 44
+#: A text: the least id of the rows that have its shingle set, and the hash of that row's text. Ids alone don't do, as a
+#: repeated id may have several texts.
+NODE = "struct<id: bigint, t: bigint>"
 PARITY = ["x0", "x1", "x2", "x3"]
 
 
@@ -76,13 +79,14 @@ def _signer(words: int, rows: int, bands: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array(n, pa.int64()),
                         pa.array(np.array(sums, np.uint64).view(np.int64)),
                         pa.array(np.array(xors, np.uint64).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
                         *[pa.array(np.array([m[i] for m in maps], np.int64)) for i in range(4)],
                     ],
-                    ["id", "n", "h1", "h2", "keys", *PARITY],
+                    ["id", "t", "n", "h1", "h2", "keys", *PARITY],
                 )
 
     return sign
@@ -111,7 +115,7 @@ def _shingle_rows(words: int):
                 sets = list(shingle_sets(part.column(1), words))
                 owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
                 grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(grams.view(np.int64))], ["id", "g"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(grams.view(np.int64))], ["rep", "g"])
 
     return make
 
@@ -120,7 +124,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     """The (a, b) of `pairs` whose whole shingle sets are alike enough. The hot side, a, is joined last."""
     right = pairs.join(texts.toDF("b", "right"), "b")
     both = right.join(texts.toDF("a", "left"), "a").select("a", "b", "left", "right")
-    return written(both.mapInArrow(_checker(words, percent), "a long, b long"), "links")
+    return written(both.mapInArrow(_checker(words, percent), f"a {NODE}, b {NODE}"), "links")
 
 
 def _rooted(rows: DataFrame, found: DataFrame, column: str) -> DataFrame:
@@ -131,14 +135,16 @@ def _rooted(rows: DataFrame, found: DataFrame, column: str) -> DataFrame:
 
 def _sharing_rare_shingles(texts: DataFrame, facts: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
     """Every pair (a, b) of texts in different components that may be alike enough, by prefix filtering."""
-    grams = written(texts.mapInArrow(_shingle_rows(words), "id long, g long"), "open-shingles")
-    common = grams.groupBy("g").agg(F.count("*").alias("df"))
-    each = Window.partitionBy("id").orderBy("df", "g")  # bounded by a text's length
-    ranked = grams.join(common, "g").withColumn("k", F.row_number().over(each)).filter("df > 1").select("g", F.col("id").alias("rep"), "k")
-    rare = ranked.join(facts, "rep").filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    rare = written(_rooted(rare, found, "rep"), "rare-shingles")
+    grams = written(texts.mapInArrow(_shingle_rows(words), f"rep {NODE}, g long"), "open-shingles")
+    # Tables between the steps: joins of two tables by `g` let AQE split a shingle that very many texts hold.
+    common = written(grams.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1"), "shared-shingles")
+    each = Window.partitionBy("rep").orderBy("df", "g")  # bounded by a text's length
+    # Shingles of one text alone are the rarest: they have the first places.
+    shared = grams.join(common, "g").withColumn("k", F.row_number().over(each)).withColumn("shared", F.count("*").over(Window.partitionBy("rep")))
+    rare = shared.join(facts, "rep").withColumn("k", F.col("k") + F.col("n") - F.col("shared")).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    rare = written(_rooted(rare.select("g", "rep", "k", "n", *PARITY), found, "rep"), "rare-shingles")
     mixed = rare.groupBy("g").agg(F.min("rep_root").alias("x"), F.max("rep_root").alias("y")).filter("x <> y").select("g")
-    rare = rare.join(mixed, "g", "left_semi")
+    rare = written(rare.join(written(mixed, "mixed-shingles"), "g"), "open-rare-shingles")
     left = rare.select("g", F.col("rep").alias("a"), "n", "k", F.col("rep_root").alias("a_root"), *PARITY)
     right = rare.select("g", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("k").alias("l"), F.col("rep_root").alias("b_root"), *[F.col(x).alias(f"y{x[1]}") for x in PARITY])
     # Of the shared rare shingles the first one leaves this much room at most; the overlap must fit in it.
@@ -161,22 +167,17 @@ def _alike(percent: int) -> str:
     return f"100 * least(n, m) >= {percent} * greatest(n, m)"
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS
-) -> DataFrame:
-    """Return (doc id, n_shingles, component_id, kept), one row per input row.
+def near_texts(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """(id, t, n, root) for each row: t is the text's hash, n the size of its shingle set, root the least (id, t) reached.
 
-    Texts link if 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the least id that
-    links reach. Null, empty and blank texts have no shingles and link with nothing; a text of fewer words than a
-    shingle is one shingle. Equal texts link (n_shingles > 0). Rows that repeat an id count as one document. Rows
-    whose id is null link with nothing: component_id is null and kept is true. An empty table gives no rows. Other
-    columns of `docs` are ignored, whatever their names.
+    root is null without shingles or without an id.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(base.mapInArrow(_signer(words, rows, bands), "id long, n long, h1 long, h2 long, keys array<long>, x0 long, x1 long, x2 long, x3 long"), "signatures")
+    base = base.select("id", "text", F.xxhash64("text").alias("t"))
+    signed = written(base.mapInArrow(_signer(words, rows, bands), "id long, t long, n long, h1 long, h2 long, keys array<long>, x0 long, x1 long, x2 long, x3 long"), "signatures")
 
     usable = signed.filter("n > 0 AND id IS NOT NULL")
-    classes = usable.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"), *[F.first(x).alias(x) for x in PARITY])
+    classes = usable.groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "t")).alias("rep"), F.first("keys").alias("keys"), *[F.first(x).alias(x) for x in PARITY])
     keyed = classes.select("rep", "n", F.posexplode("keys").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "rep", "n")
     centres = keyed.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1")
     members = written(keyed.join(centres, "bucket").select("bucket", "rep", "n", F.col("c.rep").alias("c"), F.col("c.n").alias("m"), "size"), "buckets")
@@ -185,8 +186,10 @@ def near_duplicates(
     stars = members.filter("rep <> c").filter(_alike(percent)).select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct()
     both = stars.join(_named(facts, "b", "m", "y"), "b").join(_named(facts, "a", "n", "x"), "a")
     stars = written(both.filter(_near_maps(percent)).select("a", "b"), "stars")
-    used = members.filter("size > 2").select(F.col("rep").alias("id")).union(stars.select("a")).union(stars.select("b")).distinct()
-    texts = written(base.filter("id IS NOT NULL").join(used, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    used = members.filter("size > 2").select("rep").union(stars.select("a")).union(stars.select("b")).distinct()
+    # Rows that repeat id and text are one text; joined by id, so that one shuffle of the texts serves both steps.
+    found_in = base.filter("id IS NOT NULL").join(used.select(F.col("rep.id").alias("id"), F.col("rep.t").alias("u")), "id").filter("t = u")
+    texts = written(found_in.groupBy("id", "t").agg(F.first("text").alias("text")).select(F.struct("id", "t").alias("rep"), "text"), "texts")
 
     first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     found = written(components(_confirmed(first, texts, words, percent)), "components")
@@ -195,22 +198,44 @@ def near_duplicates(
 
     rooted = _rooted(members.filter("size > 2").select("bucket", "rep"), found, "rep")
     mixed = rooted.groupBy("bucket").agg(F.min("rep_root").alias("x"), F.max("rep_root").alias("y")).filter("x <> y").select("bucket")
-    unsure = rooted.join(mixed, "bucket", "left_semi").select(F.col("rep").alias("id")).distinct()
-    more = _sharing_rare_shingles(texts.join(unsure, "id", "left_semi"), facts, found, words, percent)
+    unsure = rooted.join(mixed, "bucket", "left_semi").select("rep").distinct()
+    more = _sharing_rare_shingles(texts.join(unsure, "rep", "left_semi"), facts, found, words, percent)
     found = merged(found, _confirmed(more, texts, words, percent))
 
     rep_root = classes.select("n", "h1", "h2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("root", "rep").alias("root"))
-    out = signed.select("id", "n", "h1", "h2").join(rep_root, ["n", "h1", "h2"], "left").select(
-        "id", "n", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id")
-    )
+    return signed.select("id", "t", "n", "h1", "h2").join(rep_root, ["n", "h1", "h2"], "left").select("id", "t", "n", F.when(F.col("id").isNotNull(), F.col("root")).alias("root"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS
+) -> DataFrame:
+    """Return (doc id, n_shingles, component_id, kept), one row per input row.
+
+    Texts link if 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the least id that
+    links reach. Null, empty and blank texts have no shingles and link with nothing; a text of fewer words than a
+    shingle is one shingle. Equal texts link (n_shingles > 0). Rows that repeat an id are linked by their texts alone:
+    each of them has the component of its text. Rows whose id is null link with nothing: component_id is null and kept
+    is true. An empty table gives no rows. Other columns of `docs` are ignored, whatever their names.
+    """
+    near = near_texts(docs, id_col, text_col, words, percent, rows, bands)
+    out = near.select("id", "n", F.coalesce("root.id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the document with the least id.
+    """The rows of `docs`, all columns kept, without near-duplicates: of each component one row of the least id.
 
-    Rows that repeat an id are one document, of which one row stays. Rows with a null id all stay.
+    Rows of one id count by their texts: near ones are duplicates of each other (the one with the least hash of its text
+    stays, one row of those that are equal), others are documents of their own. Documents without words (null, empty,
+    blank) are nobody's duplicate and stay, as do rows with a null id. Texts are compared whole. An empty table gives
+    no rows. Columns may have any names.
     """
-    near = near_duplicates(docs, id_col, text_col, words, percent).filter("kept").select(F.col(id_col).alias("_kept")).filter("_kept IS NOT NULL").distinct()
-    named = docs.filter(F.col(id_col).isNotNull())
-    return named.join(near, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col]).union(docs.filter(F.col(id_col).isNull()))
+    key, hashed = unused("near_id", docs), unused("near_text", docs)
+    near = near_texts(docs, id_col, text_col, words, percent).filter("root = struct(id, t)").select(F.col("id").alias(key), F.col("t").alias(hashed)).distinct()
+    t = unused("text_hash", docs)
+    named = docs.withColumn(t, F.xxhash64(F.col(text_col).cast("string")))
+    alone = F.col(id_col).isNull() | ~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(WORD_REGEX)
+    # The hash is a condition beside the key, so that rows are dealt by id and need no second shuffle for the last step.
+    mine = (F.col(id_col).cast("long") == F.col(key)) & F.col(t).between(F.col(hashed), F.col(hashed))
+    kept = named.filter(~alone).join(near, mine, "left_semi").dropDuplicates([id_col, t])
+    return kept.union(named.filter(alone)).drop(t)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import new_path
 from .decontaminate import contamination
 from .line_dedup import line_dedup
 from .mixing import mixture
 from .near_dedup import near_duplicates
 from .oracles import SQL as SQL
-from .shard import shard, shard_of
+from .shard import shard, shard_of, write_shards
 from .simhash import edited_fingerprints
 from .substring_dedup import substring_dedup
 from .tokens import token_counts
@@ -28,10 +28,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    out = write_shards(shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 8), new_path(spark, "shards"))
     text = F.coalesce("text", F.lit(""))
     grown = shard_of(F.col("doc_id").cast("long"), 9)
-    return out.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"), F.col("_shard").alias("shard"), "slot", grown.alias("grown_shard"))
+    return out.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -1,19 +1,21 @@
-"""Repeated word passages across documents, by minimizer candidates and groups by the hash of the wanted depth.
+"""Repeated word passages across documents, by prefix-partitioned suffix trees over a sparse set of suffixes.
 
-This takes the place of a prefix-partitioned suffix tree, of which only the nodes at depth `window` (50 words) matter for
-what is removed. No tree is built, and maximal repeats aren't reported. In the names below a "prefix" is a minimizer
-and a "node" a group:
+Only nodes at depth `window` (50 words) decide what goes, so not every suffix needs a place in a tree. Each window of 50
+words is hung on one suffix that begins inside it: the one whose first 16 words have the least hash (its minimizer).
+Neighbouring windows share it, so about one suffix in 18 is kept; equal windows hang on equal suffixes.
 
-1. Minimizers. Each suffix's first 50 words have one least hash of the 16-word runs anywhere in them; a run of
-   neighbouring suffixes shares it, so about 1 in 18 suffixes sends a row. Those that one document alone holds are cut.
-2. Groups. The suffixes with the minimizers that are left are grouped by the hash of all 50 words. Each hash that
-   several documents hold is a repeated passage; its least document is found by pre-aggregation, so a passage that a
+1. Prefixes. Suffixes are counted by their 16-word prefix. Those that one text alone holds can't repeat and are cut.
+2. Groups. A prefix that is left is a group, as long as its windows fit a task's memory (GROUP_WORDS). The windows of a
+   group that is larger are split further by a longer prefix, of all 50 words.
+3. Subtrees. A group's windows are sorted as suffixes by prefix doubling over word numbers (exact, no hashes): names at
+   depth 1, 2, 4, .. 32, 50. Windows with one name at depth 50 are the leaves of one internal node of that depth. A group
+   of the longer prefix is itself such a node; its least document is found by pre-aggregation, so that a passage that a
    third of all documents hold is never gathered in one place.
-3. Suffixes in such a group whose document isn't the group's least are the copies; their words are removed.
+4. Windows under a node whose least document is another, smaller one are copies. Neighbouring copies of a document join
+   to its repeats (`repeats`), which can't be extended on either side; their words are removed.
 
-Suffixes are made anew from the texts where they are needed, as they take more room than the texts. Shared short
-prefixes and the ids of changed documents are broadcast while they number BROADCAST_ROWS at most (8 MB), and joined
-by a shuffle beyond that.
+Documents with equal texts fall together first: one of them stands for all, the others go whole. There is one plan at
+every size: nothing is broadcast, and no step depends on how much there is, but for the split of large groups.
 """
 
 from __future__ import annotations
@@ -26,14 +28,16 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import ngram_hashes, slices, text_bytes, word_hashes, written
+from .common import ngram_hashes, slices, text_bytes, word_hashes, word_spans, written
 
-PREFIX, BROADCAST_ROWS = 16, 1 << 20
+PREFIX, GROUP_WORDS, CHUNK_BYTES = 16, 1 << 18, 4 << 20
+RUNS = "id long, t long, place int, n int"
 
 
 def least_prefixes(words: np.ndarray, window: int, prefix: int) -> np.ndarray:
-    """For each suffix start, the least hash of the `prefix`-word runs in the window that begins there."""
+    """For each window, the least hash of the `prefix`-word runs inside it."""
     best = ngram_hashes(words, prefix)
     span, reach = window - prefix + 1, 1
     while reach < span:
@@ -43,68 +47,176 @@ def least_prefixes(words: np.ndarray, window: int, prefix: int) -> np.ndarray:
     return best
 
 
-def _suffixes(texts: pa.Array, window: int, prefix: int):
-    """(start, row, place in the text, short prefix, words) of each whole window of each text."""
+def _runs(texts: pa.Array, window: int, prefix: int):
+    """(row, place, n, key) of each run of neighbouring windows with one key, and the words' hashes and first places."""
     words, first = word_hashes(texts, False)
     n = np.maximum(np.diff(first) - window + 1, 0)
     row = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    start = first[:-1][row] + place
-    keys = least_prefixes(words, window, prefix)[start] if len(start) else np.zeros(0, np.uint64)
-    return start, row, place, keys.view(np.int64), words
+    keys = least_prefixes(words, window, prefix)[first[:-1][row] + place] if len(row) else np.zeros(0, np.uint64)
+    new = np.ones(len(row), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    return row[at], place[at], np.diff(at, append=len(row)), keys[at].view(np.int64), words, first
 
 
-def _short(window: int, prefix: int):
+def _prefixes(window: int, prefix: int):
+    """(t, key, n) of each run of windows of each text."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                _, row, _, keys, _ = _suffixes(part.column(1), window, prefix)
-                new = np.ones(len(row), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[new])), pa.array(keys[new])], ["id", "key"])
+            for part in slices(batch, 0):
+                row, _, n, keys, _, _ = _runs(part.column(0), window, prefix)
+                yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(row)), pa.array(keys), pa.array(n.astype(np.int64))], ["t", "key", "n"])
 
     return make
 
 
-def _long(window: int, prefix: int, keys=None):
-    """(node, id, place) of suffixes whose short prefix is in the broadcast `keys`, or in the row's own third column."""
+def _wanted(part: pa.RecordBatch, window: int, prefix: int):
+    """As `_runs`, of the runs whose key is among the row's own `keys` (sorted structs of key and large)."""
+    row, place, n, keys, words, first = _runs(part.column("text"), window, prefix)
+    bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
+    lists = part.column("keys")
+    ends = lists.offsets.to_numpy()
+    known, large = (lists.values.field(f).to_numpy(zero_copy_only=False) for f in ("key", "large"))
+    hit, hot = np.zeros(len(row), bool), np.zeros(len(row), bool)
+    for i in range(part.num_rows):
+        a, b = bounds[i], bounds[i + 1]
+        mine, flags = known[ends[i] : ends[i + 1]], large[ends[i] : ends[i + 1]]
+        if a < b and len(mine):
+            at = np.minimum(np.searchsorted(mine, keys[a:b]), len(mine) - 1)
+            hit[a:b] = mine[at] == keys[a:b]
+            hot[a:b] = flags[at]
+    return row, place, n, keys, words, first, hit, hot
+
+
+def _grouped(window: int, prefix: int):
+    """The runs of groups that fit memory, each with its words: what a subtree is built of."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if keys is None else keys.value
         for batch in batches:
-            for part in slices(batch):
-                start, row, place, short, words = _suffixes(part.column(1), window, prefix)
-                if known is not None:
-                    hit = np.zeros(len(short), bool)
-                    if len(known):
-                        hit = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
-                else:
-                    hit = np.zeros(len(row), bool)
-                    for i, (a, b) in enumerate(zip(*np.searchsorted(row, [np.arange(len(part)), np.arange(1, len(part) + 1)]), strict=True)):
-                        if a < b:
-                            hit[a:b] = np.isin(short[a:b], part.column(2)[i].values.to_numpy(zero_copy_only=False))
-                whole = ngram_hashes(words, window).view(np.int64)[start[hit]] if hit.any() else np.zeros(0, np.int64)
+            for part in slices(batch, 2):
+                row, place, n, keys, _, first, hit, hot = _wanted(part, window, prefix)
+                mine = np.flatnonzero(hit & ~hot)
+                raw, at = text_bytes(part.column("text"))
+                starts, stops, _ = word_spans(raw, at)
+                begin = first[:-1][row[mine]] + place[mine]
+                data = raw.tobytes()
+                texts = [data[a:b].decode() for a, b in zip(starts[begin].tolist(), stops[begin + n[mine] + window - 2].tolist(), strict=True)] if len(mine) else []
+                rows = pa.array(row[mine])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(whole), part.column(0).take(pa.array(row[hit])), pa.array(place[hit].astype(np.int32))], ["node", "id", "place"]
-                )
+                    [part.column("id").take(rows), part.column("t").take(rows), pa.array(place[mine].astype(np.int32)), pa.array(n[mine].astype(np.int32)), pa.array(keys[mine]), pa.array(texts, pa.string())],
+                    ["id", "t", "place", "n", "key", "words"],
+                )
+
+    return make
+
+
+def _single(window: int, prefix: int):
+    """The windows of groups that don't fit memory, each with its prefix of all words as two hashes."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                row, place, n, _, words, first, hit, hot = _wanted(part, window, prefix)
+                mine = np.flatnonzero(hit & hot)
+                inside = np.arange(n[mine].sum()) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
+                row, place = np.repeat(row[mine], n[mine]), np.repeat(place[mine], n[mine]) + inside
+                start = first[:-1][row] + place
+                k1, k2 = (ngram_hashes(x, window)[start].view(np.int64) if len(start) else np.zeros(0, np.int64) for x in (words, words ^ np.uint64(0x5851F42D4C957F2D)))
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(rows), part.column("t").take(rows), pa.array(place.astype(np.int32)), pa.array(k1), pa.array(k2)], ["id", "t", "place", "k1", "k2"])
 
     return make
 
 
+def word_numbers(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A number for each word: equal words, and only these, have equal numbers."""
+    ends = np.concatenate(([0], np.cumsum(stops - starts)))
+    inside = np.zeros(len(raw) + 1, np.int8)
+    inside[starts] += 1
+    np.add.at(inside, stops, -1)
+    packed = raw[np.cumsum(inside[:-1]).astype(bool)]
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(packed.tobytes())])
+    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def names_at(numbers: np.ndarray, depth: int) -> np.ndarray:
+    """Prefix doubling: the rank of the `depth` words that begin at each place; equal runs, and only these, have one rank."""
+    names, reach = numbers, 1
+    while reach < depth:
+        step = min(reach, depth - reach)
+        left, right = names[: len(names) - step], names[step:]
+        if not len(left):
+            return left
+        names = np.unique(left * (int(names.max()) + 1) + right, return_inverse=True)[1].astype(np.int64)
+        reach += step
+    return names
+
+
+def copies_in(rows: pa.Table, window: int) -> pa.Table:
+    """The (id, t, place, n) of runs of windows of these groups whose node has a smaller document."""
+    raw, at = text_bytes(rows.column("words").combine_chunks())
+    starts, stops, first = word_spans(raw, at)
+    n, ids = rows.column("n").to_numpy().astype(np.int64), rows.column("id").to_numpy()
+    owner = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    node = names_at(word_numbers(raw, starts, stops), window)[first[:-1][owner] + inside]
+    least = np.full(int(node.max()) + 1 if len(node) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, node, ids[owner])
+    copy = ids[owner] > least[node]
+    begins, ends = copy.copy(), copy.copy()
+    same = owner[1:] == owner[:-1]
+    begins[1:] &= ~(copy[:-1] & same)
+    ends[:-1] &= ~(copy[1:] & same)
+    a, b = np.flatnonzero(begins), np.flatnonzero(ends)
+    who = pa.array(owner[a])
+    place = rows.column("place").to_numpy()[owner[a]] + inside[a]
+    return pa.table([rows.column("id").take(who), rows.column("t").take(who), pa.array(place.astype(np.int32)), pa.array((b - a + 1).astype(np.int32))], ["id", "t", "place", "n"])
+
+
+def _subtrees(window: int):
+    """Builds subtrees of rows that are sorted by key: as many whole groups at a time as CHUNK_BYTES hold."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def complete(last: bool) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            keys = table.column("key").to_numpy()
+            stop = len(keys) if last else int(np.searchsorted(keys == keys[-1], True))
+            if stop:
+                yield from copies_in(table.slice(0, stop), window).to_batches()
+            held[:] = table.slice(stop).to_batches() if stop < len(keys) else []
+
+        for batch in batches:
+            for part in slices(batch, 5, CHUNK_BYTES):
+                held.append(part)
+                if sum(x.nbytes for x in held) >= CHUNK_BYTES:
+                    yield from complete(False)
+        if held:
+            yield from complete(True)
+
+    return build
+
+
 def _remover(window: int, with_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 raw, at = text_bytes(part.column(1))
+                whole = part.column(3).to_pylist()
                 n, removed, kept = [], [], []
-                for i, places in enumerate(part.column(2)):
+                for i, runs in enumerate(part.column(2)):
                     words = raw[at[i] : at[i + 1]].tobytes().split()
                     n.append(len(words))
-                    if places.is_valid and len(places):
+                    if whole[i] and len(words) >= window:
+                        words = []
+                    elif runs.is_valid and len(runs):
+                        place, length = (runs.values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("place", "n"))
                         cover = np.zeros(len(words) + 1, np.int64)
-                        starts = places.values.to_numpy(zero_copy_only=False)
-                        np.add.at(cover, starts, 1)
-                        np.add.at(cover, starts + window, -1)
+                        np.add.at(cover, place, 1)
+                        np.add.at(cover, place + length + window - 1, -1)
                         gone = np.cumsum(cover[:-1]) > 0
                         words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     removed.append(n[-1] - len(words))
@@ -117,40 +229,65 @@ def _remover(window: int, with_text: bool):
     return remove
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = PREFIX, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Return (id, place): windows whose words also begin somewhere in a document with a smaller id."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
-    short = base.mapInArrow(_short(window, prefix), "id long, key long")
-    shared = written(short.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("key"), "shared-prefixes")
-    if shared.count() <= broadcast_rows:
-        keys = spark.sparkContext.broadcast(np.sort(shared.toPandas()["key"].to_numpy(np.int64)))
-        suffixes = base.mapInArrow(_long(window, prefix, keys), "node long, id long, place int")
-    else:
-        wanted = short.join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
-        suffixes = base.join(wanted, "id").select("id", "text", "keys").mapInArrow(_long(window, prefix), "node long, id long, place int")
-    nodes = suffixes.groupBy("node").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("node", "x")
-    return suffixes.join(nodes, "node").filter("id > x").select("id", "place")
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, t): t is the text's hash."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+
+
+def _copies(base: DataFrame, window: int, prefix: int, group_words: int) -> DataFrame:
+    """(id, t, runs, whole) of the texts that have copies: runs of windows (place, n), or the whole text."""
+    named = base.filter("id IS NOT NULL AND text IS NOT NULL")
+    # Of equal texts (128 bits) the least id stands for all; the others are copies as a whole.
+    light = named.select("id", "t", F.xxhash64(F.lit(1), "text").alias("u"))
+    stands = written(light.groupBy("t", "u").agg(F.min("id").alias("stands"), F.count("*").alias("rows")), "texts")
+    whole = light.join(stands.filter("rows > 1"), ["t", "u"]).filter("id > stands").select("id", "t").distinct()
+
+    short = named.select("text", "t").mapInArrow(_prefixes(window, prefix), "t long, key long, n long")
+    groups = short.groupBy("key").agg(F.min("t").alias("x"), F.max("t").alias("y"), F.sum("n").alias("n")).filter("x <> y")
+    groups = written(groups.select("key", (F.col("n") > group_words).alias("large")), "prefixes")
+    wanted = short.join(groups, "key").groupBy("t").agg(F.sort_array(F.collect_set(F.struct("key", "large"))).alias("keys"))
+    wanted = written(stands.join(wanted, "t").select(F.col("stands").alias("id"), F.col("t").alias("v"), "keys"), "wanted")
+    texts = named.join(wanted.hint("merge"), "id").filter("t = v").select("id", "t", "text", "keys")
+
+    trees = texts.mapInArrow(_grouped(window, prefix), f"{RUNS}, key long, words string")
+    found = trees.repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(window), RUNS)
+    single = texts.mapInArrow(_single(window, prefix), "id long, t long, place int, k1 long, k2 long")
+    nodes = written(single.groupBy("k1", "k2").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("k1", "k2", "x"), "nodes")
+    found = found.union(single.join(nodes, ["k1", "k2"]).filter("id > x").select("id", "t", "place", F.lit(1).alias("n")))
+    runs = found.groupBy("id", "t").agg(F.sort_array(F.collect_set(F.struct("place", "n"))).alias("runs"))
+    none = F.lit(None).cast("array<struct<place: int, n: int>>")
+    return written(runs.withColumn("whole", F.lit(False)).union(whole.select("id", "t", none, F.lit(True))), "copies")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = PREFIX, group_words: int = GROUP_WORDS) -> DataFrame:
+    """Return (doc id, text_hash, place, n_words): the repeats of `window` words or more in documents that aren't the first to have them.
+
+    A repeat is a run of words that windows cover which also begin in a document with a smaller id, and that can't be
+    extended. Documents whose whole text stands under a smaller id have place 0 and no n_words.
+    """
+    got = _copies(_base(docs, id_col, text_col), window, prefix, group_words)
+    one = got.filter("NOT whole").select("id", "t", F.explode("runs").alias("r")).select("id", "t", F.col("r.place").alias("a"), (F.col("r.place") + F.col("r.n") + window - 1).alias("b"))
+    order = Window.partitionBy("id", "t").orderBy("a", "b")
+    before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # Windows that follow each other join; words that only touch do not.
+    numbered = one.withColumn("new", (F.coalesce(before, F.lit(-1)) - window + 1 < F.col("a")).cast("int")).withColumn("k", F.sum("new").over(order))
+    joined = numbered.groupBy("id", "t", "k").agg(F.min("a").alias("place"), (F.max("b") - F.min("a")).alias("n_words")).drop("k")
+    out = joined.union(got.filter("whole").select("id", "t", F.lit(0), F.lit(None).cast("int")))
+    return out.select(F.col("id").alias(id_col), F.col("t").alias("text_hash"), "place", "n_words")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = PREFIX, with_text: bool = True, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = PREFIX, with_text: bool = True, group_words: int = GROUP_WORDS) -> DataFrame:
     """Return (doc id, n_words, n_removed, kept_sha256, kept_text), one row per input row; kept_text is null unless wanted.
 
     A word is removed if a window of `window` consecutive words of its document covers it and the window's words also
     begin in a document with a smaller id; all windows are judged on the input. Kept words are joined by one space.
     A null or blank text has no words. A row with a null id removes nothing and loses nothing. Rows that repeat an id
-    are one document for the purpose of "smaller id"; a word place found in one of them is removed in each. Texts
-    shorter than a window never change. Empty tables give no rows; other columns are ignored.
+    are one document for the purpose of "smaller id", each with its own text. Texts shorter than a window never change;
+    texts of any length are read whole. Empty tables give no rows; other columns are ignored, whatever their names.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    copies = repeated_windows(docs, id_col, text_col, window, prefix, broadcast_rows).groupBy("id").agg(F.collect_set("place").alias("places"))
-    copies = written(copies, "copies")
-    make = lambda df: df.select("id", "text", "places").mapInArrow(_remover(window, with_text), "id long, n long, removed long, kept string, sha string")
-    if copies.count() <= broadcast_rows:  # texts that don't change needn't be shuffled
-        ids = F.broadcast(copies.select("id"))
-        changed = base.join(ids, "id", "left_semi").join(copies, "id")
-        same = base.join(ids, "id", "left_anti").withColumn("places", F.lit(None).cast("array<int>"))
-        out = make(changed).union(make(same))
-    else:
-        out = make(base.join(copies, "id", "left"))
+    base = _base(docs, id_col, text_col)
+    copies = _copies(base, window, prefix, group_words).select("id", F.col("t").alias("v"), "runs", "whole")
+    # Copies grow with the texts: the same join at every size, never a broadcast.
+    both = base.join(copies.hint("merge"), (F.col("t") == F.col("v")) & (base["id"] == copies["id"]), "left").select(base["id"], "text", "runs", "whole")
+    out = both.mapInArrow(_remover(window, with_text), "id long, n long, removed long, kept string, sha string")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.col("removed").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.col("kept").alias("kept_text"))

@@ -6,10 +6,11 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from activity_engine.llm.common import components, merged, written
+from activity_engine.llm.common import components, merged, word_spans, written
 from activity_engine.llm.decontaminate import contamination, signature_length
 from activity_engine.llm.line_dedup import line_dedup
 from activity_engine.llm.mixing import mixture, sainte_lague
@@ -17,7 +18,7 @@ from activity_engine.llm.near_dedup import near_duplicates
 from activity_engine.llm.queries import QUERIES
 from activity_engine.llm.shard import shard, shard_of, write_shards
 from activity_engine.llm.simhash import edited_fingerprints, near_fingerprints
-from activity_engine.llm.substring_dedup import substring_dedup
+from activity_engine.llm.substring_dedup import names_at, repeats, substring_dedup, word_numbers
 from activity_engine.llm.tokens import safe_pieces, token_counts
 from activity_engine.llm.toxicity import matches, lexicon, toxicity
 from activity_engine.llm.warc import read_warc, write_warc
@@ -143,7 +144,7 @@ def test_shard(spark, odd, with_nulls, empty, docs, tmp_path):
         assert sorted((r["doc_id"] or -1, r["text"] or "") for r in rows) == sorted((r["doc_id"] or -1, r["text"] or "") for r in df.collect())
         slots = defaultdict(list)
         for r in rows:
-            slots[r["_shard"]].append(r["slot"])
+            slots[r["shard"]].append(r["slot"])
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
         assert sorted(map(str, rows)) == sorted(map(str, shard(df, 4, bucket_bytes=5000).collect()))
     assert shard(empty, 4).collect() == []
@@ -230,13 +231,43 @@ def brute_substrings(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window, prefix, limit", [(8, 8, 1 << 20), (10, 3, 0), (50, 16, 1 << 20), (50, 16, 0)])
-def test_substring_dedup(odd, docs, window, prefix, limit):
+@pytest.mark.parametrize("window, prefix, group", [(8, 8, 1 << 18), (10, 3, 20), (50, 16, 1 << 18), (50, 16, 40), (50, 16, 0)])
+def test_substring_dedup(odd, docs, window, prefix, group, monkeypatch):
+    monkeypatch.setattr("activity_engine.llm.substring_dedup.CHUNK_BYTES", 1 << 14)
     for df in (odd, docs):
-        got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup(df, window=window, prefix=prefix, broadcast_rows=limit).collect()}
+        got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup(df, window=window, prefix=prefix, group_words=group).collect()}
         assert got == brute_substrings(texts_of(df), window)
 
 
+def test_names_are_exact():
+    rng = random.Random(3)
+    words_ = [rng.choice("ab") for _ in range(300)]
+    raw = np.frombuffer(" ".join(words_).encode(), np.uint8)
+    starts, stops, _ = word_spans(raw, np.array([0, len(raw)]))
+    numbers = word_numbers(raw, starts, stops)
+    for depth in (1, 2, 3, 7, 50):
+        names = names_at(numbers, depth)
+        runs = [tuple(words_[i : i + depth]) for i in range(300 - depth + 1)]
+        assert len(set(zip(runs, names.tolist(), strict=True))) == len(set(runs)) == len(set(names.tolist()))
+
+
+@pytest.mark.parametrize("group", [1 << 18, 0])
+def test_repeats_are_maximal(spark, group):
+    a, b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
+    rows = [(1, " ".join(a + ["x"] + b)), (2, " ".join(["p", "q"] + a[5:20] + ["r"] + b[:12])), (3, " ".join(a + ["x"] + b)), (4, " ".join(a[:9] + ["s"] + a[:12] * 2))]
+    got = repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=10, prefix=4, group_words=group).collect()
+    assert sorted((r["doc_id"], r["place"], r["n_words"]) for r in got if r["n_words"]) == [(2, 2, 15), (2, 18, 12), (4, 10, 12), (4, 22, 12)]
+    assert [(r["doc_id"], r["place"]) for r in got if r["n_words"] is None] == [(3, 0)]
+
+
+def test_substring_dedup_of_repeated_ids(spark):
+    """Rows of one id lose what stands under a smaller id, each in its own text."""
+    run = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, run), (2, run + " tail"), (2, "head head head " + run), (2, "no copy at all"), (2, run + " tail")]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=10, prefix=4).collect()
+    assert sorted((r["doc_id"], r["kept_text"]) for r in got) == [(1, run), (2, "head head head"), (2, "no copy at all"), (2, "tail"), (2, "tail")]
+
+
 def test_substring_dedup_edges(with_nulls, empty):
     assert substring_dedup(empty).collect() == []
     rows = substring_dedup(with_nulls).collect()
