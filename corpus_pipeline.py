@@ -36,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard and their place in the shard's random order."""
-    return shard(docs, SHARDS).withColumnRenamed("_shard", "shard")
+    return shard(docs, SHARDS)
 
 
 STAGES = [
