@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import ngram_hashes, slices, unused, word_hashes, written
 
-#: Signatures of at most so many values (8 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_VALUES = 1 << 20
+#: Signature values (8 bytes each) that are broadcast at once; a benchmark with more of them is searched in blocks.
+BLOCK_VALUES = 1 << 20
 
 
 def signature_length(size: int, threshold: float, miss: float = 1e-9) -> int:
@@ -50,10 +50,10 @@ def _item_shingles(words: int):
 
 
 def _doc_shingles(lengths: list[int], wanted):
-    """(id, hash) of the shingles of each text whose hash is in the broadcast array `wanted`, or of all."""
+    """(id, hash) of the shingles of each text whose hash is in the broadcast array `wanted` (not empty, sorted)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = None if wanted is None else wanted.value
+        values = wanted.value
         for batch in batches:
             for part in slices(batch):
                 hashed, first = word_hashes(part.column(1), True)
@@ -61,9 +61,7 @@ def _doc_shingles(lengths: list[int], wanted):
                 for k in lengths:
                     grams = ngram_hashes(hashed, k).view(np.int64)
                     hit = owner[: len(grams)] == owner[k - 1 :]
-                    if values is not None:
-                        at = np.minimum(np.searchsorted(values, grams), len(values) - 1)
-                        hit &= values[at] == grams
+                    hit &= values[np.minimum(np.searchsorted(values, grams), len(values) - 1)] == grams
                     rows = np.flatnonzero(hit)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[rows])), pa.array(grams[rows])], ["id", "hash"])
 
@@ -87,14 +85,15 @@ def _verifier(words: int):
 
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    words: int = 5, percent: int = 80, broadcast_values: int = BROADCAST_VALUES,
+    words: int = 5, percent: int = 80, block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
     """Return (doc id, item id, n_shingles, n_shared) where 100 * n_shared >= percent * n_shingles.
 
     Shingles are of `words` lower-cased (A-Z) words, an item's distinct ones; an item of fewer words is one shingle of
     all its words. Null, empty and blank items match nothing, nor do such texts. Rows with a null id are left out.
-    Items with equal texts are all reported. A document row that is repeated is reported once for each item. Empty
-    tables give no rows. Other columns are ignored.
+    Items with equal texts are all reported. A document row that is repeated is reported once for each item; rows that
+    repeat an id with other texts are searched each. Texts of any length are searched whole. Empty tables give no rows.
+    Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
@@ -110,15 +109,17 @@ def contamination(
         take = F.when(bound == s, F.lit(signature_length(s, percent / 100))).otherwise(take)
     signed = written(sets.select("item", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), take)).alias("hash")), "item-signatures")
 
-    n_values = signed.count()
-    wanted = None
-    if n_values == 0:
-        lengths = []
-    elif n_values <= broadcast_values:
-        wanted = spark.sparkContext.broadcast(np.sort(signed.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64)))
-    hits = base.mapInArrow(_doc_shingles(lengths, wanted), "id long, hash long").distinct()
-    candidates = hits.join(signed, "hash").select("id", "item").distinct()
-    both = candidates.join(base, "id").join(sets, "item").select("id", "item", "k", "hashes", "text")
+    # Each block of values is a scan of the documents; nothing but documents' hits is shuffled, however many blocks.
+    blocks = max(1, -(-signed.count() // block_values))
+    hits = docs.sparkSession.createDataFrame([], "id long, hash long")
+    for block in range(blocks if lengths else 0):
+        part = signed.filter(F.pmod("hash", F.lit(blocks)) == block).select("hash").distinct()
+        values = np.sort(part.toPandas()["hash"].to_numpy(np.int64))
+        if len(values):
+            hits = hits.union(base.mapInArrow(_doc_shingles(lengths, spark.sparkContext.broadcast(values)), "id long, hash long"))
+    candidates = hits.distinct().join(signed, "hash").select("id", "item").distinct()
+    # Items are short, so they go to the documents: a common item's documents don't meet in one place with their texts.
+    both = candidates.join(sets, "item").join(base, "id").select("id", "item", "k", "hashes", "text")
     checked = both.mapInArrow(_verifier(words), "id long, item long, n long, shared long").filter(f"100 * shared >= {percent} * n")
     return checked.distinct().select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("n").alias("n_shingles"), F.col("shared").alias("n_shared"))
 

@@ -1,11 +1,17 @@
 """Line deduplication by a suffix array over line-ID sequences, built by distributed prefix doubling. Native only.
 
-Every line that isn't blank gets a 128-bit ID; a document is a sequence of IDs. Round k names the 2**k lines that begin
-at each place by the pair of names of its two halves; places whose name is unique can't begin a longer repeat and drop
-out, so rounds shrink to what repeats. After the rounds a name at depth `min_lines` is an interval of the suffix array
-whose longest common prefix is at least `min_lines` lines. (Deeper intervals lie inside these; they don't change what
-is deleted, so doubling stops there.) In each interval the first place in (id, place) order stays and lines under the
-others are deleted; neighbouring places join to maximal runs.
+Every line that isn't blank gets a 128-bit ID; a document is a sequence of IDs, and its suffixes begin at its lines.
+
+1. Prefix doubling. Round k names the 2**k lines that begin at each place by the names of its two halves. A place whose
+   name is unique can't begin a longer repeat and drops out; rounds go on until no name occurs twice.
+2. Intervals. Places with one name are an interval of the suffix array whose longest common prefix is 2**k or more. The
+   longest common prefix of each place with any other is found from the deepest names down: a place moves on by 2**k
+   lines if another place of its interval moves on with it. Of those that move, one stays behind for the others to meet.
+3. Runs. A place whose left neighbour's prefix doesn't reach as far begins a maximal repeated run (`line_runs`).
+4. In each interval of depth `min_lines` the first place in (id, place) order stays; lines under the others go.
+
+Documents with equal texts fall together first: one stands for all, the others are copies as a whole. Names that occur
+again are written before they are joined: AQE can then split a line that very many documents hold.
 """
 
 from __future__ import annotations
@@ -16,68 +22,151 @@ from pyspark.sql import functions as F
 from .common import written
 
 _SOLID = r"[^\x20\x09-\x0D]"
+_PLACE = ["id", "h", "place"]
 
 
 def _lines(text: str):
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n")
 
 
-def _repeated(places: DataFrame) -> DataFrame:
-    """Only the places whose name occurs more than once; counts are pre-aggregated before the shuffle."""
-    again = places.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-    return places.join(again, ["a", "b"])
+def _again(places: DataFrame, key: tuple[str, ...] = ("a", "b"), at: tuple[str, ...] = tuple(_PLACE)) -> DataFrame:
+    """The names that occur at two places or more; rows are pre-aggregated before the shuffle."""
+    ends = places.groupBy(*key).agg(F.min(F.struct(*at)).alias("x"), F.max(F.struct(*at)).alias("y"))
+    return written(ends.filter("x <> y").select(*key), "line-names")
 
 
 def _longer(left: DataFrame, right: DataFrame, step: int) -> DataFrame:
     """Name the lines of `left` at each place together with those of `right` that begin `step` lines later."""
     follow = right.select("id", "h", (F.col("place") - step).alias("place"), F.col("a").alias("c"), F.col("b").alias("d"))
-    both = left.join(follow, ["id", "h", "place"])
-    return both.select("id", "h", "place", F.xxhash64("a", "b", "c", "d").alias("a"), F.xxhash64("d", "c", "b", "a", F.lit(1)).alias("b"))
+    both = left.join(follow, _PLACE)
+    return both.select(*_PLACE, F.xxhash64("a", "b", "c", "d").alias("a"), F.xxhash64("d", "c", "b", "a", F.lit(1)).alias("b"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
-    """Return (id, h, line): the lines, counted from 0, in runs that also begin at an earlier place; h is the text's hash."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, h, u): h and u are hashes of the text."""
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return base.withColumns({"h": F.xxhash64("text"), "u": F.xxhash64(F.lit(1), "text")})
+
+
+def _repeated_lines(base: DataFrame, stands: DataFrame) -> DataFrame:
+    """(id, h, place, line, a, b): the lines that occur again, of the texts that stand for themselves."""
     numbered = F.transform(_lines("text"), lambda x, i: F.struct(i.alias("line"), x.alias("words")))
-    lines = base.select("id", F.xxhash64("text").alias("h"), F.posexplode(F.filter(numbered, lambda s: s["words"].rlike(_SOLID))).alias("place", "s"))
-    single = lines.select("id", "h", "place", "s.line", F.xxhash64("s.words").alias("a"), F.xxhash64("s.words", F.lit(1)).alias("b"))
-    # Every line of a repeated run is itself repeated, so the others go at once.
-    single = written(_repeated(single).distinct(), "line-names")
-    names, depth = single.drop("line"), 1
-    while 2 * depth <= min_lines:
-        names = _repeated(_longer(names, names, depth))
-        depth *= 2
-        if depth < min_lines:
-            names = written(names, "line-names")
-    if depth < min_lines:
-        names = _repeated(_longer(names, names, min_lines - depth))
-    names = written(names, "line-intervals")
-    first = names.groupBy("a", "b").agg(F.min(F.struct("id", "h", "place")).alias("first"))
-    later = names.join(first, ["a", "b"]).filter(F.struct("id", "h", "place") > F.col("first"))
-    covered = later.select("id", "h", F.explode(F.sequence(F.col("place"), F.col("place") + (min_lines - 1))).alias("place")).distinct()
-    return covered.join(single.select("id", "h", "place", "line"), ["id", "h", "place"]).select("id", "h", "line")
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
-    """Return (doc id, n_lines, n_removed, kept_sha256, kept_text), one row per input row.
+    lines = base.select("h", "u", F.posexplode(F.filter(numbered, lambda s: s["words"].rlike(_SOLID))).alias("place", "s"))
+    lines = lines.select("h", "u", "place", "s.line", F.xxhash64("s.words").alias("a"), F.xxhash64("s.words", F.lit(1)).alias("b"))
+    again = _again(lines, at=("h", "place"))  # copies of a text count as one
+    found = lines.join(again, ["a", "b"]).distinct().join(stands.select("h", "u", "id"), ["h", "u"])
+    return written(found.select(*_PLACE, "line", "a", "b"), "lines")
+
+
+def _doubled(names: DataFrame, deepest: int | None = None) -> list[DataFrame]:
+    """Names of depth 1, 2, 4, .. that occur again, up to the depth where none does, or `deepest`."""
+    levels = [names]
+    while deepest is None or 2 ** len(levels) <= deepest:
+        pairs = _longer(levels[-1], levels[-1], 2 ** (len(levels) - 1))
+        found = written(pairs.join(_again(pairs), ["a", "b"]).select(*_PLACE, "a", "b"), "line-intervals")
+        if found.isEmpty():
+            break
+        levels.append(found)
+    return levels
+
+
+def _common_prefixes(levels: list[DataFrame]) -> DataFrame:
+    """(id, h, place, lcp): how many lines from each place on also begin at another place."""
+    state = None
+    for k in range(len(levels) - 1, -1, -1):
+        names = levels[k]
+        if state is not None:
+            more = names.select("id", "h", F.col("place").alias("next"), F.col("a").alias("c"), F.col("b").alias("d"))
+            tried = state.withColumn("next", F.col("place") + F.col("lcp")).join(more, ["id", "h", "next"], "left").drop("next")
+            tried = tried.withColumns({"c": F.when(F.col("d").isNotNull(), F.xxhash64("a", "b", "c", "d")), "d": F.when(F.col("d").isNotNull(), F.xxhash64("d", "c", "b", "a", F.lit(1)))})
+            met = tried.filter("c IS NOT NULL").groupBy("c", "d").agg(F.count("*").alias("n"), F.min(F.struct(*_PLACE, "lcp")).alias("waits"))
+            met = written(met.filter("n > 1").select("c", "d", "waits"), "line-groups")
+            own = tried.join(met, ["c", "d"], "left")
+            stay = F.struct("lcp", "a", "b", "ghost")
+            move = F.struct((F.col("lcp") + 2**k).alias("lcp"), F.col("c").alias("a"), F.col("d").alias("b"), "ghost")
+            ghost = F.struct("lcp", "a", "b", F.lit(True).alias("ghost"))
+            both = F.when(F.col("waits").isNull(), F.array(stay)).when(F.col("waits") == F.struct(*_PLACE, "lcp"), F.array(move, ghost)).otherwise(F.array(move))
+            state = own.select(*_PLACE, F.explode(both).alias("s")).select(*_PLACE, "s.*")
+        # New are places that no deeper name has, and one place of each deeper interval, for the others to meet.
+        enter = names
+        if k + 1 < len(levels):
+            enter = names.join(levels[k + 1].select(*_PLACE), _PLACE, "left_anti")
+            one = levels[k + 1].groupBy("a", "b").agg(F.min(F.struct(*_PLACE)).alias("p")).select("p.*")
+            ghosts = names.join(one, _PLACE).select(*_PLACE, F.lit(2**k).alias("lcp"), "a", "b", F.lit(True).alias("ghost"))
+        enter = enter.select(*_PLACE, F.lit(2**k).alias("lcp"), "a", "b", F.lit(False).alias("ghost"))
+        state = enter if state is None else state.union(enter).union(ghosts)
+        state = written(state, "line-prefixes") if k else state
+    return state.filter("NOT ghost").select(*_PLACE, "lcp")
+
+
+def _analysed(docs: DataFrame, id_col: str, text_col: str):
+    """The texts, which of them stand for their copies, the repeated lines, and the names by depth."""
+    base = _texts(docs, id_col, text_col)
+    named = base.filter("id IS NOT NULL AND text IS NOT NULL")
+    stands = written(named.groupBy("h", "u").agg(F.min("id").alias("id"), F.max("id").alias("last")), "line-texts")
+    single = _repeated_lines(named, stands)
+    return base, stands, single, _doubled(single.drop("line"))
+
+
+def _later_lines(single: DataFrame, levels: list[DataFrame], min_lines: int) -> DataFrame:
+    """(id, h, line): the lines, counted from 0, in runs of `min_lines` that also begin at an earlier place."""
+    k = min(min_lines.bit_length() - 1, len(levels) - 1)
+    names = levels[k]
+    if 2**k < min_lines:
+        pairs = _longer(names, names, min_lines - 2**k) if 2 ** (k + 1) > min_lines else names.limit(0)
+        names = pairs.join(_again(pairs), ["a", "b"])
+    first = written(names.groupBy("a", "b").agg(F.min(F.struct(*_PLACE)).alias("first")), "line-firsts")
+    later = names.join(first, ["a", "b"]).filter(F.struct(*_PLACE) > F.col("first"))
+    if min_lines > 1:
+        later = later.select("id", "h", F.explode(F.sequence(F.col("place"), F.col("place") + (min_lines - 1))).alias("place")).distinct()
+    return later.select(*_PLACE).join(single.select(*_PLACE, "line"), _PLACE).select("id", "h", "line")
+
+
+def line_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1) -> DataFrame:
+    """Return (doc id, text_hash, place, n_lines): the maximal runs of `min_lines` solid lines or more that occur again.
+
+    Places count a document's solid lines from 0. A run may recur anywhere, in its own document too; it is maximal if
+    no longer run from its place recurs, nor one that begins a line before and reaches as far. Documents with equal texts
+    are one (they stand under their least id). Null ids and texts have no runs; empty tables give no rows.
+    """
+    _, _, _, levels = _analysed(docs, id_col, text_col)
+    lcp = written(_common_prefixes(levels), "line-lcp")
+    before = lcp.select("id", "h", (F.col("place") + 1).alias("place"), F.col("lcp").alias("left"))
+    runs = lcp.filter(F.col("lcp") >= min_lines).join(before, _PLACE, "left").filter("coalesce(left, 0) <= lcp")
+    return runs.select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), "place", F.col("lcp").alias("n_lines"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1) -> DataFrame:
+    """Return (doc id, n_lines, n_removed, longest_run, kept_sha256, kept_text), one row per input row.
 
     A line is what stands between line feeds. Blank lines (white space alone) are in no run and never removed. A solid
     line is removed if it is in a run of `min_lines` solid lines of its document that also begins at an earlier place,
-    in the order of id and then place; copies may overlap. n_lines counts solid lines. Kept lines are joined by line
-    feeds; a null text counts as empty. A row with a null id removes and loses nothing. Rows with equal ids and texts
-    are one document, and get equal results; of rows with equal ids the text's hash decides which comes first. Empty
-    tables give no rows; other columns are ignored.
+    in the order of id and then place; copies may overlap. n_lines counts solid lines; longest_run is how many of them in
+    a row stand elsewhere too, at most (0: none; all, for a text that another id has as well). Kept lines are joined by
+    line feeds; a null text counts as empty; texts of any length are read whole. A row with a null id removes and loses
+    nothing. Rows with equal ids and texts are one document, and get equal results; of rows with equal ids the text's
+    hash decides which comes first. Empty tables give no rows; other columns are ignored, whatever their names.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    gone = repeated_lines(docs, id_col, text_col, min_lines).groupBy("id", "h").agg(F.sort_array(F.collect_set("line")).alias("gone"))
-    gone = written(gone, "line-copies")
+    base, stands, single, levels = _analysed(docs, id_col, text_col)
+    longest = _common_prefixes(levels).groupBy("id", "h").agg(F.max("lcp").alias("longest"))
+    gone = _later_lines(single, levels, min_lines).groupBy("id", "h").agg(F.sort_array(F.collect_set("line")).alias("gone"))
     # A flag for each line up to the last one that goes, so that a line is looked up at its place.
     gap = lambda x, i: F.concat(F.array_repeat(F.lit(False), x - F.coalesce(F.get("gone", i - 1), F.lit(-1)) - 1), F.array(F.lit(True)))
-    flags = gone.select("id", "h", F.size("gone").cast("long").alias("removed"), F.flatten(F.transform("gone", gap)).alias("flags"))
+    flags = longest.join(gone, ["id", "h"], "left").select("id", "h", "longest", F.flatten(F.transform("gone", gap)).alias("flags"), F.lit(False).alias("copied"), F.lit(False).alias("whole"))
+    # Texts that several ids have: under the least one they stay, but run on elsewhere; under the others they go.
+    ids = base.select("id", "h", "u").join(stands.filter("last > id").select("h", "u", F.col("id").alias("least")), ["h", "u"]).filter("id IS NOT NULL").select("id", "h", "least").distinct()
+    copied = ids.select("id", "h", F.lit(None).cast("int").alias("longest"), F.lit(None).cast("array<boolean>").alias("flags"), F.lit(True).alias("copied"), (F.col("id") > F.col("least")).alias("whole"))
+    facts = flags.union(copied).groupBy("id", "h").agg(F.max("longest").alias("longest"), F.first("flags", ignorenulls=True).alias("flags"), F.max("copied").alias("copied"), F.max("whole").alias("whole"))
+    facts = written(facts, "line-copies")
     # Removed lines grow with the texts: the same join at every size, never a broadcast.
-    out = base.join(flags.hint("merge"), ["id", "h"], "left")
-    kept = F.array_join(F.filter(_lines("text"), lambda x, i: ~F.coalesce(F.get("flags", i), F.lit(False))), "\n")
-    text = F.when(F.col("flags").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept)
-    n_lines = F.size(F.filter(_lines("text"), lambda x: x.rlike(_SOLID))).cast("long")
-    out = out.select("id", n_lines.alias("n_lines"), F.coalesce("removed", F.lit(0)).alias("n_removed"), text.alias("kept_text"))
-    return out.select(F.col("id").alias(id_col), "n_lines", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"), "kept_text")
+    out = base.join(facts.hint("merge"), ["id", "h"], "left")
+    solid = lambda x: x.rlike(_SOLID)
+    n_lines = F.size(F.filter(_lines("text"), solid))
+    out = out.withColumn("n", n_lines).withColumn("whole", F.coalesce("whole", F.lit(False)) & (F.col("n") >= min_lines))
+    listed = F.filter(_lines("text"), lambda x, i: ~F.coalesce(F.get("flags", i), F.lit(False)))
+    bare = F.filter(_lines("text"), lambda x: ~solid(x))
+    kept = F.when(F.col("whole"), F.array_join(bare, "\n")).when(F.col("flags").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(listed, "\n"))
+    removed = F.when(F.col("whole"), F.col("n")).otherwise(F.size(F.filter(F.coalesce("flags", F.array().cast("array<boolean>")), lambda x: x)))
+    run = F.when(F.coalesce("copied", F.lit(False)), F.col("n")).otherwise(F.coalesce("longest", F.lit(0)))
+    out = out.select("id", F.col("n").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), run.cast("long").alias("longest_run"), kept.alias("kept_text"))
+    return out.select(F.col("id").alias(id_col), "n_lines", "n_removed", "longest_run", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"), "kept_text")

@@ -41,11 +41,14 @@ OP7 = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(ht
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(p.h, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM p JOIN m USING (h)"""
 
-OP8 = r"""WITH l AS (SELECT doc_id, i, s[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents) t, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i) r),
- solid AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS line2 FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
- runs AS (SELECT doc_id, i, k, CASE WHEN line2 IS NOT NULL AND row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, k) > 1 THEN 1 ELSE 0 END AS copy FROM solid),
- gone AS (SELECT doc_id, i, max(copy) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS gone FROM runs)
- SELECT l.doc_id, count(g.i) AS n_lines, CAST(coalesce(sum(g.gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE coalesce(g.gone, 0) = 0), '')) AS kept_sha256
- FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id"""
+OP8 = r"""WITH RECURSIVE l AS (SELECT doc_id, i, s[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents) t, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i) r),
+ solid AS (SELECT *, md5(line) AS m, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+ gone AS (SELECT doc_id, i, CASE WHEN row_number() OVER (PARTITION BY line ORDER BY doc_id, k) > 1 THEN 1 ELSE 0 END AS gone FROM solid),
+ runs AS (SELECT doc_id, k, 1 AS d, m AS h, count(*) OVER (PARTITION BY m) AS n FROM solid UNION ALL
+  SELECT r.doc_id, r.k, r.d + 1, md5(r.h || s.m), count(*) OVER (PARTITION BY md5(r.h || s.m)) FROM runs r JOIN solid s ON s.doc_id = r.doc_id AND s.k = r.k + r.d WHERE r.n > 1),
+ longest AS (SELECT doc_id, max(d) AS d FROM runs WHERE n > 1 GROUP BY doc_id)
+ SELECT l.doc_id, count(g.i) AS n_lines, CAST(coalesce(sum(g.gone), 0) AS BIGINT) AS n_removed, CAST(coalesce(max(x.d), 0) AS BIGINT) AS longest_run,
+ sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE coalesce(g.gone, 0) = 0), '')) AS kept_sha256
+ FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i LEFT JOIN longest x ON x.doc_id = l.doc_id GROUP BY l.doc_id"""
 
 SQL = {"op1_minhash_near_dedup": OP1, "op3_decontamination": OP3, "op5_substring_dedup": OP5, "op7_warc": OP7, "op8_line_dedup": OP8}

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import unused
@@ -62,7 +63,7 @@ def shard(
     before = Window.partitionBy(shard_col).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     # Columns of its own for this side: it comes from the same rows as the other.
     offsets = counts.select(F.col(shard_col).alias("in_shard"), F.col(bucket).alias("in_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{shard_col}` int, `{slot_col}` long"
+    schema = T.StructType([*docs.schema.fields, T.StructField(shard_col, T.IntegerType()), T.StructField(slot_col, T.LongType())])
     both = placed.groupBy(shard_col, bucket).cogroup(offsets.groupBy("in_shard", "in_bucket"))
     return both.applyInArrow(_shuffler(seed, shard_col, slot_col, bucket, id_, tie), schema)
 

@@ -6,6 +6,7 @@ as it occurs. Votes are counted two bits to a long (32-bit lanes), 64 sums for 1
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql.window import Window
 
 from .common import words_column, written
 
-BUCKET_BYTES, MAX_BUCKETS, STEP = 24 << 20, 4096, 64
+BUCKET_BYTES = 24 << 20
 LANES = (1 << 32) + 1
 
 
@@ -50,35 +51,62 @@ def likeness(a1, a2, b1, b2):
     return 1 - (F.bit_count(F.col(a1).bitwiseXOR(F.col(b1))) + F.bit_count(F.col(a2).bitwiseXOR(F.col(b2)))) / F.lit(128.0)
 
 
+def _literal(numbers: list[int]):
+    """An array constant of any length: one text, which the optimizer folds."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
+
+def _place_among(column, bounds: list[int]):
+    """How many of `bounds` (falling) are at least the column's value, by two steps of about the root of their number."""
+    step = math.isqrt(len(bounds)) + 1
+    block = F.size(F.filter(_literal(bounds[::step]), lambda b: b >= column)) - 1
+    inside = F.size(F.filter(F.slice(_literal(bounds), block * step + 1, F.lit(step)), lambda b: b >= column))
+    return F.when(block >= 0, block * step + inside).otherwise(0)
+
+
+def id_bounds(ids: DataFrame, n: int) -> list[int]:
+    """Falling ids that cut `ids` (id) into about n ranges of equal numbers of rows; the first is the largest id.
+
+    Quantiles of quantiles, so that each of about 2 * sqrt(n) summaries has sqrt(n) bounds: 8 bytes for each bucket.
+    """
+    some = ids.filter("id IS NOT NULL")
+    m = math.isqrt(n - 1) + 1
+    cuts = [i / m for i in range(1, m)] or [0.5]
+    found = some.agg(F.percentile_approx("id", cuts, 100 * m).alias("q"), F.max("id").alias("top")).first()
+    if found["top"] is None:
+        return [0]
+    coarse = sorted({*found["q"], found["top"]}, reverse=True)
+    fine = some.groupBy(_place_among(F.col("id"), coarse).alias("part")).agg(F.percentile_approx("id", cuts, 100 * m).alias("q"), F.max("id").alias("top")).collect()
+    return sorted({x for r in fine for x in (*r["q"], r["top"])}, reverse=True) if n > 1 else [found["top"]]
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Return (bucket, id, h, text, next_id, next_h, next_text): each document beside the next one by descending id.
+    """Return (bucket, id, h, text, rows, next_id, next_h, next_text): each document beside the next one by descending id.
 
-    Buckets are ranges of ids whose bounds are ids that occur; a bound's document is sent to the bucket above too, and
-    the first document of all to the last bucket, so that each bucket knows its last document's follower. The text is
-    shuffled once. Rows with equal ids and texts are one document; equal ids come in the order of the text's hash h.
-    Documents with a null id have no follower (null).
+    Buckets are ranges of ids, as many as the texts fill; their bounds are ids that occur. A bound's document is sent to
+    the bucket above too, and the first document of all to the last bucket, so that each bucket knows its last
+    document's follower. The text is shuffled once. Rows with equal ids and texts are one document, `rows` is their
+    number; equal ids come in the order of the text's hash h. Documents with a null id have no follower (null).
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(MAX_BUCKETS, total // BUCKET_BYTES + 1))
-    found = base.agg(F.percentile_approx("id", [i / n for i in range(1, n + 1)], 20 * MAX_BUCKETS), F.max("id")).first()
-    bounds = sorted({x for x in [*(found[0] or []), found[1]] if x is not None}, reverse=True) or [0]  # at most MAX_BUCKETS + 1
-    every, coarse = F.array(*map(F.lit, bounds)), F.array(*map(F.lit, bounds[::STEP]))
-    block = F.size(F.filter(coarse, lambda b: b >= F.col("id"))) - 1
-    inside = F.size(F.filter(F.slice(every, block * STEP + 1, F.lit(STEP)), lambda b: b >= F.col("id")))
-    bucket = F.when(F.col("id").isNull(), -1 - F.pmod("h", F.lit(n))).otherwise(block * STEP + inside).cast("long")
+    n = total // BUCKET_BYTES + 1
+    bounds = id_bounds(base.select("id"), n)
+    bucket = F.when(F.col("id").isNull(), -1 - F.pmod("h", F.lit(n))).otherwise(_place_among(F.col("id"), bounds)).cast("long")
     place = base.withColumn("bucket", bucket)
     own = F.struct("bucket", F.lit(False).alias("guest"))
     above = F.struct(F.when(F.col("bucket") > 1, F.col("bucket") - 1).otherwise(F.lit(len(bounds))).cast("long").alias("bucket"), F.lit(True).alias("guest"))
-    is_bound = F.coalesce(F.get(every, F.col("bucket").cast("int") - 1) == F.col("id"), F.lit(False))
+    is_bound = F.coalesce(F.get(_literal(bounds), F.col("bucket").cast("int") - 1) == F.col("id"), F.lit(False))
     dealt = place.select("id", "h", "text", F.explode(F.when(is_bound, F.array(own, above)).otherwise(F.array(own))).alias("p")).select("p.bucket", "p.guest", "id", "h", "text")
     order = Window.partitionBy("bucket").orderBy("guest", F.col("id").desc_nulls_last(), "h")
     again = F.lit(True)
     for c in ("id", "h", "guest"):
         again = again & F.lag(c).over(order).eqNullSafe(F.col(c))
-    once = dealt.withColumn("again", again).filter("NOT again")
+    numbered = dealt.withColumns({"again": again, "nth": F.row_number().over(order), "all": F.count("*").over(Window.partitionBy("bucket"))})
+    once = numbered.filter("NOT again")
     follow = lambda c: F.when(F.col("id").isNotNull(), F.lead(c).over(order)).alias(f"next_{c}")
-    return once.select("bucket", "guest", "id", "h", "text", follow("id"), follow("h"), follow("text")).filter("NOT guest").drop("guest")
+    rows = F.coalesce(F.lead("nth").over(order), F.col("all") + 1) - F.col("nth")
+    return once.select("bucket", "guest", "id", "h", "text", rows.alias("rows"), follow("id"), follow("h"), follow("text")).filter("NOT guest").drop("guest")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,27 +114,28 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of
     the next document by descending id, the first after the last. Equal texts have equal fingerprints; texts without
-    words have fingerprint 0. Null texts count as empty; a table of one row follows itself; rows that repeat id and
-    text give one row; rows with a null id have no next document: their edited text loses its last half and near_next
-    is null. Empty tables give no rows. Other columns are ignored.
+    words have fingerprint 0. Null texts count as empty; texts of any length are read whole; a table of one row follows
+    itself; rows that repeat id and text are one document and give equal rows; rows with a null id have no next document:
+    their edited text loses its last half and near_next is null. Empty tables give no rows. Other columns are ignored,
+    whatever their names.
     """
     chain = with_next(docs, id_col, text_col)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.coalesce(F.substring(F.col("next_text"), F.lit(1), half), F.lit("")))
-    chain = chain.select("bucket", "id", "h", "next_id", "next_h", "text", edited.alias("edited"))
-    facts = chain.select("id", "h", "next_id", "next_h", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("sha"))
+    chain = chain.select("bucket", "id", "h", "rows", "next_id", "next_h", "text", edited.alias("edited"))
+    facts = chain.select("id", "h", "rows", "next_id", "next_h", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("sha"))
     both = chain.select("bucket", "id", "h", F.posexplode(F.array("text", "edited")).alias("which", "text"))
     prints = fingerprints(both, ["bucket", "id", "h", "which"], "text").drop("bucket")
     # One table for both, so that one job makes them from one shuffle of the texts.
     table = written(prints.unionByName(facts, allowMissingColumns=True), "fingerprints")
-    prints, facts = table.filter("which IS NOT NULL"), table.filter("which IS NULL").select("id", "h", "next_id", "next_h", "n_chars", "sha")
+    prints, facts = table.filter("which IS NOT NULL"), table.filter("which IS NULL").select("id", "h", "rows", "next_id", "next_h", "n_chars", "sha")
 
     def joined(left: DataFrame, which: int, by: tuple[str, str], x: str, how: str) -> DataFrame:
         right = prints.filter(F.col("which") == which).select(F.col("id").alias("r_id"), F.col("h").alias("r_h"), F.col("f1").alias(f"{x}1"), F.col("f2").alias(f"{x}2"))
         return left.join(right, F.col(by[0]).eqNullSafe(F.col("r_id")) & (F.col(by[1]) == F.col("r_h")), how).drop("r_id", "r_h")
 
     out = joined(joined(facts, 0, ("id", "h"), "o", "inner"), 1, ("id", "h"), "e", "inner")
-    out = joined(out, 0, ("next_id", "next_h"), "n", "left")
+    out = joined(out, 0, ("next_id", "next_h"), "n", "left").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return out.select(
         F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), fingerprint_text("o1", "o2").alias("fingerprint"),
         fingerprint_text("e1", "e2").alias("edited_fingerprint"), likeness("o1", "o2", "e1", "e2").alias("near_edited"), likeness("o1", "o2", "n1", "n2").alias("near_next"),

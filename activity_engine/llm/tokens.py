@@ -90,12 +90,22 @@ class Counter:
         return [heads[p[0]] + sum(map(tails.__getitem__, p[1:])) for p in split]
 
 
+#: One for each file in each worker process: later tasks of the worker find the tokenizer loaded and pieces counted.
+_counters: dict[str, Counter] = {}
+
+
+def counter_of(path: str) -> Counter:
+    if path not in _counters:
+        _counters[path] = Counter(path)
+    return _counters[path]
+
+
 def _counter(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        counter = Counter(path)
+        counter = counter_of(path)
         for batch in batches:
             for part in slices(batch):
                 texts = pa.compute.fill_null(part.column(1), "")

@@ -1,12 +1,17 @@
-"""Toxicity by a weighted finite-state pattern grammar over clauses.
+"""Toxicity by a weighted finite-state pattern grammar.
 
-Transducers run over the tokens of a clause, left to right, each rewriting what the one before it wrote:
+Transducers run over the tokens of a text, left to right, each rewriting what the one before it wrote. They are tables
+of weighted arcs, and `compose` makes one table of two:
 
-- lexicon: token -> symbol (insult, threat, target, negation, report) and weight;
-- scope: marks what stands under a negation (the next few tokens) or after a verb of reporting (to the clause's end);
-- clause: composes insult (+ target) and threat + target into matches of one class: targeted, plain, negated, reported.
+- lexicon: word -> insult, threat, target, negation, report or other, with the word's weight (one state);
+- negation: marks insults and threats in the few tokens after a negation;
+- reported speech: marks those that follow a verb of reporting, to the end of the clause;
+- clause: insult near a target -> targeted, threat before a target -> threat, further insults in a clause -> piled,
+  an insult alone in its clause -> bare;
+- text: a bare insult clause writes nothing; from the second on they are sustained abuse. So a single insulting word,
+  alone in its clause and in its text, scores nothing.
 
-A document's score is the noisy-or of its matches: 1 - (1 - floor) * prod(1 - weight * class weight). A weight is the
+A text's score is the noisy-or of its matches: 1 - (1 - floor) * prod(1 - weight * class weight). A weight is the
 share of toxic texts among the contexts in which training rows hold the word, shrunk to a prior; class weights are
 learned the same way. The word lists are priors; words of any language are learned beside them.
 """
@@ -14,15 +19,17 @@ learned the same way. The word lists are priors; words of any language are learn
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import slices, unused, written
 
 # Words of the grammar.
 INSULTS = "idiot idiots moron morons stupid dumb trash garbage scum loser losers worthless pathetic disgusting clown clowns imbecile cretin jerk bastard vermin filth filthy parasite coward crap freak fool ugly degenerate subhuman scumbag dumbass asshole"
@@ -32,57 +39,150 @@ NEGATIONS = "not never isn't aren't wasn't weren't don't doesn't didn't won't ca
 REPORTS = "said says say saying called calls quoted quotes wrote writes claimed claims reported alleged"
 
 NEGATION_SCOPE, TARGET_REACH = 3, 4
-CLASSES = ("targeted", "plain", "negated", "reported")
-CLASS_PRIORS = {"targeted": 1.0, "plain": 0.95, "negated": 0.4, "reported": 0.5}
+CLASSES = ("threat", "targeted", "piled", "sustained", "reported", "negated")
+CLASS_PRIORS = {"threat": 1.0, "targeted": 1.0, "piled": 0.95, "sustained": 0.95, "reported": 0.5, "negated": 0.4}
 CLASS_PRIOR_ROWS, SEED_PRIOR, SEED_PRIOR_ROWS, LEARNED_PRIOR_ROWS = 8.0, 0.9, 6.0, 2.0
-#: Bounds of the model: training rows that are used, words that are learned, and contexts a learned word needs.
-MAX_TRAINING_ROWS, MAX_LEARNED_WORDS, MIN_CONTEXTS, MIN_WEIGHT = 20_000, 5_000, 6, 0.7
+#: Labelled rows that training uses, and what makes a word of theirs an insult: toxic contexts, and their share.
+MAX_TRAINING_ROWS, MIN_CONTEXTS, MIN_WEIGHT = 20_000, 6, 0.7
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+_TOKEN_OR_STOP = re.compile(_TOKEN.pattern + r"|[.!?;:\n]+")
+_STOPS = ".!?;:\n"
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """(state, input) -> (next state, output, weight); an empty output writes nothing."""
+
+    start: int
+    inputs: tuple[str, ...]
+    arcs: dict[tuple[int, str], tuple[int, str, float]]
+
+    def run(self, symbols: Iterator[tuple[str, float]]) -> Iterator[tuple[str, float]]:
+        """Rewrite weighted symbols."""
+        state, arcs = self.start, self.arcs
+        for symbol, weight in symbols:
+            state, out, factor = arcs[state, symbol]
+            if out:
+                yield out, weight * factor
+
+
+def tabulate(start: Hashable, inputs: tuple[str, ...], step: Callable[[Hashable, str], tuple[Hashable, str, float]]) -> Transducer:
+    """The table of all states that `step` reaches from the start."""
+    number, todo, arcs = {start: 0}, [start], {}
+    while todo:
+        state = todo.pop()
+        for symbol in inputs:
+            after, out, weight = step(state, symbol)
+            if after not in number:
+                number[after] = len(number)
+                todo.append(after)
+            arcs[number[state], symbol] = (number[after], out, weight)
+    return Transducer(0, inputs, arcs)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """One transducer that does what `second` does with the output of `first`: weights multiply along the path."""
+
+    def step(state: tuple[int, int], symbol: str) -> tuple[tuple[int, int], str, float]:
+        p, q = state
+        p, middle, w = first.arcs[p, symbol]
+        if not middle:
+            return (p, q), "", w
+        q, out, v = second.arcs[q, middle]
+        return (p, q), out, w * v
+
+    return tabulate((first.start, second.start), first.inputs, step)
+
+
+def negation() -> Transducer:
+    """Insults and threats in the NEGATION_SCOPE tokens after a negation get the mark `.not`."""
+
+    def step(left: int, symbol: str):
+        if symbol == "stop":
+            return 0, symbol, 1.0
+        if symbol == "negation":
+            return NEGATION_SCOPE, "other", 1.0
+        return max(0, left - 1), symbol + ".not" * (left > 0 and symbol in ("insult", "threat")), 1.0
+
+    return tabulate(0, ("insult", "threat", "target", "negation", "report", "other", "stop"), step)
+
+
+def reported_speech() -> Transducer:
+    """Insults and threats after a verb of reporting get the mark `.said`, to the end of the clause."""
+
+    def step(said: bool, symbol: str):
+        if symbol == "stop":
+            return False, symbol, 1.0
+        if symbol == "report":
+            return True, "other", 1.0
+        return said, symbol + ".said" * (said and symbol in ("insult", "threat")), 1.0
+
+    return tabulate(False, ("insult", "threat", "insult.not", "threat.not", "target", "report", "other", "stop"), step)
+
+
+def clause() -> Transducer:
+    """Matches within a clause. A state is how many tokens ago (TARGET_REACH + 1: too many) target, insult and threat were, and whether the clause has an insult."""
+    far = TARGET_REACH + 1
+
+    def step(state: tuple[int, int, int, bool], symbol: str):
+        target, insult, threat = (min(far, x + 1) for x in state[:3])
+        some, out = state[3], ""
+        if symbol == "stop":
+            return (far, far, far, False), "stop", 1.0
+        if symbol == "target":
+            out = "targeted" if insult < far else "threat" if threat < far else ""
+            target, insult, threat = 0, far, far
+        elif symbol == "insult":
+            out = "targeted" if target < far else "piled" if some else "bare"
+            insult, some = 0 if out == "bare" else far, True
+        elif symbol == "threat":
+            threat = 0
+        elif symbol in ("insult.not", "insult.said"):
+            out = "negated" if symbol == "insult.not" else "reported"
+        return (target, insult, threat, some), out, 1.0
+
+    return tabulate((far, far, far, False), ("insult", "threat", "insult.not", "threat.not", "insult.said", "threat.said", "target", "other", "stop"), step)
+
+
+def sustained() -> Transducer:
+    """Bare insult clauses count from the second on, or where the text has another match already."""
+
+    def step(some: bool, symbol: str):
+        if symbol == "bare":
+            return True, "sustained" if some else "", 1.0
+        if symbol == "stop":
+            return some, "", 1.0
+        return some or symbol in ("targeted", "threat", "piled"), symbol, 1.0
+
+    return tabulate(False, ("bare", "piled", "targeted", "threat", "negated", "reported", "stop"), step)
+
+
+def grammar() -> Transducer:
+    return compose(compose(compose(negation(), reported_speech()), clause()), sustained())
 
 
 def lexicon(weights: dict[str, float]) -> dict[str, tuple[str, float]]:
-    """Symbols of all words; `weights` are those of insults."""
+    """Symbols of all words but `other` ones: the arcs of a transducer with one state. `weights` are those of insults."""
     table = {w: ("target", 1.0) for w in TARGETS.split()} | {w: ("negation", 1.0) for w in NEGATIONS.split()} | {w: ("report", 1.0) for w in REPORTS.split()}
     table |= {w: ("threat", SEED_PRIOR) for w in THREATS.split()}
     return table | {w: ("insult", p) for w, p in weights.items()}
 
 
-def scope(symbols: list[tuple[str, float] | None]) -> list[tuple[str, float, str] | None]:
-    """Add to each symbol whether it stands in the open, under a negation or after a verb of reporting."""
-    out, negated, reported = [], 0, False
-    for s in symbols:
-        kind = s[0] if s else ""
-        if kind == "negation":
-            negated = NEGATION_SCOPE + 1
-        elif kind == "report":
-            reported = True
-        out.append((*s, "negated" if negated else "reported" if reported else "open") if s else None)
-        negated = max(0, negated - 1)
-    return out
-
-
-def matches(tokens: list[str], table: dict[str, tuple[str, float]]) -> list[tuple[str, float]]:
-    """The (class, weight) of each match in one clause."""
-    marked = scope([table.get(t) for t in tokens])
-    aimed = [i for i, s in enumerate(marked) if s and s[0] == "target"]
-    out = []
-    for i, s in enumerate(marked):
-        if not s or s[0] not in ("insult", "threat"):
-            continue
-        near = any((0 < j - i if s[0] == "threat" else True) and abs(i - j) <= TARGET_REACH for j in aimed)
-        if s[0] == "threat" and not near:
-            continue
-        out.append((s[2] if s[2] != "open" else "targeted" if near else "plain", s[1]))
-    return out
-
-
-def text_matches(text: str, table: dict[str, tuple[str, float]], hot: set[str]) -> list[tuple[str, float]]:
-    low = text.lower()
-    if hot.isdisjoint(_TOKEN.findall(low)):
-        return []
-    return [m for clause in _CLAUSE.split(low) for m in matches(_TOKEN.findall(clause), table)]
+class Matcher:
+    """Finds the matches of a text. The lexicon has one state, so it is composed with the grammar as the text is read."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.table, self.grammar = lexicon(weights), grammar()
+        self.hot = {w for w, (symbol, _) in self.table.items() if symbol in ("insult", "threat")}
+
+    def matches(self, text: str) -> list[tuple[str, float]]:
+        """The (class, weight) of each match."""
+        low = text.lower()
+        if self.hot.isdisjoint(_TOKEN.findall(low)):
+            return []
+        table, other, stop = self.table, ("other", 1.0), ("stop", 1.0)
+        return list(self.grammar.run(stop if t[0] in _STOPS else table.get(t, other) for t in _TOKEN_OR_STOP.findall(low)))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,13 +198,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(around, pa.int64()), pa.array(toxic, pa.int32())], ["word", "around", "toxic"])
 
 
-def _strongest(table, hot):
+def _strongest(weights: dict[str, float]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(weights)
         for batch in batches:
             for part in slices(batch):
                 kinds = []
                 for text in part.column(1).to_pylist():
-                    seen = {k for k, _ in text_matches(text or "", table, hot)}
+                    seen = {k for k, _ in matcher.matches(text or "")}
                     kinds.append(next((c for c in CLASSES if c in seen), None))
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), part.column(2)], ["kind", "toxic"])
 
@@ -118,7 +219,7 @@ def held_out(id_column):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """Learn weights from labelled rows that aren't held out, at most about MAX_TRAINING_ROWS of them, chosen by a hash.
 
-    Conflicting labels of one id count as toxic. Without labels the priors alone are the model.
+    Every word that passes MIN_CONTEXTS and MIN_WEIGHT is learned; the training rows bound their number. Conflicting labels of one id count as toxic. Without labels the priors alone are the model.
     """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna().filter(~held_out(F.col("id")))
     marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -134,54 +235,58 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seeds = INSULTS.split()
     weight = (F.col("c1") + LEARNED_PRIOR_ROWS * base) / (F.col("c1") + F.col("c0") + LEARNED_PRIOR_ROWS)
     counts = seen.filter(f"c1 >= {MIN_CONTEXTS}").filter(weight >= MIN_WEIGHT).filter(~F.col("word").isin(seeds) & (F.length("word") > 2))
-    learned = {r["word"]: r["w"] for r in counts.select("word", weight.alias("w")).orderBy(F.desc("w"), "word").limit(MAX_LEARNED_WORDS).collect()}
+    learned = {r["word"]: r["w"] for r in counts.select("word", weight.alias("w")).collect()}
     known = {r["word"]: (r["c1"], r["c0"]) for r in seen.filter(F.col("word").isin(seeds)).collect()}
     weights = learned | {w: (known.get(w, (0, 0))[0] + SEED_PRIOR * SEED_PRIOR_ROWS) / (sum(known.get(w, (0, 0))) + SEED_PRIOR_ROWS) for w in seeds}
 
-    table = lexicon(weights)
-    hot = {w for w, s in table.items() if s[0] in ("insult", "threat")}
-    kinds = rows.mapInArrow(_strongest(table, hot), "kind string, toxic int").groupBy("kind").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()
+    kinds = rows.mapInArrow(_strongest(weights), "kind string, toxic int").groupBy("kind").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()
     got = {r["kind"]: (r["t"], r["n"]) for r in kinds}
     classes = {c: (got.get(c, (0, 0))[0] + CLASS_PRIORS[c] * CLASS_PRIOR_ROWS) / (got.get(c, (0, 0))[1] + CLASS_PRIOR_ROWS) for c in CLASSES}
     none_toxic, none = got.get(None, (0, 0))
     return {"weights": weights, "classes": classes, "floor": (none_toxic + 0.2) / (none + 10)}
 
 
-def _scorer(model: dict, text_col: str):
+def _scorer(model: dict, text_col: str, score_col: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = lexicon(model["weights"])
-        hot = {w for w, s in table.items() if s[0] in ("insult", "threat")}
+        matcher = Matcher(model["weights"])
         for batch in batches:
             for part in slices(batch, batch.schema.get_field_index(text_col)):
                 scores = []
                 for text in part.column(text_col).to_pylist():
                     clean = 1 - model["floor"]
-                    for kind, weight in text_matches(text or "", table, hot):
+                    for kind, weight in matcher.matches(text or ""):
                         clean *= 1 - weight * model["classes"][kind]
                     scores.append(1 - clean)
-                yield part.append_column("_score", pa.array(scores, pa.float64()))
+                yield part.append_column(score_col, pa.array(scores, pa.float64()))
 
     return score
 
 
-def scored(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """`docs` with a column `_score` (a column of that name is replaced)."""
-    docs = docs.drop("_score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double"
-    return docs.mapInArrow(_scorer(model, text_col), schema)
+def scored(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """`docs` with a column `score_col` (one of that name is replaced)."""
+    docs = docs.drop(score_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
+    return docs.mapInArrow(_scorer(model, text_col, score_col), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
     """Return (doc id, held_out, score, predicted), one row per input row.
 
     A row is held out if crc32 of its id as text is 1 modulo 3; its label is never used. Null and empty texts get the
-    score of texts without matches. A null id counts as the empty text (not held out). Repeated rows each get a row;
-    empty tables give no rows; other columns are ignored.
+    score of texts without matches; texts of any length are read whole. A null id counts as the empty text (not held
+    out). Repeated rows each get a row; empty tables give no rows; other columns are ignored, whatever their names.
     """
-    out = scored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), train(docs, labels, id_col, text_col, label_col))
-    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = scored(base, train(docs, labels, id_col, text_col, label_col))
+    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose score is below the threshold."""
-    return scored(docs, train(docs, labels, id_col, text_col), text_col).filter(F.col("_score") < threshold).drop("_score")
+    """The rows of `docs`, all columns kept, whose score is below the threshold.
+
+    Null, empty and blank texts have no matches and stay; texts of any length are read whole. Equal texts share their
+    fate, so repeated rows stay or go together; null ids make no difference. Without labels the priors are the model.
+    An empty table gives no rows. Columns may have any names.
+    """
+    score = unused("score", docs)
+    return scored(docs, train(docs, labels, id_col, text_col), text_col, score).filter(F.col(score) < threshold).drop(score)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from .common import new_path, written
 
 FILE_BYTES, SPLIT_BYTES, READ_BYTES = 64 << 20, 8 << 20, 1 << 20
 MAGIC = b"\x1f\x8b\x08"
-SCHEMA = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string, payload binary"
+SCHEMA = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string, payload binary, record_id string, refers_to_id string"
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -85,6 +86,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     base = base.withColumn("sha", F.sha1("payload"))
     first = base.filter(F.length("payload") >= min_revisit_bytes).groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("sha", "last")
+    first = written(first, "payloads")  # a table, so that AQE can split a payload that very many pages have
     rows = base.join(first, "sha", "left").select("id", "url", "payload", F.when(F.col("id") < F.col("last"), F.col("last")).alias("refers_to"), "sha")
     rows = rows.mapInArrow(_digests, "id long, url string, payload binary, refers_to long, digest string")
     return written(rows.mapInArrow(_writer(folder, file_bytes), "path string, size long"), "manifest")
@@ -116,20 +118,63 @@ class Window:
             self.base = before
 
 
-def parse(member: bytes) -> dict | None:
-    """The fields of a decoded record, or None if it isn't one."""
-    head, sep, block = member.partition(b"\r\n\r\n")
-    if not sep or not head.startswith(b"WARC/1."):
+def head_and_rest(data: bytes) -> tuple[list[str], bytes] | None:
+    """The lines of a header and what follows its empty line; None if there is no such line. Folded lines are joined."""
+    ends = [(i, len(e)) for e in (b"\r\n\r\n", b"\n\n") if (i := data.find(e)) >= 0]
+    if not ends:
         return None
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    block = block[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(x[16:]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))
-    number = lambda s: int(m) if (m := s.removeprefix("<urn:page:").removesuffix(">")) else None
-    refers = number(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None
-    kind = fields["WARC-Type"]
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:") if kind == "revisit" else sha1_base32(payload)
-    return {"page_id": number(fields["WARC-Record-ID"]), "record_type": kind, "refers_to": refers, "payload_bytes": length if kind == "revisit" else len(payload), "payload_digest": digest, "url": fields["WARC-Target-URI"], "payload": None if kind == "revisit" else payload}
+    at, gap = min(ends)
+    lines: list[str] = []
+    for line in data[:at].decode("utf-8", "replace").splitlines():
+        if line[:1] in (" ", "\t") and lines:
+            lines[-1] += " " + line.strip()
+        else:
+            lines.append(line)
+    return lines, data[at + gap :]
+
+
+def fields_of(lines: list[str]) -> dict[str, str]:
+    """Header fields by lower-cased name; the first of a repeated one counts."""
+    out: dict[str, str] = {}
+    for line in lines:
+        name, sep, value = line.partition(":")
+        if sep:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"[0-9]{1,18}", text) else None
+
+
+def _page(record_id: str) -> int | None:
+    """The page's id in the ids that `record` writes; null for the ids of others."""
+    m = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", record_id)
+    return int(m[1]) if m else None
+
+
+def parse(member: bytes) -> Iterator[dict]:
+    """The records of a decoded member, of any type and writer; it ends where one can't be read."""
+    while member.startswith(b"WARC/"):
+        got = head_and_rest(member)
+        if got is None:
+            return
+        fields = fields_of(got[0][1:])
+        length = _number(fields.get("content-length"))
+        if length is None:
+            return
+        block, member = got[1][:length], got[1][length:].lstrip(b"\r\n")
+        kind, record_id, refers = (fields.get(f"warc-{x}", "") for x in ("type", "record-id", "refers-to"))
+        payload, size = block, None
+        if fields.get("content-type", "").lower().startswith("application/http") and (http := head_and_rest(block)):
+            payload, size = http[1], _number(fields_of(http[0][1:]).get("content-length"))
+        revisit = kind.lower() == "revisit"
+        stated = fields.get("warc-payload-digest", "")
+        yield {
+            "page_id": _page(record_id), "record_type": kind.lower(), "refers_to": _page(refers), "payload_bytes": size if revisit else len(payload),
+            "payload_digest": stated.partition(":")[2] or None if revisit else sha1_base32(payload), "url": fields.get("warc-target-uri"),
+            "payload": None if revisit else payload, "record_id": record_id or None, "refers_to_id": refers or None,
+        }
 
 
 def member_at(window: Window, at: int) -> tuple[bytes, int] | None:
@@ -146,8 +191,8 @@ def member_at(window: Window, at: int) -> tuple[bytes, int] | None:
         except zlib.error:
             return None
         pos += len(piece)
-        if not checked and sum(map(len, out)) >= 7:
-            if not b"".join(out).startswith(b"WARC/1."):
+        if not checked and sum(map(len, out)) >= 5:
+            if not b"".join(out).startswith(b"WARC/"):
                 return None
             checked = True
         step = 64 << 10
@@ -170,12 +215,9 @@ def records_in(file, size: int, start: int, stop: int) -> Iterator[dict]:
             continue
         at = window.base + found
         got = member_at(window, at)
-        fields = parse(got[0]) if got else None
-        if fields is None:
-            at += 1
-        else:
-            yield fields
-            at = got[1]
+        if got:
+            yield from parse(got[0])
+        at = got[1] if got else at + 1
         window.drop(at)
 
 
@@ -203,7 +245,14 @@ def _reader(folder: str, with_payload: bool):
 
 
 def read_warc(spark: SparkSession, manifest: DataFrame, folder: str | None = None, with_payload: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of the archives in `manifest` (path, size), read by byte ranges of `split_bytes`."""
+    """The records of the archives in `manifest` (path, size), read by byte ranges of `split_bytes`.
+
+    Archives of any writer are read: every record of every type (warcinfo, request, metadata, ..) is a row, header names
+    count in any case, and ids are kept as text in record_id and refers_to_id; page_id and refers_to are null unless
+    `write_warc` made them. The payload of an HTTP record is what follows the HTTP header, as it stands; of others, the
+    block. A revisit has no payload; its size and digest are what its headers say, or null. Members that aren't WARC
+    records, or whose header can't be read, are passed over. An empty manifest or empty archives give no rows.
+    """
     folder = folder or "file:///"
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
     splits = manifest.filter("size > 0").select("path", "size", starts.alias("start")).withColumn("stop", F.least(F.col("start") + split_bytes, F.col("size")))

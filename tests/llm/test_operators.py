@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 
 from activity_engine.llm.common import components, merged, word_spans, written
 from activity_engine.llm.decontaminate import contamination, signature_length
-from activity_engine.llm.line_dedup import line_dedup
+from activity_engine.llm.line_dedup import line_dedup, line_runs
 from activity_engine.llm.mixing import mixture, sainte_lague
 from activity_engine.llm.near_dedup import near_duplicates
 from activity_engine.llm.queries import QUERIES
 from activity_engine.llm.shard import shard, shard_of, write_shards
-from activity_engine.llm.simhash import edited_fingerprints, near_fingerprints
+from activity_engine.llm.simhash import _place_among, edited_fingerprints, id_bounds, near_fingerprints
 from activity_engine.llm.substring_dedup import names_at, repeats, substring_dedup, word_numbers
 from activity_engine.llm.tokens import safe_pieces, token_counts
-from activity_engine.llm.toxicity import matches, lexicon, toxicity
+from activity_engine.llm.toxicity import Matcher, clause, compose, grammar, keep_clean, negation, reported_speech, sustained, tabulate, toxicity
 from activity_engine.llm.warc import read_warc, write_warc
 
 SMALL = "/root/testdata/sf0.001"
@@ -168,7 +168,7 @@ def test_op2_columns(spark):
 # --- op 3 ------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
+@pytest.mark.parametrize("limit", [1 << 20, 7])
 def test_contamination(spark, odd, with_nulls, empty, docs, limit):
     items = spark.createDataFrame([(1, "B5 b6 b7 b8 b9 b10 b11"), (2, "one two"), (3, None), (4, " "), (5, "b1 b2 b3 b4 b5 b6 zz"), (6, "B5 b6 b7 b8 b9 b10 b11"), (7, "1 2 3 4 5 6 7 8 9 0")], "item_id long, text string")
     real = spark.read.parquet(f"{SMALL}/benchmark.parquet")
@@ -179,12 +179,33 @@ def test_contamination(spark, odd, with_nulls, empty, docs, limit):
                 k = min(5, len(words(y)))
                 if k and 100 * len(shingles(y, k) & (shingles(x, k) if len(words(x)) >= k else set())) >= 80 * len(shingles(y, k)):
                     want.add((i, j, len(shingles(y, k)), len(shingles(y, k) & shingles(x, k))))
-        assert {tuple(r) for r in contamination(df, bench, broadcast_values=limit).collect()} == want
+        assert {tuple(r) for r in contamination(df, bench, block_values=limit).collect()} == want
         assert want
     assert contamination(empty, items).collect() == [] and contamination(odd, items.limit(0)).collect() == []
     assert all(r["doc_id"] is not None for r in contamination(with_nulls, items).collect())
 
 
+def test_recall_of_long_items(spark):
+    """Items whose signature holds fewer shingles than may be missing are found by chance: measured against exact search."""
+    rng = random.Random(2)
+    items, texts, want = [], [], set()
+    for i in range(60):
+        n = rng.choice([120, 300, 900])
+        item = [f"i{i}w{j}" for j in range(n)]
+        items.append((i, " ".join(item)))
+        held = list(item)
+        for j in rng.sample(range(n), max(1, int(n * rng.choice([0.0, 0.01, 0.03, 0.036, 0.06])))):
+            held[j] = "other"
+        text = [f"d{i}x{j}" for j in range(rng.choice([10, 5000]))]
+        texts.append((i, " ".join(text[:50] + held + text[50:])))
+        x, y = shingles(items[-1][1], 5), shingles(texts[-1][1], 5)
+        if 100 * len(x & y) >= 80 * len(x):
+            want.add((i, i))
+    got = contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert found <= want and len(want) > 25 and len(found) >= 0.9 * len(want)
+
+
 def test_signature_length():
     assert signature_length(1, 0.8) == 1 and signature_length(5, 0.8) == 2 and signature_length(10_000, 0.8) == 13
 
@@ -376,14 +397,59 @@ def test_warc(spark, tmp_path):
     assert read_warc(spark, write_warc(df.limit(0), f"file://{tmp_path}/e"), f"file://{tmp_path}/e").collect() == []
 
 
+def test_warc_of_another_writer(spark, tmp_path):
+    """Records of all types, odd headers, ids that aren't numbers, several records in one member, and rubbish between."""
+    import gzip
+
+    def member(*records):
+        return gzip.compress(b"".join(h.encode() + b"\r\n\r\n" + block + b"\r\n\r\n" for h, block in records))
+
+    u = lambda n: f"<urn:uuid:00000000-0000-0000-0000-{n:012}>"
+    http = b"HTTP/1.1 200 OK\r\ncontent-TYPE: text/html\r\n\r\n<p>x</p>"
+    data = member((f"WARC/1.0\r\nwarc-type: warcinfo\r\nWARC-Record-ID:{u(1)}\r\nContent-Type: application/warc-fields\r\nContent-Length: 12", b"software: x\n"))
+    data += member((f"WARC/1.1\r\nWARC-Type: response\r\nWARC-RECORD-ID: {u(2)}\r\nWARC-Target-URI:   http://a/\r\n b\r\ncontent-type: Application/HTTP;msgtype=response\r\ncontent-length:{len(http)}", http))
+    data += gzip.compress(b"no record at all") + b"\x1f\x8b\x08 not a member"
+    data += member(
+        (f"WARC/1.1\r\nWARC-Type: request\r\nWARC-Record-ID: {u(3)}\r\nContent-Type: application/http; msgtype=request\r\nContent-Length: 18", b"GET / HTTP/1.1\r\n\r\n"),
+        (f"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: {u(4)}\r\nContent-Length: 0", b""),
+    )
+    data += member((f"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: {u(5)}\r\nWARC-Refers-To: {u(2)}\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length: 0", b""))
+    data += gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\n") + member(("WARC/1.1\r\nWARC-Type: conversion\r\nContent-Length: 3", b"abc"))
+    (tmp_path / "foreign.warc.gz").write_bytes(data)
+    manifest = spark.createDataFrame([(f"{tmp_path}/foreign.warc.gz", len(data))], "path string, size long")
+    for split in (50, 1 << 20):
+        rows = {r["record_type"]: r for r in read_warc(spark, manifest, f"file://{tmp_path}", split_bytes=split).collect()}
+        assert set(rows) == {"warcinfo", "response", "request", "metadata", "revisit", "conversion"}
+        assert bytes(rows["response"]["payload"]) == b"<p>x</p>" and rows["response"]["url"] == "http://a/ b" and rows["response"]["page_id"] is None
+        assert (rows["revisit"]["refers_to_id"], rows["revisit"]["payload_digest"], rows["revisit"]["payload_bytes"]) == (u(2), "ABC", None)
+        assert bytes(rows["conversion"]["payload"]) == b"abc" and rows["conversion"]["record_id"] is None and rows["warcinfo"]["record_id"] == u(1)
+
+
 # --- op 8 ------------------------------------------------------------------------------------------------------
 
 
+def solid_lines(text):
+    lines = (text or "").split("\n")
+    return lines, [j for j, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+
+
+def brute_prefixes(texts):
+    """{(doc, place): lines from there on that also begin at another place}."""
+    lines = {i: [ls[j] for j in solid] for i, t in texts.items() for ls, solid in [solid_lines(t)]}
+    alive, out, d = [(i, p) for i, x in lines.items() for p in range(len(x))], {}, 1
+    while alive:
+        seen = Counter(tuple(lines[i][p : p + d]) for i, p in alive)
+        alive = [(i, p) for i, p in alive if seen[tuple(lines[i][p : p + d])] > 1]
+        out |= {x: d for x in alive}
+        d += 1
+        alive = [(i, p) for i, p in alive if p + d <= len(lines[i])]
+    return out
+
+
 def brute_lines(texts, n):
-    seen, out = set(), {}
+    seen, out, common = set(), {}, brute_prefixes(texts)
     for i in sorted(texts):
-        lines = (texts[i] or "").split("\n")
-        solid = [j for j, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        lines, solid = solid_lines(texts[i])
         gone = set()
         for p in range(len(solid) - n + 1):
             run = tuple(lines[j] for j in solid[p : p + n])
@@ -391,16 +457,43 @@ def brute_lines(texts, n):
                 gone.update(solid[p : p + n])
             seen.add(run)
         kept = "\n".join(x for j, x in enumerate(lines) if j not in gone)
-        out[i] = (len(solid), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
+        longest = max([common.get((i, p), 0) for p in range(len(solid))], default=0)
+        out[i] = (len(solid), len(gone), longest, hashlib.sha256(kept.encode()).hexdigest(), kept)
     return out
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5])
-def test_line_dedup(odd, docs, n):
-    for df in (odd, docs):
+@pytest.fixture(scope="module")
+def nested(spark):
+    """Runs of many lengths inside each other."""
+    rng = random.Random(11)
+    base = [f"line {i}" for i in range(40)]
+    rows = []
+    for i in range(25):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            a = rng.randrange(40)
+            parts += base[a : a + rng.choice([1, 2, 3, 5, 8, 13])] + [f"own {i} {rng.random()}"] * rng.randint(0, 1)
+        rows.append((i, "\n".join(parts)))
+    return written(spark.createDataFrame([*rows, (30, rows[3][1]), (31, rows[3][1] + "\nlast"), (32, "z\nz\nz\nz\nz")], "doc_id long, text string"), "nested")
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8])
+def test_line_dedup(odd, docs, nested, n):
+    for df in (odd, nested) if n in (3, 8) else (odd, docs, nested):
         assert {r["doc_id"]: tuple(r)[1:] for r in line_dedup(df, min_lines=n).collect()} == brute_lines(texts_of(df), n)
 
 
+@pytest.mark.parametrize("n", [1, 4])
+def test_line_runs(nested, n):
+    texts = {}
+    for i, t in sorted(texts_of(nested).items()):
+        if t not in texts.values():
+            texts[i] = t
+    common = brute_prefixes(texts)
+    want = {(i, p, d) for (i, p), d in common.items() if d >= n and common.get((i, p - 1), 0) <= d}
+    assert {(r["doc_id"], r["place"], r["n_lines"]) for r in line_runs(nested, min_lines=n).collect()} == want
+
+
 def test_line_dedup_edges(with_nulls, empty):
     assert line_dedup(empty).collect() == []
     rows = line_dedup(with_nulls).collect()
@@ -433,7 +526,32 @@ def test_edited_fingerprints(odd, docs, bucket, monkeypatch):
 def test_edited_fingerprints_edges(with_nulls, empty):
     assert edited_fingerprints(empty).collect() == []
     rows = edited_fingerprints(with_nulls).collect()
-    assert len(rows) == with_nulls.select("doc_id", "text").distinct().count()
+    assert Counter(str(r["doc_id"]) for r in rows) == Counter(str(r["doc_id"]) for r in with_nulls.collect())
+
+
+def test_votes(spark, odd, docs):
+    """Each bit is set if more than half of the terms' hashes set it; a term votes as often as it occurs."""
+    for df in (odd, docs):
+        w = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+        t = df.select("doc_id", w.alias("w"), F.posexplode(w).alias("i", "x")).filter("i < size(w) - 1 OR size(w) = 1").withColumn("y", F.get("w", F.col("i") + 1))
+        terms = defaultdict(list)
+        for r in t.select("doc_id", F.xxhash64("x", "y").alias("a"), F.xxhash64(F.lit(1), "y", "x").alias("b")).collect():
+            terms[r["doc_id"]].append((r["a"] % (1 << 64)) << 64 | r["b"] % (1 << 64))
+        for r in edited_fingerprints(df).collect():
+            hashes = terms[r["doc_id"]]
+            want = sum(1 << j for j in range(128) if 2 * sum(h >> j & 1 for h in hashes) > len(hashes))
+            assert int(r["fingerprint"], 16) == want
+    assert len({r["fingerprint"] for r in edited_fingerprints(docs).collect()}) > 150
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 100])
+def test_id_bounds(spark, n):
+    ids = [3 * i for i in range(500)] + [7] * 200
+    bounds = id_bounds(spark.createDataFrame([(i,) for i in ids] + [(None,)], "id long"), n)
+    assert bounds == sorted(set(bounds), reverse=True) and bounds[0] == max(ids) and set(bounds) <= set(ids)
+    assert n // 3 <= len(bounds) <= 2 * n + 1
+    placed = spark.createDataFrame([(i,) for i in ids], "id long").select("id", _place_among(F.col("id"), bounds).alias("p")).distinct().collect()
+    assert all(r["p"] == sum(b >= r["id"] for b in bounds) for r in placed)
 
 
 def test_near_fingerprints(spark):
@@ -455,13 +573,33 @@ def test_near_fingerprints(spark):
 
 
 def test_grammar():
-    table = lexicon({"idiot": 0.9})
-    kinds = lambda s: [k for k, _ in matches(s.split(), table)]
-    assert kinds("you are an idiot") == ["targeted"]
-    assert kinds("the idiot ran") == ["plain"]
+    m = Matcher({"idiot": 0.9, "moron": 0.8})
+    kinds = lambda s: [k for k, _ in m.matches(s)]
+    assert kinds("You are an idiot") == ["targeted"] and kinds("the idiot that you are") == ["targeted"]
+    assert kinds("the idiot ran") == [] and kinds("the idiot ran. a dog. the idiot slept. moron!") == ["sustained", "sustained"]
+    assert kinds("idiot and moron") == ["piled"]
     assert kinds("she is not an idiot") == ["negated"]
-    assert kinds("someone said the word idiot") == ["reported"]
-    assert kinds("i will kill you") == ["targeted"] and kinds("kill time") == []
+    assert kinds("someone said the word idiot") == ["reported"] and kinds("someone said. idiot, you") == ["targeted"]
+    assert kinds("i will kill you") == ["threat"] and kinds("kill time") == [] and kinds("you kill time") == []
+    assert [w for _, w in m.matches("you moron")] == [0.8]
+
+
+def test_composition_is_one_after_the_other():
+    """What a composed table writes is what its parts write in turn, on all short inputs and on random long ones."""
+    from itertools import product
+
+    parts = [negation(), reported_speech(), clause(), sustained()]
+    whole = grammar()
+    rng = random.Random(7)
+    inputs = [list(x) for n in range(4) for x in product(whole.inputs, repeat=n)] + [rng.choices(whole.inputs, k=200) for _ in range(200)]
+    for symbols in inputs:
+        weighted = [(s, 0.5 + 0.001 * i) for i, s in enumerate(symbols)]
+        one, turn = list(whole.run(weighted)), iter(weighted)
+        for p in parts:
+            turn = iter(list(p.run(turn)))
+        assert one == list(turn)
+    halves = tabulate(0, ("a",), lambda s, x: (1 - s, "b", 0.5))
+    assert list(compose(halves, tabulate(0, ("b",), lambda s, x: (s, "c", 0.5))).run([("a", 1.0)] * 2)) == [("c", 0.25)] * 2
 
 
 def test_toxicity(spark, with_nulls, empty):
