@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranking import running_sums
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -35,23 +37,25 @@ def threshold_sweep(scores: DataFrame, thresholds: list[float], score: str = "sc
     return metrics_at_threshold(each, F.col("threshold"), ["threshold"], score, label)
 
 
-def pr_curve(scores: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """(by, threshold, tp, fp, precision, recall): one point for each distinct score.
+def pr_curve(scores: DataFrame, by: list[str], score: str = "score", label: str = "label", steps: bool = False) -> DataFrame:
+    """(by, threshold, tp, fp, precision, recall[, step]): one point for each distinct score; step is the growth of recall.
 
-    Scores are grouped before the running sums, which run within a group.
+    Scores are grouped before the running sums, which run within ranges of scores.
     """
     points = scores.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(label).alias("_p"), F.count("*").alias("_n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("threshold"))
-    whole = Window.partitionBy(*by)
-    tp, n = F.sum("_p").over(down), F.sum("_n").over(down)
-    out = points.withColumns({"tp": tp, "fp": n - tp, "_all": F.sum("_p").over(whole)})
-    return out.select(*by, "threshold", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), _ratio(F.col("tp"), F.col("_all")).alias("recall"))
+    out = running_sums(points, by, "threshold", {"tp": "_p", "_seen": "_n"})
+    hits = points.groupBy(*by).agg(F.sum("_p").alias("_hits"))
+    out = out.join(hits, by) if by else out.crossJoin(F.broadcast(hits))  # without groups one row
+    recall, step = _ratio(F.col("tp"), F.col("_hits")), _ratio(F.col("tp"), F.col("_hits")) - _ratio(F.col("tp") - F.col("_p"), F.col("_hits"))
+    return out.select(*by, "threshold", "tp", (F.col("_seen") - F.col("tp")).alias("fp"), (F.col("tp") / F.col("_seen")).alias("precision"), recall.alias("recall"), *([step.alias("step")] if steps else []))
 
 
 def average_precision(curve: DataFrame, by: list[str]) -> DataFrame:
-    """(by, average_precision): sum of precision times the step in recall, without interpolation."""
-    down = Window.partitionBy(*by).orderBy(F.desc("threshold"))
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(down), F.lit(0.0))
+    """(by, average_precision): sum of precision times the step in recall, without interpolation.
+
+    A curve without steps gets them from a window over each group's points.
+    """
+    step = F.col("step") if "step" in curve.columns else F.col("recall") - F.coalesce(F.lag("recall").over(Window.partitionBy(*by).orderBy(F.desc("threshold"))), F.lit(0.0))
     return curve.withColumn("_a", step * F.col("precision")).groupBy(*by).agg(F.sum("_a").alias("average_precision"))
 
 
@@ -67,12 +71,18 @@ def best_f1(curve: DataFrame, by: list[str]) -> DataFrame:
 def round_summary(scores: DataFrame, round_: str = "round", score: str = "score", label: str = "label", even: bool = True) -> DataFrame:
     """One row for each (even) round: average precision, and counts and measures at the threshold of the best F1."""
     s = scores.filter(F.col(round_) % 2 == 0) if even else scores
-    curve = pr_curve(s, [round_], score, label)
+    curve = pr_curve(s, [round_], score, label, steps=True)
     best = best_f1(curve, [round_]).select(round_, F.col("threshold").alias("_t"))
     m = metrics_at_threshold(s.join(best, round_), F.col("_t"), [round_, "_t"], score, label)
     return m.join(average_precision(curve, [round_]), round_).withColumnRenamed("_t", "optimal_threshold")
 
 
+def last_rounds(scores: DataFrame, n: int = 5, round_: str = "round") -> DataFrame:
+    """The rows of the last n rounds that occur."""
+    last = scores.select(round_).distinct().orderBy(F.desc(round_)).limit(n)
+    return scores.join(F.broadcast(last), round_, "left_semi")  # n rows
+
+
 def best_round(summary: DataFrame, round_: str = "round", metric: str = "average_precision", share: float = 0.95) -> DataFrame:
     """(best_round, best, convergence_round): the earliest of the best rounds, and the first within `share` of it."""
     top = F.max(metric).over(Window.partitionBy())  # one row a round

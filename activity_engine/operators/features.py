@@ -2,7 +2,8 @@
 
 A table has about 500 features, too many conditional aggregates to run over raw actions. All are additive, so actions
 are first summed by (group, act, time code, subtype): at most a few dozen rows a group, made in one pass before the
-shuffle. The features are sums over these, and means are quotients of sums.
+shuffle. These rows are summed once more by slice (block, period and sub-slice: some fifty), and the features are read
+from the slices' sums; means are quotients of sums.
 """
 
 from __future__ import annotations
@@ -93,18 +94,31 @@ def feature_table(actions: DataFrame, by: list[str], mode: str, version: str = "
     extra = extra or {}
     keyed = keyed.groupBy(*by, "act", "time", *subs).agg(*first, *[c.alias(f"_x_{n}") for n, c in extra.items()])
 
-    def total(f: Feature) -> Column:
+    # Slices: what features have in common. A row belongs to half a dozen of some fifty; slice 0 is all rows.
+    slices = {x: i for i, x in enumerate(dict.fromkeys((f.act, f.times, f.sub) for f in wanted), 1)}
+
+    def holds(act: int | None, times: tuple[int, ...] | None, sub: tuple[str, int] | None) -> str:
+        where = [f"act = {act}"] if act is not None else []
+        where += [f"time IN ({', '.join(map(str, times))})"] if times else []
+        return " AND ".join(where + ([f"{sub[0]} = {sub[1]}"] if sub else [])) or "true"
+
+    member = "array(0, " + ", ".join(f"CASE WHEN {holds(*x)} THEN {i} END" for x, i in slices.items()) + ")"
+    measures = ["_rows", *[_slot(c) for c in means], *[_slot(c, v) for c, v in counts]]
+    fold = {n: F.sum if "sum(" in str(c) else F.min if "min(" in str(c) else F.max for n, c in extra.items()}
+    # Dealt by group once, so that neither of the two groupings below moves a row.
+    dealt = keyed.repartition(*by).withColumn("_slice", F.explode(F.expr(f"filter({member}, x -> x IS NOT NULL)")))
+    cells = dealt.groupBy(*by, "_slice").agg(*[F.sum(m).alias(m) for m in measures], *[f(f"_x_{n}").alias(f"_x_{n}") for n, f in fold.items()])
+    whole = [F.max(F.when(F.col("_slice") == 0, F.col(f"_x_{n}"))).alias(n) for n in extra]
+    table = cells.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_slice", F.struct(*measures)))).alias("_cells"), *whole)
+
+    def value(f: Feature) -> Column:
         """Written as SQL: hundreds of columns are built faster from text."""
-        where = [f"act = {f.act}"] if f.act is not None else []
-        where += [f"time IN ({', '.join(map(str, f.times))})"] if f.times else []
-        where += [f"{f.sub[0]} = {f.sub[1]}"] if f.sub else []
-        part = lambda c: f"coalesce(sum(CASE WHEN {' AND '.join(where) or 'true'} THEN `{c}` END), 0)"
+        cell = f"try_element_at(_cells, {slices[f.act, f.times, f.sub]})"
         if f.kind == "mean":
-            return F.expr(f"coalesce(try_divide(CAST({part(_slot(f.column))} AS DOUBLE), {part('_rows')}), 0D) AS `{f.name}`")
-        return F.expr(f"CAST({part('_rows' if f.kind == 'n' else _slot(f.column, f.value))} AS BIGINT) AS `{f.name}`")
+            return F.expr(f"coalesce(try_divide(CAST({cell}.`{_slot(f.column)}` AS DOUBLE), {cell}.`_rows`), 0D) AS `{f.name}`")
+        return F.expr(f"coalesce({cell}.`{'_rows' if f.kind == 'n' else _slot(f.column, f.value)}`, 0L) AS `{f.name}`")
 
-    fold = {n: (F.sum if "sum(" in str(c) else F.min if "min(" in str(c) else F.max)(f"_x_{n}").alias(n) for n, c in extra.items()}
-    return keyed.groupBy(*by).agg(*fold.values(), *[total(f) for f in wanted])
+    return table.select(*by, *extra, *[value(f) for f in wanted])
 
 
 def label(insider: str = "insider", mal: str = "mal_act") -> dict[str, Column]:
@@ -136,9 +150,11 @@ def week_features(actions: DataFrame, first_sunday: str, version: str = "r4.2",
     return t.select(start.alias("starttime"), (start + 7 * 86400).alias("endtime"), "user", "week", *[F.col(f"`{n}`") for n in names], group_label().alias("insider"))
 
 
-def with_attributes(table: DataFrame, users: DataFrame, columns: list[str], user: str = "user") -> DataFrame:
-    """A feature table with its users' organisation and psychometric columns."""
-    return table.join(users.select(user, *columns), user, "left")
+def with_attributes(table: DataFrame, users: DataFrame, columns: list[str], after: str, user: str = "user") -> DataFrame:
+    """A feature table with its users' organisation and psychometric columns, placed after the column `after`."""
+    at = table.columns.index(after) + 1
+    order = [*table.columns[:at], *columns, *table.columns[at:]]
+    return table.join(users.select(user, *columns), user, "left").select(*[F.col(f"`{c}`") for c in order])
 
 
 def slice_stats(actions: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

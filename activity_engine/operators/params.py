@@ -37,6 +37,11 @@ def chain(params: DataFrame, steps: list[Callable[[DataFrame], DataFrame]]) -> D
     return params
 
 
+def chain_at_server(params: DataFrame, steps: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Undo the client's steps: the server's steps, given in the client's order, are applied from the last to the first."""
+    return chain(params, steps[::-1])
+
+
 def transport_mb(params: DataFrame, by: list[str], item_bytes: int, sparse: bool, value: str = "value") -> DataFrame:
     """(by, mb): dense is every element; sparse is an index of 4 bytes and an item for each value that isn't 0."""
     n = F.count_if(F.col(value) != 0) * (4 + item_bytes) if sparse else F.count("*") * item_bytes
@@ -59,7 +64,7 @@ def weighted_metrics(metrics: DataFrame, by: list[str], columns: list[str], n: s
 
 def sample_clients(rounds: DataFrame, clients: DataFrame, fraction: float = 0.5, least: int = 2) -> DataFrame:
     """(round, client_id): max(least, int(fraction * n)) clients of each round, ordered by a hash of both."""
-    pairs = rounds.crossJoin(F.broadcast(clients))  # every round against every client is what is sampled from
+    pairs = rounds.crossJoin(clients)  # every round against every client is what is sampled from
     order = Window.partitionBy("round").orderBy(F.md5(F.concat_ws("|", F.col("round").cast("string"), F.col("client_id").cast("string"))), "client_id")
     n = F.count("*").over(Window.partitionBy("round"))
     wanted = F.greatest(F.lit(least), F.floor(F.col("_n") * F.lit(fraction)))

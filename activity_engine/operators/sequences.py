@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import model_input
+from .ranking import chunk_of, positions
 
 
 def client_partition(df: DataFrame, user: str, clients: int) -> DataFrame:
     """(user, client_id): sorted users in `clients` chunks, larger chunks first. Ranks distinct users alone."""
-    return df.select(user).distinct().withColumn("client_id", F.ntile(clients).over(Window.orderBy(user)) - 1)
+    placed = positions(df.select(user).distinct(), [user], "_place")
+    n = placed.agg(F.count("*").alias("_n"))  # one row
+    return placed.crossJoin(F.broadcast(n)).select(user, chunk_of(F.col("_place"), F.col("_n"), clients).alias("client_id"))
 
 
 def select_features(df: DataFrame, wanted: list[str], info: list[str], absent: bool = False) -> DataFrame:

@@ -14,6 +14,14 @@ from pyspark.sql.window import Window
 from .features import feature_table, features, group_label, label
 
 
+def session_id(week, nth):
+    """week * 100000 + nth for the first 100,000 sessions of a week; the next 100,000 are that and 10**12, and so on.
+
+    Ids of different sessions differ, as long as weeks are below 10**7.
+    """
+    return F.floor(nth / 100000) * 10**12 + week.cast("long") * 100000 + nth % 100000
+
+
 def sessionize(acts: DataFrame, user: str = "user", week: str = "week", pc: str = "pcid", ts: str = "ts", order: str = "actid", act: str = "act") -> DataFrame:
     """`acts` (rows of complete sessions) with _sid, session_id, start_with, end_with, n_concurrent.
 
@@ -46,7 +54,12 @@ def sessionize(acts: DataFrame, user: str = "user", week: str = "week", pc: str
     concurrent = 1 + (F.col("_start.others") > 0).cast("int") + F.col("_end.o") - F.col("_start.o")
 
     number = a.filter("_opens").select(user, week, pc, "_sid", F.col("_end.r").alias("_at"))
-    number = number.withColumn("session_id", F.col(week) * 100000 + F.row_number().over(Window.partitionBy(week).orderBy(user, "_at", pc)) - 1).drop("_at")
+    # Numbers run through a week by user: the users' counts are summed, and each user's sessions numbered alone.
+    counts = number.groupBy(week, user).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(week).orderBy(user).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(week, user, F.coalesce(before, F.lit(0)).alias("_before"))
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy(week, user).orderBy("_at", pc)) - 1
+    number = number.join(counts, [week, user]).withColumn("session_id", session_id(F.col(week), nth)).drop("_at", "_before")
     a = a.withColumns({"start_with": F.col("_start.w"), "end_with": F.col("_end.w"), "n_concurrent": concurrent.cast("int")})
     return a.join(number, [user, week, pc, "_sid"]).drop("_r", "_i", "_other", "_pos", "_closes", "_opens", "_cut", "_o", "_c", "_next", "_end", "_start", "_sid")
 

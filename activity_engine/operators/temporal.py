@@ -5,6 +5,8 @@ Features are carried as one array in a fixed order, so that hundreds of them nee
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,10 +27,10 @@ def lag_concat(df: DataFrame, features: list[str], user: str, order: str, window
     (One row more goes than has to: rows are counted from 1 and those after `window` stay.)
     """
     w = Window.partitionBy(user).orderBy(order)
-    out = df.withColumn("_n", F.row_number().over(w))
-    lags = [F.lag(f, k).over(w).alias(f"-{k}_{f}") for k in range(window - 1, 0, -1) for f in features]
+    lags = {f"_lag{k}": F.lag(F.struct(*[F.col(f"`{f}`") for f in features]), k).over(w) for k in range(window - 1, 0, -1)}
+    out = df.withColumns({**lags, "_n": F.row_number().over(w)}).filter(F.col("_n") > window)
     info = [c for c in (keep or df.columns) if c not in features]
-    return out.select(*lags, *features, *info, "_n").filter(F.col("_n") > window).drop("_n")
+    return out.select(*[F.col(f"_lag{k}.`{f}`").alias(f"-{k}_{f}") for k in range(window - 1, 0, -1) for f in features], *features, *info)
 
 
 def _eligible(df: DataFrame, user: str, order: str, window: int) -> DataFrame:
@@ -39,20 +41,35 @@ def _trailing(user: str, order: str, window: int):
     return Window.partitionBy(user).orderBy(order).rangeBetween(-window, -1)
 
 
+def _with_history(df: DataFrame, features: list[str], user: str, order: str, window: int) -> DataFrame:
+    """Rows that have a history, with the features as array `x` and those of the keys [t - window, t - 1] as `_h`."""
+    rows = pack(df, features).withColumn("_h", F.collect_list("x").over(_trailing(user, order, window)))
+    return _eligible(rows, user, order, window).filter((F.col(order) >= F.col("_first") + window) & (F.size("_h") > 0)).drop("_first")
+
+
+def _less(df: DataFrame, features: list[str], user: str, order: str, window: int, middle: Callable[[Column], Column]) -> DataFrame:
+    """Each feature less the middle of its values in the history; values that are null don't count."""
+
+    def gap(v: Column, i: Column) -> Column:
+        return v - middle(F.filter(F.transform("_h", lambda h: F.get(h, i)), lambda y: y.isNotNull()))
+
+    rows = _with_history(df, features, user, order, window)
+    return unpack(rows.withColumn("x", F.transform("x", gap)).drop("_h"), features)
+
+
 def mean_diff(df: DataFrame, features: list[str], user: str, order: str, window: int) -> DataFrame:
     """Each feature minus its mean over the keys [t - window, t - 1]; rows with t >= first key + window and a history."""
-    frame = _trailing(user, order, window)
-    diffs = {f: F.col(f) - F.avg(f).over(frame) for f in features}
-    out = _eligible(df, user, order, window).withColumns({**diffs, "_n": F.count("*").over(frame)})
-    return out.filter((F.col(order) >= F.col("_first") + window) & (F.col("_n") > 0)).drop("_first", "_n")
+    return _less(df, features, user, order, window, lambda ys: F.try_divide(F.aggregate(ys, F.lit(0.0), lambda s, y: s + y), F.size(ys)))
 
 
 def median_diff(df: DataFrame, features: list[str], user: str, order: str, window: int) -> DataFrame:
     """As `mean_diff`, with medians."""
-    frame = _trailing(user, order, window)
-    diffs = {f: F.col(f) - F.percentile(f, F.lit(0.5)).over(frame) for f in features}
-    out = _eligible(df, user, order, window).withColumns({**diffs, "_n": F.count("*").over(frame)})
-    return out.filter((F.col(order) >= F.col("_first") + window) & (F.col("_n") > 0)).drop("_first", "_n")
+
+    def median(ys: Column) -> Column:
+        up, n = F.array_sort(ys), F.size(ys)
+        return (F.get(up, F.floor((n - 1) / 2).cast("int")) + F.get(up, F.floor(n / 2).cast("int"))) / 2
+
+    return _less(df, features, user, order, window, median)
 
 
 def percentile_of(history: Column, x: Column) -> Column:
@@ -69,9 +86,8 @@ def percentile_of(history: Column, x: Column) -> Column:
 def percentile_rank(df: DataFrame, features: list[str], user: str, order: str, window: int, originals: list[str] | None = None) -> DataFrame:
     """Each feature's percentile in the trailing history, in [-50, 50]; `originals` are copied as org_*."""
     df = df.withColumns({f"org_{c}": F.col(c) for c in originals or []})
-    rows = pack(df, features).withColumn("_h", F.collect_list("x").over(_trailing(user, order, window)))
-    rows = _eligible(rows, user, order, window).filter((F.col(order) >= F.col("_first") + window) & (F.size("_h") > 0))
-    return unpack(rows.withColumn("x", percentile_of(F.col("_h"), F.col("x"))).drop("_h", "_first"), features)
+    rows = _with_history(df, features, user, order, window)
+    return unpack(rows.withColumn("x", percentile_of(F.col("_h"), F.col("x"))).drop("_h"), features)
 
 
 def percentile_rank_weekly(df: DataFrame, features: list[str], user: str, week: str, days: int, originals: list[str] | None = None) -> DataFrame:

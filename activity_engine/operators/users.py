@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranking import positions
+
 
 def employment(snapshots: DataFrame, user: str, month: str, attributes: list[str]) -> DataFrame:
     """One row a user: attributes as first seen, `wstart` the first month, `wend` the first month of absence or null.
@@ -24,8 +26,10 @@ def employment(snapshots: DataFrame, user: str, month: str, attributes: list[str
 
 
 def with_scores(users: DataFrame, scores: DataFrame, on: str) -> DataFrame:
-    """Users with their psychometric scores, null where there are none."""
-    return users.join(scores, on, "left")
+    """Users with their psychometric scores, null where there are none; of several rows of a user the least one counts."""
+    rest = [c for c in scores.columns if c != on]
+    one = scores.groupBy(on).agg(F.min(F.struct(*rest)).alias("_s")).select(on, "_s.*")
+    return users.join(one, on, "left")
 
 
 def supervisors(users: DataFrame, user: str, name: str, supervisor_name: str) -> DataFrame:
@@ -55,7 +59,10 @@ def own_pcs(candidates: DataFrame, roles: DataFrame, user: str, role: str, admin
 
 
 def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """`df` with {column}_code: the place of the value among the column's sorted distinct values, from 0; null is UNKNOWN."""
+    """`df` with {column}_code: the place of the value among the column's sorted distinct values, from 0; null is UNKNOWN.
+
+    For columns of few values (roles, departments): the distinct ones alone are ranked, in one window.
+    """
     for c in columns:
         value = F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN"))
         codes = df.select(value.alias("_v")).distinct().withColumn(f"{c}_code", F.dense_rank().over(Window.orderBy("_v")) - 1)
@@ -63,6 +70,20 @@ def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+#: Columns of a user on the output tables: codes of the organisation (r5 and r6 have a project too), role flag, scores.
+ORGANISATION = ["role", "b_unit", "f_unit", "dept", "team"]
+ATTRIBUTES = [*ORGANISATION, "ITAdmin", "O", "C", "E", "A", "N"]
+
+
+def attributes(users: DataFrame, user: str = "user", version: str = "r4.2", admin: str = "ITAdmin") -> DataFrame:
+    """(user, codes of the organisation, ITAdmin, O, C, E, A, N): what the output tables carry of a user."""
+    names = [ORGANISATION[0], "project", *ORGANISATION[1:]] if version[1] in "56" else ORGANISATION
+    flag = F.coalesce(F.col("role") == admin, F.lit(False)).cast("int").alias("ITAdmin")
+    coded = label_codes(users.select(user, *names, flag, *"OCEAN"), names)
+    return coded.select(user, *[F.col(f"{n}_code").alias(n) for n in names], "ITAdmin", *"OCEAN")
+
+
 def user_index(users: DataFrame, user: str, start: str) -> DataFrame:
     """`users` with `user_idx`, the place in the list by first month and id, from 0."""
-    return users.withColumn("user_idx", F.dense_rank().over(Window.orderBy(start, user)) - 1)
+    placed = positions(users.select(start, user).distinct(), [start, user], "user_idx").withColumn("user_idx", F.col("user_idx").cast("int"))
+    return users.join(placed, [start, user])

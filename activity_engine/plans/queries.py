@@ -20,7 +20,7 @@ from ..operators import sequences as Q
 from ..operators import sessions as SE
 from ..operators import temporal as T
 from ..operators import users as U
-from ..sources.adapters import ACTIONS_SQL, ACTS_SQL, FIRST_SUNDAY, actions, acts, table
+from ..sources.adapters import ACTIONS_SQL, ACTS_SQL, FIRST_SUNDAY, ORG_SQL, actions, acts, org_users, table
 from ..sources.readers import unite
 from ..sources.sinks import shared_path
 from ..streaming.counts import period_counts, run_to_parquet, stream_events
@@ -82,15 +82,17 @@ def week_bucket(spark, d):
     return acts(spark, d).groupBy("week", "user").agg(F.count("*").alias("n"), F.min("actid").alias("first_act"))
 
 
-@query("""SELECT type, count(*) AS n, count(url) AS n_url, count(amount) AS n_amount, count(k) AS n_k FROM (
- SELECT 'click' AS type, event_id, props AS url, NULL AS amount, NULL AS k FROM events WHERE event_type = 'click'
- UNION ALL SELECT 'purchase', event_id, NULL, value, NULL FROM events WHERE event_type = 'purchase'
- UNION ALL SELECT 'error', event_id, NULL, NULL, 1 FROM events WHERE event_type = 'error') u GROUP BY type""")
+_KINDS = {"click": "props AS url", "purchase": "value AS amount", "error": "1 AS k", "signup": "user_id AS owner", "view": "value AS seconds"}
+_KIND_COLUMNS = [c.split()[-1] for c in _KINDS.values()]
+
+
+@query("SELECT type, count(*) AS n, " + ", ".join(f"count({c}) AS n_{c}" for c in _KIND_COLUMNS) + ", CAST(sum(event_id) AS BIGINT) AS ids FROM (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS type, event_id, " + ", ".join(e if e.endswith(f" AS {c}") else f"NULL AS {c}" for c in _KIND_COLUMNS) + f" FROM events WHERE event_type = '{t}'" for t, e in _KINDS.items()
+) + ") u GROUP BY type")
 def act_union(spark, d):
     e = table(spark, d, "events")
-    part = lambda t, *cols: e.filter(F.col("event_type") == t).select(F.lit(t).alias("type"), "event_id", *cols)
-    u = unite([part("click", F.col("props").alias("url")), part("purchase", F.col("value").alias("amount")), part("error", F.lit(1).alias("k"))])
-    return u.groupBy("type").agg(F.count("*").alias("n"), F.count("url").alias("n_url"), F.count("amount").alias("n_amount"), F.count("k").alias("n_k"))
+    u = unite([e.filter(F.col("event_type") == t).select(F.lit(t).alias("type"), "event_id", F.expr(c)) for t, c in _KINDS.items()])
+    return u.groupBy("type").agg(F.count("*").alias("n"), *[F.count(c).alias(f"n_{c}") for c in _KIND_COLUMNS], F.sum("event_id").alias("ids"))
 
 
 @query(f"WITH {ACTIONS_SQL} SELECT actid, CAST(usb_dur AS INT) AS usb_dur FROM actions WHERE act IN (3, 4)")
@@ -181,15 +183,17 @@ def label_encode(spark, d):
 # --- scalars ---------------------------------------------------------------------------------------------------
 
 
-@query("""WITH w AS (SELECT doc_id, string_split(text, ' ') AS p FROM documents), x AS (SELECT doc_id, list_filter(p[1:3], lambda a: a <> '') AS t, list_filter(p[4:5], lambda a: a <> '') AS c, list_filter(p[6:7], lambda a: a <> '') AS b FROM w)
- SELECT doc_id, CAST(len(t) + len(c) + len(b) AS INT) AS n_des, CAST(len(b) AS INT) AS n_bccdes, CAST(len(list_filter(list_concat(list_concat(t, c), b), lambda a: NOT contains(a, 'th'))) AS INT) AS n_exdes,
- CAST(len(list_filter(list_concat(list_concat(t, c), b), lambda a: NOT contains(a, 'th'))) > 0 AS INT) AS "Xemail", CAST(len(list_filter(b, lambda a: NOT contains(a, 'th'))) > 0 AS INT) AS exbccmail,
- CAST(doc_id % 3 = 0 AS INT) AS send_mail, CAST(doc_id % 3 > 0 AS INT) AS receive_mail FROM x""")
+@query("""WITH w AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS p FROM documents),
+ x AS (SELECT doc_id, list_filter(p, lambda a, i: a <> '' AND i % 3 = 1) AS t, list_filter(p, lambda a, i: a <> '' AND i % 3 = 2) AS c, list_filter(p, lambda a, i: a <> '' AND i % 3 = 0) AS b FROM w),
+ n AS (SELECT *, list_filter(list_concat(list_concat(t, c), b), lambda a: NOT contains(a, 'th')) AS o FROM x)
+ SELECT doc_id, CAST(len(t) + len(c) + len(b) AS INT) AS n_des, CAST(len(b) AS INT) AS n_bccdes, CAST(len(o) AS INT) AS n_exdes,
+ CAST(len(o) > 0 AS INT) AS "Xemail", CAST(len(list_filter(b, lambda a: NOT contains(a, 'th'))) > 0 AS INT) AS exbccmail,
+ CAST(doc_id % 3 = 0 AS INT) AS send_mail, CAST(doc_id % 3 > 0 AS INT) AS receive_mail FROM n""")
 def email_scalars(spark, d):
-    p = F.split("text", " ")
-    part = lambda a, n: S.addresses(F.replace(F.array_join(F.slice(p, a, n), "\u0001"), F.lit(";"), F.lit("%3b")), "\u0001")
+    pieces = F.split(F.coalesce("text", F.lit("")), " ")  # all pieces of the text, dealt in turn to to, cc and bcc
+    part = lambda k: S.addresses(F.replace(F.array_join(F.filter(pieces, lambda _, i: i % 3 == k), "\u0001"), F.lit(";"), F.lit("%3b")), "\u0001")
     kind = F.element_at(F.array(F.lit("Send"), F.lit("Receive"), F.lit("View")), (F.col("doc_id") % 3 + 1).cast("int"))
-    cols = S.email_counts(part(1, 3), part(4, 2), part(6, 2), "th") | S.mail_direction(kind)
+    cols = S.email_counts(part(0), part(1), part(2), "th") | S.mail_direction(kind)
     return table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in cols.items()])
 
 
@@ -289,9 +293,12 @@ def _rounded_means(df: DataFrame, mode: str, only=None) -> DataFrame:
     return r6(df, *_feature_sql(mode, only)[1])
 
 
-@query(_day_sql())
+_ORG = ", ".join(f'o."{c}"' for c in U.ATTRIBUTES)
+
+
+@query(f"""WITH {ORG_SQL}, t AS ({_day_sql()}) SELECT t.*, {_ORG} FROM t LEFT JOIN org o ON o."user" = t."user" """)
 def day_features(spark, d):
-    return _rounded_means(X.day_features(actions(spark, d)), "day")
+    return X.with_attributes(_rounded_means(X.day_features(actions(spark, d)), "day"), org_users(spark, d), U.ATTRIBUTES, "isweekend")
 
 
 @query(_day_sql(["file"]))
@@ -309,11 +316,10 @@ def http_features(spark, d):
     return _rounded_means(X.day_features(actions(spark, d), only=["http"]), "day", ["http"])
 
 
-@query(f"""WITH {ACTIONS_SQL}, w AS (SELECT "user", week, {", ".join(_feature_sql("week")[0])}, {_LABEL_SQL} FROM actions WHERE week >= 1 GROUP BY "user", week)
- SELECT CAST(epoch(DATE '2023-12-31' + 7 * week) AS BIGINT) AS starttime, CAST(epoch(DATE '2023-12-31' + 7 * week) + 604800 AS BIGINT) AS endtime, w.*, c.c_nationkey AS dept FROM w LEFT JOIN customer c ON c.c_custkey = w."user" """)
+@query(f"""WITH {ORG_SQL}, {ACTIONS_SQL}, w AS (SELECT "user", week, {", ".join(_feature_sql("week")[0])}, {_LABEL_SQL} FROM actions WHERE week >= 1 GROUP BY "user", week)
+ SELECT CAST(epoch(DATE '2023-12-31' + 7 * week) AS BIGINT) AS starttime, CAST(epoch(DATE '2023-12-31' + 7 * week) + 604800 AS BIGINT) AS endtime, w.*, {_ORG} FROM w LEFT JOIN org o ON o."user" = w."user" """)
 def week_features(spark, d):
-    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user"), F.col("c_nationkey").alias("dept"))
-    return X.with_attributes(_rounded_means(X.week_features(actions(spark, d), FIRST_SUNDAY), "week"), users, ["dept"])
+    return X.with_attributes(_rounded_means(X.week_features(actions(spark, d), FIRST_SUNDAY), "week"), org_users(spark, d), U.ATTRIBUTES, "week")
 
 
 @query(f"""WITH {ACTS_SQL} SELECT "user", act, min(k) AS min_k, max(k) AS max_k, round(median(k), 6) AS med_k, round(avg(k), 6) AS mean_k, round(stddev_pop(k), 6) AS std_k FROM acts GROUP BY "user", act""")
@@ -377,15 +383,16 @@ def subsessions_nact(spark, d):
     return c.groupBy(F.col("session_id").cast("long").alias("session_id"), "chunk", "end_with").agg(F.count("*").alias("n_acts"), F.min("actid").alias("first_act"))
 
 
-@query(f"""WITH {_SESSIONS_SQL} SELECT CAST(min(floor(epoch(ts))) AS BIGINT) AS starttime, CAST(max(floor(epoch(ts))) AS BIGINT) AS endtime, "user", CAST(session_id AS BIGINT) AS sessionid, CAST(arg_min(day, r) AS INT) AS day, week, CAST(arg_min(pc, r) AS INT) AS pc,
+@query(f"""WITH {ORG_SQL}, {_SESSIONS_SQL}, t AS (SELECT CAST(min(floor(epoch(ts))) AS BIGINT) AS starttime, CAST(max(floor(epoch(ts))) AS BIGINT) AS endtime, "user", CAST(session_id AS BIGINT) AS sessionid, CAST(arg_min(day, r) AS INT) AS day, week, CAST(arg_min(pc, r) AS INT) AS pc,
  round(avg((time = 1)::INT), 6) AS isworkhour, round(avg((time = 2)::INT), 6) AS isafterhour, round(avg((time = 3)::INT), 6) AS isweekend, round(avg((time = 4)::INT), 6) AS isweekendafterhour, count(DISTINCT day) AS n_days,
  round((max(floor(epoch(ts))) - min(floor(epoch(ts)))) / 60.0, 6) AS duration, CAST(n_concurrent AS INT) AS n_concurrent_sessions, CAST(start_with AS INT) AS start_with, CAST(end_with AS INT) AS end_with,
  round(hour(min(ts)) + minute(min(ts)) / 60.0, 6) AS ses_start, round(hour(max(ts)) + minute(max(ts)) / 60.0, 6) AS ses_end, {", ".join(_feature_sql("session")[0])}, {_LABEL_SQL}
- FROM srows GROUP BY "user", session_id, week, n_concurrent, start_with, end_with""")
+ FROM srows GROUP BY "user", session_id, week, n_concurrent, start_with, end_with) SELECT t.*, {_ORG} FROM t LEFT JOIN org o ON o."user" = t."user" """)
 def session_features(spark, d):
     t = SE.session_features(SE.sessionize(actions(spark, d)))
     t = t.withColumns({"sessionid": F.col("sessionid").cast("long")})
-    return _rounded_means(r6(t, "isworkhour", "isafterhour", "isweekend", "isweekendafterhour", "duration", "ses_start", "ses_end"), "session")
+    t = _rounded_means(r6(t, "isworkhour", "isafterhour", "isweekend", "isweekendafterhour", "duration", "ses_start", "ses_end"), "session")
+    return X.with_attributes(t, org_users(spark, d), U.ATTRIBUTES, "ses_end")
 
 
 # --- trailing history ------------------------------------------------------------------------------------------
@@ -463,7 +470,7 @@ _WINDOWS_SQL = _SCALED_SQL + """, starts AS (SELECT "user", day AS start, client
  hats AS (SELECT client_id, feature, avg(x) AS xhat FROM cells GROUP BY client_id, feature),
  errs AS (SELECT c."user", c.client_id, c.start, c.feature, avg((c.x - h.xhat) * (c.x - h.xhat)) AS err, avg(abs(c.x - h.xhat)) AS aerr FROM cells c JOIN hats h USING (client_id, feature) GROUP BY c."user", c.client_id, c.start, c.feature),
  calib AS (SELECT client_id, feature, avg(err) AS mean, stddev_pop(err) AS std FROM errs GROUP BY client_id, feature),
- zs AS (SELECT e."user", e.start, greatest((e.err - coalesce(k.mean, 0.02)) / (coalesce(k.std, 0.05) + 1e-6), 0) AS z FROM errs e LEFT JOIN (SELECT * FROM calib WHERE client_id < 4) k USING (client_id, feature)),
+ zs AS (SELECT e."user", e.start, greatest((e.err - coalesce(k.mean, 0.02)) / (coalesce(k.std, 0.05) + 1e-6), 0) AS z FROM errs e LEFT JOIN calib k USING (client_id, feature)),
  wscore AS (SELECT "user", start, avg(z) FILTER (WHERE k <= 2) * (1 + count(*) FILTER (WHERE z > 2) / CAST(count(*) AS DOUBLE)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY "user", start ORDER BY z DESC) AS k FROM zs) x GROUP BY "user", start),
  truth AS (SELECT "user", CAST(max((insider <> 0)::INT) AS INT) AS bad FROM days GROUP BY "user"),
  uscore AS (SELECT t."user", coalesce(avg(score), 0) AS max_z_score, t.bad AS is_actual_insider FROM truth t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, start) AS k FROM wscore) w ON w."user" = t."user" AND k <= 3 GROUP BY t."user", t.bad)"""
@@ -538,7 +545,7 @@ def calibration(spark, d):
 
 def _window_scores(spark, d):
     errs = C.errors(_recon(spark, d), _KEYS)
-    calib = C.calibration(errs, ["client_id"]).filter("client_id < 4")  # the last client has no statistics: the default
+    calib = C.calibration(errs, ["client_id"])
     return C.window_scores(errs, calib, ["user", "start"], ["client_id"], top=2)
 
 
@@ -561,7 +568,7 @@ _TRIM_SQL = _WINDOWS_SQL + """, trim AS (SELECT feature, avg(aerr) AS mean, stdd
 
 def _central(spark, d):
     errs = C.errors(_recon(spark, d), _KEYS, absolute=True)
-    trim = C.trimmed_stats(errs, ["user", "start"])
+    trim = C.trimmed_stats(errs)
     plain = C.window_scores(errs, trim, ["user", "start"], [], top=2, diversity=False)
     return errs, trim, plain.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
 
@@ -657,7 +664,7 @@ def pr_curve(spark, d):
 
 @query(f"WITH {_ONE} SELECT round(average_precision, 6) AS average_precision FROM ap")
 def average_precision(spark, d):
-    return r6(E.average_precision(E.pr_curve(_scores(spark, d), []), []), "average_precision")
+    return r6(E.average_precision(E.pr_curve(_scores(spark, d), [], steps=True), []), "average_precision")
 
 
 @query(f"WITH {_ONE} SELECT threshold, round(f1, 6) AS f1 FROM best")
@@ -745,9 +752,12 @@ def param_average(spark, d):
     return r6(P.average(p, ["round", "layer", "pos"]), "value")
 
 
-@query("""WITH m AS (SELECT vec_id % 3 AS round, CAST(embedding[1] AS DOUBLE) AS loss, CAST(embedding[2] AS DOUBLE) AS mae, 1 + vec_id % 7 AS n FROM embeddings) SELECT round, round(sum(loss * n) / sum(n), 6) AS loss, round(sum(mae * n) / sum(n), 6) AS mae FROM m GROUP BY round""")
+@query("""WITH m AS (SELECT vec_id, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings) e),
+ c AS (SELECT vec_id % 3 AS round, 1 + vec_id % 7 AS n, avg(v * v) AS loss, avg(abs(v)) AS mae FROM m GROUP BY vec_id)
+ SELECT round, round(sum(loss * n) / sum(n), 6) AS loss, round(sum(mae * n) / sum(n), 6) AS mae FROM c GROUP BY round""")
 def weighted_metrics(spark, d):
-    m = table(spark, d, "embeddings").select((F.col("vec_id") % 3).alias("round"), F.get("embedding", F.lit(0)).cast("double").alias("loss"), F.get("embedding", F.lit(1)).cast("double").alias("mae"), (1 + F.col("vec_id") % 7).alias("n"))
+    mean = lambda f: F.aggregate("embedding", F.lit(0.0), lambda s, v: s + f(v.cast("double"))) / F.size("embedding")
+    m = table(spark, d, "embeddings").select((F.col("vec_id") % 3).alias("round"), mean(lambda v: v * v).alias("loss"), mean(F.abs).alias("mae"), (1 + F.col("vec_id") % 7).alias("n"))
     return r6(P.weighted_metrics(m, ["round"], ["loss", "mae"], "n"), "loss", "mae")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import time_code
 from ..operators.actions import usb_duration
+from ..operators.users import attributes
 
 FIRST_MONDAY, FIRST_SUNDAY = "2024-01-01", "2023-12-31"
 
@@ -50,6 +51,21 @@ STATS = {
 }
 
 
+def org_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`customer` as users with organisation and psychometric scores."""
+    k = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    scores = [(k % n).cast("int").alias(c) for c, n in zip("OCEAN", (50, 43, 37, 31, 29), strict=True)]
+    org = [F.col("c_mktsegment").alias("role"), text(F.col("c_nationkey")).alias("b_unit"), text(k % 4).alias("f_unit"), text(k % 11).alias("dept"), text(k % 17).alias("team")]
+    return attributes(table(spark, sf_dir, "customer").select(k.alias("user"), *org, *scores), admin="MACHINERY")
+
+
+ORG_SQL = """org AS (SELECT c_custkey AS "user", """ + ", ".join(
+    f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INT) AS {n}"
+    for n, c in (("role", "c_mktsegment"), ("b_unit", "CAST(c_nationkey AS VARCHAR)"), ("f_unit", "CAST(c_custkey % 4 AS VARCHAR)"), ("dept", "CAST(c_custkey % 11 AS VARCHAR)"), ("team", "CAST(c_custkey % 17 AS VARCHAR)"))
+) + """, CAST(c_mktsegment = 'MACHINERY' AS INT) AS "ITAdmin", """ + ", ".join(f'CAST(c_custkey % {n} AS INT) AS "{c}"' for c, n in zip("OCEAN", (50, 43, 37, 31, 29), strict=True)) + " FROM customer)"
+
+
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric action rows: `acts` with time code, pc code, usb duration, statistics and labels."""
     a = usb_duration(acts(spark, sf_dir).withColumn("time", time_code(F.col("ts"))), ["week", "user", "pcid"])

@@ -54,10 +54,26 @@ def read_insiders(spark: SparkSession, path: str, version: str) -> DataFrame:
     return raw.select(F.col("scenario").cast("int").alias("scenario"), "details", "user", time(start).alias("mstart"), time(F.col("end")).alias("mend"))
 
 
+def read_index_answers(spark: SparkSession, folder: str, insiders: DataFrame, version: str) -> DataFrame:
+    """(user, actid, details) of the detail files that the index of one version names, each for its own user alone.
+
+    Files lie in a folder for each scenario in r4.2 and r5.2, and beside each other in the other versions.
+    """
+    named = insiders.select("scenario", "details").distinct().collect()  # a row an insider
+    places = sorted({f"{folder}/r{version[1:]}-{r['scenario']}/{r['details']}" if version in ("r4.2", "r5.2") else f"{folder}/{r['details']}" for r in named})
+    if not places:
+        return spark.createDataFrame([], "user string, actid string, details string")
+    return _details(spark.read.text(places)).join(insiders.select("user", "details").distinct(), ["user", "details"]).select("user", "actid", "details")
+
+
 def read_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """(user, actid, details) of ragged, headerless detail files: the fields after the type are id, date and user."""
+    """(user, actid, details) of all detail files under a folder."""
+    return _details(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder))
+
+
+def _details(raw: DataFrame) -> DataFrame:
+    """Lines are ragged and have no header: the fields after the type are id, date and user."""
     parts = F.split(F.regexp_replace("value", '"', ""), ",")
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
     return raw.select(F.trim(F.get(parts, F.lit(3))).alias("user"), F.trim(F.get(parts, F.lit(1))).alias("actid"), file_name().alias("details")).filter("user IS NOT NULL AND actid <> ''")
 
 

@@ -10,6 +10,8 @@ from activity_engine.operators import actions as A
 from activity_engine.operators import evaluate as E
 from activity_engine.operators import features as X
 from activity_engine.operators import params as P
+from activity_engine.operators import ranking as R
+from activity_engine.operators import scoring as C
 from activity_engine.operators import sequences as Q
 from activity_engine.operators import sessions as SE
 from activity_engine.operators import temporal as T
@@ -163,3 +165,116 @@ def test_clients_and_sequences(spark):
     assert sizes == [3, 3, 3, 2, 2]
     assert [r["start"] for r in Q.sequences(df, ["x"], "user", "day", 14, 5).orderBy("start").collect()] == [0, 5]
     assert Q.select_features(df, [], ["user", "day"]).columns == ["user", "day", "x"]
+
+
+def test_session_ids_of_a_large_week(spark):
+    """More sessions in a week than its range of ids: none clashes, also not with the next week's."""
+    one = spark.range(100_050).select(F.col("id").alias("actid"), F.col("id").alias("user"), F.lit(1).alias("week"))
+    two = spark.range(30).select((F.col("id") + 1_000_000).alias("actid"), F.col("id").alias("user"), F.lit(2).alias("week"))
+    acts = one.union(two).select("actid", "user", "week", F.lit("p").alias("pcid"), F.lit(dt.datetime(2024, 1, 1)).alias("ts"), F.explode(F.array(F.lit(1), F.lit(2))).alias("act"))
+    acts = acts.withColumn("actid", 2 * F.col("actid") + F.col("act"))
+    rows = SE.sessionize(acts)
+    got = rows.groupBy("session_id").agg(F.count_distinct("user", "week").alias("n"), F.min("week").alias("week"))
+    assert got.filter("n > 1").count() == 0 and got.count() == 100_080
+    ids = [r["session_id"] for r in got.filter("week = 1").collect()]
+    assert sorted(ids)[:100_000] == list(range(100_000, 200_000)) and sorted(ids)[100_000:] == [10**12 + 100_000 + i for i in range(50)]
+    assert sorted(r["session_id"] for r in got.filter("week = 2").collect()) == list(range(200_000, 200_030))
+
+
+def test_positions_and_running_sums(spark):
+    rng = random.Random(4)
+    values = [(rng.choice("ab"), i, rng.randint(0, 9)) for i in rng.sample(range(5000), 700)]
+    df = spark.createDataFrame(values, "g string, k int, v int")
+    order = sorted(values, key=lambda r: r[1])
+    assert {r["k"]: r["p"] for r in R.positions(df, ["k"], "p").collect()} == {k: i for i, (_, k, _) in enumerate(order)}
+    for by in ([], ["g"]):
+        want, run = {}, {}
+        for g, k, v in reversed(order):
+            run[g if by else ""] = run.get(g if by else "", 0) + v
+            want[k] = run[g if by else ""]
+        assert {r["k"]: r["s"] for r in R.running_sums(df, by, "k", {"s": "v"}).collect()} == want
+    for n, chunks in ((10, 3), (7, 7), (3, 5), (100, 1), (11, 4)):
+        sizes = [n // chunks + (i < n % chunks) for i in range(chunks)]
+        want = [i for i, size in enumerate(sizes) for _ in range(size)]
+        got = spark.range(n).select(R.chunk_of(F.col("id"), F.lit(n), chunks).alias("c")).collect()
+        assert [r["c"] for r in got] == want
+
+
+def test_trimmed_stats(spark):
+    import numpy as np
+
+    rng = random.Random(9)
+    data = {"smooth": [rng.random() for _ in range(3000)], "ties": [float(rng.choice([0, 0, 0, 1, 5])) for _ in range(2000)], "same": [2.0] * 500, "few": [1.0, 2.0, 30.0]}
+    df = spark.createDataFrame([(f, x) for f, xs in data.items() for x in xs], "feature string, err double")
+    for top in (0.01, 0.3):
+        got = {r["feature"]: (r["mean"], r["std"]) for r in C.trimmed_stats(df, top).collect()}
+        for f, xs in data.items():
+            kept = sorted(xs)[: int(len(xs) * (1 - top))]
+            assert np.allclose(got[f], (np.mean(kept), np.std(kept)), atol=1e-9), f
+
+
+def test_default_calibration(spark):
+    """A client without statistics is scored by the default mean and deviation."""
+    errs = spark.createDataFrame([("u", 1, 0, "f", 0.12), ("v", 1, 1, "f", 0.12)], "user string, start int, client_id int, feature string, err double")
+    calib = spark.createDataFrame([(0, "f", 0.1, 0.01)], "client_id int, feature string, mean double, std double")
+    got = {r["user"]: r["score"] for r in C.window_scores(errs, calib, ["user", "start"], ["client_id"], diversity=False).collect()}
+    assert abs(got["u"] - 0.02 / (0.01 + 1e-6)) < 1e-9 and abs(got["v"] - 0.1 / (0.05 + 1e-6)) < 1e-9
+
+
+def test_parameters_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=200).astype(np.float32)
+    df = spark.createDataFrame([(0, 0, i % 2, i, float(v)) for i, v in enumerate(x)], "round int, client_id int, layer int, idx int, value float")
+    half = {r["idx"]: r["value"] for r in P.quantize(df).collect()}
+    assert half == {i: float(np.float32(np.float16(v))) for i, v in enumerate(x)}
+    steps = [lambda p: P.topk_sparsify(p, ["round", "client_id", "layer"], 0.05), P.quantize]
+    got = {r["idx"]: r["value"] for r in P.chain(df, steps).collect()}
+    want = {}
+    for layer in (0, 1):
+        idx = np.arange(layer, 200, 2)
+        top = set(idx[np.argsort(-np.abs(x[idx]), kind="stable")[:5]])
+        want |= {int(i): half[i] if i in top else 0.0 for i in idx}
+    assert got == want
+    add, double = (lambda p: p.withColumn("value", F.col("value") + 1)), (lambda p: p.withColumn("value", F.col("value") * 2))
+    one = spark.createDataFrame([(3.0,)], "value double")
+    assert P.chain(one, [add, double]).first()[0] == 8 and P.chain_at_server(one, [add, double]).first()[0] == 7
+
+
+def test_pca_against_numpy(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(60, 4)) @ np.diag([5.0, 2.0, 1.0, 0.1])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double, d double")
+    centre = x.mean(axis=0)
+    axes = np.linalg.svd(x - centre, full_matrices=False)[2][:2]
+    want = centre + (x - centre) @ axes.T @ axes
+    for r in C.pca_reconstruction(df, list("abcd"), 2).collect():
+        assert np.allclose(r["xhat"], want[r["id"]], atol=1e-8) and np.allclose(r["x"], x[r["id"]])
+
+
+def test_scores_of_users_and_last_rounds(spark):
+    users = spark.createDataFrame([("a",), ("b",)], "user string")
+    scores = spark.createDataFrame([("a", 2, 5), ("a", 1, 9), ("c", 3, 3)], "user string, O int, C int")
+    assert sorted(map(tuple, U.with_scores(users, scores, "user").collect())) == [("a", 1, 9), ("b", None, None)]
+    rounds = spark.createDataFrame([(i % 8, i) for i in range(20)], "round int, x int")
+    assert {r["round"] for r in E.last_rounds(rounds).collect()} == {3, 4, 5, 6, 7}
+
+
+def test_stream_goes_on(spark, tmp_path):
+    """Two batches by one path: counts grow, state is kept, and a row after the watermark is left out."""
+    from activity_engine.streaming.counts import period_counts, run_to_parquet, stream_events
+
+    def put(name, *rows):
+        df = spark.createDataFrame([(u, dt.datetime.fromisoformat(t)) for u, t in rows], "user_id long, ts timestamp")
+        df.toPandas().astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "in" / name)
+
+    (tmp_path / "in").mkdir()
+    run = lambda: {(r["user_id"], str(r["start"])[:10]): r["n"] for r in run_to_parquet(period_counts(stream_events(spark, str(tmp_path / "in"), "*.parquet"), "user_id", "ts"), f"file://{tmp_path}/out").collect()}
+    put("a.parquet", (1, "2024-01-01"), (1, "2024-01-02"), (2, "2024-01-03"))
+    assert run() == {(1, "2023-12-31"): 2, (2, "2023-12-31"): 1}
+    put("b.parquet", (1, "2024-01-06"), (1, "2024-02-20"))
+    assert run() == {(1, "2023-12-31"): 3, (2, "2023-12-31"): 1, (1, "2024-02-18"): 1}
+    put("c.parquet", (1, "2024-01-04"), (2, "2024-02-20"))
+    assert run() == {(1, "2023-12-31"): 3, (2, "2023-12-31"): 1, (1, "2024-02-18"): 1, (2, "2024-02-18"): 1}
