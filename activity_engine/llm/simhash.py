@@ -109,11 +109,12 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return once.select("bucket", "guest", "id", "h", "text", rows.alias("rows"), follow("id"), follow("h"), follow("text")).filter("NOT guest").drop("guest")
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return (doc id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+    """Return (doc id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near).
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of
-    the next document by descending id, the first after the last. Equal texts have equal fingerprints; texts without
+    the next document by descending id, the first after the last. n_near is how many other fingerprints of the table's
+    texts differ from the document's in `radius` bits or fewer, by a search of all in permuted block tables. Equal texts have equal fingerprints; texts without
     words have fingerprint 0. Null texts count as empty; texts of any length are read whole; a table of one row follows
     itself; rows that repeat id and text are one document and give equal rows; rows with a null id have no next document:
     their edited text loses its last half and near_next is null. Empty tables give no rows. Other columns are ignored,
@@ -135,15 +136,20 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return left.join(right, F.col(by[0]).eqNullSafe(F.col("r_id")) & (F.col(by[1]) == F.col("r_h")), how).drop("r_id", "r_h")
 
     out = joined(joined(facts, 0, ("id", "h"), "o", "inner"), 1, ("id", "h"), "e", "inner")
-    out = joined(out, 0, ("next_id", "next_h"), "n", "left").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    out = joined(out, 0, ("next_id", "next_h"), "n", "left")
+    pairs = near_fingerprints(prints.filter("which = 0"), radius)
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("f1"), F.col("a2").alias("f2")), F.struct(F.col("b1").alias("f1"), F.col("b2").alias("f2")))).alias("f")).select("f.*")
+    near = written(ends.groupBy("f1", "f2").agg(F.count("*").alias("n_near")), "near-fingerprints")
+    out = out.join(near, (F.col("o1") == F.col("f1")) & (F.col("o2") == F.col("f2")), "left").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return out.select(
         F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), fingerprint_text("o1", "o2").alias("fingerprint"),
         fingerprint_text("e1", "e2").alias("edited_fingerprint"), likeness("o1", "o2", "e1", "e2").alias("near_edited"), likeness("o1", "o2", "n1", "n2").alias("near_next"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
 def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """Pairs (a1, a2, b1, b2, distance) of different fingerprints (f1, f2) whose distance is at most `radius`, each once.
+    """All pairs (a1, a2, b1, b2, distance) of different fingerprints (f1, f2) whose distance is at most `radius`, each once.
 
     The 128 bits are cut into radius + 2 blocks; two fingerprints within the radius agree on at least two of them, so
     each table keeps one choice of two blocks as its key. Copies of a fingerprint fall together first. Null and
@@ -155,7 +161,7 @@ def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
     bits = F.concat(F.lpad(F.bin("f1"), 64, "0"), F.lpad(F.bin("f2"), 64, "0"))
     one = prints.select("f1", "f2").dropna().distinct().withColumn("bits", bits)
     part = lambda i: F.substring("bits", bounds[i][0] + 1, bounds[i][1] - bounds[i][0])
-    tables = F.array(*[F.concat(F.lit(f"{i},{j},"), part(i), part(j)) for i, j in combinations(range(blocks), 2)])
+    tables = F.array(*[F.xxhash64(F.lit(i), F.lit(j), part(i), part(j)) for i, j in combinations(range(blocks), 2)])
     keyed = one.select("f1", "f2", F.explode(tables).alias("key"))
     pairs = keyed.toDF("a1", "a2", "key").join(keyed.toDF("b1", "b2", "key"), "key").filter("struct(a1, a2) < struct(b1, b2)")
     distance = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))

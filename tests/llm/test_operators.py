@@ -519,6 +519,7 @@ def test_edited_fingerprints(odd, docs, bucket, monkeypatch):
             assert (r["n_chars"], r["edited_sha256"]) == (len(t[i]), hashlib.sha256(edited.encode()).hexdigest())
             prints[t[i]].add(r["fingerprint"])
             near = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 128
+            assert r["n_near"] == sum(0 < (int(r["fingerprint"], 16) ^ int(x, 16)).bit_count() <= 3 for x in {y["fingerprint"] for y in rows.values()})
             assert r["near_edited"] == near(r["fingerprint"], r["edited_fingerprint"]) and r["near_next"] == near(r["fingerprint"], rows[after]["fingerprint"])
         assert all(len(x) == 1 for x in prints.values())
 
