@@ -534,7 +534,8 @@ def test_votes(spark, odd, docs):
     """Each bit is set if more than half of the terms' hashes set it; a term votes as often as it occurs."""
     for df in (odd, docs):
         w = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-        t = df.select("doc_id", w.alias("w"), F.posexplode(w).alias("i", "x")).filter("i < size(w) - 1 OR size(w) = 1").withColumn("y", F.get("w", F.col("i") + 1))
+        pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.struct(F.get("w", i).alias("x"), F.get("w", i + 1).alias("y")))
+        t = df.select("doc_id", w.alias("w")).filter("size(w) > 0").select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.*")
         terms = defaultdict(list)
         for r in t.select("doc_id", F.xxhash64("x", "y").alias("a"), F.xxhash64(F.lit(1), "y", "x").alias("b")).collect():
             terms[r["doc_id"]].append((r["a"] % (1 << 64)) << 64 | r["b"] % (1 << 64))
