@@ -13,7 +13,8 @@ of weighted arcs, and `compose` makes one table of two:
 
 A text's score is the noisy-or of its matches: 1 - (1 - floor) * prod(1 - weight * class weight). A weight is the
 share of toxic texts among the contexts in which training rows hold the word, shrunk to a prior; class weights are
-learned the same way. The word lists are priors; words of any language are learned beside them.
+learned the same way. The word lists are priors; words of any language, and stems of words that occur in many forms, are
+learned beside them.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ CLASS_PRIORS = {"threat": 1.0, "targeted": 1.0, "piled": 0.95, "sustained": 0.95
 CLASS_PRIOR_ROWS, SEED_PRIOR, SEED_PRIOR_ROWS, LEARNED_PRIOR_ROWS = 8.0, 0.9, 6.0, 2.0
 #: Labelled rows that training uses, and what makes a word of theirs an insult: toxic contexts, and their share.
 MAX_TRAINING_ROWS, MIN_CONTEXTS, MIN_WEIGHT = 20_000, 6, 0.7
+#: Stems are the first letters of at least so many words, which then count in all their forms.
+STEM_LETTERS, STEM_WORDS = (4, 5, 6, 7, 8), 5
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _TOKEN_OR_STOP = re.compile(_TOKEN.pattern + r"|[.!?;:\n]+")
@@ -170,19 +173,34 @@ def lexicon(weights: dict[str, float]) -> dict[str, tuple[str, float]]:
 
 
 class Matcher:
-    """Finds the matches of a text. The lexicon has one state, so it is composed with the grammar as the text is read."""
+    """Finds the matches of a text. The lexicon has one state, so it is composed with the grammar as the text is read.
+
+    A weight of a word that ends in * is that of all longer words which begin so; a word's own weight goes before it.
+    """
 
     def __init__(self, weights: dict[str, float]):
-        self.table, self.grammar = lexicon(weights), grammar()
+        self.table, self.grammar = lexicon({w: p for w, p in weights.items() if w[-1] != "*"}), grammar()
+        self.stems = {w[:-1]: ("insult", p) for w, p in weights.items() if w[-1] == "*"}
+        self.lengths = sorted({len(x) for x in self.stems})
         self.hot = {w for w, (symbol, _) in self.table.items() if symbol in ("insult", "threat")}
 
+    def symbol(self, token: str) -> tuple[str, float]:
+        found = self.table.get(token)
+        for n in self.lengths if found is None else ():
+            if len(token) > n and token[:n] in self.stems:
+                return self.stems[token[:n]]
+        return found or ("other", 1.0)
+
+    def is_hot(self, tokens: set[str]) -> bool:
+        return not self.hot.isdisjoint(tokens) or any(not self.stems.keys().isdisjoint([t[:n] for t in tokens]) for n in self.lengths)
+
     def matches(self, text: str) -> list[tuple[str, float]]:
         """The (class, weight) of each match."""
         low = text.lower()
-        if self.hot.isdisjoint(_TOKEN.findall(low)):
+        if not self.is_hot(set(_TOKEN.findall(low))):
             return []
-        table, other, stop = self.table, ("other", 1.0), ("stop", 1.0)
-        return list(self.grammar.run(stop if t[0] in _STOPS else table.get(t, other) for t in _TOKEN_OR_STOP.findall(low)))
+        symbol, stop = self.symbol, ("stop", 1.0)
+        return list(self.grammar.run(stop if t[0] in _STOPS else symbol(t) for t in _TOKEN_OR_STOP.findall(low)))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +237,7 @@ def held_out(id_column):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """Learn weights from labelled rows that aren't held out, at most about MAX_TRAINING_ROWS of them, chosen by a hash.
 
-    Every word that passes MIN_CONTEXTS and MIN_WEIGHT is learned; the training rows bound their number. Conflicting labels of one id count as toxic. Without labels the priors alone are the model.
+    Every word and stem that passes MIN_CONTEXTS and MIN_WEIGHT is learned; the training rows bound their number. Conflicting labels of one id count as toxic. Without labels the priors alone are the model.
     """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna().filter(~held_out(F.col("id")))
     marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -237,6 +255,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = seen.filter(f"c1 >= {MIN_CONTEXTS}").filter(weight >= MIN_WEIGHT).filter(~F.col("word").isin(seeds) & (F.length("word") > 2))
     learned = {r["word"]: r["w"] for r in counts.select("word", weight.alias("w")).collect()}
     known = {r["word"]: (r["c1"], r["c0"]) for r in seen.filter(F.col("word").isin(seeds)).collect()}
+    # Stems: what many forms of a word have in common, from the counts of the words; shorter ones stand for longer ones.
+    forms = F.filter(F.array(*[F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_LETTERS]), lambda x: x.isNotNull())
+    stems = seen.select(F.explode(forms).alias("stem"), "c1", "c0").groupBy("stem").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"), F.count_if(F.col("c1") > 0).alias("n"))
+    found = {r["stem"]: r["w"] for r in stems.filter(f"c1 >= {MIN_CONTEXTS} AND n >= {STEM_WORDS}").filter(weight >= MIN_WEIGHT).select("stem", weight.alias("w")).collect()}
+    learned |= {f"{x}*": w for x, w in found.items() if not any(x[:n] in found for n in STEM_LETTERS if n < len(x))}
     weights = learned | {w: (known.get(w, (0, 0))[0] + SEED_PRIOR * SEED_PRIOR_ROWS) / (sum(known.get(w, (0, 0))) + SEED_PRIOR_ROWS) for w in seeds}
 
     kinds = rows.mapInArrow(_strongest(weights), "kind string, toxic int").groupBy("kind").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()

@@ -584,6 +584,8 @@ def test_grammar():
     assert kinds("someone said the word idiot") == ["reported"] and kinds("someone said. idiot, you") == ["targeted"]
     assert kinds("i will kill you") == ["threat"] and kinds("kill time") == [] and kinds("you kill time") == []
     assert [w for _, w in m.matches("you moron")] == [0.8]
+    stems = Matcher({"scum": 0.9, "scumm*": 0.7, "dumm*": 0.75})
+    assert [w for _, w in stems.matches("you scum! you scummy dummer dumm")] == [0.9, 0.7, 0.75]
 
 
 def test_composition_is_one_after_the_other():
