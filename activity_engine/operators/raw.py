@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from .actions import label_actions, pc_codes, usb_duration
 
+# Fixed value: the mail domain of the organisation.
 DOMAIN = "dtaa.com"
 
 

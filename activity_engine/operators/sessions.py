@@ -53,15 +53,14 @@ def sessionize(acts: DataFrame, user: str = "user", week: str = "week", pc: str
     a = a.withColumn("_start", start).filter("_end IS NOT NULL")
     concurrent = 1 + (F.col("_start.others") > 0).cast("int") + F.col("_end.o") - F.col("_start.o")
 
-    number = a.filter("_opens").select(user, week, pc, "_sid", F.col("_end.r").alias("_at"))
-    # Numbers run through a week by user: the users' counts are summed, and each user's sessions numbered alone.
-    counts = number.groupBy(week, user).agg(F.count("*").alias("_n"))
+    # Numbers run through a week by user: each user's sessions are numbered by where they end, and the users' counts summed.
+    a = a.withColumn("_nth", F.dense_rank().over(Window.partitionBy(user, week).orderBy(F.col("_end.r"), pc)) - 1)
+    counts = a.groupBy(user, week).agg((F.max("_nth") + 1).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(week).orderBy(user).rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(week, user, F.coalesce(before, F.lit(0)).alias("_before"))
-    nth = F.col("_before") + F.row_number().over(Window.partitionBy(week, user).orderBy("_at", pc)) - 1
-    number = number.join(counts, [week, user]).withColumn("session_id", session_id(F.col(week), nth)).drop("_at", "_before")
+    counts = counts.select(user, week, F.coalesce(before, F.lit(0)).alias("_before"))
     a = a.withColumns({"start_with": F.col("_start.w"), "end_with": F.col("_end.w"), "n_concurrent": concurrent.cast("int")})
-    return a.join(number, [user, week, pc, "_sid"]).drop("_r", "_i", "_other", "_pos", "_closes", "_opens", "_cut", "_o", "_c", "_next", "_end", "_start", "_sid")
+    a = a.join(counts, [user, week]).withColumn("session_id", session_id(F.col(week), F.col("_before") + F.col("_nth")))
+    return a.drop("_nth", "_before", "_r", "_i", "_other", "_pos", "_closes", "_opens", "_cut", "_o", "_c", "_next", "_end", "_start", "_sid")
 
 
 def session_table(rows: DataFrame) -> DataFrame:
