@@ -86,7 +86,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     base = base.withColumn("sha", F.sha1("payload"))
     first = base.filter(F.length("payload") >= min_revisit_bytes).groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("sha", "last")
-    first = written(first, "payloads")  # a table, so that AQE can split a payload that very many pages have
+    # A table, so that AQE can split a payload that very many pages have; it grows with the pages: never a broadcast.
+    first = written(first, "payloads").hint("merge")
     rows = base.join(first, "sha", "left").select("id", "url", "payload", F.when(F.col("id") < F.col("last"), F.col("last")).alias("refers_to"), "sha")
     rows = rows.mapInArrow(_digests, "id long, url string, payload binary, refers_to long, digest string")
     return written(rows.mapInArrow(_writer(folder, file_bytes), "path string, size long"), "manifest")
