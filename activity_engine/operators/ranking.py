@@ -6,6 +6,8 @@ ranges are summed up (a few hundred rows), and windows run within a range.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,15 +17,17 @@ from ..sources.sinks import shared_path
 RANGES = 256
 
 
-def positions(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    df.write.parquet(path := shared_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def positions(df: DataFrame, order: list[str], name: str, store: Callable[[DataFrame, str], DataFrame] = _kept) -> DataFrame:
     """`df` with `name` long, each row's place by `order` from 0; equal rows take places in any order.
 
-    The ranges are Spark's own; they are written, as they may fall otherwise when they are made anew.
+    The ranges are Spark's own; `store` writes them, as they may fall otherwise when they are made anew.
     """
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    ranged.write.parquet(path := shared_path(spark, "ranges"))
-    ranged = spark.read.schema(ranged.schema).parquet(path)
+    ranged = store(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
