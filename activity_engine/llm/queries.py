@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import new_path
 from .decontaminate import contamination
 from .line_dedup import line_dedup
+from .merkle import merkle_manifest, tampered, verified
 from .mixing import mixture
 from .near_dedup import near_duplicates
 from .oracles import SQL as SQL
@@ -16,6 +17,8 @@ from .simhash import edited_fingerprints
 from .substring_dedup import substring_dedup
 from .tokens import token_counts
 from .toxicity import toxicity
+from .trie import placed_turns, prefix_trie, rebuilt
+from .url_filters import rule_table, url_verdicts
 from .warc import warc_round_trip
 
 
@@ -68,10 +71,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return verified(merkle_manifest(docs, now=tampered(docs))).withColumnRenamed("id", "doc_id")
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"), rule_table(spark))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt(placed_turns(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_sharding, op3_decontamination, op4_token_counts, op5_substring_dedup,
         op6_mixing, op7_warc, op8_line_dedup, op9_fingerprints, op10_toxicity,
+        op11_merkle_manifest, op12_url_filters, op13_conversation_trie,
     )
 }
