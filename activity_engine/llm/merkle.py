@@ -3,8 +3,9 @@
 1. Every row is a leaf: the digest of its fields. Leaves of a tree stand in the order of an id; places come from ranges.
 2. Levels are built from the leaves up, each an eighth of the one below. A node row holds its children's digests, its own,
    and the row above it with its place there; rows of all levels are one written table.
-3. A recursive query climbs from each leaf: it joins the row above, appends the other children's digests to the leaf's
-   proof, and folds its own digest with them, until there is no row above. What it arrives at must be the root.
+3. A recursive query climbs from each leaf: each step joins the row above, appends the other children's digests as one
+   more row of the leaf's proof, and folds its own digest with them, until there is no row above. What it arrives at must
+   be the root. A step's row has that step's digests alone, so that proofs don't grow from step to step.
 
 Near the root few rows meet all leaves: both sides of that join are shuffled as they are, so that AQE can split it.
 Digests travel as 32 bytes; they are hashed as hexadecimal text.
@@ -24,14 +25,14 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 RUN = 8
 _TOP = -1
 
-_CLIMB = """WITH RECURSIVE climb (leaf_no, id, leaf, tree, level, run, place, subroot, folded, proof) AS (
-  SELECT leaf_no, id, leaf, tree, level, run, place, subroot, now, X'' FROM {leaves}
+_CLIMB = """WITH RECURSIVE climb (leaf_no, step, id, leaf, tree, level, run, place, subroot, folded, beside) AS (
+  SELECT leaf_no, 0, id, leaf, tree, level, run, place, subroot, now, X'' FROM {leaves}
   UNION ALL
-  SELECT c.leaf_no, c.id, c.leaf, n.up_tree, n.up_level, n.up_run, n.up_place, coalesce(c.subroot, n.subroot),
+  SELECT c.leaf_no, c.step + 1, CAST(NULL AS {id}), CAST(NULL AS BINARY), n.up_tree, n.up_level, n.up_run, n.up_place, n.subroot,
     unhex(sha2(lower(hex(concat(substring(n.children, 1, 32 * c.place), c.folded, substring(n.children, 32 * c.place + 33)))), 256)),
-    concat(c.proof, substring(n.children, 1, 32 * c.place), substring(n.children, 32 * c.place + 33))
+    concat(substring(n.children, 1, 32 * c.place), substring(n.children, 32 * c.place + 33))
   FROM climb c JOIN {nodes} n ON c.tree = n.tree AND c.level = n.level AND c.run = n.run)
-SELECT leaf_no, id, leaf, subroot, folded, proof FROM climb WHERE tree IS NULL LIMIT ALL"""
+SELECT leaf_no, step, id, leaf, subroot, folded, beside FROM climb LIMIT ALL"""
 
 
 @dataclass(frozen=True)
@@ -138,9 +139,12 @@ def verified(manifest: Manifest) -> DataFrame:
     folded_root is what the leaf's present digest comes to on that way; verified says whether that is the root.
     """
     spark = manifest.leaves.sparkSession
-    climbed = spark.sql(_CLIMB, leaves=manifest.leaves, nodes=manifest.nodes)
+    climbed = spark.sql(_CLIMB.replace("{id}", manifest.leaves.schema["id"].dataType.simpleString()), leaves=manifest.leaves, nodes=manifest.nodes)
+    way = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", "beside"))), lambda s: hexadecimal(s["beside"])), "")
+    facts = [F.max(c).alias(c) for c in ("id", "leaf", "subroot")]
+    climbed = climbed.groupBy("leaf_no").agg(*facts, F.max(F.struct("step", "folded"))["folded"].alias("folded"), way.alias("way"))
     root, folded = F.lit(manifest.root), hexadecimal(F.col("folded"))
-    proof = F.sha2(F.encode(hexadecimal(F.col("proof")), "UTF-8"), 256).alias("proof_sha256")
+    proof = F.sha2(F.encode("way", "UTF-8"), 256).alias("proof_sha256")
     return climbed.select("id", hexadecimal(F.col("leaf")).alias("leaf"), hexadecimal(F.col("subroot")).alias("subroot"), root.alias("root"), proof, folded.alias("folded_root"), (folded == root).alias("verified"))
 
 
