@@ -1,26 +1,17 @@
 """A user's periods against that user's own trailing history.
 
-Features are carried as one array in a fixed order, so that hundreds of them need one window frame.
+Features are carried as one array in a fixed order, so that hundreds of them need one pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def pack(df: DataFrame, features: list[str], name: str = "x") -> DataFrame:
-    """`df` with the features as one array of doubles, in the order given."""
-    return df.withColumn(name, F.array(*[F.col(f"`{f}`").cast("double") for f in features])).drop(*features)
-
-
-def unpack(df: DataFrame, features: list[str], name: str = "x", prefix: str = "") -> DataFrame:
-    return df.select(*[c for c in df.columns if c != name], *[F.element_at(name, i + 1).alias(f"{prefix}{f}") for i, f in enumerate(features)])
-
-
 def lag_concat(df: DataFrame, features: list[str], user: str, order: str, window: int = 3, keep: list[str] | None = None) -> DataFrame:
     """Each row beside the features of the `window` - 1 rows before it, as -k_feature; the first `window` rows of a user go.
 
@@ -33,61 +24,138 @@ def lag_concat(df: DataFrame, features: list[str], user: str, order: str, window
     return out.select(*[F.col(f"_lag{k}.`{f}`").alias(f"-{k}_{f}") for k in range(window - 1, 0, -1) for f in features], *features, *info)
 
 
-def _eligible(df: DataFrame, user: str, order: str, window: int) -> DataFrame:
-    return df.withColumn("_first", F.min(order).over(Window.partitionBy(user)))
+#: Keys in a range, the unit of work.
+RANGE = 256
 
 
-def _trailing(user: str, order: str, window: int):
-    return Window.partitionBy(user).orderBy(order).rangeBetween(-window, -1)
+class Sliding:
+    """Columns of numbers that enter and leave a window: how many are less than a value, and the k-th smallest.
 
+    A Fenwick tree for each column, all in one array, over the ranks of the values that can ever enter. Every step takes
+    log2(number of values) array operations over all columns, whatever the window's length. NaN is never in the window.
+    """
 
-def _with_history(df: DataFrame, features: list[str], user: str, order: str, window: int) -> DataFrame:
-    """Rows that have a history, with the features as array `x` and those of the keys [t - window, t - 1] as `_h`."""
-    rows = pack(df, features).withColumn("_h", F.collect_list("x").over(_trailing(user, order, window)))
-    return _eligible(rows, user, order, window).filter((F.col(order) >= F.col("_first") + window) & (F.size("_h") > 0)).drop("_first")
-
-
-def _less(df: DataFrame, features: list[str], user: str, order: str, window: int, middle: Callable[[Column], Column]) -> DataFrame:
-    """Each feature less the middle of its values in the history; values that are null don't count."""
-
-    def gap(v: Column, i: Column) -> Column:
-        return v - middle(F.filter(F.transform("_h", lambda h: F.get(h, i)), lambda y: y.isNotNull()))
-
-    rows = _with_history(df, features, user, order, window)
-    return unpack(rows.withColumn("x", F.transform("x", gap)).drop("_h"), features)
+    def __init__(self, values: np.ndarray):
+        n, width = values.shape
+        self.values, order = np.sort(values, axis=0), np.argsort(values, axis=0, kind="stable")
+        new = np.ones((n, width), bool)
+        new[1:] = self.values[1:] != self.values[:-1]
+        rank = np.cumsum(new, axis=0)  # from 1; equal values share one
+        self.rank = np.empty((n, width), np.int64)
+        np.put_along_axis(self.rank, order, rank, axis=0)
+        self.rank[np.isnan(values)] = 0
+        self.first = np.zeros((n + 2, width))  # of each rank, its value
+        np.put_along_axis(self.first, rank, self.values, axis=0)
+        self.bits = max(1, int(n).bit_length())
+        self.tree, self.columns = np.zeros(((1 << self.bits) + 1, width), np.int64), np.arange(width)
+        self.size = np.zeros(width, np.int64)
+
+    def add(self, row: int, by: int) -> None:
+        at = self.rank[row].copy()
+        inside = at > 0
+        self.size += by * inside
+        last = len(self.tree) - 1
+        while inside.any():
+            self.tree[at[inside], self.columns[inside]] += by
+            at[inside] += at[inside] & -at[inside]
+            inside = inside & (at <= last)
+
+    def up_to(self, ranks: np.ndarray) -> np.ndarray:
+        """How many values in the window have these ranks or less."""
+        at, out = ranks.copy(), np.zeros(len(ranks), np.int64)
+        while (at > 0).any():
+            out += np.where(at > 0, self.tree[at, self.columns], 0)
+            at -= at & -at
+        return out
+
+    def smallest(self, k: np.ndarray) -> np.ndarray:
+        """The k-th smallest value of each column, from 0; k is less than its size."""
+        at, left = np.zeros(len(k), np.int64), k.copy()
+        for b in range(self.bits, -1, -1):
+            to = at + (1 << b)
+            here = np.where(to < len(self.tree), self.tree[np.minimum(to, len(self.tree) - 1), self.columns], np.iinfo(np.int64).max)
+            go = here <= left
+            at, left = np.where(go, to, at), left - np.where(go, here, 0)
+        return self.first[np.minimum(at + 1, len(self.first) - 1), self.columns]
+
+
+def _median(s: Sliding, x: np.ndarray) -> np.ndarray:
+    some = s.size > 0
+    low, high = np.where(some, (s.size - 1) // 2, 0), np.where(some, s.size // 2, 0)
+    return np.where(some, x - (s.smallest(low) + s.smallest(high)) / 2, np.nan)
+
+
+def _percentile(s: Sliding, row: int, rows: int) -> np.ndarray:
+    rank = s.rank[row]
+    twice = s.up_to(np.maximum(rank - 1, 0)) + s.up_to(rank)
+    return np.where(rank > 0, twice * 50.0 / rows - 50, -50.0)
+
+
+def _trailing(df: DataFrame, features: list[str], user: str, order: str, window: int, find: str) -> DataFrame:
+    """`df` with each feature compared to its values at the user's keys [t - window, t - 1]; rows without history go.
+
+    Rows come by user, cut into ranges of RANGE keys; each range has the `window` keys before it as well. In a range rows
+    enter the window and leave it once, in the order of their keys: memory is that of a range, and neither a row nor a
+    range's work grows with the features' number times the window. A null or NaN counts as no value; a null key has no
+    history.
+    """
+    keep = [c for c in df.columns if c not in features]
+    x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+    first = F.min(order).over(Window.partitionBy(user))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("keep"), F.col(user).alias("who"), F.col(order).cast("long").alias("t"), x.alias("x"), first.cast("long").alias("first"))
+    ranges = F.sequence(F.floor(F.col("t") / RANGE), F.floor((F.col("t") + window) / RANGE))
+    rows = rows.withColumn("part", F.explode(ranges))
+
+    def slide(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        t, part = table["t"].to_numpy(), table["part"][0].as_py()
+        flat = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x = np.asarray(flat, np.float64).reshape(len(t), len(features))
+        own = (t // RANGE == part) & (t >= table["first"].to_numpy() + window)
+        low, high = np.searchsorted(t, t - window, "left"), np.searchsorted(t, t, "left")
+        hit, out, lo, hi = np.flatnonzero(own & (high > low)), np.full(x.shape, np.nan), 0, 0
+        s = Sliding(x) if find != "mean" else None
+        for i in hit:
+            a, b = int(low[i]), int(high[i])
+            if s is None:
+                h = x[a:b]
+                n = (~np.isnan(h)).sum(axis=0)
+                out[i] = np.where(n > 0, x[i] - np.nansum(h, axis=0) / np.maximum(n, 1), np.nan)
+                continue
+            for j in range(lo, min(a, hi)):
+                s.add(j, -1)
+            for j in range(max(hi, a), b):
+                s.add(j, 1)
+            lo, hi = a, b
+            out[i] = _median(s, x[i]) if find == "median" else _percentile(s, i, b - a)
+        values = pa.array(out[hit].ravel(), from_pandas=True)
+        lists = pa.ListArray.from_arrays(np.arange(0, len(values) + 1, len(features), dtype=np.int32), values)
+        kept = table["keep"].combine_chunks().take(pa.array(hit))
+        kept = pa.StructArray.from_arrays(kept.flatten(), fields=[f.with_nullable(True) for f in kept.type])
+        return pa.table({"keep": kept, "x": lists})
+
+    kind = rows.schema["keep"].dataType.simpleString()
+    out = rows.groupBy("who", "part").applyInArrow(slide, f"keep {kind}, x array<double>")
+    return out.select(*[F.col(f"keep.`{c}`").alias(c) for c in keep], *[F.get("x", F.lit(i)).alias(f) for i, f in enumerate(features)]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def mean_diff(df: DataFrame, features: list[str], user: str, order: str, window: int) -> DataFrame:
     """Each feature minus its mean over the keys [t - window, t - 1]; rows with t >= first key + window and a history."""
-    return _less(df, features, user, order, window, lambda ys: F.try_divide(F.aggregate(ys, F.lit(0.0), lambda s, y: s + y), F.size(ys)))
+    return _trailing(df, features, user, order, window, "mean")
 
 
 def median_diff(df: DataFrame, features: list[str], user: str, order: str, window: int) -> DataFrame:
     """As `mean_diff`, with medians."""
-
-    def median(ys: Column) -> Column:
-        up, n = F.array_sort(ys), F.size(ys)
-        return (F.get(up, F.floor((n - 1) / 2).cast("int")) + F.get(up, F.floor(n / 2).cast("int"))) / 2
-
-    return _less(df, features, user, order, window, median)
-
-
-def percentile_of(history: Column, x: Column) -> Column:
-    """For each i, (share of rows below x[i] + share at or below it) / 2 * 100 - 50."""
-    n = F.size(history)
-
-    def rank(v: Column, i: Column) -> Column:
-        twice = F.aggregate(history, F.lit(0), lambda s, h: s + F.when(F.get(h, i) < v, 2).when(F.get(h, i) == v, 1).otherwise(0))
-        return twice * 50.0 / n - 50
-
-    return F.transform(x, rank)
+    return _trailing(df, features, user, order, window, "median")
 
 
 def percentile_rank(df: DataFrame, features: list[str], user: str, order: str, window: int, originals: list[str] | None = None) -> DataFrame:
-    """Each feature's percentile in the trailing history, in [-50, 50]; `originals` are copied as org_*."""
+    """Each feature's percentile in the trailing history, in [-50, 50]; `originals` are copied as org_*.
+
+    It is (share of rows below the value + share at or below it) / 2 * 100 - 50.
+    """
     df = df.withColumns({f"org_{c}": F.col(c) for c in originals or []})
-    rows = _with_history(df, features, user, order, window)
-    return unpack(rows.withColumn("x", percentile_of(F.col("_h"), F.col("x"))).drop("_h"), features)
+    return _trailing(df, features, user, order, window, "percentile")
 
 
 def percentile_rank_weekly(df: DataFrame, features: list[str], user: str, week: str, days: int, originals: list[str] | None = None) -> DataFrame:

@@ -18,11 +18,12 @@ from ..operators import params as P
 from ..operators import scoring as C
 from ..operators import sequences as Q
 from ..operators import sessions as SE
+from ..operators import statistics as ST
 from ..operators import temporal as T
 from ..operators import users as U
 from ..sources.adapters import ACTIONS_SQL, ACTS_SQL, FIRST_SUNDAY, ORG_SQL, actions, acts, org_users, table
-from ..sources.readers import unite
-from ..sources.sinks import shared_path
+from ..sources.readers import read_weeks, unite
+from ..sources.sinks import shared_path, write_by_week
 from ..streaming.counts import period_counts, run_to_parquet, stream_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -301,6 +302,25 @@ def day_features(spark, d):
     return X.with_attributes(_rounded_means(X.day_features(actions(spark, d)), "day"), org_users(spark, d), U.ATTRIBUTES, "isweekend")
 
 
+def _statistics_sql(mode: str) -> list[str]:
+    """The columns of `_feature_sql` with five statistics for each mean."""
+    out, calls = [], dict(zip(ST.STATISTICS, ("min", "max", "median", "avg", "stddev_pop"), strict=True))
+    for f, column in zip(X.features(mode), _feature_sql(mode)[0], strict=True):
+        if f.kind == "mean":
+            where = column[column.index("FILTER") : column.index(", 6), 0)")]
+            out += [f'coalesce(round({call}({f.column}) {where}, 6), 0) AS "{n}"' for call, n in zip(calls.values(), ST.statistic_names(f), strict=True)]
+        else:
+            out.append(column)
+    return out
+
+
+@query(f"""WITH {ACTIONS_SQL} SELECT "user", day, {", ".join(_statistics_sql("day"))} FROM actions GROUP BY "user", day""")
+def day_statistics(spark, d):
+    a = actions(spark, d)
+    t = ST.with_statistics(X.feature_table(a, ["user", "day"], "day"), a, ["user", "day"], "day")
+    return r6(t, *[n for f in X.features("day") if f.kind == "mean" for n in ST.statistic_names(f)])
+
+
 @query(_day_sql(["file"]))
 def file_features(spark, d):
     return _rounded_means(X.day_features(actions(spark, d), only=["file"]), "day", ["file"])
@@ -449,6 +469,29 @@ def percentile_rank_week(spark, d):
     return r6(T.percentile_rank_weekly(days(spark, d, "week"), _DAYS, "user", "week", 14, ["n"]), *_DAYS)
 
 
+_WIDE = [f.name for f in X.features("day")]
+_SHIFTS_SQL = f"""{ACTIONS_SQL}, shifts AS (SELECT "user", CAST(day * 4 + hour(ts) // 6 AS INT) AS shift, {", ".join(_feature_sql("day")[0])} FROM actions GROUP BY "user", CAST(day * 4 + hour(ts) // 6 AS INT)),
+ f AS (SELECT *, min(shift) OVER (PARTITION BY "user") AS s0 FROM shifts)"""
+
+
+def _shifts(spark, d):
+    """All features of the day table for each user and quarter of a day."""
+    a = actions(spark, d).withColumn("shift", (F.col("day") * 4 + F.floor(F.hour("ts") / 6)).cast("int"))
+    return _rounded_means(X.feature_table(a, ["user", "shift"], "day"), "day")
+
+
+@query(f"""WITH {_SHIFTS_SQL} SELECT a."user", a.shift, {", ".join(f'round((count(*) FILTER (WHERE h."{c}" < a."{c}") + count(*) FILTER (WHERE h."{c}" <= a."{c}")) * 50.0 / count(*) - 50, 6) AS "{c}"' for c in _WIDE)}
+ FROM f a JOIN f h ON a."user" = h."user" AND h.shift BETWEEN a.shift - 30 AND a.shift - 1 WHERE a.shift >= a.s0 + 30 GROUP BY a."user", a.shift""")
+def percentile_rank_wide(spark, d):
+    return r6(T.percentile_rank(_shifts(spark, d), _WIDE, "user", "shift", 30), *_WIDE)
+
+
+@query(f"""WITH {_SHIFTS_SQL} SELECT a."user", a.shift, {", ".join(f'round(any_value(a."{c}") - median(h."{c}"), 6) AS "{c}"' for c in _WIDE)}
+ FROM f a JOIN f h ON a."user" = h."user" AND h.shift BETWEEN a.shift - 30 AND a.shift - 1 WHERE a.shift >= a.s0 + 30 GROUP BY a."user", a.shift""")
+def median_diff_wide(spark, d):
+    return r6(T.median_diff(_shifts(spark, d), _WIDE, "user", "shift", 30), *_WIDE)
+
+
 def flagship(spark, d):
     """Users by the mean size of their daily features' percentile ranks against their own week before."""
     size = sum((F.abs(F.col(f)) for f in _DAYS), F.lit(0.0)) / len(_DAYS)
@@ -728,12 +771,16 @@ def topk_sparsify(spark, d):
     return t.groupBy(*_GROUP).agg(F.count_if(F.col("value") != 0).alias("n_kept"), F.round(F.sum(F.col("value").cast("double")), 6).alias("total"), F.min(F.when(F.col("value") != 0, F.col("idx"))).alias("first_kept"))
 
 
-@query()
+_HALF = f"""CAST(CASE WHEN value = 0 OR isnan(value) THEN value WHEN abs(value) >= 65520 THEN CAST('inf' AS DOUBLE) * sign(value)
+ ELSE sign(value) * round_even(abs(value::DOUBLE) / ({P.quantum("abs(value::DOUBLE)")}), 0) * ({P.quantum("abs(value::DOUBLE)")}) END AS FLOAT)"""
+
+
+@query(f"WITH {_PARAMS_SQL} SELECT round, client_id, layer, idx, {_HALF} AS value FROM params")
 def quantize(spark, d):
     return P.quantize(params(spark, d)).select(*_GROUP, "idx", "value")
 
 
-@query()
+@query(f"WITH {_TOPK_SQL} SELECT round, client_id, layer, idx, {_HALF} AS value FROM topk")
 def topk_quant_chain(spark, d):
     steps = [lambda p: P.topk_sparsify(p, _GROUP, 0.05), P.quantize]
     return P.chain(params(spark, d), steps).select(*_GROUP, "idx", "value")
@@ -761,14 +808,33 @@ def weighted_metrics(spark, d):
     return r6(P.weighted_metrics(m, ["round"], ["loss", "mae"], "n"), "loss", "mae")
 
 
-@query("""WITH r AS (SELECT DISTINCT vec_id % 10 AS round FROM embeddings), c AS (SELECT DISTINCT vec_id % 9 AS client_id FROM embeddings),
- x AS (SELECT round, client_id, row_number() OVER (PARTITION BY round ORDER BY md5(CAST(round AS VARCHAR) || '|' || CAST(client_id AS VARCHAR)), client_id) AS k, count(*) OVER (PARTITION BY round) AS n FROM r, c)
- SELECT round, client_id FROM x WHERE k <= greatest(2, floor(n * 0.5))""")
+_ROUND_HASH = "CAST('0x' || substr(md5('round ' || CAST(round AS VARCHAR)), {}, 8) AS BIGINT)"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT vec_id % 10 AS round FROM embeddings),
+ c AS (SELECT client_id, row_number() OVER (ORDER BY md5(CAST(client_id AS VARCHAR)), client_id) - 1 AS place FROM (SELECT DISTINCT vec_id % 9 AS client_id FROM embeddings) x),
+ n AS (SELECT count(*) AS n, list_filter({P.STRIDES}, lambda s: count(*) % s <> 0) AS free FROM c),
+ t AS (SELECT round, ({_ROUND_HASH.format(1)} + k * free[CAST(1 + {_ROUND_HASH.format(9)} % len(free) AS INT)]) % n AS place FROM r, n, LATERAL (SELECT unnest(range(0, CAST(least(n, greatest(2, floor(n * 0.5))) AS INT))) AS k) u)
+ SELECT round, client_id FROM t JOIN c USING (place)""")
 def client_sample(spark, d):
     e = table(spark, d, "embeddings")
     return P.sample_clients(e.select((F.col("vec_id") % 10).alias("round")).distinct(), e.select((F.col("vec_id") % 9).alias("client_id")).distinct())
 
 
+# --- increments ------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {ACTS_SQL} SELECT actid, "user", act, k, CAST(week AS INT) AS week FROM acts WHERE week BETWEEN 1 AND 3""")
+def weekly_increments(spark, d):
+    """Two halves and the second once more; what is read back are the weeks 1 to 3 of the whole."""
+    a = acts(spark, d).select("actid", "user", "act", "k", "week")
+    path = shared_path(spark, "weeks")
+    write_by_week(a.filter("week < 2"), path)
+    for _ in range(2):
+        write_by_week(a.filter("week >= 2"), path)
+    return read_weeks(spark, path, 1, 3)
+
+
 # --- streaming -------------------------------------------------------------------------------------------------
 
 

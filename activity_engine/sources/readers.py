@@ -22,6 +22,11 @@ def read_log(spark: SparkSession, path: str, version: str, activity: str) -> Dat
     return raw.withColumn("type", F.lit(activity)).withColumn("ts", F.try_to_timestamp("date", F.lit(DATE_FORMAT)))
 
 
+def read_weeks(spark: SparkSession, path: str, first: int, last: int, week: str = "week") -> DataFrame:
+    """The weeks from `first` to `last` of what `write_by_week` wrote; other weeks' folders aren't opened."""
+    return spark.read.parquet(path).filter(F.col(week).between(first, last))
+
+
 def unite(frames: list[DataFrame]) -> DataFrame:
     """All rows of frames with unlike columns; absent values are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

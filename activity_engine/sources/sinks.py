@@ -1,4 +1,4 @@
-"""Writers. All overwrite, so that a rerun doesn't repeat rows."""
+"""Writers. All overwrite what they write anew, so that a rerun doesn't repeat rows."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def write_by_week(df: DataFrame, path: str, week: str = "week") -> None:
-    """One folder for each week: later reads of a few weeks open only those."""
-    df.repartition(week).write.mode("overwrite").partitionBy(week).parquet(path)
+    """One folder for each week: the weeks of `df` are replaced, other weeks at `path` stay. Later reads open theirs alone."""
+    df.repartition(week).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(week).parquet(path)
 
 
 def write_representation(df: DataFrame, folder: str, name: str, representation: str, window: int) -> str:

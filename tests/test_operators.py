@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from activity_engine.functions import scalars as S
@@ -278,3 +280,123 @@ def test_stream_goes_on(spark, tmp_path):
     assert run() == {(1, "2023-12-31"): 3, (2, "2023-12-31"): 1, (1, "2024-02-18"): 1}
     put("c.parquet", (1, "2024-01-04"), (2, "2024-02-20"))
     assert run() == {(1, "2023-12-31"): 3, (2, "2023-12-31"): 1, (1, "2024-02-18"): 1, (2, "2024-02-18"): 1}
+
+
+# --- selection, rounding, samples ------------------------------------------------------------------------------
+
+
+def test_kth_largest(spark):
+    from activity_engine.operators.selection import comparable, kth_largest
+
+    rng = random.Random(3)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(3000)], "b": [5.0] * 50, "c": [rng.choice([1.0, 2.0, 1e-300, -1e300, float("inf"), float("nan"), None]) for _ in range(400)], "d": [7.0], "e": [2.0**-k for k in range(1000)]}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").withColumn("key", comparable(F.col("v")))
+    for k in (1, 37, 10_000):
+        got = {r["g"]: r for r in kth_largest(rows, ["g"], "key", F.lit(k)).collect()}
+        for g, vs in groups.items():
+            keys = sorted((-1e308 if v is None else 1e308 if v != v else max(-1e308, min(1e308, v)) for v in vs), reverse=True)
+            at = min(k, len(keys)) - 1
+            assert got[g]["cut"] == keys[at]
+            assert got[g]["wanted"] == at + 1 - sum(x > keys[at] for x in keys) and got[g]["equal"] == keys.count(keys[at])
+
+
+def test_topk_of_one_large_layer(spark):
+    """Nearly all rows in one layer, many of them tied at the cut: no window sees the layer, ties go by idx."""
+    rng = random.Random(5)
+    values = [(1, i, rng.choice([-3.0, 3.0, 2.0, 1.0])) for i in range(20_000)] + [(2, 0, 1.0), (2, 1, None), (3, 0, float("nan"))]
+    df = spark.createDataFrame(values, "layer int, idx long, value float")
+    out = P.topk_sparsify(df, ["layer"], 0.3)
+    got = {(r["layer"], r["idx"]): r["value"] for r in out.collect()}
+    want = sorted((v for v in values if v[0] == 1), key=lambda v: (-abs(v[2]), v[1]))
+    assert {(1, v[1]): v[2] for v in want[:6000]} | {(1, v[1]): 0.0 for v in want[6000:]} == {k: v for k, v in got.items() if k[0] == 1}
+    assert got[2, 0] == 1.0 and got[2, 1] == 0.0 and got[3, 0] != got[3, 0]
+    assert "row_number" not in out._jdf.queryExecution().toString()
+
+
+def test_half_precision_is_numpys(spark):
+    edge = [0.0, -0.0, 1.0, 65504.0, 65519.9, 65520.0, -65520.0, 1e30, 2.0**-14, 2.0**-24, 2.0**-25, 2.0**-25 * 1.0001, 3 * 2.0**-25, -(2.0**-26), float("inf"), float("-inf"), 2049.0, 2051.0, 1 + 2.0**-11, 1 + 3 * 2.0**-11]
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.array(edge), rng.normal(size=20_000) * 10.0 ** rng.integers(-9, 6, 20_000)]).astype("float32")
+    with np.errstate(over="ignore"):
+        want = x.astype("float16").astype("float32")
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(-1, float("nan")), (-2, None)], "i long, value float")
+    got = {r["i"]: r["value"] for r in P.quantize(df).collect()}
+    have = np.array([got[i] for i in range(len(x))], "float32")
+    assert (have == want).all() and (np.signbit(have) == np.signbit(want)).all()
+    assert got[-1] != got[-1] and got[-2] is None
+    assert "Arrow" not in P.quantize(df)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 10, 1009])
+def test_client_samples(spark, n):
+    rounds = spark.createDataFrame([(r,) for r in range(40)], "round long")
+    df = P.sample_clients(rounds, spark.range(n).withColumnRenamed("id", "client_id"), 0.4)
+    got = [tuple(r) for r in df.select("round", "client_id").collect()]
+    assert len(got) == len(set(got)) == 40 * min(n, max(2, int(n * 0.4)))
+    plan = df._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    if n == 10:
+        assert len({frozenset(c for r, c in got if r == k) for k in range(40)}) > 10 and {c for _, c in got} == set(range(10))
+
+
+# --- full statistics, long histories ---------------------------------------------------------------------------
+
+
+def test_order_statistics(spark):
+    from activity_engine.operators.statistics import order_statistics
+
+    rng = random.Random(2)
+    cells = {(1, 0): [float(rng.randrange(-50, 1000)) for _ in range(999)], (1, 1): [0.0], (2, 0): [1e9 + rng.random() for _ in range(300)], (2, 1): [-1.5, 2.0, 2.0, 1e-5], (3, 7): [4.0] * 1000}
+    rows = spark.createDataFrame([(g, c, v, 1 + i % 3) for (g, c), vs in cells.items() for i, v in enumerate(vs)], "g int, c int, v double, n long")
+    got = {(r["g"], r["c"]): r for r in order_statistics(rows, ["g"], ["c"]).collect()}
+    for key, vs in cells.items():
+        x = np.repeat(vs, [1 + i % 3 for i in range(len(vs))])
+        want = [x.min(), x.max(), np.median(x), x.mean(), x.std()]
+        assert [got[key][s] for s in ("min", "max", "med", "mean", "std")] == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_statistics_table(spark):
+    """Five columns in the place of each mean, in the reference's order; empty slices are 0, null values don't count."""
+    from activity_engine.operators.statistics import with_statistics
+
+    feature_table, features = X.feature_table, X.features
+
+    rows = [(1, 0, 7, 1, 2, 10 * k, k, 3) for k in range(1, 5)] + [(1, 0, 7, 2, 1, None, 9, 3), (1, 0, 1, 1, None, None, None, None)]
+    a = spark.createDataFrame(rows, "user int, day int, act int, time int, file_type int, file_len int, file_depth int, file_nwords int")
+    a = a.withColumns({"disk": F.lit(0), "pc": F.lit(0)})
+    t = with_statistics(feature_table(a, ["user", "day"], "day", only=["file"]), a, ["user", "day"], "day", only=["file"])
+    assert t.columns[2:8] == ["n_file", "file_min_file_len", "file_max_file_len", "file_med_file_len", "file_mean_file_len", "file_std_file_len"]
+    assert len(t.columns) == 2 + len(features("day", only=["file"])) + 4 * sum(f.kind == "mean" for f in features("day", only=["file"]))
+    r = t.first()
+    assert [r[f"file_{s}_file_len"] for s in ("min", "max", "med", "mean")] == [10, 40, 25, 25] and r["file_std_file_len"] == pytest.approx(125**0.5)
+    assert r["file_max_file_depth"] == 9 and r["workhourfile_max_file_depth"] == 4 and r["afterhourfile_min_file_len"] == 0
+    assert r["file_compf_med_file_depth"] == 2.5 and r["file_otherf_med_file_depth"] == 9 and r["file_exef_std_file_depth"] == 0
+
+
+@pytest.mark.parametrize("window", [3, 300])
+def test_long_histories(spark, window):
+    """Users longer than a range, gaps, nulls and ties, against direct computation."""
+    rng = random.Random(window)
+    rows = []
+    for user, days in ((1, range(900)), (2, [d for d in range(-40, 1200) if rng.random() < 0.4]), (3, [5, 6]), (None, [1, 9])):
+        rows += [(user, d, rng.choice([None, 0.0, 1.0, 2.0]), float(rng.randrange(10**6)), "i") for d in days]
+    df = spark.createDataFrame(rows, "user int, day int, a double, b double, info string")
+    history = {}
+    for u, d, a, b, _ in rows:
+        before = [(x, y) for v, t, x, y, _ in rows if v == u and d - window <= t < d]
+        if d >= min(t for v, t, *_ in rows if v == u) + window and before:
+            history[u, d] = ((a, b), before)
+
+    def check(out, of):
+        got = {(r["user"], r["day"]): (r["a"], r["b"], r["info"]) for r in out.collect()}
+        assert set(got) == set(history)
+        for key, (own, before) in history.items():
+            for i in (0, 1):
+                want = of(own[i], [h[i] for h in before])
+                assert got[key][i] == (None if want is None else pytest.approx(want, abs=1e-9)), (key, i)
+
+    less = lambda middle: lambda v, h: None if v is None or not (h := [x for x in h if x is not None]) else v - middle(h)
+    rank = lambda v, h: (2 * sum(x is not None and v is not None and x < v for x in h) + sum(x is not None and x == v for x in h)) * 50 / len(h) - 50
+    check(T.mean_diff(df, ["a", "b"], "user", "day", window), less(lambda h: sum(h) / len(h)))
+    check(T.median_diff(df, ["a", "b"], "user", "day", window), less(np.median))
+    check(T.percentile_rank(df, ["a", "b"], "user", "day", window), rank)
