@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 from .ranking import _kept
 
 CELLS = 256
-_MOST = 1e308
+#: Twice this is still finite.
+_MOST = 1e307
 
 
 def comparable(value: Column) -> Column:

