@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import z_score
+from .ranking import _kept as kept
 
 
 def explode_sequences(seqs: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
@@ -25,21 +26,64 @@ def mean_reconstruction(long: DataFrame, by: list[str]) -> DataFrame:
     return long.join(means, [*by, "feature"])
 
 
-def pca_reconstruction(df: DataFrame, features: list[str], k: int) -> DataFrame:
-    """`df` with x, xhat arrays: each row's projection on the k principal components, and back."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    means = df.agg(*[F.avg(f).alias(f) for f in features])  # one row
-    centred = df.crossJoin(F.broadcast(means.select(*[F.col(f).alias(f"_m_{f}") for f in features])))
-    centred = centred.withColumns({f"_c_{f}": F.col(f) - F.col(f"_m_{f}") for f in features})
-    vectors = VectorAssembler(inputCols=[f"_c_{f}" for f in features], outputCol="_v").transform(centred)
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(vectors)
-    load = model.pc.toArray()  # features x k
-    p = F.col("_p")
-    rows = model.transform(vectors).withColumn("_p", vector_to_array("_p"))
-    back = [F.col(f"_m_{f}") + sum((F.get(p, F.lit(j)) * float(load[i, j]) for j in range(k)), F.lit(0.0)) for i, f in enumerate(features)]
-    return rows.withColumns({"x": F.array(*[F.col(f).cast("double") for f in features]), "xhat": F.array(*back)}).select(*df.columns, "x", "xhat")
+def first_component_seed(j: Column, c: int) -> Column:
+    """Where the iteration of component c begins: fixed numbers from -0.5 to 0.5 that look irregular."""
+    return (j * 7919 + 104729 * (c + 1)) % 1009 / 1009.0 - 0.5
+
+
+def _dot(a: Column | str, b: Column | str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, p: s + p)
+
+
+def _plus(a: Column, times: Column, b: Column | str) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + times * y)
+
+
+def _orthonormal(rows: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """Columns of each group made orthogonal to those before them and of length 1; what is left of no length becomes 0."""
+    whole = Window.partitionBy(*by)  # as many rows as a window has numbers
+    for i, n in enumerate(names):
+        for before in names[:i]:
+            rows = rows.withColumn("_d", F.sum(F.col(n) * F.col(before)).over(whole)).withColumn(n, F.col(n) - F.col("_d") * F.col(before))
+        rows = rows.withColumn("_d", F.sqrt(F.sum(F.col(n) * F.col(n)).over(whole))).withColumn(n, F.when(F.col("_d") > 1e-9, F.col(n) / F.col("_d")).otherwise(0.0))
+    return rows.drop("_d")
+
+
+def principal_reconstruction(seqs: DataFrame, features: list[str], keys: list[str], by: list[str], k: int = 2, iterations: int = 6) -> DataFrame:
+    """(keys, t, feature, x, xhat): windows projected on their group's k principal components, and back.
+
+    seqs are (keys, seq) as `sequences` makes them; `by` are among the keys. The components come from a fixed number of
+    subspace iterations from fixed starts: in each, every window is multiplied with its group's k vectors and adds itself,
+    times these numbers, to the group's next vectors. These sums are made before the shuffle, so a group of any size
+    sends a few rows a task; no matrix of window length squared is ever made, and what is joined to the windows is k
+    vectors a group. A component that windows don't have is 0.
+    """
+    wide = kept(seqs.select(*keys, F.flatten("seq").alias("x")), "windows")
+    names = [f"_v{c}" for c in range(k)]
+    means = wide.select(*by, F.posexplode("x").alias("j", "v")).groupBy(*by, "j").agg(F.avg("v").alias("_m"))
+    rows = kept(means.withColumns({n: first_component_seed(F.col("j"), c) for c, n in enumerate(names)}), "components")
+
+    def arrays(rows: DataFrame) -> DataFrame:
+        listed = F.sort_array(F.collect_list(F.struct("j", "_m", *names)))
+        g = _orthonormal(rows, by, names).groupBy(*by).agg(listed.alias("_rows"))
+        return kept(g.select(*by, *[F.col("_rows")[n].alias(n) for n in ("_m", *names)]), "components")
+
+    model = arrays(rows)
+
+    def projected() -> DataFrame:
+        centred = wide.join(model, by).withColumn("_c", F.zip_with("x", "_m", lambda x, m: x - m))
+        return centred.withColumns({f"_y{c}": _dot("_c", n) for c, n in enumerate(names)})
+
+    for _ in range(iterations):
+        sums = projected().select(*by, *[f"_y{c}" for c in range(k)], F.posexplode("_c").alias("j", "v")).groupBy(*by, "j").agg(*[F.sum(F.col("v") * F.col(f"_y{c}")).alias(n) for c, n in enumerate(names)])
+        model = arrays(sums.join(rows.select(*by, "j", "_m"), [*by, "j"]))
+    back = F.col("_m")
+    for c, n in enumerate(names):
+        back = _plus(back, F.col(f"_y{c}"), n)
+    cells = projected().select(*keys, F.posexplode(F.zip_with("x", back, lambda a, b: F.struct(a.alias("x"), b.alias("xhat")))).alias("j", "s"))
+    width = len(features)
+    feature = F.element_at(F.array(*[F.lit(f) for f in features]), (F.col("j") % width + 1).cast("int"))
+    return cells.select(*keys, F.floor(F.col("j") / width).cast("int").alias("t"), feature.alias("feature"), "s.x", "s.xhat")
 
 
 def errors(recon: DataFrame, keys: list[str], absolute: bool = False) -> DataFrame:

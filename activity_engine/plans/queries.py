@@ -21,10 +21,11 @@ from ..operators import sessions as SE
 from ..operators import statistics as ST
 from ..operators import temporal as T
 from ..operators import users as U
-from ..sources.adapters import ACTIONS_SQL, ACTS_SQL, FIRST_SUNDAY, ORG_SQL, actions, acts, org_users, table
+from ..sources.adapters import ACTIONS_SQL, ACTS_SQL, FIRST_SUNDAY, ORG_SQL, actions, acts, acts_of, org_users, table
 from ..sources.readers import read_weeks, unite
 from ..sources.sinks import shared_path, write_by_week
 from ..streaming.counts import period_counts, run_to_parquet, stream_events
+from ..streaming.sessions import append_to_parquet, appended, session_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -658,11 +659,57 @@ def holdout_loss(spark, d):
     return mse.groupBy("client_id").agg(F.round(F.avg("mse"), 6).alias("loss"), F.count("*").alias("n"))
 
 
-@query()
+def _pca_sql(rows: bool = False) -> str:
+    """`_WINDOWS_SQL` with cells rebuilt from two principal components of their client's windows.
+
+    rows: from those of all single days, which are windows of one row of one client.
+    """
+    a, b = _WINDOWS_SQL.index("hats AS ("), _WINDOWS_SQL.index("errs AS (")
+    j = f"t * {len(_DAYS)} + CASE feature WHEN 'n' THEN 0 WHEN 'k_sum' THEN 1 ELSE 2 END"
+    unit = lambda v: f"list_transform({v}, lambda x: CASE WHEN sqrt(list_dot_product({v}, {v})) > 1e-9 THEN x / sqrt(list_dot_product({v}, {v})) ELSE 0 END)"
+    seed = lambda c: f"list((j * 7919 + {104729 * (c + 1)}) % 1009 / 1009.0::DOUBLE - 0.5::DOUBLE ORDER BY j)"
+    less = "list_transform(range(1, len(z1) + 1), lambda i: z1[i] - list_dot_product(z1, u0) * u0[i])"
+    step = lambda source: f"SELECT it, client_id, u0, {unit('w1')} AS u1 FROM (SELECT it, client_id, u0, {less} AS w1 FROM (SELECT *, {unit('z0')} AS u0 FROM ({source}) a) b) c"
+    hats = f"""mid AS (SELECT client_id, CAST({j} AS INT) AS j, avg(x) AS m FROM cells GROUP BY ALL),
+ cen AS (SELECT c."user", c.client_id, c.start, c.t, c.feature, m.j, m.m, c.x - m.m AS x FROM cells c JOIN mid m ON m.client_id = c.client_id AND m.j = {j}),
+ gram AS (SELECT a.client_id, a.j AS i, b.j, sum(a.x * b.x) AS g FROM cen a JOIN cen b USING ("user", client_id, start) GROUP BY ALL),
+ comp AS ({step(f"SELECT 0 AS it, client_id, {seed(0)} AS z0, {seed(1)} AS z1 FROM mid GROUP BY client_id")} UNION ALL
+  {step('SELECT it, client_id, list(z0 ORDER BY i) AS z0, list(z1 ORDER BY i) AS z1 FROM (SELECT v.it + 1 AS it, v.client_id, g.i, sum(g.g * v.u0[g.j + 1]) AS z0, sum(g.g * v.u1[g.j + 1]) AS z1 FROM comp v JOIN gram g USING (client_id) WHERE v.it < 6 GROUP BY v.it, v.client_id, g.i) s GROUP BY it, client_id')}),
+ proj AS (SELECT c."user", c.client_id, c.start, sum(c.x * v.u0[c.j + 1]) AS y0, sum(c.x * v.u1[c.j + 1]) AS y1 FROM cen c JOIN comp v ON v.client_id = c.client_id AND v.it = 6 GROUP BY ALL),
+ hats AS (SELECT c."user", c.client_id, c.start, c.t, c.feature, c.m + p.y0 * v.u0[c.j + 1] + p.y1 * v.u1[c.j + 1] AS xhat FROM cen c JOIN proj p USING ("user", client_id, start) JOIN comp v ON v.client_id = c.client_id AND v.it = 6),
+ """
+    if rows:
+        cells = ", ".join(f"SELECT * FROM (SELECT \"user\", 0 AS client_id, day AS start, 0 AS t, '{f}' AS feature, {f} AS x FROM logd)" for f in _DAYS).replace(", SELECT * FROM", " UNION ALL SELECT * FROM")
+        return f"{_SCALED_SQL}, cells AS ({cells}), {hats}"[:-3] + ', errs AS (SELECT c."user", c.start AS day, avg((c.x - h.xhat) * (c.x - h.xhat)) AS err FROM cells c JOIN hats h USING ("user", start, feature) GROUP BY ALL)'
+    out = _WINDOWS_SQL[:a] + hats + _WINDOWS_SQL[b:]
+    return out.replace("JOIN hats h USING (client_id, feature)", 'JOIN hats h USING ("user", client_id, start, t, feature)')
+
+
+_PCA_SQL = _pca_sql()
+
+
+def _pca(spark, d):
+    seqs = Q.sequences(_scaled(spark, d), _DAYS, "user", "day", 14, 1, ["client_id"])
+    return C.principal_reconstruction(seqs, _DAYS, _KEYS, ["client_id"])
+
+
+@query(f"""WITH RECURSIVE {_pca_sql(rows=True)} SELECT "user", day, round(err, 5) AS err FROM errs""")
 def pca_recon(spark, d):
-    r = C.pca_reconstruction(Q.log_scale(days(spark, d), _DAYS), _DAYS, 2)
-    err = F.aggregate(F.zip_with("x", "xhat", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e) / len(_DAYS)
-    return r.select("user", "day", err.alias("err"))
+    rows = Q.log_scale(days(spark, d), _DAYS).select("user", F.col("day").alias("start"), F.lit(0).alias("client_id"), F.array(F.array(*_DAYS)).alias("seq"))
+    r = C.principal_reconstruction(rows, _DAYS, _KEYS, ["client_id"])
+    return C.window_mse(r, ["user", "start"]).select("user", F.col("start").alias("day"), F.round("mse", 5).alias("err"))
+
+
+@query(f"""WITH RECURSIVE {_PCA_SQL} SELECT "user", start, feature, round(err, 5) AS err FROM errs""")
+def pca_window_errors(spark, d):
+    return C.errors(_pca(spark, d), _KEYS).select("user", "start", "feature", F.round("err", 5).alias("err"))
+
+
+@query(f"""WITH RECURSIVE {_PCA_SQL} SELECT "user", round(max_z_score, 4) AS max_z_score, is_actual_insider FROM uscore""")
+def user_scores_pca(spark, d):
+    errs = C.errors(_pca(spark, d), _KEYS)
+    windows = C.window_scores(errs, C.calibration(errs, ["client_id"]), ["user", "start"], ["client_id"], top=2)
+    return C.user_scores(windows, days(spark, d), "user", "start").withColumn("max_z_score", F.round("max_z_score", 4))
 
 
 # --- evaluation ------------------------------------------------------------------------------------------------
@@ -842,3 +889,42 @@ def weekly_increments(spark, d):
 def stream_week_counts(spark, d):
     counts = run_to_parquet(period_counts(stream_events(spark, d), "user_id", "ts"), shared_path(spark, "stream"))
     return counts.select("user_id", F.floor(F.datediff(F.to_date("start"), F.lit(FIRST_SUNDAY).cast("date")) / 7).alias("week"), "n")
+
+
+def _fed(spark, events, batch, n, take):
+    """Write `events` in n steps, as `batch` numbers them, and call `take` with their folder after each step."""
+    folder = shared_path(spark, "feed")
+    for i in range(n):
+        events.filter(batch == i).write.mode("append").parquet(folder)
+        take(folder)
+
+
+@query("""SELECT user_id, week, count(*) AS n FROM (SELECT *, date_diff('day', DATE '2023-12-31', CAST(ts AS DATE)) // 7 AS week FROM events) e
+ WHERE NOT (event_id % 20 = 0 AND week <= 1) GROUP BY user_id, week""")
+def stream_late_counts(spark, d):
+    """Five batches, one a week. Every 20th row of weeks 0 and 1 comes three batches late, when its week is closed: it is left
+    out. Every 20th but one comes a batch late, a day before its week closes: it counts."""
+    e = table(spark, d, "events")
+    week = F.floor(F.datediff(F.to_date("ts"), F.lit(FIRST_SUNDAY).cast("date")) / 7)
+    late = F.when((F.col("event_id") % 20 == 0) & (week <= 1), 3).when((F.col("event_id") % 20 == 1) & (week <= 3), 1).otherwise(0)
+    path, out = shared_path(spark, "stream"), []
+    _fed(spark, e, week + late, 5, lambda folder: out.append(run_to_parquet(period_counts(stream_events(spark, folder, "*.parquet"), "user_id", "ts"), path)))
+    return out[-1].select("user_id", F.floor(F.datediff(F.to_date("start"), F.lit(FIRST_SUNDAY).cast("date")) / 7).alias("week"), "n")
+
+
+@query(f"""WITH {_SESSIONS_SQL} SELECT "user", week, pcid, CAST(start_with AS INT) AS start_with, CAST(end_with AS INT) AS end_with,
+ CAST(floor(epoch(start_ts)) AS BIGINT) AS start_s, CAST(floor(epoch(end_ts)) AS BIGINT) AS end_s, n_acts FROM fin""")
+def stream_sessions(spark, d):
+    """Four batches in which rows come up to a day late and in no order, then the time alone: nothing is too late."""
+    e = table(spark, d, "events")
+    batch = F.least(F.lit(3), F.floor((F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + F.col("event_id") % 2) / 8))
+    silence = e.limit(1).select(*[(F.lit("2100-01-01").cast(t) if c == "ts" else F.lit(None).cast(t)).alias(c) for c, t in e.dtypes])
+    path, out = shared_path(spark, "stream"), []
+
+    def take(folder):
+        out.append(session_stream(acts_of(stream_events(spark, folder, "*.parquet")), FIRST_SUNDAY))
+        append_to_parquet(out[-1], path)
+
+    _fed(spark, e.withColumn("_batch", batch).union(silence.withColumn("_batch", F.lit(4))), F.col("_batch"), 5, take)
+    s = appended(out[-1], path)
+    return s.select("user", "week", "pcid", "start_with", "end_with", S.epoch(F.col("start_ts")).alias("start_s"), S.epoch(F.col("end_ts")).alias("end_s"), "n_acts")

@@ -18,7 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as user actions: actid, user, ts, value, k, pcid, act, subtype, day, week."""
-    e = table(spark, sf_dir, "events")
+    return acts_of(table(spark, sf_dir, "events"))
+
+
+def acts_of(e: DataFrame) -> DataFrame:
+    """Rows of the form of `events`, also as they stream in, as `acts`."""
     k = F.get_json_object("props", "$.k").cast("int")
     e = e.select(F.col("event_id").alias("actid"), F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", k.alias("k"))
     owner = F.when(F.col("k") % 10 < 6, F.col("user")).when(F.col("k") % 10 < 8, (F.col("user") + 1) % 15).otherwise(F.col("k") % 15)

@@ -252,8 +252,25 @@ def test_pca_against_numpy(spark):
     centre = x.mean(axis=0)
     axes = np.linalg.svd(x - centre, full_matrices=False)[2][:2]
     want = centre + (x - centre) @ axes.T @ axes
-    for r in C.pca_reconstruction(df, list("abcd"), 2).collect():
-        assert np.allclose(r["xhat"], want[r["id"]], atol=1e-8) and np.allclose(r["x"], x[r["id"]])
+    seqs = df.select("id", F.lit(1).alias("client"), F.array(F.array(*"abcd")).alias("seq"))
+    got = {(r["id"], r["feature"]): (r["x"], r["xhat"]) for r in C.principal_reconstruction(seqs, list("abcd"), ["id", "client"], ["client"], 2, 25).collect()}
+    for (i, f), (v, back) in got.items():
+        assert v == x[i, "abcd".index(f)] and np.isclose(back, want[i, "abcd".index(f)], atol=1e-8)
+
+
+def test_components_of_windows(spark):
+    """Windows of several rows and clients; one client has a single window, one has equal windows, one only one direction."""
+    rng = np.random.default_rng(8)
+    windows = {1: rng.normal(size=(200, 2, 3)) * [[9, 1, 1], [1, 5, 1]], 2: rng.normal(size=(1, 2, 3)), 3: np.ones((4, 2, 3)), 4: np.arange(5.0)[:, None, None] * np.ones((5, 2, 3))}
+    seqs = spark.createDataFrame([(c, i, w.tolist()) for c, ws in windows.items() for i, w in enumerate(ws)], "client int, start int, seq array<array<double>>")
+    got = {(r["client"], r["start"], r["t"], r["feature"]): r["xhat"] for r in C.principal_reconstruction(seqs, list("abc"), ["client", "start"], ["client"], 2, 40).collect()}
+    assert len(got) == 210 * 6
+    for c, ws in windows.items():
+        flat = ws.reshape(len(ws), 6)
+        axes = np.linalg.svd(flat - flat.mean(axis=0), full_matrices=False)[2][:2]
+        want = (flat.mean(axis=0) + (flat - flat.mean(axis=0)) @ axes.T @ axes).reshape(ws.shape)
+        have = np.array([[[got[c, i, t, f] for f in "abc"] for t in range(2)] for i in range(len(ws))])
+        assert np.allclose(have, want, atol=1e-5)
 
 
 def test_scores_of_users_and_last_rounds(spark):
