@@ -21,8 +21,9 @@ from ..operators import sessions as SE
 from ..operators import statistics as ST
 from ..operators import temporal as T
 from ..operators import users as U
-from ..sources.adapters import ACTIONS_SQL, ACTS_SQL, FIRST_SUNDAY, ORG_SQL, actions, acts, acts_of, org_users, table
-from ..sources.readers import read_weeks, unite
+from ..operators.raw import numeric_actions
+from ..sources.adapters import ACTIONS_SQL, ACTS_SQL, FIRST_MONDAY, FIRST_SUNDAY, ORG_SQL, RAW_FEATURES, STATS, actions, acts, acts_of, org_users, table, write_raw_logs
+from ..sources.readers import read_activity, read_weeks, unite
 from ..sources.sinks import shared_path, write_by_week
 from ..streaming.counts import period_counts, run_to_parquet, stream_events
 from ..streaming.sessions import append_to_parquet, appended, session_stream
@@ -267,10 +268,10 @@ def url_category(spark, d):
 # --- feature tables --------------------------------------------------------------------------------------------
 
 
-def _feature_sql(mode: str, only: list[str] | None = None) -> tuple[list[str], list[str]]:
+def _feature_sql(mode: str, only: list[str] | None = None, version: str = "r4.2") -> tuple[list[str], list[str]]:
     """Direct aggregates over actions, and the names of those that are means."""
     out, means = [], []
-    for f in X.features(mode, "r4.2", only):
+    for f in X.features(mode, version, only):
         where = [f"act = {f.act}"] if f.act is not None else []
         where += [f"time IN ({', '.join(map(str, f.times))})"] if f.times else []
         where += [f"{f.sub[0]} = {f.sub[1]}"] if f.sub else []
@@ -356,6 +357,58 @@ def slice_long(spark, d):
     return r6(X.slice_long(actions(spark, d), ["user", "day"], slices, ["k"]), "mean_k")
 
 
+# --- raw logs --------------------------------------------------------------------------------------------------
+
+#: Versions, and the features that each of them lacks or makes otherwise.
+_NEWER = ["file_tree_len", "file_act", "to_usb", "from_usb", "send_mail", "receive_mail", *X.ATTACHMENTS]
+_RAW_VERSIONS = {"r4.2": {n: "CAST(NULL AS INT)" for n in [*_NEWER, "http_act"]} | {"n_atts": "CASE WHEN act = 6 THEN k % 4 ELSE 0 END"}, "r5.2": {"http_act": "CAST(NULL AS INT)"}, "r6.2": {}}
+_RAW_SQL = f"""{ACTIONS_SQL}, {_INSIDERS_SQL}, weeks AS (SELECT week, min(ts) AS lo, max(ts) AS hi FROM acts GROUP BY week),
+ labelled AS (SELECT a.* EXCLUDE (mal_act, insider, {", ".join(f'"{n}"' for n in RAW_FEATURES if n in STATS or n in ("file_type", "http_type"))}, pc), CAST(CASE WHEN a.pcid = 'PC-' || a."user" THEN 0 ELSE 2 END AS INT) AS pc,
+  CASE WHEN i.scenario IS NOT NULL AND w.lo <= i.mend AND i.mstart <= w.hi AND s.actid IS NOT NULL THEN i.scenario ELSE 0 END AS insider
+  FROM actions a JOIN weeks w USING (week) LEFT JOIN insiders i ON a."user" = i."user" LEFT JOIN answers s ON a."user" = s."user" AND a.actid = s.actid)"""
+
+
+def _raw_sql(version: str) -> str:
+    special = _RAW_VERSIONS[version]
+    columns = [special.get(n, f"CASE WHEN act = {act} THEN {x} ELSE 0 END") for n, (act, x) in RAW_FEATURES.items()]
+    values = ", ".join(f'CAST({c} AS INT) AS "{n}"' for n, c in zip(RAW_FEATURES, columns, strict=True))
+    return f"""SELECT '{version}' AS version, '{{' || actid || '}}' AS actid, 'U' || "user" AS "user", act, day, week, CAST(time AS INT) AS time, pc, {values}, CAST(insider > 0 AS INT) AS mal_act, CAST(insider AS INT) AS insider FROM labelled"""
+
+
+def _raw_actions(spark, d, version):
+    """`events` written as the log files of a version, read again and made numeric."""
+    folder = shared_path(spark, f"logs-{version}")
+    a = acts(spark, d)
+    write_raw_logs(a, folder, version)
+    name = lambda: F.concat(F.lit("U"), F.col("user").cast("string"))
+    none = F.lit(None)
+    users = a.select("user").distinct().select(name().alias("user"), F.concat(F.lit("PC-"), F.col("user").cast("string")).alias("pc"), none.cast("array<string>").alias("sharedpc"), none.cast("string").alias("sup"))
+    day = lambda text, n=0: F.date_add(F.lit(text).cast("date"), n).cast("timestamp")
+    bad = a.filter("user % 14 = 0").select("user").distinct()
+    insiders = bad.select((1 + F.col("user") % 3).cast("int").alias("scenario"), F.lit("x.csv").alias("details"), name().alias("user"), day("2024-01-03").alias("mstart"), day("2024-01-09", (F.col("user") % 10).cast("int")).alias("mend"))
+    answers = a.filter("value > 60").select(name().alias("user"), F.concat(F.lit("{"), F.col("actid").cast("string"), F.lit("}")).alias("actid"))
+    return numeric_actions(read_activity(spark, folder, version), users, insiders, answers, version, FIRST_SUNDAY, FIRST_MONDAY)
+
+
+@query(f"WITH {_RAW_SQL} " + " UNION ALL ".join(_raw_sql(v) for v in _RAW_VERSIONS))
+def raw_actions(spark, d):
+    parts = []
+    for v, special in _RAW_VERSIONS.items():
+        r = _raw_actions(spark, d, v)
+        values = [F.col(n) if n in r.columns else F.lit(None).cast("int").alias(n) for n in RAW_FEATURES]
+        parts.append(r.select(F.lit(v).alias("version"), "actid", "user", "act", "day", "week", "time", "pc", *values, "mal_act", "insider"))
+    return unite(parts)
+
+
+_RAW_BLOCKS = ["file", "email", "http"]
+
+
+@query(f"""WITH {_RAW_SQL}, raw AS ({_raw_sql("r6.2")}) SELECT "user", day, {", ".join(_feature_sql("day", _RAW_BLOCKS, "r6.2")[0])} FROM raw GROUP BY "user", day""")
+def raw_day_features(spark, d):
+    t = X.feature_table(_raw_actions(spark, d, "r6.2"), ["user", "day"], "day", "r6.2", _RAW_BLOCKS)
+    return r6(t, *_feature_sql("day", _RAW_BLOCKS, "r6.2")[1])
+
+
 # --- sessions --------------------------------------------------------------------------------------------------
 
 _SESSIONS_SQL = (

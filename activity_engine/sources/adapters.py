@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import time_code
 from ..operators.actions import usb_duration
 from ..operators.users import attributes
+from ..schemas import log_schema
 
 FIRST_MONDAY, FIRST_SUNDAY = "2024-01-01", "2023-12-31"
 
@@ -92,3 +93,51 @@ ACTIONS_SQL = (
     + """, subtype AS file_type, subtype AS http_type, CASE WHEN "user" % 14 = 0 THEN 1 ELSE 0 END AS insider,
   CASE WHEN value > 60 AND "user" % 14 = 0 THEN 1 ELSE 0 END AS mal_act FROM coded c LEFT JOIN usb USING (actid))"""
 )
+
+
+# Raw logs: what each file holds of an action, as SQL over `acts`; contents are functions of the event's number k.
+HOSTS = ["www.dropbox.com", "example.org", "wikileaks.org", "m.facebook.com"]
+EXTENSIONS = ["log", "zip", "jpg", "doc", "txt", "exe"]
+_WORDS = "repeat('ab ', k % 23) || 'z'"
+_PICK = "element_at(array({}), {} + 1)"
+
+
+def _pick(values: list[str], n: str) -> str:
+    return _PICK.format(", ".join(f"'{v}'" for v in values), n)
+
+
+RAW = {
+    "logon": ("act IN (1, 2)", {"activity": _pick(["Logon", "Logoff"], "act - 1")}),
+    "device": ("act IN (3, 4)", {"content": "CASE WHEN act = 3 THEN repeat('R:/x;', k % 3) || 'R:/x' END", "activity": _pick(["Connect", "Disconnect"], "act - 3")}),
+    "http": ("act = 5", {"url": f"'http://' || {_pick(HOSTS, 'k % 4')} || '/' || repeat('d/', k % 5)", "activity": _pick(["WWW Visit", "WWW Download", "WWW Upload"], "k % 3"), "content": _WORDS}),
+    "email": ("act = 6", {
+        "to": "repeat('a@dtaa.com;', k % 3) || 'b@x.com'", "bcc": "CASE WHEN k % 2 = 1 THEN 'c@y.org' END", "from": "'u@dtaa.com'", "activity": _pick(["Send", "Receive", "View"], "k % 3"),
+        "size": "7 * k", "n_att": "k % 4", "att": "repeat('f.doc(10);', k % 3) || 'g.exe(5)'", "content": _WORDS,
+    }),
+    "file": ("act = 7", {
+        "filename": f"{_pick(['C', 'R', 'D'], 'k % 3')} || ':' || chr(92) || repeat('d' || chr(92), k % 5) || 'f.' || {_pick(EXTENSIONS, 'k % 6')}",
+        "activity": _pick(["File Open", "File Copy", "File Write", "File Delete"], "k % 4"), "to": _pick(["False", "True"], "k % 2"), "from": "CASE WHEN k % 3 = 0 THEN 'True' ELSE 'False' END", "content": _WORDS,
+    }),
+}
+
+
+def write_raw_logs(acts: DataFrame, folder: str, version: str) -> None:
+    """The five log files of a dataset version, from the rows of `acts`."""
+    for kind, (rows, values) in RAW.items():
+        base = {"id": "concat('{', actid, '}')", "date": "date_format(ts, 'MM/dd/yyyy HH:mm:ss')", "user": "concat('U', user)", "pc": "pcid"} | values
+        fields = log_schema(version, kind).fields
+        columns = [F.expr(base.get(f.name, "CAST(NULL AS STRING)")).cast(f.dataType).alias(f.name) for f in fields]
+        acts.filter(rows).select(*columns).write.csv(f"{folder}/{kind}.csv", header=True, quote='"', escape='"')
+
+
+_W = "CAST(k % 23 AS INT)"
+#: What the features of a raw action are, by formulas of their own: (act, SQL).
+RAW_FEATURES = {
+    "file_tree_len": (3, "k % 3 + 1"), "file_type": (7, "k % 6 + 1"), "file_len": (7, f"3 * {_W} + 1"), "file_nwords": (7, f"{_W} + 1"), "disk": (7, "[1, 2, 0][k % 3 + 1]"), "file_depth": (7, "k % 5 + 1"),
+    "file_act": (7, "k % 4 + 1"), "to_usb": (7, "k % 2"), "from_usb": (7, "CAST(k % 3 = 0 AS INT)"), "http_type": (5, "[3, 1, 5, 2][k % 4 + 1]"),
+    "url_len": (5, f"8 + [{', '.join(str(len(h)) for h in HOSTS)}][k % 4 + 1] + 2 * (k % 5)"), "url_depth": (5, "k % 5 + 1"), "http_c_len": (5, f"3 * {_W} + 1"), "http_c_nwords": (5, f"{_W} + 1"), "http_act": (5, "k % 3 + 1"),
+    "send_mail": (6, "CAST(k % 3 = 0 AS INT)"), "receive_mail": (6, "CAST(k % 3 > 0 AS INT)"), "n_des": (6, "k % 3 + 1 + k % 2"), "n_atts": (6, "k % 3 + 1"), "Xemail": (6, "1"), "n_exdes": (6, "1 + k % 2"),
+    "n_bccdes": (6, "k % 2"), "exbccmail": (6, "k % 2"), "email_size": (6, "7 * k"), "email_text_slen": (6, f"3 * {_W} + 1"), "email_text_nwords": (6, f"{_W} + 1"),
+    **{f"e_att_{n}": (6, {"doc": "k % 3", "exe": "1"}.get(n, "0")) for n in ("other", "comp", "pho", "doc", "txt", "exe")},
+    **{f"e_att_s{n}": (6, {"doc": "10 * (k % 3)", "exe": "5"}.get(n, "0")) for n in ("other", "comp", "pho", "doc", "txt", "exe")},
+}
