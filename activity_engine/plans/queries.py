@@ -692,8 +692,8 @@ def central_scores(spark, d):
 _MSE_SQL = _WINDOWS_SQL + """, mse AS (SELECT "user", client_id, start, avg(err) AS mse FROM errs GROUP BY "user", client_id, start)"""
 
 
-@query(f"""WITH {_MSE_SQL}, s AS (SELECT "user", max(mse) AS hi, avg(mse) AS m, stddev_pop(mse) AS d FROM mse GROUP BY "user"), l AS (SELECT "user", CAST(max((insider = 1)::INT) AS INT) AS is_insider FROM days GROUP BY "user")
- SELECT s."user", round((hi - m) / CASE WHEN d = 0 THEN 1e-6 ELSE d END, 4) AS peak_z, l.is_insider FROM s JOIN l ON s."user" = l."user" WHERE s.d > 1e-9""")
+@query(f"""WITH {_MSE_SQL}, s AS (SELECT "user", max(mse) AS hi, min(mse) AS lo, avg(mse) AS m, stddev_pop(mse) AS d FROM mse GROUP BY "user"), l AS (SELECT "user", CAST(max((insider = 1)::INT) AS INT) AS is_insider FROM days GROUP BY "user")
+ SELECT l."user", round(CASE WHEN hi - lo > 1e-12 * greatest(hi, 1) THEN (hi - m) / d ELSE 0 END, 4) AS peak_z, l.is_insider FROM l LEFT JOIN s ON s."user" = l."user" """)
 def self_z_scores(spark, d):
     mse = C.window_mse(_recon(spark, d), ["user", "start"])
     return C.self_z_scores(mse, days(spark, d), "user").withColumn("peak_z", F.round("peak_z", 4))
