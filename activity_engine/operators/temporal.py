@@ -5,6 +5,8 @@ Features are carried as one array in a fixed order, so that hundreds of them nee
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +26,9 @@ def lag_concat(df: DataFrame, features: list[str], user: str, order: str, window
     return out.select(*[F.col(f"_lag{k}.`{f}`").alias(f"-{k}_{f}") for k in range(window - 1, 0, -1) for f in features], *features, *info)
 
 
-#: Keys in a range, the unit of work.
-RANGE = 256
+#: Keys in a range, the unit of work; rows that a task takes at a time (whole ranges); numbers in a row's window from which
+#: they are kept in trees; numbers in memory at a time where they are not.
+RANGE, ROWS, MANY, BLOCK = 256, 4096, 1 << 15, 1 << 20
 
 
 class Sliding:
@@ -79,63 +82,110 @@ class Sliding:
         return self.first[np.minimum(at + 1, len(self.first) - 1), self.columns]
 
 
-def _median(s: Sliding, x: np.ndarray) -> np.ndarray:
-    some = s.size > 0
-    low, high = np.where(some, (s.size - 1) // 2, 0), np.where(some, s.size // 2, 0)
-    return np.where(some, x - (s.smallest(low) + s.smallest(high)) / 2, np.nan)
-
-
-def _percentile(s: Sliding, row: int, rows: int) -> np.ndarray:
-    rank = s.rank[row]
-    twice = s.up_to(np.maximum(rank - 1, 0)) + s.up_to(rank)
-    return np.where(rank > 0, twice * 50.0 / rows - 50, -50.0)
+def _gathered(x: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, find: str) -> np.ndarray:
+    """Windows of few numbers, side by side: `rows` of x against x[low:high] of each."""
+    most, out = int((high - low)[rows].max()), np.empty((len(rows), x.shape[1]))
+    step = max(1, BLOCK // (most * x.shape[1]))
+    for a in range(0, len(rows), step):
+        i = rows[a : a + step]
+        at = low[i][:, None] + np.arange(most)
+        h = np.where((at < high[i][:, None])[:, :, None], x[np.minimum(at, len(x) - 1)], np.nan)
+        v = x[i]
+        if find == "percentile":
+            twice = 2 * (h < v[:, None]).sum(axis=1) + (h == v[:, None]).sum(axis=1)
+            out[a : a + step] = np.where(np.isnan(v), -50.0, twice * 50.0 / (high - low)[i][:, None] - 50)
+            continue
+        n = (~np.isnan(h)).sum(axis=1)
+        if find == "mean":
+            middle = np.nansum(h, axis=1) / np.maximum(n, 1)
+        else:
+            h.sort(axis=1)  # NaN comes last
+            pick = lambda k: np.take_along_axis(h, np.maximum(k, 0)[:, None], axis=1)[:, 0]
+            middle = (pick((n - 1) // 2) + pick(n // 2)) / 2
+        out[a : a + step] = np.where(n > 0, v - middle, np.nan)
+    return out
+
+
+def _slid(x: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, find: str) -> np.ndarray:
+    """The same for one range by a tree that values enter and leave once."""
+    first = int(low[rows[0]])
+    s, lo, hi, out = Sliding(x[first : int(rows[-1]) + 1]), 0, 0, np.empty((len(rows), x.shape[1]))
+    for n, i in enumerate(rows):
+        a, b = int(low[i]) - first, int(high[i]) - first
+        for j in range(lo, min(a, hi)):
+            s.add(j, -1)
+        for j in range(max(hi, a), b):
+            s.add(j, 1)
+        lo, hi = a, b
+        if find == "median":
+            some = s.size > 0
+            k, m = np.where(some, (s.size - 1) // 2, 0), np.where(some, s.size // 2, 0)
+            out[n] = np.where(some, x[i] - (s.smallest(k) + s.smallest(m)) / 2, np.nan)
+        else:
+            rank = s.rank[i - first]
+            twice = s.up_to(np.maximum(rank - 1, 0)) + s.up_to(rank)
+            out[n] = np.where(rank > 0, twice * 50.0 / (b - a) - 50, -50.0)
+    return out
 
 
 def _trailing(df: DataFrame, features: list[str], user: str, order: str, window: int, find: str) -> DataFrame:
     """`df` with each feature compared to its values at the user's keys [t - window, t - 1]; rows without history go.
 
-    Rows come by user, cut into ranges of RANGE keys; each range has the `window` keys before it as well. In a range rows
-    enter the window and leave it once, in the order of their keys: memory is that of a range, and neither a row nor a
-    range's work grows with the features' number times the window. A null or NaN counts as no value; a null key has no
-    history.
+    Rows come by user, cut into ranges of RANGE keys; each range has the `window` keys before it as well. A task streams
+    through its ranges: rows carry no history, and memory is that of a few ranges. Windows of up to MANY numbers are laid
+    side by side; larger ones live in a tree that values enter and leave once. A null or NaN counts as no value; a null
+    key has no history.
     """
     keep = [c for c in df.columns if c not in features]
     x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
-    first = F.min(order).over(Window.partitionBy(user))
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("keep"), F.col(user).alias("who"), F.col(order).cast("long").alias("t"), x.alias("x"), first.cast("long").alias("first"))
-    ranges = F.sequence(F.floor(F.col("t") / RANGE), F.floor((F.col("t") + window) / RANGE))
-    rows = rows.withColumn("part", F.explode(ranges))
-
-    def slide(table: pa.Table) -> pa.Table:
-        table = table.sort_by("t")
-        t, part = table["t"].to_numpy(), table["part"][0].as_py()
-        flat = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        x = np.asarray(flat, np.float64).reshape(len(t), len(features))
-        own = (t // RANGE == part) & (t >= table["first"].to_numpy() + window)
-        low, high = np.searchsorted(t, t - window, "left"), np.searchsorted(t, t, "left")
-        hit, out, lo, hi = np.flatnonzero(own & (high > low)), np.full(x.shape, np.nan), 0, 0
-        s = Sliding(x) if find != "mean" else None
-        for i in hit:
-            a, b = int(low[i]), int(high[i])
-            if s is None:
-                h = x[a:b]
-                n = (~np.isnan(h)).sum(axis=0)
-                out[i] = np.where(n > 0, x[i] - np.nansum(h, axis=0) / np.maximum(n, 1), np.nan)
-                continue
-            for j in range(lo, min(a, hi)):
-                s.add(j, -1)
-            for j in range(max(hi, a), b):
-                s.add(j, 1)
-            lo, hi = a, b
-            out[i] = _median(s, x[i]) if find == "median" else _percentile(s, i, b - a)
-        values = pa.array(out[hit].ravel(), from_pandas=True)
-        lists = pa.ListArray.from_arrays(np.arange(0, len(values) + 1, len(features), dtype=np.int32), values)
+    first = F.min("t").over(Window.partitionBy("who"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("keep"), F.col(user).alias("who"), F.col(order).cast("long").alias("t"), x.alias("x"))
+    rows = rows.repartition("who").withColumn("first", first)
+    rows = rows.withColumn("part", F.explode(F.sequence(F.floor(F.col("t") / RANGE), F.floor((F.col("t") + window) / RANGE))))
+    width, many = len(features), MANY
+
+    def compared(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        t, part = table["t"].to_numpy(), table["part"].to_numpy()
+        x = np.asarray(table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(t), width)
+        key = group * (int(t.max()) - int(t.min()) + window + 2) + (t - t.min() + window + 1)
+        low, high = np.searchsorted(key, key - window, "left"), np.searchsorted(key, key, "left")
+        hit = np.flatnonzero((t // RANGE == part) & (t >= table["first"].to_numpy() + window) & (high > low))
+        out = np.empty((len(hit), width))
+        if len(hit) and (find == "mean" or int((high - low)[hit].max()) * width <= many):
+            out = _gathered(x, hit, low, high, find)
+        elif len(hit):
+            for g in np.unique(group[hit]):
+                own = np.flatnonzero(group[hit] == g)
+                out[own] = _slid(x, hit[own], low, high, find)
+        values = pa.array(out.ravel(), from_pandas=True)
+        lists = pa.ListArray.from_arrays(np.arange(0, len(values) + 1, width, dtype=np.int32), values)
         kept = table["keep"].combine_chunks().take(pa.array(hit))
         kept = pa.StructArray.from_arrays(kept.flatten(), fields=[f.with_nullable(True) for f in kept.type])
-        return pa.table({"keep": kept, "x": lists})
+        return pa.RecordBatch.from_arrays([kept, lists], ["keep", "x"])
+
+    def groups(table: pa.Table) -> np.ndarray:
+        who = table["who"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        part = table["part"].to_numpy()
+        return np.concatenate([[0], np.cumsum((who[1:] != who[:-1]) | (part[1:] != part[:-1]))])
+
+    def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            waiting.append(batch)
+            if sum(map(len, waiting)) < ROWS:
+                continue
+            table = pa.Table.from_batches(waiting)
+            g = groups(table)
+            cut = int(np.searchsorted(g, g[-1]))  # the last range may go on
+            if cut:
+                yield compared(table.slice(0, cut), g[:cut])
+            waiting = table.slice(cut).to_batches()
+        if sum(map(len, waiting)):
+            table = pa.Table.from_batches(waiting)
+            yield compared(table, groups(table))
 
     kind = rows.schema["keep"].dataType.simpleString()
-    out = rows.groupBy("who", "part").applyInArrow(slide, f"keep {kind}, x array<double>")
+    out = rows.sortWithinPartitions("who", "part", "t").mapInArrow(slide, f"keep {kind}, x array<double>")
     return out.select(*[F.col(f"keep.`{c}`").alias(c) for c in keep], *[F.get("x", F.lit(i)).alias(f) for i, f in enumerate(features)]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 

@@ -390,9 +390,10 @@ def test_statistics_table(spark):
     assert r["file_compf_med_file_depth"] == 2.5 and r["file_otherf_med_file_depth"] == 9 and r["file_exef_std_file_depth"] == 0
 
 
-@pytest.mark.parametrize("window", [3, 300])
-def test_long_histories(spark, window):
-    """Users longer than a range, gaps, nulls and ties, against direct computation."""
+@pytest.mark.parametrize("window, many", [(3, 1 << 15), (300, 1 << 15), (300, 8)])
+def test_long_histories(spark, window, many, monkeypatch):
+    """Users longer than a range, gaps, nulls and ties, against direct computation; with windows in trees, too."""
+    monkeypatch.setattr(T, "MANY", many)
     rng = random.Random(window)
     rows = []
     for user, days in ((1, range(900)), (2, [d for d in range(-40, 1200) if rng.random() < 0.4]), (3, [5, 6]), (None, [1, 9])):
