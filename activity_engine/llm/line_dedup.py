@@ -5,10 +5,13 @@ Every line that isn't blank gets a 128-bit ID; a document is a sequence of IDs,
 1. Prefix doubling. Round k names the 2**k lines that begin at each place by the names of its two halves. A place whose
    name is unique can't begin a longer repeat and drops out; rounds go on until no name occurs twice.
 2. Intervals. Places with one name are an interval of the suffix array whose longest common prefix is 2**k or more. The
-   longest common prefix of each place with any other is found from the deepest names down: a place moves on by 2**k
-   lines if another place of its interval moves on with it. Of those that move, one stays behind for the others to meet.
-3. Runs. A place whose left neighbour's prefix doesn't reach as far begins a maximal repeated run (`line_runs`).
-4. In each interval of depth `min_lines` the first place in (id, place) order stays; lines under the others go.
+   longest common prefix of each place with any *earlier* one, in (id, place) order, is found from the deepest names
+   down: a place moves on by 2**k lines if an earlier place of its interval moves on with it. The first of those that
+   move goes on as a ghost, for the others to meet, and stays behind too. Places and ghosts together give the longest
+   common prefix with any other place.
+3. Runs. A place whose left neighbour's prefix doesn't reach as far begins a maximal run: one that recurs (`line_runs`),
+   or one that begins earlier too (`later_runs`).
+4. The lines under the maximal runs of `min_lines` lines or more that begin earlier too are deleted.
 
 Documents with equal texts fall together first: one stands for all, the others are copies as a whole. Names that occur
 again are written before they are joined: AQE can then split a line that very many documents hold.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import written
 
@@ -71,32 +75,47 @@ def _doubled(names: DataFrame, deepest: int | None = None) -> list[DataFrame]:
 
 
 def _common_prefixes(levels: list[DataFrame]) -> DataFrame:
-    """(id, h, place, lcp): how many lines from each place on also begin at another place."""
-    state = None
+    """(id, h, place, lcp, earlier): how many lines from each place on also begin at another place, at an earlier one."""
+    state = later = None
     for k in range(len(levels) - 1, -1, -1):
         names = levels[k]
         if state is not None:
             more = names.select("id", "h", F.col("place").alias("next"), F.col("a").alias("c"), F.col("b").alias("d"))
             tried = state.withColumn("next", F.col("place") + F.col("lcp")).join(more, ["id", "h", "next"], "left").drop("next")
             tried = tried.withColumns({"c": F.when(F.col("d").isNotNull(), F.xxhash64("a", "b", "c", "d")), "d": F.when(F.col("d").isNotNull(), F.xxhash64("d", "c", "b", "a", F.lit(1)))})
-            met = tried.filter("c IS NOT NULL").groupBy("c", "d").agg(F.count("*").alias("n"), F.min(F.struct(*_PLACE, "lcp")).alias("waits"))
-            met = written(met.filter("n > 1").select("c", "d", "waits"), "line-groups")
+            met = tried.filter("c IS NOT NULL").groupBy("c", "d").agg(F.count("*").alias("n"), F.min(F.struct(*_PLACE)).alias("first"))
+            met = written(met.filter("n > 1").select("c", "d", "first"), "line-groups")
             own = tried.join(met, ["c", "d"], "left")
             stay = F.struct("lcp", "a", "b", "ghost")
-            move = F.struct((F.col("lcp") + 2**k).alias("lcp"), F.col("c").alias("a"), F.col("d").alias("b"), "ghost")
-            ghost = F.struct("lcp", "a", "b", F.lit(True).alias("ghost"))
-            both = F.when(F.col("waits").isNull(), F.array(stay)).when(F.col("waits") == F.struct(*_PLACE, "lcp"), F.array(move, ghost)).otherwise(F.array(move))
+            on = lambda ghost: F.struct((F.col("lcp") + 2**k).alias("lcp"), F.col("c").alias("a"), F.col("d").alias("b"), ghost.alias("ghost"))
+            both = F.when(F.col("first").isNull(), F.array(stay)).when(F.col("first") == F.struct(*_PLACE), F.array(stay, on(F.lit(True)))).otherwise(F.array(on(F.col("ghost"))))
             state = own.select(*_PLACE, F.explode(both).alias("s")).select(*_PLACE, "s.*")
-        # New are places that no deeper name has, and one place of each deeper interval, for the others to meet.
-        enter = names
-        if k + 1 < len(levels):
-            enter = names.join(levels[k + 1].select(*_PLACE), _PLACE, "left_anti")
-            one = levels[k + 1].groupBy("a", "b").agg(F.min(F.struct(*_PLACE)).alias("p")).select("p.*")
-            ghosts = names.join(one, _PLACE).select(*_PLACE, F.lit(2**k).alias("lcp"), "a", "b", F.lit(True).alias("ghost"))
-        enter = enter.select(*_PLACE, F.lit(2**k).alias("lcp"), "a", "b", F.lit(False).alias("ghost"))
-        state = enter if state is None else state.union(enter).union(ghosts)
+        # New are all places but those with an earlier one at a deeper level, which are there already. The first of an
+        # interval is a ghost: no earlier place has its name.
+        first = written(names.groupBy("a", "b").agg(F.min(F.struct(*_PLACE)).alias("first")), "line-firsts")
+        marked = names.join(first, ["a", "b"]).select(*_PLACE, F.lit(2**k).alias("lcp"), "a", "b", (F.col("first") == F.struct(*_PLACE)).alias("ghost"))
+        enter = marked if later is None else marked.join(later, _PLACE, "left_anti")
+        later = marked.filter("NOT ghost").select(*_PLACE)
+        state = enter if state is None else state.union(enter)
         state = written(state, "line-prefixes") if k else state
-    return state.filter("NOT ghost").select(*_PLACE, "lcp")
+    return state.groupBy(*_PLACE).agg(F.max("lcp").alias("lcp"), F.coalesce(F.max(F.when(~F.col("ghost"), F.col("lcp"))), F.lit(0)).alias("earlier"))
+
+
+def _maximal(prefixes: DataFrame, length: str, min_lines: int) -> DataFrame:
+    """(id, h, place, n): runs of `min_lines` or more that no run from the place before reaches beyond or as far as."""
+    # A place's run and the mark that its left neighbour leaves on it meet in one grouping.
+    own = prefixes.select(*_PLACE, F.col(length).alias("n"), F.lit(0).alias("left"))
+    left = prefixes.select("id", "h", (F.col("place") + 1).alias("place"), F.lit(0).alias("n"), F.col(length).alias("left"))
+    both = own.union(left).groupBy(*_PLACE).agg(F.max("n").alias("n"), F.max("left").alias("left"))
+    return both.filter((F.col("n") >= min_lines) & (F.col("left") <= F.col("n"))).select(*_PLACE, "n")
+
+
+def _covered(single: DataFrame, runs: DataFrame) -> DataFrame:
+    """(id, h, line): the lines, counted from 0, under runs. Runs of a document overlap; each is cut where the next begins."""
+    following = F.lead("place").over(Window.partitionBy("id", "h").orderBy("place"))
+    stop = F.least(F.col("place") + F.col("n"), F.coalesce(following, F.col("place") + F.col("n")))
+    places = runs.withColumn("stop", stop).select("id", "h", F.explode(F.sequence("place", F.col("stop") - 1)).alias("place"))
+    return places.join(single.select(*_PLACE, "line"), _PLACE).select("id", "h", "line")
 
 
 def _analysed(docs: DataFrame, id_col: str, text_col: str):
@@ -108,20 +127,6 @@ def _analysed(docs: DataFrame, id_col: str, text_col: str):
     return base, stands, single, _doubled(single.drop("line"))
 
 
-def _later_lines(single: DataFrame, levels: list[DataFrame], min_lines: int) -> DataFrame:
-    """(id, h, line): the lines, counted from 0, in runs of `min_lines` that also begin at an earlier place."""
-    k = min(min_lines.bit_length() - 1, len(levels) - 1)
-    names = levels[k]
-    if 2**k < min_lines:
-        pairs = _longer(names, names, min_lines - 2**k) if 2 ** (k + 1) > min_lines else names.limit(0)
-        names = pairs.join(_again(pairs), ["a", "b"])
-    first = written(names.groupBy("a", "b").agg(F.min(F.struct(*_PLACE)).alias("first")), "line-firsts")
-    later = names.join(first, ["a", "b"]).filter(F.struct(*_PLACE) > F.col("first"))
-    if min_lines > 1:
-        later = later.select("id", "h", F.explode(F.sequence(F.col("place"), F.col("place") + (min_lines - 1))).alias("place")).distinct()
-    return later.select(*_PLACE).join(single.select(*_PLACE, "line"), _PLACE).select("id", "h", "line")
-
-
 def line_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1) -> DataFrame:
     """Return (doc id, text_hash, place, n_lines): the maximal runs of `min_lines` solid lines or more that occur again.
 
@@ -130,10 +135,22 @@ def line_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     are one (they stand under their least id). Null ids and texts have no runs; empty tables give no rows.
     """
     _, _, _, levels = _analysed(docs, id_col, text_col)
-    lcp = written(_common_prefixes(levels), "line-lcp")
-    before = lcp.select("id", "h", (F.col("place") + 1).alias("place"), F.col("lcp").alias("left"))
-    runs = lcp.filter(F.col("lcp") >= min_lines).join(before, _PLACE, "left").filter("coalesce(left, 0) <= lcp")
-    return runs.select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), "place", F.col("lcp").alias("n_lines"))
+    lcp = _common_prefixes(levels)
+    return _named(_maximal(lcp, "lcp", min_lines), id_col)
+
+
+def later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1) -> DataFrame:
+    """Return (doc id, text_hash, place, n_lines): the maximal runs that also begin at an earlier place.
+
+    Earlier is in the order of id and then place; all else is as in `line_runs`. `line_dedup` deletes the lines under
+    these runs.
+    """
+    _, _, _, levels = _analysed(docs, id_col, text_col)
+    return _named(_maximal(_common_prefixes(levels), "earlier", min_lines), id_col)
+
+
+def _named(runs: DataFrame, id_col: str) -> DataFrame:
+    return runs.select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), "place", F.col("n").alias("n_lines"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1) -> DataFrame:
@@ -148,8 +165,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hash decides which comes first. Empty tables give no rows; other columns are ignored, whatever their names.
     """
     base, stands, single, levels = _analysed(docs, id_col, text_col)
-    longest = _common_prefixes(levels).groupBy("id", "h").agg(F.max("lcp").alias("longest"))
-    gone = _later_lines(single, levels, min_lines).groupBy("id", "h").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    prefixes = written(_common_prefixes(levels), "line-lcp")
+    longest = prefixes.groupBy("id", "h").agg(F.max("lcp").alias("longest"))
+    gone = _covered(single, _maximal(prefixes, "earlier", min_lines)).groupBy("id", "h").agg(F.sort_array(F.collect_set("line")).alias("gone"))
     # A flag for each line up to the last one that goes, so that a line is looked up at its place.
     gap = lambda x, i: F.concat(F.array_repeat(F.lit(False), x - F.coalesce(F.get("gone", i - 1), F.lit(-1)) - 1), F.array(F.lit(True)))
     flags = longest.join(gone, ["id", "h"], "left").select("id", "h", "longest", F.flatten(F.transform("gone", gap)).alias("flags"), F.lit(False).alias("copied"), F.lit(False).alias("whole"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,14 +13,15 @@ from pyspark.sql import functions as F
 
 from activity_engine.llm.common import components, merged, word_spans, written
 from activity_engine.llm.decontaminate import contamination, signature_length
-from activity_engine.llm.line_dedup import line_dedup, line_runs
+from activity_engine.llm.line_dedup import later_runs, line_dedup, line_runs
 from activity_engine.llm.mixing import mixture, sainte_lague
 from activity_engine.llm.near_dedup import near_duplicates
 from activity_engine.llm.queries import QUERIES
 from activity_engine.llm.shard import shard, shard_of, write_shards
 from activity_engine.llm.simhash import _place_among, edited_fingerprints, id_bounds, near_fingerprints
 from activity_engine.llm.substring_dedup import names_at, repeats, substring_dedup, word_numbers
-from activity_engine.llm.tokens import safe_pieces, token_counts
+from activity_engine.llm.tokens import ENTRY_BYTES, LONG_PIECE, parts_of, safe_pieces, token_counts
+from activity_engine.llm.tokens import Counter as Counts
 from activity_engine.llm.toxicity import Matcher, clause, compose, grammar, keep_clean, negation, reported_speech, sustained, tabulate, toxicity
 from activity_engine.llm.warc import read_warc, write_warc
 
@@ -232,6 +234,34 @@ def test_token_counts(spark, odd, with_nulls, empty, docs):
         assert " ".join(safe_pieces(x)) == x
 
 
+def test_token_counts_of_unspaced_texts():
+    """Long pieces split at letters' ends, whole counts equal the library's, and only short pieces stay in the tables."""
+    import public_tokenizers
+
+    counter = Counts(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(2)
+    signs = [*"abZ09 .,;:!?()'\n\t\r<|>_-\u3001\u3002\u300c\u300d\uff0c\u6f22\u5b57\u304b\u30ab\ud55c\u0436\xe9\x1c\u3000", "'s", "'ll", "<|endoftext|>", "\n\n"]
+    texts = ["".join(rng.choices(signs, [rng.random() ** 2 + 0.01 for _ in signs], k=rng.choice([3, 80, 400]))) for _ in range(3000)]
+    texts += ["\u6f22" * 30_000, "\u6f22\u5b57\u3002" * 20_000, "word," * 20_000, "a" * 65 + "\n" + "b" * 65]
+    want = [len(e.ids) for e in counter.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counter.count(texts) == want
+    assert all(len(p) <= LONG_PIECE for table in counter.tables.values() for p in table)
+    assert Counter(parts_of("\u6f22\u5b57\u3002" * 40)[0]) == {"\u6f22\u5b57": 1, "\u3002\u6f22\u5b57": 39, "\u3002": 1}
+    for lead, table in counter.tables.items():
+        assert counter.held[lead] == sum(sys.getsizeof(p) + ENTRY_BYTES for p in table)
+
+
+def test_token_tables_are_bounded(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr("activity_engine.llm.tokens.REMEMBERED_BYTES", 20_000)
+    counter = Counts(public_tokenizers.path("byte_bpe_50k.json"))
+    for i in range(20):
+        texts = [f"w{i}x{j} and w{j}" for j in range(40)]
+        assert counter.count(texts) == [len(counter.tokenizer.encode(x, add_special_tokens=False).ids) for x in texts]
+        assert max(counter.held.values()) <= 20_000
+
+
 # --- op 5 ------------------------------------------------------------------------------------------------------
 
 
@@ -494,6 +524,33 @@ def test_line_runs(nested, n):
     assert {(r["doc_id"], r["place"], r["n_lines"]) for r in line_runs(nested, min_lines=n).collect()} == want
 
 
+@pytest.mark.parametrize("n", [1, 4])
+def test_later_runs(nested, n):
+    """A run that begins earlier, too, by comparing each place with all before it."""
+    texts = {}
+    for i, t in sorted(texts_of(nested).items()):
+        if t not in texts.values():
+            texts[i] = t
+    lines = {i: [ls[j] for j in solid] for i, t in texts.items() for ls, solid in [solid_lines(t)]}
+    seen, common = set(), {}
+    for i, x in lines.items():
+        for p in range(len(x)):
+            common[i, p] = max((d for d in range(len(x) - p + 1) if tuple(x[p : p + d]) in seen), default=0)
+            seen |= {tuple(x[p : p + d]) for d in range(1, len(x) - p + 1)}
+    want = {(i, p, d) for (i, p), d in common.items() if d >= n and common.get((i, p - 1), 0) <= d}
+    assert {(r["doc_id"], r["place"], r["n_lines"]) for r in later_runs(nested, min_lines=n).collect()} == want
+
+
+def test_deletion_comes_from_the_deeper_levels(nested, monkeypatch):
+    """Without names of two lines and more there are no runs of three, and nothing but whole copies goes."""
+    from activity_engine.llm import line_dedup as module
+
+    whole = module._doubled
+    monkeypatch.setattr(module, "_doubled", lambda names: whole(names)[:1])
+    rows = {r["doc_id"]: r["n_removed"] for r in line_dedup(nested, min_lines=3).collect()}
+    assert {i for i, n in rows.items() if n} <= {30} and len(rows) == nested.count()
+
+
 def test_line_dedup_edges(with_nulls, empty):
     assert line_dedup(empty).collect() == []
     rows = line_dedup(with_nulls).collect()
