@@ -3,10 +3,14 @@
 Transducers run over the tokens of a text, left to right, each rewriting what the one before it wrote. They are tables
 of weighted arcs, and `compose` makes one table of two:
 
-- lexicon: word -> insult, threat, target, negation, report or other, with the word's weight (one state);
+- lexicon: word -> insult, threat, intent, target, object, negation, report, mention or other, with the word's weight
+  (one state); compounds such as `trash bin` are entries of two words and no insults;
 - negation: marks insults and threats in the few tokens after a negation;
-- reported speech: marks those that follow a verb of reporting, to the end of the clause;
-- clause: insult near a target -> targeted, threat before a target -> threat, further insults in a clause -> piled,
+- reported speech: marks those that follow a verb of reporting, to the end of the clause; insults that are only mentioned
+  (`the word idiot`) and not reported are dropped;
+- threat frame: intent, then a verb of violence, then a person as its object, in one clause; or that verb and `yourself`.
+  Without its frame a verb of violence is an ordinary word;
+- clause: insult near a target -> targeted, threat frame -> threat, further insults in a clause -> piled,
   an insult alone in its clause -> bare;
 - text: a bare insult clause writes nothing; from the second on they are sustained abuse. So a single insulting word,
   alone in its clause and in its text, scores nothing.
@@ -35,11 +39,16 @@ from .common import slices, unused, written
 # Words of the grammar.
 INSULTS = "idiot idiots moron morons stupid dumb trash garbage scum loser losers worthless pathetic disgusting clown clowns imbecile cretin jerk bastard vermin filth filthy parasite coward crap freak fool ugly degenerate subhuman scumbag dumbass asshole"
 THREATS = "kill hurt destroy murder strangle stab shoot burn beat punish crush"
-TARGETS = "you your yours u he she they them him her his their these those people everyone"
-NEGATIONS = "not never isn't aren't wasn't weren't don't doesn't didn't won't cannot can't nobody neither"
-REPORTS = "said says say saying called calls quoted quotes wrote writes claimed claims reported alleged"
-
-NEGATION_SCOPE, TARGET_REACH = 3, 4
+INTENTS = "will i'll we'll you'll he'll she'll they'll shall gonna wanna going want wants must should let's lemme"
+TARGETS = "your yours he she they his their these those dein deine deinen deiner votre vos"
+OBJECTS = "you u him her them people everyone dich dir euch toi vous usted ustedes vosotros"
+SELVES = "yourself yourselves"
+NEGATIONS = "not never isn't aren't wasn't weren't don't doesn't didn't won't cannot can't nobody neither nicht kein keine keinen niemals pas jamais aucun aucune nunca jamás tampoco"
+REPORTS = "said says say saying called calls quoted quotes wrote writes claimed claims reported alleged sagte sagten nannte schrieb disait appelait écrivait dijo dijeron llamó escribió"
+MENTIONS = "word words term terms phrase wort wörter mot mots palabra palabras"
+COMPOUND_HEADS, COMPOUND_TAILS = "garbage trash crap", "collection collections collector collectors bin bins can cans bag bags truck trucks dump dumps disposal heap heaps day"
+
+NEGATION_SCOPE, TARGET_REACH, MENTION_REACH, INTENT_REACH, OBJECT_REACH = 3, 4, 2, 4, 3
 CLASSES = ("threat", "targeted", "piled", "sustained", "reported", "negated")
 CLASS_PRIORS = {"threat": 1.0, "targeted": 1.0, "piled": 0.95, "sustained": 0.95, "reported": 0.5, "negated": 0.4}
 CLASS_PRIOR_ROWS, SEED_PRIOR, SEED_PRIOR_ROWS, LEARNED_PRIOR_ROWS = 8.0, 0.9, 6.0, 2.0
@@ -49,7 +58,8 @@ MAX_TRAINING_ROWS, MIN_CONTEXTS, MIN_WEIGHT = 20_000, 6, 0.7
 STEM_LETTERS, STEM_WORDS = (4, 5, 6, 7, 8), 5
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_TOKEN_OR_STOP = re.compile(_TOKEN.pattern + r"|[.!?;:\n]+")
+_COMPOUND = rf"\b(?:{'|'.join(COMPOUND_HEADS.split())})[ -](?:{'|'.join(COMPOUND_TAILS.split())})\b"
+_TOKEN_OR_STOP = re.compile(_COMPOUND + "|" + _TOKEN.pattern + r"|[.!?;:\n]+")
 _STOPS = ".!?;:\n"
 
 
@@ -108,44 +118,77 @@ def negation() -> Transducer:
             return NEGATION_SCOPE, "other", 1.0
         return max(0, left - 1), symbol + ".not" * (left > 0 and symbol in ("insult", "threat")), 1.0
 
-    return tabulate(0, ("insult", "threat", "target", "negation", "report", "other", "stop"), step)
+    return tabulate(0, ("insult", "threat", "intent", "target", "object", "self", "negation", "report", "mention", "other", "stop"), step)
 
 
 def reported_speech() -> Transducer:
-    """Insults and threats after a verb of reporting get the mark `.said`, to the end of the clause."""
+    """Insults and threats after a verb of reporting get the mark `.said`, to the end of the clause.
+
+    Others that follow the mention of a word within MENTION_REACH tokens are no insults. A state is -1 after a verb of
+    reporting, else for how many tokens a mention still reaches.
+    """
 
-    def step(said: bool, symbol: str):
+    def step(state: int, symbol: str):
         if symbol == "stop":
-            return False, symbol, 1.0
-        if symbol == "report":
-            return True, "other", 1.0
-        return said, symbol + ".said" * (said and symbol in ("insult", "threat")), 1.0
+            return 0, symbol, 1.0
+        if symbol == "report" or state < 0:
+            return -1, "other" if symbol in ("report", "mention") else symbol + ".said" * (symbol in ("insult", "threat")), 1.0
+        if symbol == "mention":
+            return MENTION_REACH, "other", 1.0
+        return max(0, state - 1), "other" if state and symbol in ("insult", "insult.not") else symbol, 1.0
 
-    return tabulate(False, ("insult", "threat", "insult.not", "threat.not", "target", "report", "other", "stop"), step)
+    return tabulate(0, ("insult", "threat", "insult.not", "threat.not", "intent", "target", "object", "self", "report", "mention", "other", "stop"), step)
 
 
-def clause() -> Transducer:
-    """Matches within a clause. A state is how many tokens ago (TARGET_REACH + 1: too many) target, insult and threat were, and whether the clause has an insult."""
+def threat_frame() -> Transducer:
+    """Where a frame of intent, violence and person ends, the person becomes `threatened`; other persons are targets.
+
+    A state is how many tokens ago intent and the verb of violence were (one more than the reach: too many), and whether
+    that verb had intent before it.
+    """
+    none = (INTENT_REACH + 1, OBJECT_REACH + 1, False)
+
+    def step(state: tuple[int, int, bool], symbol: str):
+        intent, verb, meant = min(none[0], state[0] + 1), min(none[1], state[1] + 1), state[2]
+        if symbol == "stop":
+            return none, symbol, 1.0
+        if symbol == "intent":
+            return (0, none[1], False), "other", 1.0
+        if symbol == "threat":
+            return (none[0], 0, intent <= INTENT_REACH), "other", 1.0
+        reached = verb <= OBJECT_REACH
+        if symbol == "self" or symbol == "object":
+            return none, "threatened" if reached and (meant or symbol == "self") else "target", 1.0
+        return (intent, verb, meant and reached), "other" if symbol.startswith("threat.") else symbol, 1.0
+
+    return tabulate(none, ("insult", "threat", "insult.not", "threat.not", "insult.said", "threat.said", "intent", "target", "object", "self", "other", "stop"), step)
+
+
+def matches_of_clauses() -> Transducer:
+    """Matches within a clause. A state is how many tokens ago (TARGET_REACH + 1: too many) target and insult were, and whether the clause has an insult."""
     far = TARGET_REACH + 1
 
-    def step(state: tuple[int, int, int, bool], symbol: str):
-        target, insult, threat = (min(far, x + 1) for x in state[:3])
-        some, out = state[3], ""
+    def step(state: tuple[int, int, bool], symbol: str):
+        target, insult = (min(far, x + 1) for x in state[:2])
+        some, out = state[2], ""
         if symbol == "stop":
-            return (far, far, far, False), "stop", 1.0
-        if symbol == "target":
-            out = "targeted" if insult < far else "threat" if threat < far else ""
-            target, insult, threat = 0, far, far
+            return (far, far, False), "stop", 1.0
+        if symbol in ("target", "threatened"):
+            out = "threat" if symbol == "threatened" else "targeted" if insult < far else ""
+            target, insult = 0, far
         elif symbol == "insult":
             out = "targeted" if target < far else "piled" if some else "bare"
             insult, some = 0 if out == "bare" else far, True
-        elif symbol == "threat":
-            threat = 0
         elif symbol in ("insult.not", "insult.said"):
             out = "negated" if symbol == "insult.not" else "reported"
-        return (target, insult, threat, some), out, 1.0
+        return (target, insult, some), out, 1.0
 
-    return tabulate((far, far, far, False), ("insult", "threat", "insult.not", "threat.not", "insult.said", "threat.said", "target", "other", "stop"), step)
+    return tabulate((far, far, False), ("insult", "insult.not", "insult.said", "target", "threatened", "other", "stop"), step)
+
+
+def clause() -> Transducer:
+    """Threat frames, then all matches within a clause."""
+    return compose(threat_frame(), matches_of_clauses())
 
 
 def sustained() -> Transducer:
@@ -167,7 +210,8 @@ def grammar() -> Transducer:
 
 def lexicon(weights: dict[str, float]) -> dict[str, tuple[str, float]]:
     """Symbols of all words but `other` ones: the arcs of a transducer with one state. `weights` are those of insults."""
-    table = {w: ("target", 1.0) for w in TARGETS.split()} | {w: ("negation", 1.0) for w in NEGATIONS.split()} | {w: ("report", 1.0) for w in REPORTS.split()}
+    words = {"target": TARGETS, "object": OBJECTS, "self": SELVES, "intent": INTENTS, "negation": NEGATIONS, "report": REPORTS, "mention": MENTIONS}
+    table = {w: (symbol, 1.0) for symbol, listed in words.items() for w in listed.split()}
     table |= {w: ("threat", SEED_PRIOR) for w in THREATS.split()}
     return table | {w: ("insult", p) for w, p in weights.items()}
 
@@ -186,7 +230,8 @@ class Matcher:
 
     def symbol(self, token: str) -> tuple[str, float]:
         found = self.table.get(token)
-        for n in self.lengths if found is None else ():
+        compound = " " in token or "-" in token
+        for n in self.lengths if found is None and not compound else ():
             if len(token) > n and token[:n] in self.stems:
                 return self.stems[token[:n]]
         return found or ("other", 1.0)

@@ -22,7 +22,9 @@ from activity_engine.llm.simhash import _place_among, edited_fingerprints, id_bo
 from activity_engine.llm.substring_dedup import names_at, repeats, substring_dedup, word_numbers
 from activity_engine.llm.tokens import ENTRY_BYTES, LONG_PIECE, parts_of, safe_pieces, token_counts
 from activity_engine.llm.tokens import Counter as Counts
-from activity_engine.llm.toxicity import Matcher, clause, compose, grammar, keep_clean, negation, reported_speech, sustained, tabulate, toxicity
+from activity_engine.llm.toxicity import (
+    Matcher, clause, compose, grammar, keep_clean, matches_of_clauses, negation, reported_speech, scored, sustained, tabulate, threat_frame, toxicity,
+)
 from activity_engine.llm.warc import read_warc, write_warc
 
 SMALL = "/root/testdata/sf0.001"
@@ -645,12 +647,47 @@ def test_grammar():
     assert [w for _, w in stems.matches("you scum! you scummy dummer dumm")] == [0.9, 0.7, 0.75]
 
 
+def test_clauses_not_words():
+    """Mentions, compounds and verbs of violence without intent and person score nothing; frames do, in one clause alone."""
+    m = Matcher({"idiot": 0.9, "moron": 0.8, "trash": 0.9, "garbage": 0.9, "trottel": 0.9})
+    kinds = lambda s: [k for k, _ in m.matches(s)]
+    for text in ("The word idiot. The word moron.", "Garbage collection. Trash bin.", "kill the process, they said", "they shoot photos; crush your goals", "I burn them", "will kill. you", "you will kill time", "going home to beat the eggs for you"):
+        assert kinds(text) == []
+    for text in ("we'll hurt them", "kill yourself", "they are going to beat him", "people will crush you", "i want to punish her"):
+        assert kinds(text) == ["threat"]
+    assert kinds("i will not kill you") == [] and kinds("he said i will kill you") == []
+    assert kinds("trash truck, you trash") == ["targeted"] and kinds("i will kill you idiot") == ["threat", "targeted"]
+    assert kinds("ein trottel, dich meine ich") == ["targeted"] and kinds("kein trottel") == ["negated"] and kinds("dijo idiot") == ["reported"]
+
+
+def test_scores_by_hand(spark):
+    """1 - (1 - floor) * prod(1 - weight * class weight), worked out match by match."""
+    classes = {"threat": 0.95, "targeted": 0.9, "piled": 0.8, "sustained": 0.5, "reported": 0.4, "negated": 0.25}
+    model = {"weights": {"idiot": 0.8, "moron": 0.5, "scumm*": 0.6}, "classes": classes, "floor": 0.1}
+    cases = {
+        None: 0.1, "": 0.1, "  ": 0.1, "a clean text": 0.1, "the idiot ran": 0.1, "the word idiot. a word, moron.": 0.1, "trash bin": 0.1,
+        "you idiot": 1 - 0.9 * (1 - 0.72), "idiot! you": 0.1, "the moron they saw": 1 - 0.9 * (1 - 0.45), "you scummy dog": 1 - 0.9 * (1 - 0.54),
+        "idiot and moron": 1 - 0.9 * (1 - 0.4), "idiot. moron.": 1 - 0.9 * (1 - 0.25), "idiot. moron. idiot.": 1 - 0.9 * 0.75 * 0.6,
+        "not an idiot": 1 - 0.9 * (1 - 0.2), "said idiot": 1 - 0.9 * (1 - 0.32), "said idiot and moron": 1 - 0.9 * 0.68 * 0.8,
+        "i will hurt you": 1 - 0.9 * (1 - 0.95), "hurt you": 0.1, "i will hurt you, moron": 1 - 0.9 * 0.05 * (1 - 0.45), "you idiot. moron.": 1 - 0.9 * 0.28 * 0.75,
+        "idiot " * 3: 1 - 0.9 * (1 - 0.64) ** 2,
+    }
+    rows = scored(spark.createDataFrame([(x,) for x in cases], "text string"), model).collect()
+    assert len(rows) == len(cases) and all(abs(r["score"] - cases[r["text"]]) < 1e-12 for r in rows)
+
+
 def test_composition_is_one_after_the_other():
     """What a composed table writes is what its parts write in turn, on all short inputs and on random long ones."""
+    whole = grammar()
+    for parts in ([negation(), reported_speech(), clause(), sustained()], [negation(), reported_speech(), threat_frame(), matches_of_clauses(), sustained()]):
+        check_composition(whole, parts)
+    halves = tabulate(0, ("a",), lambda s, x: (1 - s, "b", 0.5))
+    assert list(compose(halves, tabulate(0, ("b",), lambda s, x: (s, "c", 0.5))).run([("a", 1.0)] * 2)) == [("c", 0.25)] * 2
+
+
+def check_composition(whole, parts):
     from itertools import product
 
-    parts = [negation(), reported_speech(), clause(), sustained()]
-    whole = grammar()
     rng = random.Random(7)
     inputs = [list(x) for n in range(4) for x in product(whole.inputs, repeat=n)] + [rng.choices(whole.inputs, k=200) for _ in range(200)]
     for symbols in inputs:
@@ -659,8 +696,6 @@ def test_composition_is_one_after_the_other():
         for p in parts:
             turn = iter(list(p.run(turn)))
         assert one == list(turn)
-    halves = tabulate(0, ("a",), lambda s, x: (1 - s, "b", 0.5))
-    assert list(compose(halves, tabulate(0, ("b",), lambda s, x: (s, "c", 0.5))).run([("a", 1.0)] * 2)) == [("c", 0.25)] * 2
 
 
 def test_toxicity(spark, with_nulls, empty):
