@@ -15,8 +15,8 @@ of weighted arcs, and `compose` makes one table of two:
 - text: a bare insult clause writes nothing; from the second on they are sustained abuse. So a single insulting word,
   alone in its clause and in its text, scores nothing.
 
-A text's score is the noisy-or of its matches: 1 - (1 - floor) * prod(1 - weight * class weight). A weight is the
-share of toxic texts among the contexts in which training rows hold the word, shrunk to a prior; class weights are
+A text's score is the noisy-or of its matches: 1 - (1 - floor) * prod(1 - weight * class weight). A match has the weight
+of the word that ends it: an insult's own, or 1 where a person ends it. A word's weight is the share of toxic texts among the contexts in which training rows hold the word, shrunk to a prior; class weights are
 learned the same way. The word lists are priors; words of any language, and stems of words that occur in many forms, are
 learned beside them.
 """
