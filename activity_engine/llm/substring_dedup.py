@@ -5,17 +5,19 @@ words is hung on one suffix that begins inside it: the one whose first 16 words
 Neighbouring windows share it, so about one suffix in 18 is kept; equal windows hang on equal suffixes.
 
 1. Prefixes. Suffixes are counted by their 16-word prefix. Those that one text alone holds can't repeat and are cut.
-2. Groups. A prefix that is left is a group, as long as its windows fit a task's memory (GROUP_WORDS). The windows of a
-   group that is larger are split further by a longer prefix, of all 50 words.
+2. Groups. A prefix that is left is a group if its subtree fits a task's memory: the bytes that the words of its windows
+   take while the tree is built, counted beforehand (GROUP_BYTES). The windows of a larger group are hung on prefixes of
+   24, 32 and 40 words, each within the one before, until they fit; what one text alone holds is cut at each length.
 3. Subtrees. A group's windows are sorted as suffixes by prefix doubling over word numbers (exact, no hashes): names at
-   depth 1, 2, 4, .. 32, 50. Windows with one name at depth 50 are the leaves of one internal node of that depth. A group
-   of the longer prefix is itself such a node; its least document is found by pre-aggregation, so that a passage that a
-   third of all documents hold is never gathered in one place.
-4. Windows under a node whose least document is another, smaller one are copies. Neighbouring copies of a document join
+   depth 1, 2, 4, .. 32, 50. Windows with one name at depth 50 are the leaves of one internal node of that depth.
+4. Nodes of many leaves. A group that is too large at 40 words too holds few different windows, each in very many places:
+   there each window is its node, told by 128 bits of hash. Least documents are found by pre-aggregation, so that a
+   passage that a third of all documents hold is never gathered in one place.
+5. Windows under a node whose least document is another, smaller one are copies. Neighbouring copies of a document join
    to its repeats (`repeats`), which can't be extended on either side; their words are removed.
 
-Documents with equal texts fall together first: one of them stands for all, the others go whole. There is one plan at
-every size: nothing is broadcast, and no step depends on how much there is, but for the split of large groups.
+Documents with equal texts fall together first: one of them stands for all, the others go whole. The plan is the same at
+every size; a prefix's length follows from its group's bytes alone.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ngram_hashes, slices, text_bytes, word_hashes, word_spans, written
+from .common import mix, ngram_hashes, slices, text_bytes, word_hashes, word_spans, written
 
-PREFIX, GROUP_WORDS, CHUNK_BYTES = 16, 1 << 18, 4 << 20
+PREFIX, STEP, CHUNK_BYTES = 16, 8, 2 << 20
+#: What a subtree may take while it is built, and what it takes for each word and for each byte of text (measured).
+GROUP_BYTES, WORD_COST, BYTE_COST = 128 << 20, 96, 4
 RUNS = "id long, t long, place int, n int"
 
 
@@ -47,83 +51,140 @@ def least_prefixes(words: np.ndarray, window: int, prefix: int) -> np.ndarray:
     return best
 
 
-def _runs(texts: pa.Array, window: int, prefix: int):
-    """(row, place, n, key) of each run of neighbouring windows with one key, and the words' hashes and first places."""
-    words, first = word_hashes(texts, False)
-    n = np.maximum(np.diff(first) - window + 1, 0)
-    row = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    keys = least_prefixes(words, window, prefix)[first[:-1][row] + place] if len(row) else np.zeros(0, np.uint64)
+def prefix_lengths(window: int, prefix: int) -> list[int]:
+    """The lengths of prefixes, each for what doesn't fit at the one before; all shorter than a window but the first."""
+    return [prefix, *range(prefix + STEP, window, STEP)]
+
+
+def _joined(row: np.ndarray, place: np.ndarray, keys: np.ndarray):
+    """(row, place, n, key) of each run of neighbouring windows with one key."""
     new = np.ones(len(row), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
     at = np.flatnonzero(new)
-    return row[at], place[at], np.diff(at, append=len(row)), keys[at].view(np.int64), words, first
+    return row[at], place[at], np.diff(at, append=len(row)), keys[at]
+
+
+class _Windows:
+    """The windows of some texts: their words, and the keys that their prefixes of each length have."""
+
+    def __init__(self, texts: pa.Array, window: int):
+        self.window = window
+        self.words, self.first = word_hashes(texts, False)
+        self.raw, at = text_bytes(texts)
+        self.starts, self.stops, _ = word_spans(self.raw, at)
+        n = np.maximum(np.diff(self.first) - window + 1, 0)
+        self.row = np.repeat(np.arange(len(n)), n)
+        self.place = np.arange(len(self.row)) - np.repeat(np.cumsum(n) - n, n)
+
+    def begin(self, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return self.first[:-1][row] + place
+
+    def keys(self, row: np.ndarray, place: np.ndarray, length: int, within: np.ndarray | None = None) -> np.ndarray:
+        """The least hash of the windows' runs of `length` words, within the key of the shorter prefix."""
+        if not len(row):
+            return np.zeros(0, np.uint64)
+        least = least_prefixes(self.words, self.window, length)[self.begin(row, place)]
+        return least if within is None else mix(within + least * np.uint64(0x9E3779B97F4A7C15))
+
+    def ends(self, row: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes at which runs of windows begin and end."""
+        begin = self.begin(row, place)
+        return self.starts[begin], self.stops[begin + n + self.window - 2]
+
+    def sized(self, t: pa.Array, runs) -> pa.RecordBatch:
+        """(t, key, size) of runs of windows: size is the memory that a run takes in a subtree."""
+        row, place, n, keys = runs
+        a, b = self.ends(row, place, n)
+        size = (b - a) * BYTE_COST + (n + self.window - 1) * WORD_COST
+        return pa.RecordBatch.from_arrays([t.take(pa.array(row)), pa.array(keys.view(np.int64)), pa.array(size.astype(np.int64))], ["t", "key", "size"])
 
 
 def _prefixes(window: int, prefix: int):
-    """(t, key, n) of each run of windows of each text."""
+    """(t, key, size) of each run of windows of each text, by the shortest prefix."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
-                row, _, n, keys, _, _ = _runs(part.column(0), window, prefix)
-                yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(row)), pa.array(keys), pa.array(n.astype(np.int64))], ["t", "key", "n"])
+                w = _Windows(part.column(0), window)
+                yield w.sized(part.column(1), _joined(w.row, w.place, w.keys(w.row, w.place, prefix)))
 
     return make
 
 
-def _wanted(part: pa.RecordBatch, window: int, prefix: int):
-    """As `_runs`, of the runs whose key is among the row's own `keys` (sorted structs of key and large)."""
-    row, place, n, keys, words, first = _runs(part.column("text"), window, prefix)
-    bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
-    lists = part.column("keys")
+def _looked_up(lists: pa.Array, row: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is among its row's own list (sorted structs of key and large), and whether it is large there."""
     ends = lists.offsets.to_numpy()
-    known, large = (lists.values.field(f).to_numpy(zero_copy_only=False) for f in ("key", "large"))
-    hit, hot = np.zeros(len(row), bool), np.zeros(len(row), bool)
-    for i in range(part.num_rows):
-        a, b = bounds[i], bounds[i + 1]
-        mine, flags = known[ends[i] : ends[i + 1]], large[ends[i] : ends[i + 1]]
+    known, flags = (lists.values.field(f).to_numpy(zero_copy_only=False) for f in ("key", "large"))
+    hit, large = np.zeros(len(row), bool), np.zeros(len(row), bool)
+    bounds, signed = np.searchsorted(row, np.arange(len(lists) + 1)), keys.view(np.int64)
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        mine = known[ends[i] : ends[i + 1]]
         if a < b and len(mine):
-            at = np.minimum(np.searchsorted(mine, keys[a:b]), len(mine) - 1)
-            hit[a:b] = mine[at] == keys[a:b]
-            hot[a:b] = flags[at]
-    return row, place, n, keys, words, first, hit, hot
+            at = np.minimum(np.searchsorted(mine, signed[a:b]), len(mine) - 1)
+            hit[a:b] = mine[at] == signed[a:b]
+            large[a:b] = hit[a:b] & flags[ends[i] : ends[i + 1]][at]
+    return hit, large
+
 
+def _longer(window: int, lengths: list[int]):
+    """(t, key, size) of the runs of windows of large groups, by each of the longer prefixes."""
 
-def _grouped(window: int, prefix: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                w = _Windows(part.column("text"), window)
+                keys = w.keys(w.row, w.place, lengths[0])
+                _, hot = _looked_up(part.column("keys"), w.row, keys)
+                row, place, keys = w.row[hot], w.place[hot], keys[hot]
+                for length in lengths[1:]:
+                    keys = w.keys(row, place, length, keys)
+                    yield w.sized(part.column("t"), _joined(row, place, keys))
+
+    return make
+
+
+def _dealt(w: _Windows, lists: pa.Array, lengths: list[int]):
+    """The runs (row, place, n, key) of groups that fit, and the windows (row, place) that are large at every length."""
+    row, place, keys = w.row, w.place, None
+    runs = []
+    for length in lengths:
+        keys = w.keys(row, place, length, keys)
+        hit, large = _looked_up(lists, row, keys)
+        fits = hit & ~large
+        runs.append(_joined(row[fits], place[fits], keys[fits]))
+        row, place, keys = row[large], place[large], keys[large]
+    return tuple(np.concatenate(x) for x in zip(*runs, strict=True)), (row, place)
+
+
+def _grouped(window: int, lengths: list[int]):
     """The runs of groups that fit memory, each with its words: what a subtree is built of."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
-                row, place, n, keys, _, first, hit, hot = _wanted(part, window, prefix)
-                mine = np.flatnonzero(hit & ~hot)
-                raw, at = text_bytes(part.column("text"))
-                starts, stops, _ = word_spans(raw, at)
-                begin = first[:-1][row[mine]] + place[mine]
-                data = raw.tobytes()
-                texts = [data[a:b].decode() for a, b in zip(starts[begin].tolist(), stops[begin + n[mine] + window - 2].tolist(), strict=True)] if len(mine) else []
-                rows = pa.array(row[mine])
+                w = _Windows(part.column("text"), window)
+                (row, place, n, keys), _ = _dealt(w, part.column("keys"), lengths)
+                data = w.raw.tobytes()
+                texts = [data[a:b].decode() for a, b in zip(*(x.tolist() for x in w.ends(row, place, n)), strict=True)]
+                rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(rows), part.column("t").take(rows), pa.array(place[mine].astype(np.int32)), pa.array(n[mine].astype(np.int32)), pa.array(keys[mine]), pa.array(texts, pa.string())],
+                    [part.column("id").take(rows), part.column("t").take(rows), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(texts, pa.string())],
                     ["id", "t", "place", "n", "key", "words"],
                 )
 
     return make
 
 
-def _single(window: int, prefix: int):
-    """The windows of groups that don't fit memory, each with its prefix of all words as two hashes."""
+def _single(window: int, lengths: list[int]):
+    """The windows of groups that are too large at every length: each is a node, named by two hashes of its words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
-                row, place, n, _, words, first, hit, hot = _wanted(part, window, prefix)
-                mine = np.flatnonzero(hit & hot)
-                inside = np.arange(n[mine].sum()) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
-                row, place = np.repeat(row[mine], n[mine]), np.repeat(place[mine], n[mine]) + inside
-                start = first[:-1][row] + place
-                k1, k2 = (ngram_hashes(x, window)[start].view(np.int64) if len(start) else np.zeros(0, np.int64) for x in (words, words ^ np.uint64(0x5851F42D4C957F2D)))
+                w = _Windows(part.column("text"), window)
+                _, (row, place) = _dealt(w, part.column("keys"), lengths)
+                start = w.begin(row, place)
+                k1, k2 = (ngram_hashes(x, window)[start].view(np.int64) if len(start) else np.zeros(0, np.int64) for x in (w.words, w.words ^ np.uint64(0x5851F42D4C957F2D)))
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column("id").take(rows), part.column("t").take(rows), pa.array(place.astype(np.int32)), pa.array(k1), pa.array(k2)], ["id", "t", "place", "k1", "k2"])
 
@@ -234,7 +295,7 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
 
 
-def _copies(base: DataFrame, window: int, prefix: int, group_words: int) -> DataFrame:
+def _copies(base: DataFrame, window: int, prefix: int, group_bytes: int) -> DataFrame:
     """(id, t, runs, whole) of the texts that have copies: runs of windows (place, n), or the whole text."""
     named = base.filter("id IS NOT NULL AND text IS NOT NULL")
     # Of equal texts (128 bits) the least id stands for all; the others are copies as a whole.
@@ -242,16 +303,22 @@ def _copies(base: DataFrame, window: int, prefix: int, group_words: int) -> Data
     stands = written(light.groupBy("t", "u").agg(F.min("id").alias("stands"), F.count("*").alias("rows")), "texts")
     whole = light.join(stands.filter("rows > 1"), ["t", "u"]).filter("id > stands").select("id", "t").distinct()
 
-    short = named.select("text", "t").mapInArrow(_prefixes(window, prefix), "t long, key long, n long")
-    groups = short.groupBy("key").agg(F.min("t").alias("x"), F.max("t").alias("y"), F.sum("n").alias("n")).filter("x <> y")
-    groups = written(groups.select("key", (F.col("n") > group_words).alias("large")), "prefixes")
-    wanted = short.join(groups, "key").groupBy("t").agg(F.sort_array(F.collect_set(F.struct("key", "large"))).alias("keys"))
-    wanted = written(stands.join(wanted, "t").select(F.col("stands").alias("id"), F.col("t").alias("v"), "keys"), "wanted")
+    lengths, sized = prefix_lengths(window, prefix), "t long, key long, size long"
+    state = lambda runs: runs.groupBy("key").agg(F.min("t").alias("x"), F.max("t").alias("y"), F.sum("size").alias("size")).filter("x <> y").select("key", (F.col("size") > group_bytes).alias("large"))
+    own = lambda runs, groups: runs.join(groups, "key").groupBy("t").agg(F.sort_array(F.collect_set(F.struct("key", "large"))).alias("keys"))
+    short = named.select("text", "t").mapInArrow(_prefixes(window, prefix), sized)
+    wanted = written(stands.join(own(short, written(state(short), "prefixes")), "t").select(F.col("stands").alias("id"), F.col("t").alias("v"), "keys"), "wanted")
+    # Only texts with windows in large groups are read for longer prefixes; Spark broadcasts their keys if they are few.
+    hot = written(wanted.select("id", "v", F.filter("keys", lambda k: k.large).alias("keys")).filter("size(keys) > 0"), "hot")
+    longer = written(named.join(hot, "id").filter("t = v").select("id", "t", "text", "keys").mapInArrow(_longer(window, lengths), sized), "longer")
+    deeper = own(longer, state(longer)).select(F.col("t").alias("v"), F.col("keys").alias("more"))
+    all_keys = F.when(F.col("more").isNull(), F.col("keys")).otherwise(F.array_sort(F.concat("keys", "more")))
+    wanted = written(wanted.join(deeper, "v", "left").select("id", "v", all_keys.alias("keys")), "all_keys")
     texts = named.join(wanted.hint("merge"), "id").filter("t = v").select("id", "t", "text", "keys")
 
-    trees = texts.mapInArrow(_grouped(window, prefix), f"{RUNS}, key long, words string")
+    trees = texts.mapInArrow(_grouped(window, lengths), f"{RUNS}, key long, words string")
     found = trees.repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(window), RUNS)
-    single = texts.mapInArrow(_single(window, prefix), "id long, t long, place int, k1 long, k2 long")
+    single = texts.mapInArrow(_single(window, lengths), "id long, t long, place int, k1 long, k2 long")
     nodes = written(single.groupBy("k1", "k2").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("k1", "k2", "x"), "nodes")
     found = found.union(single.join(nodes, ["k1", "k2"]).filter("id > x").select("id", "t", "place", F.lit(1).alias("n")))
     runs = found.groupBy("id", "t").agg(F.sort_array(F.collect_set(F.struct("place", "n"))).alias("runs"))
@@ -259,13 +326,13 @@ def _copies(base: DataFrame, window: int, prefix: int, group_words: int) -> Data
     return written(runs.withColumn("whole", F.lit(False)).union(whole.select("id", "t", none, F.lit(True))), "copies")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = PREFIX, group_words: int = GROUP_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = PREFIX, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Return (doc id, text_hash, place, n_words): the repeats of `window` words or more in documents that aren't the first to have them.
 
     A repeat is a run of words that windows cover which also begin in a document with a smaller id, and that can't be
     extended. Documents whose whole text stands under a smaller id have place 0 and no n_words.
     """
-    got = _copies(_base(docs, id_col, text_col), window, prefix, group_words)
+    got = _copies(_base(docs, id_col, text_col), window, prefix, group_bytes)
     one = got.filter("NOT whole").select("id", "t", F.explode("runs").alias("r")).select("id", "t", F.col("r.place").alias("a"), (F.col("r.place") + F.col("r.n") + window - 1).alias("b"))
     order = Window.partitionBy("id", "t").orderBy("a", "b")
     before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -276,7 +343,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     return out.select(F.col("id").alias(id_col), F.col("t").alias("text_hash"), "place", "n_words")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = PREFIX, with_text: bool = True, group_words: int = GROUP_WORDS) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = PREFIX, with_text: bool = True, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Return (doc id, n_words, n_removed, kept_sha256, kept_text), one row per input row; kept_text is null unless wanted.
 
     A word is removed if a window of `window` consecutive words of its document covers it and the window's words also
@@ -286,7 +353,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts of any length are read whole. Empty tables give no rows; other columns are ignored, whatever their names.
     """
     base = _base(docs, id_col, text_col)
-    copies = _copies(base, window, prefix, group_words).select("id", F.col("t").alias("v"), "runs", "whole")
+    copies = _copies(base, window, prefix, group_bytes).select("id", F.col("t").alias("v"), "runs", "whole")
     # Copies grow with the texts: the same join at every size, never a broadcast.
     both = base.join(copies.hint("merge"), (F.col("t") == F.col("v")) & (base["id"] == copies["id"]), "left").select(base["id"], "text", "runs", "whole")
     out = both.mapInArrow(_remover(window, with_text), "id long, n long, removed long, kept string, sha string")

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import subprocess
 import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from activity_engine.llm.near_dedup import near_duplicates
 from activity_engine.llm.queries import QUERIES
 from activity_engine.llm.shard import shard, shard_of, write_shards
 from activity_engine.llm.simhash import _place_among, edited_fingerprints, id_bounds, near_fingerprints
-from activity_engine.llm.substring_dedup import names_at, repeats, substring_dedup, word_numbers
+from activity_engine.llm.substring_dedup import GROUP_BYTES, _Windows, names_at, prefix_lengths, repeats, substring_dedup, word_numbers
 from activity_engine.llm.tokens import ENTRY_BYTES, LONG_PIECE, parts_of, safe_pieces, token_counts
 from activity_engine.llm.tokens import Counter as Counts
 from activity_engine.llm.toxicity import (
@@ -284,11 +286,11 @@ def brute_substrings(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window, prefix, group", [(8, 8, 1 << 18), (10, 3, 20), (50, 16, 1 << 18), (50, 16, 40), (50, 16, 0)])
+@pytest.mark.parametrize("window, prefix, group", [(8, 8, GROUP_BYTES), (10, 3, 20_000), (30, 4, 30_000), (50, 16, GROUP_BYTES), (50, 16, 60_000), (50, 16, 0)])
 def test_substring_dedup(odd, docs, window, prefix, group, monkeypatch):
     monkeypatch.setattr("activity_engine.llm.substring_dedup.CHUNK_BYTES", 1 << 14)
     for df in (odd, docs):
-        got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup(df, window=window, prefix=prefix, group_words=group).collect()}
+        got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup(df, window=window, prefix=prefix, group_bytes=group).collect()}
         assert got == brute_substrings(texts_of(df), window)
 
 
@@ -304,11 +306,66 @@ def test_names_are_exact():
         assert len(set(zip(runs, names.tolist(), strict=True))) == len(set(runs)) == len(set(names.tolist()))
 
 
-@pytest.mark.parametrize("group", [1 << 18, 0])
+def test_longer_prefixes_split_groups():
+    """Equal windows have equal keys at every length, and windows of one key have one key at all shorter lengths."""
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(24)]
+    texts = [" ".join(rng.choices("abc", k=rng.randrange(40)) + common + rng.choices("xyz", k=rng.randrange(60))) for _ in range(40)]
+    window, lengths = 30, prefix_lengths(30, 4)
+    assert lengths == [4, 12, 20, 28] and prefix_lengths(8, 8) == [8]
+    w = _Windows(pa.array(texts * 2), window)
+    runs = [tuple(words(texts[r % 40])[p : p + window]) for r, p in zip(w.row, w.place, strict=True)]
+    keys, before, groups = None, None, []
+    for length in lengths:
+        keys = w.keys(w.row, w.place, length, keys)
+        assert len(set(zip(runs, keys.tolist(), strict=True))) == len(set(runs))
+        if before is not None:
+            assert len(set(zip(keys.tolist(), before.tolist(), strict=True))) == len(set(keys.tolist()))
+        groups.append(len(set(keys.tolist())))
+        before = keys
+    assert groups == sorted(set(groups)) and groups[-1] < len(set(runs))
+
+
+@pytest.mark.parametrize("group", [300_000, 100_000, 0])
+def test_groups_too_large_are_split(spark, group):
+    """One passage with many continuations: its group is split by longer prefixes; nothing is lost at any bound."""
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(16)]
+    tails = [[f"t{k}w{i}" for i in range(40)] for k in range(12)]
+    rows = [(i, " ".join([f"h{i}"] * rng.randrange(5) + common + tails[i % 12][: rng.randrange(20, 40)] + [f"e{i}"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup(df, window=30, prefix=4, group_bytes=group).collect()}
+    assert got == brute_substrings(dict(rows), 30)
+    assert sum(v[1] > 0 for v in got.values()) > 150
+
+
+def test_a_group_at_the_bound_fits_memory():
+    """A worker that builds the largest subtree that is allowed grows by less than 200 MB."""
+    code = """
+import random, resource
+import numpy as np, pyarrow as pa
+from activity_engine.llm.substring_dedup import BYTE_COST, GROUP_BYTES, WORD_COST, copies_in
+rng = random.Random(1)
+vocabulary = ["w%d" % i for i in range(5000)]
+texts, size = [], 0
+while size < GROUP_BYTES:
+    texts.append(" ".join(rng.choices(vocabulary, k=50)))
+    size += len(texts[-1]) * BYTE_COST + 50 * WORD_COST
+n = len(texts)
+rows = pa.table([pa.array(range(n)), pa.array(range(n)), pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, np.int32)), pa.array(texts)], ["id", "t", "place", "n", "words"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+copies_in(rows, 50)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300)
+    assert int(out.stdout) < 200, out.stdout
+
+
+@pytest.mark.parametrize("group", [GROUP_BYTES, 0])
 def test_repeats_are_maximal(spark, group):
     a, b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
     rows = [(1, " ".join(a + ["x"] + b)), (2, " ".join(["p", "q"] + a[5:20] + ["r"] + b[:12])), (3, " ".join(a + ["x"] + b)), (4, " ".join(a[:9] + ["s"] + a[:12] * 2))]
-    got = repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=10, prefix=4, group_words=group).collect()
+    got = repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=10, prefix=4, group_bytes=group).collect()
     assert sorted((r["doc_id"], r["place"], r["n_words"]) for r in got if r["n_words"]) == [(2, 2, 15), (2, 18, 12), (4, 10, 12), (4, 22, 12)]
     assert [(r["doc_id"], r["place"]) for r in got if r["n_words"] is None] == [(3, 0)]
 
