@@ -6,6 +6,7 @@ import atexit
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,14 @@ _BASE, _NGRAM_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 # --- storage ---------------------------------------------------------------------------------------------------
 
 
-_paths: list[str] = []
+_mine: ContextVar[list[str] | None] = ContextVar("paths that freeing deletes", default=None)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses; it is deleted when the driver ends, or by `freeing`."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _paths.append(path)
+    if (mine := _mine.get()) is not None:
+        mine.append(path)
     atexit.register(_delete, spark, path)
     return path
 
@@ -51,14 +53,15 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def freeing(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end what was written to new paths meanwhile."""
-    mark = len(_paths)
+    """Delete at the end what this thread wrote to new paths meanwhile; what other threads write stays."""
+    paths: list[str] = []
+    token = _mine.set(paths)
     try:
         yield
     finally:
-        for path in _paths[mark:]:
+        _mine.reset(token)
+        for path in paths:
             _delete(spark, path)
-        del _paths[mark:]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Corpus operators against brute force, on a fixture of odd rows and on the smallest tables."""
 
 import hashlib
+import os
 import random
 import re
 import subprocess
 import sys
+import threading
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from activity_engine.llm.common import components, merged, word_spans, written
+from activity_engine.llm.common import components, freeing, merged, word_spans, written
 from activity_engine.llm.decontaminate import contamination, signature_length
 from activity_engine.llm.line_dedup import later_runs, line_dedup, line_runs
 from activity_engine.llm.mixing import mixture, sainte_lague
@@ -266,6 +268,30 @@ def test_token_tables_are_bounded(monkeypatch):
         assert max(counter.held.values()) <= 20_000
 
 
+def test_freeing_leaves_other_threads_tables(spark):
+    """Each thread deletes what it wrote itself, also when both are at work at once."""
+    both, kept = threading.Barrier(2, timeout=120), {}
+
+    def work(frees):
+        if frees:
+            with freeing(spark):
+                both.wait()
+                kept["own"] = written(spark.range(3), "own").inputFiles()[0]
+                both.wait()
+        else:
+            both.wait()
+            kept["other"] = written(spark.range(4), "other").inputFiles()[0]
+            both.wait()
+
+    threads = [threading.Thread(target=work, args=(frees,)) for frees in (True, False)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    there = {k: os.path.exists(v.removeprefix("file://")) for k, v in kept.items()}
+    assert there == {"own": False, "other": True}
+
+
 # --- op 5 ------------------------------------------------------------------------------------------------------
 
 
