@@ -6,6 +6,8 @@ linear one from principal components.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,17 +103,21 @@ def calibration(errs: DataFrame, by: list[str]) -> DataFrame:
     return errs.groupBy(*by, "feature").agg(F.avg("err").alias("mean"), F.stddev_pop("err").alias("std"))
 
 
-def trimmed_stats(errs: DataFrame, top: float = 0.01) -> DataFrame:
+def trimmed_stats(errs: DataFrame, top: float = 0.01, store: Callable[[DataFrame, str], DataFrame] = kept) -> DataFrame:
     """(feature, mean, std) without the largest `top` share of errors: the first int(n * (1 - top)) by size stay.
 
+    `store` writes the errors: they are read several times, and sums made anew may differ in their last digit, which would
+    put errors at the cut on both sides of it.
+
     Which of equal errors stay makes no difference, so errors are counted by value and ranked near the cut alone:
     approximate quantiles 1 % of the rows below and above it surely enclose it (they are right to 0.1 %; of fewer than
     1,000 rows all are near).
     """
+    errs = store(errs.select("feature", "err"), "errors")
     near = [max(0.0, 1 - top - 0.01), min(1.0, 1 - top + 0.01)]
     sums = errs.groupBy("feature").agg(F.count("*").alias("_n"), F.percentile_approx("err", near, 1000).alias("_q"), F.min("err").alias("_min"), F.max("err").alias("_max"))
     sums = sums.select("feature", F.floor(F.col("_n") * F.lit(1 - top)).alias("_kept"), F.when(F.col("_n") < 1000, F.col("_min")).otherwise(F.get("_q", F.lit(0))).alias("_lo"), F.when(F.col("_n") < 1000, F.col("_max")).otherwise(F.get("_q", F.lit(1))).alias("_hi"))
-    placed = errs.select("feature", "err").join(F.broadcast(sums), "feature")  # one row a feature
+    placed = errs.join(F.broadcast(sums), "feature")  # one row a feature
     below = placed.filter("err < _lo").groupBy("feature").agg(F.count("*").alias("_below"))
     values = placed.filter("err BETWEEN _lo AND _hi").groupBy("feature", "_kept", "err").agg(F.count("*").alias("_c"))
     up = Window.partitionBy("feature").orderBy("err")  # the values of a fiftieth of the rows

@@ -183,6 +183,19 @@ def test_session_ids_of_a_large_week(spark):
     assert sorted(r["session_id"] for r in got.filter("week = 2").collect()) == list(range(200_000, 200_030))
 
 
+def test_trimmed_stats_of_errors_that_differ_when_made_anew(spark):
+    """Sums in another order differ in their last digit: one evaluation has to serve all passes over ties at the cut."""
+    noisy = F.udf(lambda x: x + random.choice([0.0, 1e-12]), "double").asNondeterministic()
+    values = [float(min(i, 1950)) for i in range(2000)]  # the cut falls into the ties
+    errs = spark.createDataFrame([("a", v) for v in values], "feature string, x double").select("feature", noisy("x").alias("err"))
+    from activity_engine.operators.scoring import trimmed_stats
+
+    r = trimmed_stats(errs).first()
+    stay = values[:1980]
+    mean = sum(stay) / len(stay)
+    assert abs(r["mean"] - mean) < 1e-9 and abs(r["std"] - (sum((v - mean) ** 2 for v in stay) / len(stay)) ** 0.5) < 1e-9
+
+
 def test_positions_and_running_sums(spark):
     rng = random.Random(4)
     values = [(rng.choice("ab"), i, rng.randint(0, 9)) for i in rng.sample(range(5000), 700)]
