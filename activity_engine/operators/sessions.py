@@ -7,7 +7,9 @@ session is gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,8 +24,15 @@ def session_id(week, nth):
     return F.floor(nth / 100000) * 10**12 + week.cast("long") * 100000 + nth % 100000
 
 
-def sessionize(acts: DataFrame, user: str = "user", week: str = "week", pc: str = "pcid", ts: str = "ts", order: str = "actid", act: str = "act") -> DataFrame:
-    """`acts` (rows of complete sessions) with _sid, session_id, start_with, end_with, n_concurrent.
+def running_id(week, nth):
+    """week * 100000 + nth, whatever nth is: unique in a week; from 100,000 sessions in a week on, the next week's ids come again."""
+    return week.cast("long") * 100000 + nth
+
+
+def sessionize(
+    acts: DataFrame, user: str = "user", week: str = "week", pc: str = "pcid", ts: str = "ts", order: str = "actid", act: str = "act", ids: Callable[[Column, Column], Column] = session_id
+) -> DataFrame:
+    """`acts` (rows of complete sessions) with session_id (`ids` of week and number), start_with, end_with, n_concurrent.
 
     Two windows by (user, week[, pc]): closes are odd places in a run of logoffs (even ones if nothing precedes the
     run), an action opens a session if it is the first, a logon, or follows a close. A session that opens while
@@ -59,7 +68,7 @@ def sessionize(acts: DataFrame, user: str = "user", week: str = "week", pc: str
     before = F.sum("_n").over(Window.partitionBy(week).orderBy(user).rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(user, week, F.coalesce(before, F.lit(0)).alias("_before"))
     a = a.withColumns({"start_with": F.col("_start.w"), "end_with": F.col("_end.w"), "n_concurrent": concurrent.cast("int")})
-    a = a.join(counts, [user, week]).withColumn("session_id", session_id(F.col(week), F.col("_before") + F.col("_nth")))
+    a = a.join(counts, [user, week]).withColumn("session_id", ids(F.col(week), F.col("_before") + F.col("_nth")))
     return a.drop("_nth", "_before", "_r", "_i", "_other", "_pos", "_closes", "_opens", "_cut", "_o", "_c", "_next", "_end", "_start", "_sid")
 
 
@@ -68,12 +77,12 @@ def session_table(rows: DataFrame) -> DataFrame:
     return rows.groupBy("session_id", "user", "week", "pcid", "start_with", "end_with", "n_concurrent").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("n_acts"))
 
 
-def by_time(rows: DataFrame, minutes: int) -> DataFrame:
-    """Rows with `chunk`, of `minutes` each; n_chunks is the session's length in chunks, rounded up.
+def by_time(rows: DataFrame, minutes: int, session: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """Rows with `chunk`, of `minutes` each; n_chunks is the length in chunks, rounded up, of what `session` names.
 
     A session of no length has no chunks and no rows; of several chunks, an action exactly on the last edge is lost.
     """
-    s = Window.partitionBy("session_id")
+    s = Window.partitionBy(*session)
     seconds = F.unix_timestamp("ts") - F.unix_timestamp(F.min("ts").over(s))
     total = F.unix_timestamp(F.max("ts").over(s)) - F.unix_timestamp(F.min("ts").over(s))
     out = rows.withColumn("n_chunks", F.ceil(total / (60 * minutes)).cast("int"))
@@ -100,8 +109,8 @@ def session_features(rows: DataFrame, version: str = "r4.2", chunk: bool = False
     extra = {"starttime": F.min(second("ts")), "endtime": F.max(second("ts")), "_first": F.min(F.struct("ts", "actid", "day", "pc")), "_n": F.sum(F.lit(1))}
     extra |= {f"_t{k}": F.sum((F.col("time") == k).cast("int")) for k in (1, 2, 3, 4)} | label()
     t = feature_table(rows, by, "session", version, None, extra)
-    days = rows.groupBy(*by[: 2 if chunk else 1]).agg(F.count_distinct("day").alias("n_days"))
-    t = t.join(days, by[: 2 if chunk else 1])
+    one = ["session_id", *(["chunk"] if chunk else []), "user", "week"]
+    t = t.join(rows.groupBy(*one).agg(F.count_distinct("day").alias("n_days")), one)
     share = lambda k, n: (F.col(f"_t{k}") / F.col("_n")).alias(n)
     hour = lambda c, n: (F.hour(F.timestamp_seconds(c)) + F.minute(F.timestamp_seconds(c)) / 60).alias(n)
     info = [
