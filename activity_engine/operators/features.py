@@ -2,16 +2,21 @@
 
 A table has about 500 features, too many conditional aggregates to run over raw actions. All are additive, so actions
 are first summed by (group, act, time code, subtype): at most a few dozen rows a group, made in one pass before the
-shuffle. These rows are summed once more by slice (block, period and sub-slice: some fifty), and the features are read
-from the slices' sums; means are quotients of sums.
+shuffle. A task then streams through its groups, batch by batch, and sums these rows once more by slice (block, period
+and sub-slice: some fifty); the features are read from the slices' sums; means are quotients of sums.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 FILE_NAMES = ["otherf", "compf", "phof", "docf", "txtf", "exef"]
 HTTP_NAMES = ["otherf", "socnetf", "cloudf", "jobf", "leakf", "hackf"]
@@ -77,48 +82,87 @@ def features(mode: str, version: str = "r4.2", only: list[str] | None = None) ->
     return out
 
 
-def _slot(c: str, v: int | None = None) -> str:
-    return f"_s_{c}" if v is None else f"_n_{c}_{v}"
-
-
 def feature_table(actions: DataFrame, by: list[str], mode: str, version: str = "r4.2", only: list[str] | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
-    """One row a group with every feature; `extra` are further aggregates over actions (min, max and sum alone, as they nest)."""
-    wanted = features(mode, version, only)
-    subs = sorted({f.sub[0] for f in wanted if f.sub})
-    means = sorted({f.column for f in wanted if f.kind == "mean"})
-    counts = sorted({(f.column, f.value) for f in wanted if f.kind == "count"})
-    first = [F.count("*").alias("_rows"), *[F.sum(c).alias(_slot(c)) for c in means], *[F.count_if(F.col(c) == v).alias(_slot(c, v)) for c, v in counts]]
-    # A sub-slice column counts only for the block it belongs to; for other acts it would only split rows.
-    owner = {b.sub[0]: b.act for b in blocks(mode, version) if b.sub}
-    keyed = actions.withColumns({s: F.when(F.col("act") == owner[s], F.col(s)) for s in subs}) if subs else actions
-    extra = extra or {}
-    keyed = keyed.groupBy(*by, "act", "time", *subs).agg(*first, *[c.alias(f"_x_{n}") for n, c in extra.items()])
+    """One row a group with every feature; `extra` are further aggregates over actions (min, max and sum alone, as they nest).
 
-    # Slices: what features have in common. A row belongs to half a dozen of some fifty; slice 0 is all rows.
-    slices = {x: i for i, x in enumerate(dict.fromkeys((f.act, f.times, f.sub) for f in wanted), 1)}
-
-    def holds(act: int | None, times: tuple[int, ...] | None, sub: tuple[str, int] | None) -> str:
-        where = [f"act = {act}"] if act is not None else []
-        where += [f"time IN ({', '.join(map(str, times))})"] if times else []
-        return " AND ".join(where + ([f"{sub[0]} = {sub[1]}"] if sub else [])) or "true"
+    What is summed depends on the act, so acts share a dozen columns of sums; what blocks of all acts count has its own.
+    """
+    wanted, extra = features(mode, version, only), extra or {}
+    owner = {b.sub[0]: b.act for b in blocks(mode, version) if b.sub}
+    subs = sorted({f.sub[0] for f in wanted if f.sub})
+    measures = {None: sorted({(f.column, f.value) for f in wanted if f.act is None and f.kind == "count"})}
+    for act in dict.fromkeys(f.act for f in wanted if f.act is not None):
+        own = {(f.column, f.value if f.kind == "count" else None) for f in wanted if f.act == act and f.kind != "n"}
+        measures[act] = sorted(own - set(measures[None]), key=str)
+    common = len(measures[None])
+    place = {(act, m): i + (common if act is not None else 0) for act, ms in measures.items() for i, m in enumerate(ms)}
+    width = common + max((len(ms) for act, ms in measures.items() if act is not None), default=0)
+
+    def sums(i: int) -> Column:
+        number = lambda m: F.col(m[0]).cast("double") if m[1] is None else F.when(F.col(m[0]) == m[1], 1.0).otherwise(0.0)
+        if i < common:
+            return F.sum(number(measures[None][i]))
+        cases = [F.when(F.col("act") == act, number(ms[i - common])) for act, ms in measures.items() if act is not None and i - common < len(ms)]
+        return F.sum(F.coalesce(*cases))
 
-    member = "array(0, " + ", ".join(f"CASE WHEN {holds(*x)} THEN {i} END" for x, i in slices.items()) + ")"
-    measures = ["_rows", *[_slot(c) for c in means], *[_slot(c, v) for c, v in counts]]
+    # A sub-slice column counts only for the block it belongs to; for other acts it would only split rows.
+    sub = F.coalesce(F.lit(None).cast("int"), *[F.when(F.col("act") == owner[c], F.col(c).cast("int")) for c in subs])
+    keyed = actions.withColumn("_sub", sub).groupBy(*by, "act", "time", "_sub")
+    keyed = keyed.agg(F.count("*").alias("_rows"), *[sums(i).alias(f"_m{i}") for i in range(width)], *[c.alias(f"_x_{n}") for n, c in extra.items()])
     fold = {n: F.sum if "sum(" in str(c) else F.min if "min(" in str(c) else F.max for n, c in extra.items()}
-    # Dealt by group once, so that neither of the two groupings below moves a row.
-    dealt = keyed.repartition(*by).withColumn("_slice", F.explode(F.expr(f"filter({member}, x -> x IS NOT NULL)")))
-    cells = dealt.groupBy(*by, "_slice").agg(*[F.sum(m).alias(m) for m in measures], *[f(f"_x_{n}").alias(f"_x_{n}") for n, f in fold.items()])
-    whole = [F.max(F.when(F.col("_slice") == 0, F.col(f"_x_{n}"))).alias(n) for n in extra]
-    table = cells.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_slice", F.struct(*measures)))).alias("_cells"), *whole)
-
-    def value(f: Feature) -> Column:
-        """Written as SQL: hundreds of columns are built faster from text."""
-        cell = f"try_element_at(_cells, {slices[f.act, f.times, f.sub]})"
-        if f.kind == "mean":
-            return F.expr(f"coalesce(try_divide(CAST({cell}.`{_slot(f.column)}` AS DOUBLE), {cell}.`_rows`), 0D) AS `{f.name}`")
-        return F.expr(f"coalesce({cell}.`{'_rows' if f.kind == 'n' else _slot(f.column, f.value)}`, 0L) AS `{f.name}`")
-
-    return table.select(*by, *extra, *[value(f) for f in wanted])
+    group = Window.partitionBy(*by).orderBy("act", "time")  # at most a few dozen rows
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dealt = keyed.repartition(*by).withColumns({f"_x_{n}": f(f"_x_{n}").over(whole) for n, f in fold.items()} | {"_nth": F.row_number().over(group)})
+    info = [F.col(f"`{c}`") for c in by] + [F.col(f"_x_{n}").alias(n) for n in extra]
+    code = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c)
+    numbers = [F.coalesce(F.col(f"_m{i}"), F.lit(0.0)).alias(f"_m{i}") for i in range(width)]
+    dealt = dealt.select(F.struct(*info).alias("info"), code("act"), code("time"), code("_sub"), F.col("_rows").cast("double").alias("_rows"), *numbers, "_nth")
+
+    slices: dict[tuple, list[tuple[int, int | None, bool]]] = {}
+    for n, f in enumerate(wanted):
+        m = (f.column, f.value if f.kind == "count" else None)
+        at = None if f.kind == "n" else place.get((None, m), place.get((f.act, m)))
+        slices.setdefault((f.act, f.times, f.sub and f.sub[1]), []).append((n, at, f.kind == "mean"))
+    whole_numbers = [f.kind != "mean" for f in wanted]
+
+    def read(t: pa.Table) -> pa.RecordBatch:
+        column = {c: t[c].to_numpy() for c in t.column_names if c != "info"}
+        starts = column["_nth"] == 1
+        g, n_groups = np.cumsum(starts) - 1, int(starts.sum())
+        out: list[np.ndarray | None] = [None] * len(whole_numbers)
+        for (act, times, sub), cells in slices.items():
+            here = np.ones(len(g), bool) if act is None else column["act"] == act
+            if times:
+                here &= np.isin(column["time"], times)
+            if sub is not None:
+                here &= column["_sub"] == sub
+            at = np.flatnonzero(here)
+            total = lambda c, at=at: np.bincount(g[at], column[c][at], n_groups)
+            rows = total("_rows")
+            for n, m, mean in cells:
+                x = rows if m is None else total(f"_m{m}") if len(at) else rows
+                out[n] = np.divide(x, rows, out=np.zeros(n_groups), where=rows > 0) if mean else x
+        first = t["info"].combine_chunks().take(pa.array(np.flatnonzero(starts)))
+        columns = [pa.array(x.astype(np.int64) if w else x) for x, w in zip(out, whole_numbers, strict=True)]
+        return pa.RecordBatch.from_arrays([*first.flatten(), *columns], names)
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            waiting = t if waiting is None else pa.concat_tables([waiting, t])
+            last = np.flatnonzero(waiting["_nth"].to_numpy() == 1)[-1:]  # the last group may go on
+            if len(last) and last[0]:
+                yield read(waiting.slice(0, int(last[0])))
+                waiting = waiting.slice(int(last[0]))
+        if waiting is not None and len(waiting):
+            yield read(waiting)
+
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in dealt.schema["info"].dataType])
+    for f in wanted:
+        schema = schema.add(f.name, "double" if f.kind == "mean" else "long")
+    names = schema.fieldNames()
+    return dealt.mapInArrow(tables, schema)
 
 
 def label(insider: str = "insider", mal: str = "mal_act") -> dict[str, Column]:
