@@ -9,8 +9,13 @@ deviation is put together from the buckets' own, which keeps its digits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .features import Feature, blocks, features
@@ -89,19 +94,36 @@ def with_statistics(table: DataFrame, actions: DataFrame, by: list[str], mode: s
     member = "filter(array(" + ", ".join(f"CASE WHEN {holds(*x)} THEN {i} END" for x, i in slices.items()) + "), x -> x IS NOT NULL)"
     cells = counted.withColumn("_slice", F.explode(F.expr(member))).select(*by, "_slice", "c", "v", "n")
     cells = order_statistics(cells, by, ["_slice", "c"])
-    entry = F.struct((F.col("_slice") * len(names) + F.col("c")).alias("key"), F.struct(*STATISTICS).alias("value"))
-    found = cells.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_stats"))
-    # A map is searched from its start: once for each cell, not once for each of the hundreds of columns.
-    found = found.withColumn("_stats", F.expr(f"transform(sequence(0, {len(slices) * len(names) - 1}), i -> try_element_at(_stats, i))"))
-    joined = table.join(found, by, "left")
-    place = {f.name: slices[f.act, f.times, f.sub] * len(names) + names.index(f.column) for f in means}
+    entry = F.struct((F.col("_slice") * len(names) + F.col("c")).alias("key"), *STATISTICS)
+    found = cells.groupBy(*by).agg(F.collect_list(entry).alias("_cells")).select(F.struct(*by).alias("by"), "_cells")
+    place = {f.name: i for i, f in enumerate(means)}
+    at = np.full(len(slices) * len(names), -1)
+    for f in means:
+        at[slices[f.act, f.times, f.sub] * len(names) + names.index(f.column)] = place[f.name]
+    width = len(means) * len(STATISTICS)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each group's cells as one array of all means' statistics, 0 where a slice has no values."""
+        for whole in batches:
+            for start in range(0, len(whole), 1024):
+                batch = whole.slice(start, 1024)
+                lists = batch["_cells"]
+                cells, row = lists.flatten(), np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+                dense, to = np.zeros((len(batch), len(means), len(STATISTICS))), at[cells.field("key").to_numpy()]
+                for j, s in enumerate(STATISTICS):
+                    dense[row, to, j] = cells.field(s).to_numpy(zero_copy_only=False)
+                values = pa.ListArray.from_arrays(np.arange(0, dense.size + 1, width, dtype=np.int32), pa.array(dense.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch["by"].flatten(), values], [*by, "_stats"])
+
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in found.schema["by"].dataType]).add("_stats", T.ArrayType(T.DoubleType()))
+    joined = table.join(found.mapInArrow(spread, schema), by, "left")
     by_name = {f.name: f for f in means}
 
     def columns(name: str) -> list[Column]:
         """Written as SQL: hundreds of columns are built faster from text."""
         if name not in by_name:
             return [F.col(f"`{name}`")]
-        cell = f"get(_stats, {place[name]})"
-        return [F.expr(f"coalesce({cell}.`{s}`, 0D) AS `{n}`") for s, n in zip(STATISTICS, statistic_names(by_name[name]), strict=True)]
+        first = place[name] * len(STATISTICS)
+        return [F.expr(f"coalesce(get(_stats, {first + j}), 0D) AS `{n}`") for j, n in enumerate(statistic_names(by_name[name]))]
 
     return joined.select(*[x for name in table.columns for x in columns(name)])
