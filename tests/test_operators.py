@@ -431,3 +431,23 @@ def test_long_histories(spark, window, many, monkeypatch):
     check(T.mean_diff(df, ["a", "b"], "user", "day", window), less(lambda h: sum(h) / len(h)))
     check(T.median_diff(df, ["a", "b"], "user", "day", window), less(np.median))
     check(T.percentile_rank(df, ["a", "b"], "user", "day", window), rank)
+
+
+def test_feature_table_of_groups_over_several_batches(spark):
+    """Groups are read batch by batch, also those that a batch cuts; null groups and null values count as before."""
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([1, 7]), rng.randint(1, 4), rng.choice([0, 1, 2, 3]), rng.choice([5, 9, None]), 2, rng.randint(0, 2), rng.randint(1, 6), 1) for _ in range(500)]
+    a = spark.createDataFrame(rows, "g int, act int, time int, pc int, file_len int, file_depth int, disk int, file_type int, file_nwords int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        t = {r["g"]: r for r in X.feature_table(a, ["g"], "day", only=["allact", "file"], extra={"top": F.max("time"), "all": F.sum(F.lit(1))}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(t) == {1, 2, 3, None}
+    for g, r in t.items():
+        own = [x for x in rows if x[0] == g]
+        late = [x for x in own if x[1] == 7 and x[2] in (2, 4) and x[7] == 3]
+        assert (r["all"], r["top"], r["n_allact"]) == (len(own), max(x[2] for x in own), len(own))
+        assert r["allact_n-pc2"] == sum(x[3] == 2 for x in own)
+        assert r["afterhourfile_n_phof"] == len(late)
+        assert abs(r["afterhourfile_phof_mean_file_len"] - (sum(x[4] or 0 for x in late) / len(late) if late else 0)) < 1e-12
