@@ -8,7 +8,7 @@ and sub-slice: some fifty); the features are read from the slices' sums; means a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,10 +82,25 @@ def features(mode: str, version: str = "r4.2", only: list[str] | None = None) ->
     return out
 
 
-def feature_table(actions: DataFrame, by: list[str], mode: str, version: str = "r4.2", only: list[str] | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
-    """One row a group with every feature; `extra` are further aggregates over actions (min, max and sum alone, as they nest).
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Half away from zero in binary, as SQL engines round doubles."""
+    y = x * 10.0**digits
+    whole = np.trunc(y)
+    whole += np.where(np.abs(y - whole) >= 0.5, np.sign(y), 0)
+    return np.where(np.isfinite(y), whole / 10.0**digits, x) + 0.0
+
+
+#: From a task's rows to its groups, batch by batch: what they are (`by` and `extra`), and a column for each feature.
+Reader = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.StructArray, list[np.ndarray]]]]
+
+
+def summed(
+    actions: DataFrame, by: list[str], mode: str, version: str = "r4.2", only: list[str] | None = None, extra: dict[str, Column] | None = None, within: list[str] | None = None, digits: int | None = None
+) -> tuple[DataFrame, Reader]:
+    """Sums by group, dealt to tasks by `within` (columns of `by`, all by default) and ordered by `by`, and what makes features of them.
 
     What is summed depends on the act, so acts share a dozen columns of sums; what blocks of all acts count has its own.
+    Means are rounded to `digits`.
     """
     wanted, extra = features(mode, version, only), extra or {}
     owner = {b.sub[0]: b.act for b in blocks(mode, version) if b.sub}
@@ -112,7 +127,7 @@ def feature_table(actions: DataFrame, by: list[str], mode: str, version: str = "
     fold = {n: F.sum if "sum(" in str(c) else F.min if "min(" in str(c) else F.max for n, c in extra.items()}
     group = Window.partitionBy(*by).orderBy("act", "time")  # at most a few dozen rows
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    dealt = keyed.repartition(*by).withColumns({f"_x_{n}": f(f"_x_{n}").over(whole) for n, f in fold.items()} | {"_nth": F.row_number().over(group)})
+    dealt = keyed.repartition(*(within or by)).withColumns({f"_x_{n}": f(f"_x_{n}").over(whole) for n, f in fold.items()} | {"_nth": F.row_number().over(group)})
     info = [F.col(f"`{c}`") for c in by] + [F.col(f"_x_{n}").alias(n) for n in extra]
     code = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c)
     numbers = [F.coalesce(F.col(f"_m{i}"), F.lit(0.0)).alias(f"_m{i}") for i in range(width)]
@@ -123,13 +138,12 @@ def feature_table(actions: DataFrame, by: list[str], mode: str, version: str = "
         m = (f.column, f.value if f.kind == "count" else None)
         at = None if f.kind == "n" else place.get((None, m), place.get((f.act, m)))
         slices.setdefault((f.act, f.times, f.sub and f.sub[1]), []).append((n, at, f.kind == "mean"))
-    whole_numbers = [f.kind != "mean" for f in wanted]
 
-    def read(t: pa.Table) -> pa.RecordBatch:
+    def read(t: pa.Table) -> tuple[pa.StructArray, list[np.ndarray]]:
         column = {c: t[c].to_numpy() for c in t.column_names if c != "info"}
         starts = column["_nth"] == 1
         g, n_groups = np.cumsum(starts) - 1, int(starts.sum())
-        out: list[np.ndarray | None] = [None] * len(whole_numbers)
+        out: list[np.ndarray | None] = [None] * len(wanted)
         for (act, times, sub), cells in slices.items():
             here = np.ones(len(g), bool) if act is None else column["act"] == act
             if times:
@@ -142,11 +156,11 @@ def feature_table(actions: DataFrame, by: list[str], mode: str, version: str = "
             for n, m, mean in cells:
                 x = rows if m is None else total(f"_m{m}") if len(at) else rows
                 out[n] = np.divide(x, rows, out=np.zeros(n_groups), where=rows > 0) if mean else x
-        first = t["info"].combine_chunks().take(pa.array(np.flatnonzero(starts)))
-        columns = [pa.array(x.astype(np.int64) if w else x) for x, w in zip(out, whole_numbers, strict=True)]
-        return pa.RecordBatch.from_arrays([*first.flatten(), *columns], names)
+                if mean and digits is not None and len(at):
+                    out[n] = rounded(out[n], digits)
+        return t["info"].combine_chunks().take(pa.array(np.flatnonzero(starts))), out
 
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.StructArray, list[np.ndarray]]]:
         waiting = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -158,10 +172,26 @@ def feature_table(actions: DataFrame, by: list[str], mode: str, version: str = "
         if waiting is not None and len(waiting):
             yield read(waiting)
 
+    return dealt, tables
+
+
+def feature_table(
+    actions: DataFrame, by: list[str], mode: str, version: str = "r4.2", only: list[str] | None = None, extra: dict[str, Column] | None = None, digits: int | None = None
+) -> DataFrame:
+    """One row a group with every feature; `extra` are further aggregates over actions (min, max and sum alone, as they nest)."""
+    wanted = features(mode, version, only)
+    dealt, groups = summed(actions, by, mode, version, only, extra, digits=digits)
+    whole_numbers = [f.kind != "mean" for f in wanted]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in dealt.schema["info"].dataType])
     for f in wanted:
         schema = schema.add(f.name, "double" if f.kind == "mean" else "long")
     names = schema.fieldNames()
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for info, columns in groups(batches):
+            columns = [pa.array(x.astype(np.int64) if w else x) for x, w in zip(columns, whole_numbers, strict=True)]
+            yield pa.RecordBatch.from_arrays([*info.flatten(), *columns], names)
+
     return dealt.mapInArrow(tables, schema)
 
 

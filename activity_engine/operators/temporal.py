@@ -11,8 +11,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .features import features as feature_list
+from .features import rounded, summed
+
 
 def lag_concat(df: DataFrame, features: list[str], user: str, order: str, window: int = 3, keep: list[str] | None = None) -> DataFrame:
     """Each row beside the features of the `window` - 1 rows before it, as -k_feature; the first `window` rows of a user go.
@@ -82,27 +86,55 @@ class Sliding:
         return self.first[np.minimum(at + 1, len(self.first) - 1), self.columns]
 
 
-def _gathered(x: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, find: str) -> np.ndarray:
-    """Windows of few numbers, side by side: `rows` of x against x[low:high] of each."""
+def _means(x: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """`rows` of x minus the means of x[low:high] of each, windows side by side."""
     most, out = int((high - low)[rows].max()), np.empty((len(rows), x.shape[1]))
     step = max(1, BLOCK // (most * x.shape[1]))
     for a in range(0, len(rows), step):
         i = rows[a : a + step]
         at = low[i][:, None] + np.arange(most)
         h = np.where((at < high[i][:, None])[:, :, None], x[np.minimum(at, len(x) - 1)], np.nan)
-        v = x[i]
-        if find == "percentile":
-            twice = 2 * (h < v[:, None]).sum(axis=1) + (h == v[:, None]).sum(axis=1)
-            out[a : a + step] = np.where(np.isnan(v), -50.0, twice * 50.0 / (high - low)[i][:, None] - 50)
-            continue
         n = (~np.isnan(h)).sum(axis=1)
-        if find == "mean":
-            middle = np.nansum(h, axis=1) / np.maximum(n, 1)
-        else:
-            h.sort(axis=1)  # NaN comes last
-            pick = lambda k: np.take_along_axis(h, np.maximum(k, 0)[:, None], axis=1)[:, 0]
-            middle = (pick((n - 1) // 2) + pick(n // 2)) / 2
-        out[a : a + step] = np.where(n > 0, v - middle, np.nan)
+        out[a : a + step] = np.where(n > 0, x[i] - np.nansum(h, axis=1) / np.maximum(n, 1), np.nan)
+    return out
+
+
+def _gathered(x: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, find: str) -> np.ndarray:
+    """Windows of few numbers: `rows` of x against x[low:high] of each.
+
+    Most numbers are 0. How many of a window are less than 0 or 0 comes from running counts, which settle a 0's percentile
+    and a median of 0; only the windows of the other numbers are laid side by side.
+    """
+    v, lo, hi = x[rows], low[rows], high[rows]
+    most = int((hi - lo).max())
+
+    def count(hit: np.ndarray) -> np.ndarray:
+        running = np.zeros((len(x) + 1, x.shape[1]), np.int32)
+        np.cumsum(hit, axis=0, dtype=np.int32, out=running[1:])
+        return running[hi] - running[lo]
+
+    def side_by_side(r: np.ndarray, c: np.ndarray):
+        step = max(1, BLOCK // most)
+        for a in range(0, len(r), step):
+            i, j = r[a : a + step], c[a : a + step]
+            at = lo[i][:, None] + np.arange(most)
+            yield i, j, np.where(at < hi[i][:, None], x[np.minimum(at, len(x) - 1), j[:, None]], np.nan)
+
+    less, zero = count(x < 0), count(x == 0)
+    if find == "percentile":
+        n = (hi - lo).astype(float)
+        out = np.where(np.isnan(v), -50.0, (2 * less + zero) * 50.0 / n[:, None] - 50)
+        for i, j, h in side_by_side(*np.nonzero((v != 0) & ~np.isnan(v))):
+            own = v[i, j][:, None]
+            out[i, j] = (2 * (h < own).sum(axis=1) + (h == own).sum(axis=1)) * 50.0 / n[i] - 50
+        return out
+    n = count(~np.isnan(x))
+    out = np.where(n > 0, v, np.nan)
+    settled = (less <= (n - 1) // 2) & (less + zero > n // 2)
+    for i, j, h in side_by_side(*np.nonzero(~settled & (n > 0))):
+        h.sort(axis=1)  # NaN comes last
+        own, k = n[i, j], np.arange(len(i))
+        out[i, j] -= (h[k, (own - 1) // 2] + h[k, own // 2]) / 2
     return out
 
 
@@ -128,6 +160,27 @@ def _slid(x: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, fi
     return out
 
 
+def _against(x: np.ndarray, hit: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray, find: str, many: int) -> np.ndarray:
+    """The rows `hit` of x, each against x[low:high] of its group."""
+    if not len(hit):
+        return np.empty((0, x.shape[1]))
+    if find == "mean":
+        return _means(x, hit, low, high)
+    if int((high - low)[hit].max()) * x.shape[1] <= many:
+        return _gathered(x, hit, low, high, find)
+    out = np.empty((len(hit), x.shape[1]))
+    for g in np.unique(group[hit]):
+        own = np.flatnonzero(group[hit] == g)
+        out[own] = _slid(x, hit[own], low, high, find)
+    return out
+
+
+def _windows(t: np.ndarray, group: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the rows of its group with keys in [t - window, t - 1], from low to high; rows come by group and key."""
+    key = group * (int(t.max()) - int(t.min()) + window + 2) + (t - t.min() + window + 1)
+    return np.searchsorted(key, key - window, "left"), np.searchsorted(key, key, "left")
+
+
 def _trailing(df: DataFrame, features: list[str], user: str, order: str, window: int, find: str) -> DataFrame:
     """`df` with each feature compared to its values at the user's keys [t - window, t - 1]; rows without history go.
 
@@ -147,16 +200,9 @@ def _trailing(df: DataFrame, features: list[str], user: str, order: str, window:
     def compared(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
         t, part = table["t"].to_numpy(), table["part"].to_numpy()
         x = np.asarray(table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(t), width)
-        key = group * (int(t.max()) - int(t.min()) + window + 2) + (t - t.min() + window + 1)
-        low, high = np.searchsorted(key, key - window, "left"), np.searchsorted(key, key, "left")
+        low, high = _windows(t, group, window)
         hit = np.flatnonzero((t // RANGE == part) & (t >= table["first"].to_numpy() + window) & (high > low))
-        out = np.empty((len(hit), width))
-        if len(hit) and (find == "mean" or int((high - low)[hit].max()) * width <= many):
-            out = _gathered(x, hit, low, high, find)
-        elif len(hit):
-            for g in np.unique(group[hit]):
-                own = np.flatnonzero(group[hit] == g)
-                out[own] = _slid(x, hit[own], low, high, find)
+        out = _against(x, hit, low, high, group, find, many)
         values = pa.array(out.ravel(), from_pandas=True)
         lists = pa.ListArray.from_arrays(np.arange(0, len(values) + 1, width, dtype=np.int32), values)
         kept = table["keep"].combine_chunks().take(pa.array(hit))
@@ -189,6 +235,55 @@ def _trailing(df: DataFrame, features: list[str], user: str, order: str, window:
     return out.select(*[F.col(f"keep.`{c}`").alias(c) for c in keep], *[F.get("x", F.lit(i)).alias(f) for i, f in enumerate(features)]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def trailing_features(actions: DataFrame, user: str, order: str, window: int, find: str, mode: str = "day", version: str = "r4.2", digits: int | None = None) -> DataFrame:
+    """`percentile_rank` or `median_diff` (find: percentile, median) of the feature table by user and `order`.
+
+    Features are made and compared in one task, which streams through its users' sums by key: no wide row is shuffled. It
+    holds a batch and the rows of the user's window before it. Means, and what is returned, are rounded to `digits`.
+    """
+    names, many, size = [f.name for f in feature_list(mode, version)], MANY, ROWS
+    dealt, groups = summed(actions.filter(F.col(order).isNotNull()), [user, order], mode, version, within=[user], digits=digits)
+    fields = dealt.schema["info"].dataType.fields
+    schema = T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.StructArray, np.ndarray]]:
+        for info, columns in groups(batches):
+            for a in range(0, len(info), size):
+                yield info.slice(a, size), np.stack([c[a : a + size] for c in columns], axis=1).astype(np.float64, copy=False)
+
+    def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, pending = None, []
+
+        def compared() -> pa.RecordBatch:
+            nonlocal before
+            parts = ([before[:2]] if before else []) + pending
+            info, x = pa.concat_arrays([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            pending.clear()
+            carried = len(before[0]) if before else 0
+            who = info.field(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            t = info.field(1).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            head = np.append(True, who[1:] != who[:-1])
+            group, first = np.cumsum(head) - 1, t[np.flatnonzero(head)]
+            if before:
+                first[0] = before[2]
+            low, high = _windows(t, group, window)
+            hit = np.flatnonzero((np.arange(len(t)) >= carried) & (t >= first[group] + window) & (high > low))
+            out = _against(x, hit, low, high, group, find, many)
+            stay = int(np.flatnonzero((group == group[-1]) & (t >= t[-1] - window))[0])
+            before = (info.slice(stay), x[stay:].copy(), first[-1])
+            out = np.ascontiguousarray((out if digits is None else rounded(out, digits)).T)
+            return pa.RecordBatch.from_arrays([*info.take(pa.array(hit)).flatten(), *[pa.array(c, from_pandas=True) for c in out]], schema.fieldNames())
+
+        for piece in pieces(batches):
+            pending.append(piece)
+            if sum(len(p[0]) for p in pending) >= (len(before[0]) if before else 0):  # a long window isn't gone through for each piece
+                yield compared()
+        if pending:
+            yield compared()
+
+    return dealt.mapInArrow(slide, schema)
+
+
 def mean_diff(df: DataFrame, features: list[str], user: str, order: str, window: int) -> DataFrame:
     """Each feature minus its mean over the keys [t - window, t - 1]; rows with t >= first key + window and a history."""
     return _trailing(df, features, user, order, window, "mean")

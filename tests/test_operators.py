@@ -451,3 +451,49 @@ def test_feature_table_of_groups_over_several_batches(spark):
         assert r["allact_n-pc2"] == sum(x[3] == 2 for x in own)
         assert r["afterhourfile_n_phof"] == len(late)
         assert abs(r["afterhourfile_phof_mean_file_len"] - (sum(x[4] or 0 for x in late) / len(late) if late else 0)) < 1e-12
+
+
+def test_features_are_compared_in_the_task_that_made_them(spark, monkeypatch):
+    """Pieces of 7 rows, so that windows cross them: as the wide table compared, without a shuffle of wide rows."""
+    from activity_engine.operators import features as X
+    from activity_engine.operators import temporal as T
+
+    names = ["usb_dur", "file_len", "file_depth", "file_nwords", "disk", "file_type", "n_des", "n_atts", "n_exdes", "n_bccdes", "email_size", "email_text_slen", "email_text_nwords",
+             "Xemail", "exbccmail", "url_len", "url_depth", "http_c_len", "http_c_nwords", "http_type", "pc"]
+    a = spark.range(600).select(
+        (F.xxhash64("id") % 4).alias("user"), F.when(F.col("id") % 97 > 0, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(60)).cast("int")).alias("t"),
+        F.pmod(F.xxhash64("id", F.lit(2)), F.lit(7)).cast("int").alias("act"), (F.col("id") % 4 + 1).cast("int").alias("time"), *[(F.pmod(F.xxhash64("id", F.lit(n)), F.lit(9)) - 1).cast("int").alias(n) for n in names],
+    ).localCheckpoint()
+    wide = X.feature_table(a, ["user", "t"], "day", digits=3)
+    columns = [f.name for f in X.features("day")]
+    monkeypatch.setattr(T, "ROWS", 7)
+    for find, whole in (("median", T.median_diff), ("percentile", T.percentile_rank)):
+        got = T.trailing_features(a, "user", "t", 5, find, digits=3)
+        want = {(r["user"], r["t"]): r for r in whole(wide, columns, "user", "t", 5).collect()}
+        rows = got.collect()
+        assert len(rows) == len(want) > 100
+        for r in rows:
+            w = want[r["user"], r["t"]]
+            assert all(abs(r[c] - w[c]) < 0.00051 for c in columns)
+        assert any(r[c] for r in rows for c in columns)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_small_windows_with_negative_numbers_and_gaps():
+    """Medians and percentiles by counts and by sorting each window agree."""
+    from activity_engine.operators import temporal as T
+
+    rng = np.random.default_rng(5)
+    x = rng.choice([0.0, 0.0, 0.0, -1.0, 2.5, 7.0, np.nan], (300, 11))
+    at = np.arange(10, 300)
+    low, high = np.maximum(np.arange(300) - 9, 0), np.arange(300)
+    for find in ("median", "percentile"):
+        got = T._gathered(x, at, low, high, find)
+        for i, r in enumerate(at):
+            h = x[low[r] : high[r]]
+            if find == "median":
+                want = [v - np.median(c[~np.isnan(c)]) if (~np.isnan(c)).any() else np.nan for v, c in zip(x[r], h.T, strict=True)]
+            else:
+                want = [-50.0 if np.isnan(v) else ((c < v).sum() + (c <= v).sum()) * 50.0 / len(c) - 50 for v, c in zip(x[r], h.T, strict=True)]
+            np.testing.assert_allclose(got[i], want, atol=1e-12)
