@@ -33,6 +33,7 @@ def pc_codes(acts: DataFrame, users: DataFrame, user: str = "user", pc: str = "p
         .when(F.col(pc) == F.col("_boss_pc"), 3)
         .otherwise(2)
     )
+    known = known.hint("shuffle_hash")  # wide rows of actions pass by unsorted; a task holds its users alone
     return acts.join(known, F.col(user) == F.col("_u"), "left").withColumn("pc_code", code).drop("_u", "_own", "_shared", "_boss_pc")
 
 
@@ -47,10 +48,10 @@ def label_actions(acts: DataFrame, insiders: DataFrame, answers: DataFrame, user
 
     The dates of the action's week overlap the user's scenario [mstart, mend], and (user, actid) is an answer.
     """
-    weeks = acts.groupBy(week).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    hit = answers.select(user, actid).distinct().withColumn("_hit", F.lit(1))
+    weeks = acts.groupBy(week).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))  # a row a week: sent to the rows, which keep their places
     index = insider_index(insiders, user).select(user, "scenario", "mstart", "mend")
-    out = acts.join(weeks, week).join(index, user, "left").join(hit, [user, actid], "left")
-    bad = F.coalesce((F.col("_lo") <= F.col("mend")) & (F.col("mstart") <= F.col("_hi")) & (F.col("_hit") == 1), F.lit(False))
+    hit = answers.select(user, actid).distinct().join(index, user)
+    out = acts.join(F.broadcast(weeks), week).join(hit.hint("shuffle_hash"), [user, actid], "left")  # hashed: rows pass by unsorted
+    bad = F.coalesce((F.col("_lo") <= F.col("mend")) & (F.col("mstart") <= F.col("_hi")), F.lit(False))
     out = out.withColumns({"mal_act": bad.cast("int"), "insider": F.when(bad, F.col("scenario")).otherwise(0)})
-    return out.drop("_lo", "_hi", "_hit", "scenario", "mstart", "mend")
+    return out.drop("_lo", "_hi", "scenario", "mstart", "mend")

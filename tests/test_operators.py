@@ -497,3 +497,16 @@ def test_small_windows_with_negative_numbers_and_gaps():
             else:
                 want = [-50.0 if np.isnan(v) else ((c < v).sum() + (c <= v).sum()) * 50.0 / len(c) - 50 for v, c in zip(x[r], h.T, strict=True)]
             np.testing.assert_allclose(got[i], want, atol=1e-12)
+
+
+def test_labels_and_computers_move_no_sorted_rows(spark):
+    """Weeks are few and are sent to the rows; users and answers are hashed. Wide rows of actions aren't sorted for a join."""
+    acts = spark.range(50).select(F.concat(F.lit("u"), F.col("id") % 5).alias("user"), F.col("id").cast("string").alias("actid"), (F.col("id") % 3).alias("week"), F.timestamp_seconds(F.col("id")).alias("ts"), F.lit("p").alias("pcid"))
+    users = spark.createDataFrame([("u0", "p", None, None)], "user string, pc string, sharedpc array<string>, sup string")
+    insiders = spark.range(1).select(F.lit("u1").alias("user"), F.lit(2).alias("scenario"), F.timestamp_seconds(F.lit(0)).alias("mstart"), F.timestamp_seconds(F.lit(9)).alias("mend"))
+    out = A.label_actions(A.pc_codes(acts, users), insiders, acts.filter("CAST(actid AS INT) % 2 = 0").select("user", "actid"))
+    rows = {r["actid"]: r for r in out.collect()}
+    assert len(rows) == 50 and {a for a, r in rows.items() if r["mal_act"]} == {str(i) for i in range(50) if i % 5 == 1 and i % 2 == 0}
+    assert all(r["insider"] == 2 * r["mal_act"] and r["pc_code"] == (0 if r["user"] == "u0" else 2) for r in rows.values())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") >= 2 and "BroadcastHashJoin" in plan
