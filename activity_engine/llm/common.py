@@ -211,30 +211,34 @@ def words_column(column):
 # --- connected components --------------------------------------------------------------------------------------
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each a of `edges` (a > b) has one b, and no b is an a: then each b is the least node of its component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("links"), F.lit(0).alias("centre")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("links").alias("links"), F.max("centre").alias("centre")).filter("links + centre > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Label every node of `edges` (a long, b long) with its component's smallest node: (node, root).
 
     Alternates large-star and small-star steps, each an aggregate for the least neighbour and a join back, so that a
-    node with very many neighbours is never gathered in one place. The edges of every round are written. Empty edges
-    give no rows.
+    node with very many neighbours is never gathered in one place. The edges of every round are written; edges that are
+    stars take no round. Empty edges give no rows.
     """
     e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    state = None
-    while True:
-        now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == state or not now[0]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
-        state = now
+    while not _are_stars(e):
         both = e.union(e.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = written(small.union(least.select("a", "m")).distinct(), "edges")
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
 
 
 def merged(found: DataFrame, links: DataFrame) -> DataFrame:
-    """`found` (node, root) after further links (a, b): only components that these touch are worked out again."""
+    """`found` (node, root) after further links (a, b): only components that these touch are worked out again. No links, no change."""
+    if links.isEmpty():
+        return found
     root = lambda side: found.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
     named = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select("a", "b", F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y"))
     moved = components(named.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("root", "to")

@@ -102,10 +102,10 @@ def contamination(
 
     # A partition holds the sizes in (2**(p-1), 2**p]; its bound fixes the signature's length.
     bound = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("hashes").cast("double"))))
-    sizes = [int(r[0]) for r in sets.select(bound.alias("bound")).distinct().collect()]  # at most 31 partitions
-    lengths = sorted(r[0] for r in sets.select("k").distinct().collect())  # at most `words` values
+    kinds = sets.select(bound.cast("long").alias("bound"), "k").distinct().collect()  # at most 31 partitions times `words` values
+    lengths = sorted({r["k"] for r in kinds})
     take = F.lit(1)
-    for s in sizes:
+    for s in sorted({r["bound"] for r in kinds}):
         take = F.when(bound == s, F.lit(signature_length(s, percent / 100))).otherwise(take)
     signed = written(sets.select("item", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), take)).alias("hash")), "item-signatures")
 

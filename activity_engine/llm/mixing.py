@@ -48,7 +48,8 @@ def sainte_lague(parties: DataFrame, by: list[str], key: list[str], quota: str,
     At x seats for each unit of quota a party has quota * x seats, give or take a half, or its cap. So the last seat
     goes between `_low`, where even half a seat more for each party is in the house, and `_high`, where half a seat less
     for each still fills it: water-filling as in `source_targets`. Quotients between these are ranked, a few a party
-    on the whole, however unequal the parties are.
+    on the whole, however unequal the parties are. All this is one pass over the parties, without a join: a plan that
+    holds them twice would be twice the driver's work wherever seats are dealt within seats.
     """
     some, q, c = F.col(quota) > 0, F.col(quota), F.col(cap)
     group, tie = Window.partitionBy(*by), [F.col(k) for k in key]
@@ -65,10 +66,11 @@ def sainte_lague(parties: DataFrame, by: list[str], key: list[str], quota: str,
     near = lambda x, more: F.when(some, F.least(F.greatest(F.floor(q * F.col(x) + 0.5).cast("long") + more, F.lit(0)), c)).otherwise(0)
     p = p.withColumns({"_sure": near("_low", -1), "_most": near("_high", 1)})
     p = p.withColumn("_left", F.col(seats) - F.sum("_sure").over(group)).drop("_bound", "_before", "_level", "_high", "_low")
-    tried = p.filter("_most > _sure").withColumn("_seat", F.explode(F.sequence(F.col("_sure"), F.col("_most") - 1)))
-    ranked = tried.withColumn("_rank", F.row_number().over(group.orderBy((q / (2 * F.col("_seat") + 1)).desc(), *key, "_seat")))
-    won = ranked.filter("_rank <= _left").groupBy(*key).agg(F.count("*").alias("_won"))
-    return p.join(won, key, "left").withColumn(name, F.col("_sure") + F.coalesce("_won", F.lit(0))).drop("_sure", "_most", "_left", "_won")
+    # A party with nothing left to win has one row without a seat, which ranks behind all seats.
+    tried = p.withColumn("_seat", F.explode_outer(F.when(F.col("_most") > F.col("_sure"), F.sequence(F.col("_sure"), F.col("_most") - 1))))
+    ranked = tried.withColumn("_rank", F.row_number().over(group.orderBy((q / (2 * F.col("_seat") + 1)).desc_nulls_last(), *key, "_seat")))
+    dealt = ranked.groupBy(*parties.columns, "_sure").agg(F.count_if(F.col("_seat").isNotNull() & (F.col("_rank") <= F.col("_left"))).alias("_won"))
+    return dealt.withColumn(name, F.col("_sure") + F.col("_won")).drop("_sure", "_won")
 
 
 def _taker(seed: int):

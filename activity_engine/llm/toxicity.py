@@ -295,6 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     base = (n_toxic + 1) / (n + 10)
 
     seen = rows.mapInArrow(_contexts, "word string, around long, toxic int").distinct().groupBy("word").agg(F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0"))
+    seen = written(seen, "words")
     seeds = INSULTS.split()
     weight = (F.col("c1") + LEARNED_PRIOR_ROWS * base) / (F.col("c1") + F.col("c0") + LEARNED_PRIOR_ROWS)
     counts = seen.filter(f"c1 >= {MIN_CONTEXTS}").filter(weight >= MIN_WEIGHT).filter(~F.col("word").isin(seeds) & (F.length("word") > 2))
